@@ -19,12 +19,12 @@ def markup_pattern(hidden: Sequence[str] = HIDDEN_ELEMENTS) -> str:
 
     The alternatives are tried at each position from left to right as a browser would meet them, so
     a comment inside a script or a tag inside a comment cannot unbalance the rest. Quoted attribute
-    values may hold ">"; the bounded repeat keeps the matcher's stack flat on broken pages.
+    values may hold ">" and a tag may be cut off by the end of the page; the bounded repeat keeps the matcher's stack flat on broken pages.
     Only syntax common to Java and RE2 is used.
     """
     parts = [r"<!--.*?(?:-->|\z)"]
     parts += [rf"<{tag}\b[^>]*>.*?(?:</{tag}\s*>|\z)" for tag in hidden]
-    parts += [r"""<[/!?a-z][^>"']*(?:"[^"]*"[^>"']*|'[^']*'[^>"']*){0,64}>""", r"<[/!?a-z][^>]*>"]
+    parts += [r"""<[/!?a-z][^>"']*(?:"[^"]*"[^>"']*|'[^']*'[^>"']*){0,64}>""", r"<[/!?a-z][^>]*(?:>|\z)"]
     return "(?is)" + "|".join(parts)
 
 

@@ -3,8 +3,20 @@
 from pyspark.sql import types as T
 
 
-def _struct(ddl: str) -> T.StructType:
-    return T.StructType.fromDDL(ddl)
+_TYPES = {
+    "string": T.StringType(),
+    "int": T.IntegerType(),
+    "bigint": T.LongType(),
+    "double": T.DoubleType(),
+    "array<string>": T.ArrayType(T.StringType()),
+    "array<double>": T.ArrayType(T.DoubleType()),
+}
+
+
+def _struct(columns: str) -> T.StructType:
+    """Usable before there is a session, unlike a DDL string."""
+    named = (column.split() for column in columns.split(","))
+    return T.StructType([T.StructField(name, _TYPES[kind]) for name, kind in named])
 
 
 MANIFEST = _struct("md5 string, file_name string, dir string")
