@@ -6,7 +6,9 @@ import glob
 import os
 import zipfile
 from functools import lru_cache
+from weakref import WeakKeyDictionary
 
+import pyarrow as pa
 import pyspark
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -61,11 +63,19 @@ def _suffix_rules() -> tuple[tuple[str, int], ...]:
     return tuple(kinds.items())
 
 
+_SUFFIX_TABLES: WeakKeyDictionary[SparkSession, DataFrame] = WeakKeyDictionary()
+
+
 def suffix_table(spark: SparkSession) -> DataFrame:
     """The public-suffix rules: a published list of about ten thousand rows, so safe to broadcast."""
-    return spark.createDataFrame(list(_suffix_rules()), "suffix string, kinds int")
+    if spark not in _SUFFIX_TABLES:
+        suffixes, kinds = zip(*_suffix_rules())
+        rules = pa.table({"suffix": pa.array(suffixes), "kinds": pa.array(kinds, pa.int32())})
+        _SUFFIX_TABLES[spark] = spark.createDataFrame(rules)
+    return _SUFFIX_TABLES[spark]
 
 
+@lru_cache(maxsize=1)
 def _suffix_depth() -> int:
     return max(key.count(".") + 1 for key, _ in _suffix_rules())
 
@@ -78,28 +88,25 @@ def with_registrable_domain(df: DataFrame, url: str, out: str = "company",
     Python worker. Exceptions beat other rules, else the longest rule wins, else the last label
     counts as the suffix. A host that is an address or itself a suffix is returned as it is.
     """
-    rules = F.broadcast(suffix_table(df.sparkSession))
-    host, labels, suffix_len = "_host", "_labels", "_suffix_len"
-    found = df.withColumn(host, url_host(F.col(url), underscore_as_slash))
-    found = found.withColumn(labels, F.split(F.col(host), r"\."))
-    n = F.size(labels)
-    lengths, exceptions = [F.lit(1)], []
-    for depth in range(1, _suffix_depth() + 1):
-        kinds = f"_kinds{depth}"
-        side = rules.select(F.col("suffix").alias(f"_suffix{depth}"), F.col("kinds").alias(kinds))
-        tail = F.lower(F.array_join(F.slice(labels, -depth, depth), "."))
-        found = found.join(side, F.when(n >= depth, tail) == F.col(f"_suffix{depth}"), "left")
-        found = found.drop(f"_suffix{depth}")
-        has = lambda kind, kinds=kinds: F.coalesce(F.col(kinds), F.lit(0)).bitwiseAND(kind) > 0
-        lengths.append(F.when(has(RULE), depth))
-        lengths.append(F.when(has(WILDCARD) & (n > depth), depth + 1))
-        exceptions.append(F.when(has(EXCEPTION), depth - 1))
-    found = found.withColumn(suffix_len, F.coalesce(*exceptions, F.greatest(*lengths)))
-    keep = F.col(suffix_len) + 1
-    domain = F.array_join(F.slice(labels, -keep, keep), ".")
-    whole = F.col(host).rlike(_IPV4) | (n < keep)
-    helpers = [host, labels, suffix_len, *(c for c in found.columns if c.startswith("_kinds"))]
-    return found.withColumn(out, F.when(whole, F.col(host)).otherwise(domain)).drop(*helpers)
+    rules = suffix_table(df.sparkSession)
+    depths = range(1, _suffix_depth() + 1)
+    kept = [F.col(f"`{c}`") for c in df.columns if c != out]
+    found = df.select("*", url_host(F.col(url), underscore_as_slash).alias("_host")).select(
+        *kept, "_host", F.split("_host", r"\.").alias("_labels")
+    )
+    for d in depths:
+        side = rules.selectExpr(f"suffix AS _suffix{d}", f"kinds AS _kinds{d}")
+        tail = f"CASE WHEN size(_labels) >= {d} THEN lower(array_join(slice(_labels, -{d}, {d}), '.')) END"
+        found = found.join(F.broadcast(side), F.expr(f"{tail} = _suffix{d}"), "left")
+    has = "(coalesce(_kinds{0}, 0) & {1}) > 0"
+    exceptions = [f"CASE WHEN {has.format(d, EXCEPTION)} THEN {d - 1} END" for d in depths]
+    lengths = [f"CASE WHEN {has.format(d, RULE)} THEN {d} END" for d in depths]
+    lengths += [f"CASE WHEN {has.format(d, WILDCARD)} AND size(_labels) > {d} THEN {d + 1} END" for d in depths]
+    keep = f"coalesce({', '.join(exceptions)}, greatest(1, {', '.join(lengths)})) + 1"
+    found = found.select(*kept, "_host", "_labels", F.expr(keep).alias("_keep"))
+    domain = f"""CASE WHEN _host RLIKE '{_IPV4}' OR size(_labels) < _keep THEN _host
+                      ELSE array_join(slice(_labels, -_keep, _keep), '.') END"""
+    return found.select(*kept, F.expr(domain).alias(out))
 
 
 def with_domain_path_key(df: DataFrame, url: str, out: str = "company") -> DataFrame:

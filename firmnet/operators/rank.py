@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 from firmnet.storage import materialize
 
 BINS = 4096
+ONE_TASK_ROWS = 200_000  # counted rows up to which a rank may take place in one task
+SCORE_RANGE = (-1.0, 1.0)  # of a cosine; scores outside fall into the outer bins
 _POSITION_BITS = 33  # layout of monotonically_increasing_id: partition above, row number below
 
 
@@ -52,6 +54,15 @@ def distributed_rank(df: DataFrame, order: Sequence[tuple[str, bool]], out: str
     return joined.select(*df.columns, (F.col("_before") + F.col("_at") - F.col("_first") + 1).alias(out))
 
 
+def rank_known(df: DataFrame, rows: int, order: Sequence[tuple[str, bool]], out: str = "rank",
+               group: Sequence[str] = ()) -> DataFrame:
+    """:func:`distributed_rank` for rows that were counted before; a small number takes one window instead."""
+    if rows > ONE_TASK_ROWS:
+        return distributed_rank(df, order, out, group)
+    window = W.partitionBy(*(group or [F.lit(0)])).orderBy(*_ordering(order))
+    return df.withColumn(out, F.row_number().over(window))
+
+
 class ScoreBins:
     """Fixed number of equal-width bins, bin 0 holding the best scores."""
 
@@ -67,12 +78,12 @@ class ScoreBins:
         return F.least(F.greatest(place, F.lit(0)), F.lit(self.bins - 1))
 
 
-def score_bins(df: DataFrame, score: str, descending: bool = True, bins: int = BINS) -> tuple[ScoreBins, int]:
-    """Bins spanning the scores, and the number of rows."""
-    lo, hi, n = df.agg(F.min(F.col(score).cast("double")), F.max(F.col(score).cast("double")), F.count(score)).first()
-    if n and not (isfinite(lo) and isfinite(hi)):
+def score_bins(df: DataFrame, score: str, descending: bool = True, bins: int = BINS) -> ScoreBins:
+    """Bins spanning the scores of the table."""
+    lo, hi = df.agg(F.min(F.col(score).cast("double")), F.max(F.col(score).cast("double"))).first()
+    if lo is not None and not (isfinite(lo) and isfinite(hi)):
         raise ValueError(f"{score} must be finite")
-    return ScoreBins(lo or 0.0, hi or 0.0, descending, bins), n
+    return ScoreBins(lo or 0.0, hi or 0.0, descending, bins)
 
 
 def boundary(counts: dict[int, int], k: int) -> tuple[int, int]:
@@ -86,27 +97,28 @@ def boundary(counts: dict[int, int], k: int) -> tuple[int, int]:
 
 
 def top_rows(df: DataFrame, k: int, score: str, ties: Sequence[str], descending: bool = True,
-             bins: int = BINS) -> DataFrame:
+             bounds: tuple[float, float] | None = None, bins: int = BINS) -> DataFrame:
     """The k best rows by score, equal scores in ascending order of ``ties``; exact for any k.
 
     One histogram pass finds the bin the cut falls into. Better bins pass by a plain filter; only
-    the boundary bin is ranked, by range partitions, so even one score shared by a third of all rows
-    spreads out. ``df`` is read several times: give it as a stored table. Scores must not be NULL.
+    the boundary bin is ranked, by range partitions when it is large, so even one score shared by a
+    third of all rows spreads out. ``df`` is read several times: give it as a stored table. Scores
+    must be finite and not NULL. Known ``bounds`` of the scores save a pass.
     """
-    spans, n = score_bins(df, score, descending, bins)
     if k <= 0:
         return df.limit(0)
-    if n <= k:
-        return df
+    spans = ScoreBins(*bounds, descending, bins) if bounds else score_bins(df, score, descending, bins)
     binned = df.withColumn("_bin", spans.column(score))
     counts = {r["_bin"]: r["count"] for r in binned.groupBy("_bin").count().collect()}  # at most ``bins`` rows
+    if sum(counts.values()) <= k:
+        return df
     cut, better = boundary(counts, k)
-    kept = binned.where(F.col("_bin") < cut).drop("_bin")
     if better + counts[cut] == k:
         return binned.where(F.col("_bin") <= cut).drop("_bin")
+    kept = binned.where(F.col("_bin") < cut).drop("_bin")
     edge = binned.where(F.col("_bin") == cut).drop("_bin")
     order = [(score, not descending), *((t, True) for t in ties)]
-    ranked = distributed_rank(edge, order, "_rank").where(F.col("_rank") <= k - better).drop("_rank")
+    ranked = rank_known(edge, counts[cut], order, "_rank").where(F.col("_rank") <= k - better).drop("_rank")
     return kept.unionByName(ranked)
 
 
@@ -118,7 +130,7 @@ def fraction_count(n: int, fraction: float) -> int:
 def top_fraction(peers: DataFrame, firms: int, fraction: float = 0.02, score: str = "wtnic_score",
                  focal: str = "focal_firmid", rival: str = "rival_firmid") -> DataFrame:
     """Best ``fraction`` of all directed pairs of ``firms`` firms, whatever number of them is in ``peers``."""
-    return top_rows(peers, fraction_count(firms, fraction), score, [focal, rival])
+    return top_rows(peers, fraction_count(firms, fraction), score, [focal, rival], bounds=SCORE_RANGE)
 
 
 def sorted_peers(peers: DataFrame) -> DataFrame:
@@ -139,7 +151,7 @@ def hash_sample(df: DataFrame, key: str, n: int, seed: str = "0") -> DataFrame:
         .withColumn("_draw", F.conv(F.substring("_digest", 1, 13), 16, 10).cast("bigint"))
     )
     keyed = materialize(keyed, "sample")
-    return top_rows(keyed, n, "_draw", ["_digest", key], descending=False).select(key)
+    return top_rows(keyed, n, "_draw", ["_digest", key], False, (0.0, float(1 << 52))).select(key)
 
 
 def assign_ids(dimension: DataFrame, new_keys: DataFrame, key: str, order: str, id_col: str = "firm_id") -> DataFrame:
