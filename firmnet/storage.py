@@ -6,7 +6,6 @@ import tempfile
 import uuid
 from collections.abc import Callable
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -43,10 +42,8 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
 
 def table_exists(spark: SparkSession, path: str) -> bool:
     """True only for a finished write: a job that died half way leaves no ``_SUCCESS`` marker."""
-    try:
-        return not spark.read.format("binaryFile").load(f"{path}/_SUCCESS*").select("path").isEmpty()
-    except AnalysisException:
-        return False
+    marker = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    return marker.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(marker)
 
 
 def reuse_or_write(spark: SparkSession, path: str, build: Callable[[], DataFrame], if_exists: str = "skip",
