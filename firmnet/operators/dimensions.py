@@ -1,0 +1,18 @@
+"""Joins of very large edge tables with narrow dimensions."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+BROADCAST_ROWS = 2_000_000  # of an id and a few numbers: about 200 MB as a hash table
+
+
+def sized(dimension: DataFrame, max_rows: int | None = None) -> DataFrame:
+    """Broadcast a narrow dimension when it has been counted to be small, so that edges stay in place.
+
+    A larger one is left to Spark: a shuffle join, whose hot keys adaptive execution splits.
+    """
+    limit = BROADCAST_ROWS if max_rows is None else max_rows
+    # Reading one row beyond the limit is enough to know.
+    return F.broadcast(dimension) if dimension.limit(limit + 1).count() <= limit else dimension

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from firmnet.operators.dimensions import sized
 from firmnet.operators.similarity import cosine_pairs, percent_count
 from firmnet.schemas import LR_INPUT, METRICS
 
@@ -38,7 +39,7 @@ def public_peers(vectors: DataFrame, public: DataFrame, top_k: int | None = None
 
 def to_firm_edges(edges: DataFrame, firm: DataFrame) -> DataFrame:
     """Translate company edges to firm ids; both ends must be known and differ."""
-    ids = firm.select("company", F.col("firm_id").cast("bigint").alias("firm_id"))
+    ids = sized(firm.select("company", F.col("firm_id").cast("bigint").alias("firm_id")))
     focal = ids.toDF("focal_firmid", "_focal")
     rival = ids.toDF("rival_firmid", "_rival")
     both = edges.where(F.col("focal_firmid") != F.col("rival_firmid"))
@@ -66,7 +67,7 @@ def _renamed(metrics: DataFrame, key: str, prefix: str) -> DataFrame:
 
 def with_rival_metrics(edges: DataFrame, metrics: DataFrame) -> DataFrame:
     """The rival's financials on each edge; edges to a firm without any are dropped (see ``unknown_rivals``)."""
-    return edges.join(_renamed(metrics, "rival_firmid", "rival"), "rival_firmid")
+    return edges.join(sized(_renamed(metrics, "rival_firmid", "rival")), "rival_firmid")
 
 
 def unknown_rivals(edges: DataFrame, metrics: DataFrame) -> DataFrame:

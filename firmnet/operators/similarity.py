@@ -10,8 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-BLOCK_ROWS = 4096   # vectors per block: two blocks of 200 doubles are 13 MB in a task
-STRIP_ROWS = 256    # focal rows multiplied at a time: one strip of scores is 8 MB
+BLOCK_ROWS = 8192   # vectors per block: two blocks of 200 doubles are 26 MB in a task
+STRIP_ROWS = 256    # focal rows multiplied at a time: one strip of scores is 16 MB
 MIN_BLOCK_ROWS = 64
 
 

@@ -12,7 +12,7 @@ from firmnet.operators.encoder import infer_vectors
 from firmnet.operators.industry import entity_codes, naics_report, with_pair_codes
 from firmnet.operators.peers import known_keys, private_peers
 from firmnet.params import Params
-from firmnet.storage import materialize
+from firmnet.plans.outputs import Outputs
 
 
 @dataclass(frozen=True)
@@ -23,11 +23,14 @@ class PrivateNetwork:
 
 
 def build_private_network(params: Params, model: Word2VecModel, trained: DataFrame, corpus: DataFrame,
-                          private: DataFrame, firm: DataFrame, mode: str = "reference") -> PrivateNetwork:
+                          private: DataFrame, firm: DataFrame, mode: str = "reference", folder: str | None = None,
+                          if_exists: str = "skip") -> PrivateNetwork:
+    """``trained`` are the stored vectors of the training firms. With a ``folder``, finished steps are reused."""
+    out = Outputs(corpus.sparkSession, folder, if_exists)
     wanted = known_keys(private, firm)
     pages = firm_pages(corpus, params.year, params.look_back, params.max_level)
-    vectors = materialize(infer_vectors(model, trained, pages, wanted, params.min_words), "private-vectors")
-    peers = materialize(private_peers(vectors, firm, params.top_percent, params.threshold), "private-peers")
-    coded = materialize(with_pair_codes(peers, firm), "coded-peers")
+    vectors = out.table("private_vectors", lambda: infer_vectors(model, trained, pages, wanted, params.min_words))
+    peers = out.table("private_peers", lambda: private_peers(vectors, firm, params.top_percent, params.threshold))
+    coded = out.table("private_peer_codes", lambda: with_pair_codes(peers, firm))
     codes = entity_codes(vectors.select("company"), firm)
     return PrivateNetwork(vectors, peers, naics_report(params.year, coded, codes, params.top_fraction, mode))

@@ -14,7 +14,7 @@ from firmnet.operators.peers import lr_input, public_peers
 from firmnet.operators.rank import hash_sample, top_fraction
 from firmnet.operators.regression import r2_report
 from firmnet.params import Params
-from firmnet.storage import materialize
+from firmnet.plans.outputs import Outputs
 
 
 @dataclass(frozen=True)
@@ -29,17 +29,23 @@ class PublicNetwork:
 
 
 def build_public_network(params: Params, corpus: DataFrame, private: DataFrame, public: DataFrame,
-                         seed: int = 0, partitions: int = 1) -> PublicNetwork:
-    """``private`` and ``public`` are the company lists of the year; ``public`` carries ids and metrics."""
-    sample = hash_sample(private, "company", params.sample_size, str(seed))
-    wanted = training_set(sample, public)
+                         seed: int = 0, partitions: int = 16, folder: str | None = None,
+                         if_exists: str = "skip") -> PublicNetwork:
+    """``private`` and ``public`` are the company lists of the year; ``public`` carries ids and metrics.
+
+    With a ``folder``, steps whose output is there are not run again.
+    """
+    out = Outputs(corpus.sparkSession, folder, if_exists)
+    wanted = out.table("pre_training_tags", lambda: training_set(
+        hash_sample(private, "company", params.sample_size, str(seed)), public))
     pages = firm_pages(corpus, params.year, params.look_back, params.max_level)
-    text = materialize(pages.join(wanted, "company", "left_semi"), "training")
+    text = out.table("training_text", lambda: pages.join(wanted, "company", "left_semi"))
     trained, without_text = corpus_coverage(wanted, text)
-    model = fit_encoder(text, params.dim, params.min_count, params.window, params.epochs, partitions, seed)
-    vectors = materialize(encode(model, text), "vectors")
-    peers = materialize(public_peers(vectors, public, params.public_top), "public-peers")
-    kept = materialize(top_fraction(peers, public.count(), params.top_fraction), "top-peers")
-    regression = lr_input(peers, kept, public)
+    model = out.model("model", lambda: fit_encoder(text, params.dim, params.min_count, params.window, params.epochs,
+                                                   partitions, seed))
+    vectors = out.table("vectors", lambda: encode(model, text))
+    peers = out.table("public_peers", lambda: public_peers(vectors, public, params.public_top))
+    kept = out.table("top_public_peers", lambda: top_fraction(peers, public.count(), params.top_fraction))
+    regression = out.table("regression_input", lambda: lr_input(peers, kept, public))
     report = r2_report(regression, f"public_peers_file_{params.year}_LR.csv")
     return PublicNetwork(model, trained, without_text, vectors, peers, regression, report)

@@ -126,8 +126,8 @@ def test_encoding_pages_equals_encoding_the_joined_text(spark):
 
     rows = [(f"f{i % 3}", 2000, 0, f"{i}", [f"w{(i * j) % 11}" for j in range(1, i + 2)]) for i in range(30)]
     df = spark.createDataFrame(rows, "company string, year int, level int, page string, words array<string>")
-    model = encoder.fit_encoder(df, dim=8, epochs=2)
-    again = encoder.fit_encoder(df, dim=8, epochs=2)
+    model = encoder.fit_encoder(df, dim=8, epochs=2, partitions=1)
+    again = encoder.fit_encoder(df, dim=8, epochs=2, partitions=1)
     assert [r["vector"] for r in model.getVectors().orderBy("word").collect()] == [
         r["vector"] for r in again.getVectors().orderBy("word").collect()]
     got = {r["company"]: r for r in encoder.encode(model, df).collect()}
@@ -140,7 +140,7 @@ def test_encoding_pages_equals_encoding_the_joined_text(spark):
 
 def test_trained_vectors_are_reused(spark, pages):
     text = corpus.firm_pages(pages, 2004)
-    model = encoder.fit_encoder(text, dim=2, min_count=1, epochs=1)
+    model = encoder.fit_encoder(text, dim=2, min_count=1, epochs=1, partitions=1)
     trained = spark.createDataFrame([("f", [9.0, 9.0]), ("unused", [1.0, 1.0])], "company string, v array<double>")
     wanted = spark.createDataFrame([(c,) for c in ("f", "g", "h", "e", "", "zz")], "company string")
     got = {r["company"]: r["v"] for r in encoder.infer_vectors(model, trained, text, wanted, 100).collect()}

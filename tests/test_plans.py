@@ -45,3 +45,14 @@ def test_networks(spark, world):
     assert scores.where("wtnic_score < 0.24 or focal_firmid = rival_firmid").count() == 0
     rows = {r["digits"]: r for r in other.report.collect()}
     assert rows[2]["matches"] > 0 and all(rows[d]["matches"] <= rows[d]["budget"] for d in rows)
+
+
+def test_finished_steps_are_reused(spark, world, tmp_path):
+    corpus, firm, public = world
+    params = Params(2000, dim=4, epochs=1, sample_size=5)
+    private = firm.select("company").subtract(public.select("company"))
+    first = build_public_network(params, corpus, private, public, folder=str(tmp_path))
+    stamps = {p: p.stat().st_mtime_ns for p in tmp_path.glob("*/_SUCCESS")}
+    again = build_public_network(params, corpus, private, public, folder=str(tmp_path))
+    assert len(stamps) == 6 and stamps == {p: p.stat().st_mtime_ns for p in tmp_path.glob("*/_SUCCESS")}
+    assert sorted(first.peers.collect()) == sorted(again.peers.collect())
