@@ -12,7 +12,7 @@ from firmnet.functions import text, urls, vectors
 from firmnet.operators import corpus, encoder, industry, master, peers, rank, regression, similarity
 from firmnet.plans import ingest, standins as st
 from firmnet.sources import archives, stores, tables
-from firmnet.storage import materialize, scratch_path
+from firmnet.storage import dealt, materialize, scratch_path
 from firmnet.streaming import ingest as streaming
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -266,17 +266,17 @@ def p6(spark, sf_dir):
 
 @query("p7_html_text")
 def p7(spark, sf_dir):
-    return st.table(spark, sf_dir, "pages").select("page_id", text.html_text(F.col("html")).alias("text"))
+    return dealt(st.table(spark, sf_dir, "pages")).select("page_id", text.html_text(F.col("html")).alias("text"))
 
 
 @query("p8_words")
 def p8(spark, sf_dir):
-    return st.table(spark, sf_dir, "pages").select("page_id", _text(text.page_words(F.col("html"))))
+    return dealt(st.table(spark, sf_dir, "pages")).select("page_id", _text(text.page_words(F.col("html"))))
 
 
 @query("p9_normalise_words")
 def p9(spark, sf_dir):
-    d = st.table(spark, sf_dir, "documents")
+    d = dealt(st.table(spark, sf_dir, "documents"))
     return d.select("doc_id", _text(text.normalise_words(text.words(F.col("text")))))
 
 
@@ -429,16 +429,16 @@ def j9(spark, sf_dir):
     return industry.with_pair_codes(_peers(spark, sf_dir), st.firm(spark, sf_dir))
 
 
-def _cut_peers(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
-    """All peers of the public firms and the top share of them, both stored."""
-    public = st.public(spark, sf_dir)
-    stored = materialize(peers.public_peers(st.vectors(spark, sf_dir), public), "peers")
-    return stored, materialize(rank.top_fraction(stored, public.count(), TOP_FRACTION), "top-peers")
+def _evaluation(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Public firms, all their peers, and the top share of those; each stored."""
+    public = materialize(st.public(spark, sf_dir), "public")
+    every = materialize(peers.public_peers(st.vectors(spark, sf_dir), public), "peers")
+    return public, every, materialize(rank.top_fraction(every, public.count(), TOP_FRACTION), "top-peers")
 
 
 @query("j10_monopolists")
 def j10(spark, sf_dir):
-    return peers.monopolists(*_cut_peers(spark, sf_dir))
+    return peers.monopolists(*_evaluation(spark, sf_dir)[1:])
 
 
 @query("j11_unseen_records")
@@ -551,8 +551,8 @@ def a11(spark, sf_dir):
 
 @query("a12_focal_counts")
 def a12(spark, sf_dir):
-    every, kept = _cut_peers(spark, sf_dir)
-    return peers.focal_counts(every, kept, peers.lr_input(every, kept, st.public(spark, sf_dir)))
+    public, every, kept = _evaluation(spark, sf_dir)
+    return peers.focal_counts(every, kept, peers.lr_input(every, kept, public))
 
 
 def _overlap(spark, sf_dir, mode) -> DataFrame:
@@ -573,7 +573,8 @@ def a13b(spark, sf_dir):
 
 
 def _lr_input(spark, sf_dir) -> DataFrame:
-    return peers.lr_input(*_cut_peers(spark, sf_dir), st.public(spark, sf_dir))
+    public, every, kept = _evaluation(spark, sf_dir)
+    return peers.lr_input(every, kept, public)
 
 
 def _rounded_lr(df: DataFrame) -> DataFrame:
@@ -643,7 +644,7 @@ def w3(spark, sf_dir):
 
 @query("l1_global_top_fraction")
 def l1(spark, sf_dir):
-    return _cut_peers(spark, sf_dir)[1]
+    return _evaluation(spark, sf_dir)[2]
 
 
 @query("l1_top_fraction_of_lineitem")
@@ -701,7 +702,7 @@ def u4(spark, sf_dir):
 
 
 def _encoder(spark, sf_dir):
-    pages = corpus.firm_pages(st.doc_corpus(spark, sf_dir), YEAR)
+    pages = materialize(corpus.firm_pages(st.doc_corpus(spark, sf_dir), YEAR), "training")
     return encoder.fit_encoder(pages, dim=32, epochs=1, window=8, min_count=5, partitions=8), pages
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from firmnet.functions.text import words
+from firmnet.storage import dealt
 
 PUBLIC_YEAR = 2016
 
@@ -72,7 +73,7 @@ def customer_firm(spark, sf_dir) -> DataFrame:
 
 
 def corpus(spark, sf_dir) -> DataFrame:
-    d = table(spark, sf_dir, "documents")
+    d = dealt(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
     i = F.col("doc_id")
     return d.select(F.col("source").alias("company"), (2010 + i % 8).cast("int").alias("year"),
                     (i % 5).cast("int").alias("level"), F.lpad(i.cast("string"), 12, "0").alias("page"),
@@ -85,7 +86,7 @@ def doc_corpus(spark, sf_dir) -> DataFrame:
 
 
 def records(spark, sf_dir) -> DataFrame:
-    p = table(spark, sf_dir, "pages")
+    p = dealt(table(spark, sf_dir, "pages"))
     i = F.col("page_id")
     return p.select(
         F.concat(F.lit("crawl-"), (i % 7).cast("string"), F.lit(".warc.gz")).alias("archive_file"),

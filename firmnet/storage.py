@@ -40,6 +40,13 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def dealt(df: DataFrame) -> DataFrame:
+    """Deal out an input that came in fewer partitions than there are cores, for work that is bound by
+    the processor (text patterns). A large input has more partitions and is left where it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def table_exists(spark: SparkSession, path: str) -> bool:
     """True only for a finished write: a job that died half way leaves no ``_SUCCESS`` marker."""
     marker = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
