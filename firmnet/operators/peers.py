@@ -22,15 +22,21 @@ def known_keys(df: DataFrame, firm: DataFrame, key: str = "company") -> DataFram
     return df.where(F.col(key) != "").join(firm.select(F.col("company").alias(key)), key, "left_semi")
 
 
+def public_vectors(vectors: DataFrame, public: DataFrame) -> DataFrame:
+    """(firm_id, v) of the documents that are public firms."""
+    ids = public.select("company", F.col("firm_id").cast("bigint").alias("firm_id"))
+    return vectors.select("company", "v").join(ids, "company").select("firm_id", "v")
+
+
 def public_peers(vectors: DataFrame, public: DataFrame, top_k: int | None = None, **options) -> DataFrame:
     """All scored pairs of public firms, by firm id, without self pairs.
 
     Without a rank cut only public vectors are paired at all. With one, each public firm ranks every
     document of the model (itself included) before rivals that are not public are dropped.
     """
-    ids = public.select("company", F.col("firm_id").cast("bigint").alias("_firm"))
     if top_k is None:
-        return cosine_pairs(vectors.select("company", "v").join(ids, "company"), "_firm", "v", **options)
+        return cosine_pairs(public_vectors(vectors, public), "firm_id", "v", **options)
+    ids = public.select("company", F.col("firm_id").cast("bigint").alias("_firm"))
     marked = vectors.select("company", "v").join(ids, "company", "left")
     edges = cosine_pairs(marked, "company", "v", top_k=top_k, self_uses_rank=True,
                          focal=F.col("_firm").isNotNull(), **options)

@@ -10,13 +10,23 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from firmnet.operators.rank import BINS, boundary, fraction_count, rank_known
+from firmnet.storage import materialize
+
 BLOCK_ROWS = 8192   # vectors per block: two blocks of 200 doubles are 26 MB in a task
 STRIP_ROWS = 256    # focal rows multiplied at a time: one strip of scores is 16 MB
 MIN_BLOCK_ROWS = 64
+DECIMALS = 6
+
 
+def _tile_worker(consume, strip_rows: int):
+    """Worker of one tile: multiplies its two blocks strip by strip and hands each strip to ``consume``.
 
-def _tile_worker(min_score: float | None, top_k: int | None, decimals: int, strip_rows: int):
-    """Worker of one tile: the product of two blocks, cut before anything leaves the task."""
+    ``consume(focal_ids, rival_ids, scores, own)`` yields record batches; ``own`` marks self pairs. A
+    tile serves both directions; one on the diagonal holds a single block.
+    """
+
+    decimals = DECIMALS
 
     def run(batches):
         import numpy as np
@@ -28,56 +38,78 @@ def _tile_worker(min_score: float | None, top_k: int | None, decimals: int, stri
         def block(which):
             rows = table.filter(pa.array(side == which)).combine_chunks()
             ids = rows.column("id").combine_chunks()
-            focal = rows.column("focal").to_numpy(zero_copy_only=False).astype(bool)
+            focal = np.nonzero(rows.column("focal").to_numpy(zero_copy_only=False).astype(bool))[0]
             v = rows.column("v").combine_chunks()
             m = np.asarray(v.flatten(), dtype=np.float64).reshape(len(ids), -1) if len(ids) else np.zeros((0, 0))
             length = np.sqrt((m * m).sum(axis=1, keepdims=True))
             return ids, focal, m / np.where(length > 0, length, 1.0)
 
-        def cut(scores, own):
-            """Mask of the pairs to emit, from rows to columns."""
-            keep = ~own
-            if min_score is not None:
-                keep &= scores >= min_score
-            if top_k is not None and 0 < top_k < scores.shape[1]:
-                # Nothing below the k-th best of this tile can be among the k best overall; ties stay.
-                masked = np.where(own, -np.inf, scores)
-                kth = np.partition(masked, scores.shape[1] - top_k, axis=1)[:, scores.shape[1] - top_k]
-                keep &= scores >= kth[:, None]
-            return keep
-
-        def emit(a_ids, b_ids, keep, scores):
-            r, c = np.nonzero(keep)
-            if not len(r):
-                return
-            yield pa.RecordBatch.from_arrays(
-                [a_ids.take(pa.array(r)), b_ids.take(pa.array(c)), pa.array(scores[r, c])],
-                names=["focal_firmid", "rival_firmid", "wtnic_score"],
-            )
-
-        ids0, focal0, m0 = block(0)
-        ids1, focal1, m1 = block(1)
-        sides = [(ids0, focal0, m0, ids1, m1), (ids1, focal1, m1, ids0, m0)]
-        if not len(ids1):  # a tile on the diagonal holds one block only
-            sides = [(ids0, focal0, m0, ids0, m0)]
-        for a_ids, a_focal, a, b_ids, b in sides:
-            if not len(b_ids):
-                continue
-            rows = np.nonzero(a_focal)[0]
-            diagonal = a_ids is b_ids
-            for s in range(0, len(rows), strip_rows):
-                pick = rows[s:s + strip_rows]
+        one, two = block(0), block(1)
+        sides = ([(one, two), (two, one)] if len(one[0]) else []) if len(two[0]) else [(one, one)]
+        for (a_ids, a_focal, a), (b_ids, _, b) in sides:
+            for s in range(0, len(a_focal), strip_rows):
+                pick = a_focal[s:s + strip_rows]
+                # Rounded to six digits, so that equal scores tie on every machine; no negative zero.
                 scores = np.round(a[pick] @ b.T, decimals) + 0.0
                 own = np.zeros(scores.shape, dtype=bool)
-                if diagonal:
+                if a is b:
                     own[np.arange(len(pick)), pick] = True
-                yield from emit(a_ids.take(pa.array(pick)), b_ids, cut(scores, own), scores)
+                yield from consume(a_ids.take(pa.array(pick)), b_ids, scores, own)
 
-    # The annotations select the streaming form of the call, which sends each strip as it is ready.
+    # The annotations select the streaming form of the call, which sends each batch as it is ready.
     run.__annotations__ = {"batches": Iterator[pa.RecordBatch], "return": Iterator[pa.RecordBatch]}
     return run
 
 
+def _emit_best(min_score: float | None, top_k: int | None):
+    def consume(focal_ids, rival_ids, scores, own):
+        import numpy as np
+        import pyarrow as pa
+
+        keep = ~own
+        if min_score is not None:
+            keep &= scores >= min_score
+        if top_k is not None and 0 < top_k < scores.shape[1]:
+            # Nothing below the k-th best of this tile can be among the k best overall; ties stay.
+            at = scores.shape[1] - top_k
+            keep &= scores >= np.partition(np.where(own, -np.inf, scores), at, axis=1)[:, at][:, None]
+        r, c = np.nonzero(keep)
+        if len(r):
+            columns = [focal_ids.take(pa.array(r)), rival_ids.take(pa.array(c)), pa.array(scores[r, c])]
+            yield pa.RecordBatch.from_arrays(columns, names=["focal_firmid", "rival_firmid", "wtnic_score"])
+
+    return consume
+
+
+def _count_bins(bins: int):
+    def consume(focal_ids, rival_ids, scores, own):
+        import numpy as np
+        import pyarrow as pa
+
+        place = np.clip(np.floor((1.0 - scores) * (bins / 2.0)), 0, bins - 1).astype(np.int64)
+        counts = np.bincount(place[~own], minlength=bins)
+        (used,) = np.nonzero(counts)
+        if len(used):
+            yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(counts[used])], names=["bin", "n"])
+
+    return consume
+
+
+def _emit_bins(bins: int, cut: int):
+    def consume(focal_ids, rival_ids, scores, own):
+        import numpy as np
+        import pyarrow as pa
+
+        place = np.clip(np.floor((1.0 - scores) * (bins / 2.0)), 0, bins - 1).astype(np.int64)
+        r, c = np.nonzero((place <= cut) & ~own)
+        if len(r):
+            columns = [focal_ids.take(pa.array(r)), rival_ids.take(pa.array(c)), pa.array(scores[r, c]),
+                       pa.array(place[r, c] == cut)]
+            yield pa.RecordBatch.from_arrays(columns, names=["focal_firmid", "rival_firmid", "wtnic_score", "edge"])
+
+    return consume
+
+
 def block_count(n: int, block_rows: int, parallelism: int) -> int:
     """Enough blocks to bound a block's rows; more for a small input, so that all cores get tiles."""
     bounded = ceil(n / block_rows)
@@ -85,25 +117,15 @@ def block_count(n: int, block_rows: int, parallelism: int) -> int:
     return max(1, bounded, min(spread, n // MIN_BLOCK_ROWS))
 
 
-def cosine_pairs(vectors: DataFrame, id_col: str = "firm_id", vec_col: str = "v", min_score: float | None = None,
-                 top_k: int | None = None, self_uses_rank: bool = False, focal: Column | None = None,
-                 decimals: int = 6, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """Directed edges (focal_firmid, rival_firmid, wtnic_score) between all different vectors.
-
-    ``min_score`` keeps scores at or above it (after rounding to ``decimals``); ``top_k`` keeps each
-    focal's best k by score, then rival id. Both cuts are monotone in the score, so the threshold may
-    be applied first. ``self_uses_rank`` lets the firm itself take one of the k places. ``focal``
-    limits which rows act as focal; every row can be a rival.
+def _tiles(vectors: DataFrame, id_col: str, vec_col: str, focal: Column | None, block_rows: int) -> tuple[DataFrame, str]:
+    """Vectors sent to the tiles they take part in, and the type of their ids.
 
-    Ids have to be unique. They are hashed into B blocks, each row is sent to the B tiles its block
-    takes part in, and a tile multiplies its two blocks once for both directions. B grows with the
-    row count, so a task holds two blocks whatever the size of the input; pairs below the cut never
-    become rows.
+    Ids are hashed into B blocks and each row goes to the B tiles of its block. B grows with the row
+    count, so a task holds two blocks whatever the size of the input.
     """
     spark = vectors.sparkSession
     vectors = vectors.where(F.col(id_col).isNotNull() & F.col(vec_col).isNotNull())
-    n = vectors.count()
-    b = block_count(n, block_rows, spark.sparkContext.defaultParallelism)
+    b = block_count(vectors.count(), block_rows, spark.sparkContext.defaultParallelism)
     rows = vectors.select(
         F.col(id_col).alias("id"),
         F.col(vec_col).alias("v"),
@@ -115,13 +137,26 @@ def cosine_pairs(vectors: DataFrame, id_col: str = "firm_id", vec_col: str = "v"
         F.when(F.col("block") <= F.col("other"), 0).otherwise(1).cast("tinyint").alias("side"),
         "id", "focal", "v",
     )
-    id_type = dict(rows.dtypes)["id"]
-    rivals = None if top_k is None else max(0, top_k - 1 if self_uses_rank else top_k)
     # A fixed partition number: adaptive coalescing goes by bytes and would line heavy tiles up in one task.
     parts = min(b * (b + 1) // 2, max(4 * spark.sparkContext.defaultParallelism,
                                       int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    edges = tiled.repartition(parts, "tile").groupBy("tile").applyInArrow(
-        _tile_worker(min_score, rivals, decimals, STRIP_ROWS),
+    return tiled.repartition(parts, "tile"), dict(rows.dtypes)["id"]
+
+
+def cosine_pairs(vectors: DataFrame, id_col: str = "firm_id", vec_col: str = "v", min_score: float | None = None,
+                 top_k: int | None = None, self_uses_rank: bool = False, focal: Column | None = None,
+                 block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """Directed edges (focal_firmid, rival_firmid, wtnic_score) between all different vectors.
+
+    ``min_score`` keeps rounded scores at or above it; ``top_k`` keeps each focal's best k by score,
+    then rival id. Both cuts are monotone in the score, so the threshold may be applied first.
+    ``self_uses_rank`` lets the firm itself take one of the k places. ``focal`` limits which rows act
+    as focal; every row can be a rival. Ids have to be unique. Pairs below the cut never become rows.
+    """
+    tiles, id_type = _tiles(vectors, id_col, vec_col, focal, block_rows)
+    rivals = None if top_k is None else max(0, top_k - 1 if self_uses_rank else top_k)
+    edges = tiles.groupBy("tile").applyInArrow(
+        _tile_worker(_emit_best(min_score, rivals), STRIP_ROWS),
         f"focal_firmid {id_type}, rival_firmid {id_type}, wtnic_score double",
     )
     if rivals is None:
@@ -130,6 +165,32 @@ def cosine_pairs(vectors: DataFrame, id_col: str = "firm_id", vec_col: str = "v"
     return edges.withColumn("_rank", F.row_number().over(best)).where(F.col("_rank") <= rivals).drop("_rank")
 
 
+def top_fraction_of_pairs(vectors: DataFrame, firms: int, fraction: float = 0.02, id_col: str = "firm_id",
+                          vec_col: str = "v", block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """The edges ``rank.top_fraction`` keeps of all pairs, without writing the other pairs first.
+
+    A first pass over the tiles only counts scores by bin; the second emits the pairs of the bins up
+    to the cut. Multiplying twice is far cheaper than storing n² rows. ``vectors`` is read three
+    times: give a stored table.
+    """
+    tiles, id_type = _tiles(vectors, id_col, vec_col, None, block_rows)
+    k = fraction_count(firms, fraction)
+    edge_schema = f"focal_firmid {id_type}, rival_firmid {id_type}, wtnic_score double"
+    counted = tiles.groupBy("tile").applyInArrow(_tile_worker(_count_bins(BINS), STRIP_ROWS), "bin bigint, n bigint")
+    counts = {r["bin"]: r["n"] for r in counted.groupBy("bin").agg(F.sum("n").alias("n")).collect()}  # fixed number
+    if k <= 0 or not counts:
+        return vectors.sparkSession.createDataFrame([], edge_schema)
+    cut, better = boundary(counts, k) if sum(counts.values()) > k else (BINS, 0)
+    found = tiles.groupBy("tile").applyInArrow(_tile_worker(_emit_bins(BINS, cut), STRIP_ROWS),
+                                               f"{edge_schema}, edge boolean")
+    if cut == BINS:
+        return found.drop("edge")
+    found = materialize(found, "top-pairs")
+    order = [("wtnic_score", False), ("focal_firmid", True), ("rival_firmid", True)]
+    edge = rank_known(found.where("edge"), counts[cut], order, "_rank").where(F.col("_rank") <= k - better)
+    return found.where(~F.col("edge")).drop("edge").unionByName(edge.drop("edge", "_rank"))
+
+
 def percent_count(n: int, percent: float) -> int:
     """``int(n * percent / 100)`` in double arithmetic."""
     return int(n * percent / 100)

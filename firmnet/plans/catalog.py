@@ -21,6 +21,7 @@ QUERIES: dict[str, Query] = {}
 YEAR = 2016
 THRESHOLD = 0.24
 TOP_FRACTION = 0.02
+NARROW = 0.001  # leaves many firms without any edge
 
 
 def query(name: str) -> Callable[[Query], Query]:
@@ -429,16 +430,16 @@ def j9(spark, sf_dir):
     return industry.with_pair_codes(_peers(spark, sf_dir), st.firm(spark, sf_dir))
 
 
-def _evaluation(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _evaluation(spark, sf_dir, fraction=TOP_FRACTION) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Public firms, all their peers, and the top share of those; each stored."""
     public = materialize(st.public(spark, sf_dir), "public")
     every = materialize(peers.public_peers(st.vectors(spark, sf_dir), public), "peers")
-    return public, every, materialize(rank.top_fraction(every, public.count(), TOP_FRACTION), "top-peers")
+    return public, every, materialize(rank.top_fraction(every, public.count(), fraction), "top-peers")
 
 
 @query("j10_monopolists")
 def j10(spark, sf_dir):
-    return peers.monopolists(*_evaluation(spark, sf_dir)[1:])
+    return peers.monopolists(*_evaluation(spark, sf_dir, NARROW)[1:])
 
 
 @query("j11_unseen_records")
@@ -572,8 +573,8 @@ def a13b(spark, sf_dir):
     return _overlap(spark, sf_dir, "all_pairs")
 
 
-def _lr_input(spark, sf_dir) -> DataFrame:
-    public, every, kept = _evaluation(spark, sf_dir)
+def _lr_input(spark, sf_dir, fraction=TOP_FRACTION) -> DataFrame:
+    public, every, kept = _evaluation(spark, sf_dir, fraction)
     return peers.lr_input(every, kept, public)
 
 
@@ -587,6 +588,12 @@ def a14(spark, sf_dir):
     return regression.r_squared(_lr_input(spark, sf_dir)).select("no_of_docs", *_r6(*names))
 
 
+@query("a14_r_squared_with_monopolists")
+def a14b(spark, sf_dir):
+    names = ("RSQ_stock_return", "RSQ_profit_sales", "RSQ_profit_asset", "RSQ_valuation")
+    return regression.r_squared(_lr_input(spark, sf_dir, NARROW)).select("no_of_docs", *_r6(*names))
+
+
 @query("a15_mean_profit_r_squared")
 def a15(spark, sf_dir):
     return regression.r_squared(_lr_input(spark, sf_dir)).select(*_r6("RSQ_average"))
@@ -647,6 +654,13 @@ def l1(spark, sf_dir):
     return _evaluation(spark, sf_dir)[2]
 
 
+@query("l1_top_fraction_of_vector_pairs")
+def l1c(spark, sf_dir):
+    public = materialize(st.public(spark, sf_dir), "public")
+    paired = materialize(peers.public_vectors(st.vectors(spark, sf_dir), public), "public-vectors")
+    return similarity.top_fraction_of_pairs(paired, public.count(), TOP_FRACTION)
+
+
 @query("l1_top_fraction_of_lineitem")
 def l1b(spark, sf_dir):
     items = st.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity")
@@ -690,6 +704,11 @@ def u3(spark, sf_dir):
     return _rounded_lr(_lr_input(spark, sf_dir))
 
 
+@query("u3_regression_input_with_monopolists")
+def u3b(spark, sf_dir):
+    return _rounded_lr(_lr_input(spark, sf_dir, NARROW))
+
+
 @query("u4_all_vectors")
 def u4(spark, sf_dir):
     v = st.vectors(spark, sf_dir)

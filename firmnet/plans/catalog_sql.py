@@ -112,6 +112,8 @@ lr AS (
   SELECT focal_firmid, {RIVAL}, {FOCAL}, 0 AS monopolist FROM means JOIN public ON focal_firmid = firm_id
   UNION ALL
   SELECT focal_firmid, 0.0, 0.0, 0.0, 0.0, {FOCAL}, 1 FROM alone JOIN public ON focal_firmid = firm_id)"""
+NARROW_CUT = CUT.replace("0.02", "0.001")
+NARROW_LR_INPUT = _with(VECTORS, PUBLIC, SCORES, ALL_PEERS, NARROW_CUT, MEANS.format("kept"), LR)
 LR_INPUT = _with(VECTORS, PUBLIC, SCORES, ALL_PEERS, CUT, MEANS.format("kept"), LR)
 
 
@@ -262,7 +264,7 @@ ORACLE_SQL: dict[str, str] = {
         r.firm_id AS rival_firmid, wtnic_score FROM peers JOIN listed f ON f.firm_id = focal_firmid + 10000000
         JOIN listed r ON r.firm_id = rival_firmid + 10000000""",
     "j9_pair_codes": _with(VECTORS, FIRM, SCORES, PEERS, CODED) + "SELECT * FROM coded",
-    "j10_monopolists": LR_INPUT + "SELECT focal_firmid FROM alone",
+    "j10_monopolists": NARROW_LR_INPUT + "SELECT focal_firmid FROM alone",
     "j11_unseen_records": _with(RECORDS) + """SELECT archive_file, url FROM records r WHERE rec_type = 'response'
         AND NOT EXISTS (SELECT 1 FROM records l WHERE length(l.url) % 3 = 0 AND l.archive_file = r.archive_file
         AND l.url = r.url)""",
@@ -300,6 +302,9 @@ ORACLE_SQL: dict[str, str] = {
     "a14_r_squared": LR_INPUT + f"""SELECT count(DISTINCT focal_firmid) AS no_of_docs,
         round({_r2('stock_return')}, 6) AS "RSQ_stock_return", round({_r2('profit_sales')}, 6) AS "RSQ_profit_sales",
         round({_r2('profit_assets')}, 6) AS "RSQ_profit_asset", round({_r2('valuation')}, 6) AS "RSQ_valuation" FROM lr""",
+    "a14_r_squared_with_monopolists": NARROW_LR_INPUT + f"""SELECT count(DISTINCT focal_firmid) AS no_of_docs,
+        round({_r2('stock_return')}, 6) AS "RSQ_stock_return", round({_r2('profit_sales')}, 6) AS "RSQ_profit_sales",
+        round({_r2('profit_assets')}, 6) AS "RSQ_profit_asset", round({_r2('valuation')}, 6) AS "RSQ_valuation" FROM lr""",
     "a15_mean_profit_r_squared": LR_INPUT + f"""SELECT round(({_r2('profit_sales')} + {_r2('profit_assets')}) / 2, 6)
         AS "RSQ_average" FROM lr""",
     "a16_vocabulary": _with(CORPUS, FIRM_PAGES.format("corpus")) + """SELECT word, count(*) AS n
@@ -330,6 +335,7 @@ ORACLE_SQL: dict[str, str] = {
         JOIN listed f ON f.firm_id = focal_firmid + 10000000 JOIN listed r ON r.firm_id = rival_firmid + 10000000
         WHERE wtnic_score >= 0.1 AND place <= (SELECT floor(count(*) * CAST(1.5 AS DOUBLE) / 100) FROM vectors)""",
     "l1_global_top_fraction": LR_INPUT + "SELECT * FROM kept",
+    "l1_top_fraction_of_vector_pairs": LR_INPUT + "SELECT * FROM kept",
     "l1_top_fraction_of_lineitem": """SELECT l_orderkey, l_linenumber, l_quantity FROM (
         SELECT l_orderkey, l_linenumber, l_quantity,
                row_number() OVER (ORDER BY l_quantity DESC, l_orderkey, l_linenumber) AS place FROM lineitem)
@@ -341,6 +347,7 @@ ORACLE_SQL: dict[str, str] = {
     "u1_training_set": _with(URL_ID, CUSTOMER_FIRM) + f"SELECT company FROM ({_SAMPLE}) UNION SELECT company FROM cfirm",
     "u2_not_indexed": _with(URL_ID, CUSTOMER_FIRM) + "SELECT company FROM url_id EXCEPT SELECT company FROM cfirm",
     "u3_regression_input": LR_INPUT + f"SELECT focal_firmid, {ROUNDED}, monopolist FROM lr",
+    "u3_regression_input_with_monopolists": NARROW_LR_INPUT + f"SELECT focal_firmid, {ROUNDED}, monopolist FROM lr",
     "u4_all_vectors": _with(VECTORS) + """SELECT company, CASE WHEN firm_id % 3 = 0 THEN 'trained' ELSE 'inferred' END AS origin,
         round(sqrt(list_dot_product(v, v)), 6) AS length FROM vectors""",
     "m1_word_vectors": _with(DOC_CORPUS, FIRM_PAGES.format("doc_corpus")) + """SELECT word, 32 AS dim

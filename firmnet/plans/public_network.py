@@ -6,12 +6,14 @@ from dataclasses import dataclass
 
 from pyspark.ml.feature import Word2VecModel
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from firmnet.operators.corpus import corpus_coverage, firm_pages
 from firmnet.operators.encoder import encode, fit_encoder
 from firmnet.operators.master import training_set
-from firmnet.operators.peers import lr_input, public_peers
+from firmnet.operators.peers import lr_input, public_peers, public_vectors
 from firmnet.operators.rank import hash_sample, top_fraction
+from firmnet.operators.similarity import top_fraction_of_pairs
 from firmnet.operators.regression import r2_report
 from firmnet.params import Params
 from firmnet.plans.outputs import Outputs
@@ -30,10 +32,11 @@ class PublicNetwork:
 
 def build_public_network(params: Params, corpus: DataFrame, private: DataFrame, public: DataFrame,
                          seed: int = 0, partitions: int = 16, folder: str | None = None,
-                         if_exists: str = "skip") -> PublicNetwork:
+                         if_exists: str = "skip", store_all_peers: bool = True) -> PublicNetwork:
     """``private`` and ``public`` are the company lists of the year; ``public`` carries ids and metrics.
 
-    With a ``folder``, steps whose output is there are not run again.
+    With a ``folder``, steps whose output is there are not run again. Without ``store_all_peers`` only
+    the top pairs are ever written, which gives the same report; ``peers`` then holds those.
     """
     out = Outputs(corpus.sparkSession, folder, if_exists)
     wanted = out.table("pre_training_tags", lambda: training_set(
@@ -44,8 +47,15 @@ def build_public_network(params: Params, corpus: DataFrame, private: DataFrame,
     model = out.model("model", lambda: fit_encoder(text, params.dim, params.min_count, params.window, params.epochs,
                                                    partitions, seed))
     vectors = out.table("vectors", lambda: encode(model, text))
-    peers = out.table("public_peers", lambda: public_peers(vectors, public, params.public_top))
-    kept = out.table("top_public_peers", lambda: top_fraction(peers, public.count(), params.top_fraction))
-    regression = out.table("regression_input", lambda: lr_input(peers, kept, public))
+    if store_all_peers or params.public_top is not None:
+        peers = out.table("public_peers", lambda: public_peers(vectors, public, params.public_top))
+        kept = out.table("top_public_peers", lambda: top_fraction(peers, public.count(), params.top_fraction))
+        focal = peers
+    else:
+        paired = out.table("public_vectors", lambda: public_vectors(vectors, public))
+        kept = peers = out.table("top_public_peers", lambda: top_fraction_of_pairs(
+            paired, public.count(), params.top_fraction))
+        focal = paired.select(F.col("firm_id").alias("focal_firmid"))  # every one of them has a pair
+    regression = out.table("regression_input", lambda: lr_input(focal, kept, public))
     report = r2_report(regression, f"public_peers_file_{params.year}_LR.csv")
     return PublicNetwork(model, trained, without_text, vectors, peers, regression, report)

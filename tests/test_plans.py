@@ -39,6 +39,9 @@ def test_networks(spark, world):
     report = net.report.first()
     assert report["no_of_docs"] == "24" and report["RSQ_profit_asset"] > 0.8
 
+    lean = build_public_network(params, corpus, private, public, partitions=1, store_all_peers=False)
+    assert lean.peers.count() == int(24 * 23 * 0.2) and lean.regression.count() == net.regression.count()
+
     other = build_private_network(params, net.model, net.vectors, corpus, private, firm)
     assert other.vectors.count() == 35 or other.vectors.count() == 36   # firm59 has few words unless it was sampled
     scores = other.peers
