@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from firmnet.schemas import METRICS
+from firmnet.schemas import METRICS, REPORT_LABELS
 
 _FLAT = 1e-12  # relative size below which a variance or determinant counts as zero
 
@@ -79,8 +79,6 @@ def r2_report(df: DataFrame, input_name: str) -> DataFrame:
         name.alias("input_file_name"),
         F.date_format(F.current_timestamp(), "EEE MMM d HH:mm:ss yyyy").alias("date_run"),
         similarity_label(name).alias("similarity"),
-        F.lit("WTNIC").alias("type"),
-        F.lit("1-25%").alias("pruned_words_cutoff"),
-        F.lit("98%").alias("WTNIC_Score_Cutoff"),
+        *(F.lit(value).alias(key) for key, value in REPORT_LABELS.items()),
         "RSQ_average", "RSQ_stock_return", "RSQ_profit_sales", "RSQ_profit_asset", "RSQ_valuation",
     )

@@ -573,6 +573,17 @@ def a13b(spark, sf_dir):
     return _overlap(spark, sf_dir, "all_pairs")
 
 
+@query("a13_pairs_with_both_codes")
+def a13c(spark, sf_dir):
+    coded = materialize(industry.with_pair_codes(_peers(spark, sf_dir), st.firm(spark, sf_dir)), "coded")
+    total, required = industry.entity_totals(_codes(spark, sf_dir))
+    found = {
+        fraction: industry.pairs_with_both_codes(coded, industry.pair_budgets(total, required, fraction))
+        for fraction in (TOP_FRACTION, NARROW)
+    }
+    return spark.createDataFrame(list(found.items()), "fraction double, pairs bigint")
+
+
 def _lr_input(spark, sf_dir, fraction=TOP_FRACTION) -> DataFrame:
     public, every, kept = _evaluation(spark, sf_dir, fraction)
     return peers.lr_input(every, kept, public)

@@ -157,6 +157,14 @@ FROM budgets b LEFT JOIN (
   SELECT digits, count(*) FILTER (hit) AS matches FROM events WHERE place <= budget GROUP BY 1) m USING (digits)"""
 
 
+def _both_codes(fraction: str) -> str:
+    return f"""SELECT CAST({fraction} AS DOUBLE) AS fraction, count(*) FILTER (NOT missing AND ahead < high) AS pairs
+FROM (SELECT missing, sum(CAST(missing AS INTEGER)) OVER (ORDER BY wtnic_score DESC, focal_firmid, rival_firmid) AS ahead
+      FROM coded),
+     (SELECT max(least(CAST(floor((t * (t - 1)) * CAST({fraction} AS DOUBLE)) AS BIGINT), required)) AS high
+      FROM required, (SELECT count(*) AS t FROM firm))"""
+
+
 _BAG = _with(CORPUS, FIRM_PAGES.format("corpus")) + """, placed AS (
   SELECT *, row_number() OVER (PARTITION BY company ORDER BY year, level, page) - 1 AS seq FROM firm_pages)
 SELECT company, seq // 1000 AS segment, CAST(sum(len(words)) AS INTEGER) AS n_words,
@@ -299,6 +307,8 @@ ORACLE_SQL: dict[str, str] = {
         UNION ALL SELECT 'regression', count(DISTINCT focal_firmid) FROM lr""",
     "a13_naics_overlap_reference": _overlap("reference"),
     "a13_naics_overlap_all_pairs": _overlap("all_pairs"),
+    "a13_pairs_with_both_codes": _with(VECTORS, FIRM, SCORES, PEERS, CODED, FREQUENCY, REQUIRED)
+        + f"{_both_codes('0.02')} UNION ALL {_both_codes('0.001')}",
     "a14_r_squared": LR_INPUT + f"""SELECT count(DISTINCT focal_firmid) AS no_of_docs,
         round({_r2('stock_return')}, 6) AS "RSQ_stock_return", round({_r2('profit_sales')}, 6) AS "RSQ_profit_sales",
         round({_r2('profit_assets')}, 6) AS "RSQ_profit_asset", round({_r2('valuation')}, 6) AS "RSQ_valuation" FROM lr""",

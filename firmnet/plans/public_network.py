@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from dataclasses import dataclass
 
 from pyspark.ml.feature import Word2VecModel
@@ -39,8 +40,11 @@ def build_public_network(params: Params, corpus: DataFrame, private: DataFrame,
     the top pairs are ever written, which gives the same report; ``peers`` then holds those.
     """
     out = Outputs(corpus.sparkSession, folder, if_exists)
-    wanted = out.table("pre_training_tags", lambda: training_set(
-        hash_sample(private, "company", params.sample_size, str(seed)), public))
+    sample = out.table("training_sample", lambda: hash_sample(private, "company", params.sample_size, str(seed)))
+    shortfall = params.sample_size - sample.count()
+    if shortfall > 0:
+        warnings.warn(f"the private firms are {shortfall} fewer than the sample asked for; all were taken")
+    wanted = out.table("pre_training_tags", lambda: training_set(sample, public))
     pages = firm_pages(corpus, params.year, params.look_back, params.max_level)
     text = out.table("training_text", lambda: pages.join(wanted, "company", "left_semi"))
     trained, without_text = corpus_coverage(wanted, text)

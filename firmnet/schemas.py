@@ -39,6 +39,9 @@ LR_INPUT = _struct(
 METRICS = ("profit_assets", "profit_sales", "stock_return", "valuation")
 DIGITS = (2, 3, 4, 5, 6)
 
+# Constant descriptors of a regression report.
+REPORT_LABELS = {"type": "WTNIC", "pruned_words_cutoff": "1-25%", "WTNIC_Score_Cutoff": "98%"}
+
 # Positions of the fields used in the public-firm file.
 PUBLIC_RAW_POSITIONS = {
     "gvkey": 1,

@@ -30,24 +30,29 @@ def list_archives(spark: SparkSession, glob: str) -> DataFrame:
     return files.where(F.col("path").rlike(r"\.w?arc\.gz$"))
 
 
-def _splits(files: DataFrame, split_bytes: int) -> DataFrame:
+def _splits(files: DataFrame, split_bytes: int | None) -> DataFrame:
+    if split_bytes is None:
+        return files.select("path", F.lit(0).cast("bigint").alias("start"), F.greatest("length", F.lit(1)).alias("stop"))
     starts = F.sequence(F.lit(0).cast("bigint"), F.greatest(F.col("length") - 1, F.lit(0)), F.lit(split_bytes))
     ranges = files.select("path", F.explode(starts).alias("start"))
     return ranges.select("path", "start", (F.col("start") + split_bytes).alias("stop"))
 
 
-def read_archives(spark: SparkSession, glob: str, split_bytes: int = SPLIT_BYTES) -> DataFrame:
+def read_archives(spark: SparkSession, glob: str, split_bytes: int | None = SPLIT_BYTES) -> DataFrame:
     """All records of the archives: ``archive_file, rec_type, record_date, url, html``.
 
-    ``html`` is the decoded page of a response, NULL otherwise. A damaged record ends its range and
-    shows up as ``rec_type = 'unreadable'``, with the reason in ``html``.
+    ``html`` is the decoded page of a response, NULL otherwise. A damaged record
+    shows up as ``rec_type = 'unreadable'``, with the reason in ``html``; reading goes on behind it.
+
+    A range finds its first record by the opening bytes of a gzip member and of the record inside. For
+    crawls that downloaded web archives themselves, ``split_bytes=None`` reads each file in one task.
     """
     ranges = _splits(list_archives(spark, glob), split_bytes)
     tasks = max(1, min(ranges.count(), 100_000))
     return ranges.repartition(tasks).mapInArrow(_read_ranges, WEB_RECORD)
 
 
-def stream_archives(spark: SparkSession, directory: str, split_bytes: int = SPLIT_BYTES,
+def stream_archives(spark: SparkSession, directory: str, split_bytes: int | None = SPLIT_BYTES,
                     max_files: int | None = None) -> DataFrame:
     """The same rows as a stream: the query's checkpoint remembers which archives are done."""
     reader = spark.readStream.format("binaryFile").schema(
@@ -114,8 +119,8 @@ def _read_ranges(batches):
 def _records_of_range(path, start, stop):
     import pyarrow.fs as pafs
 
-    if "://" in path or not path.startswith("file:"):
-        fs, inner = pafs.FileSystem.from_uri(path)
+    if not path.startswith("file:"):
+        fs, inner = pafs.FileSystem.from_uri(path.replace("s3a://", "s3://", 1))
     else:
         from urllib.parse import unquote
 

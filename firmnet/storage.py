@@ -26,8 +26,22 @@ def scratch_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+_MADE: list[str] = []
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
-    return f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
+    _MADE.append(f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}")
+    return _MADE[-1]
+
+
+def drop_scratch(spark: SparkSession) -> int:
+    """Delete the scratch tables this process made, once no result built on them is needed any more."""
+    conf = spark._jsparkSession.sessionState().newHadoopConf()
+    dropped = 0
+    while _MADE:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_MADE.pop())
+        dropped += bool(path.getFileSystem(conf).delete(path, True))
+    return dropped
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:

@@ -48,7 +48,7 @@ def test_reads_both_containers_whatever_the_range_size(spark, folder):
     whole = {tuple(r) for r in archives.read_archives(spark, str(folder)).collect()}
     count = archives.read_archives(spark, str(folder)).count()
     assert count == len(whole) == 43 + 3 + 3
-    for size in (700, 4096, 30_000):
+    for size in (None, 700, 4096, 30_000):
         rows = archives.read_archives(spark, str(folder), split_bytes=size).collect()
         assert len(rows) == count and {tuple(r) for r in rows} == whole
 

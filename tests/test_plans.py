@@ -54,8 +54,11 @@ def test_finished_steps_are_reused(spark, world, tmp_path):
     corpus, firm, public = world
     params = Params(2000, dim=4, epochs=1, sample_size=5)
     private = firm.select("company").subtract(public.select("company"))
-    first = build_public_network(params, corpus, private, public, folder=str(tmp_path))
+    few = private.limit(3)
+    with pytest.warns(UserWarning, match="2 fewer"):
+        first = build_public_network(params, corpus, few, public, folder=str(tmp_path))
     stamps = {p: p.stat().st_mtime_ns for p in tmp_path.glob("*/_SUCCESS")}
-    again = build_public_network(params, corpus, private, public, folder=str(tmp_path))
-    assert len(stamps) == 6 and stamps == {p: p.stat().st_mtime_ns for p in tmp_path.glob("*/_SUCCESS")}
+    with pytest.warns(UserWarning):
+        again = build_public_network(params, corpus, few, public, folder=str(tmp_path))
+    assert len(stamps) == 7 and stamps == {p: p.stat().st_mtime_ns for p in tmp_path.glob("*/_SUCCESS")}
     assert sorted(first.peers.collect()) == sorted(again.peers.collect())

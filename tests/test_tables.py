@@ -5,6 +5,7 @@ import pytest
 from firmnet.params import Params
 from firmnet.schemas import PEER
 from firmnet.sources import stores, tables
+from firmnet import storage
 from firmnet.storage import reuse_or_write, scratch_root, table_exists
 
 
@@ -111,3 +112,12 @@ def test_params():
     for bad in (dict(year=1995), dict(year=2000, top_fraction=2.0), dict(year=2000, min_words=-1)):
         with pytest.raises(ValueError):
             Params(**bad)
+
+
+def test_only_own_scratch_tables_are_dropped(spark, monkeypatch):
+    monkeypatch.setattr(storage, "_MADE", [])
+    other = f"{scratch_root(spark)}/kept-{id(spark)}"
+    spark.range(2).write.mode("overwrite").parquet(other)
+    path = storage.materialize(spark.range(3), "x").inputFiles()[0].rsplit("/", 1)[0]
+    assert table_exists(spark, path) and storage.drop_scratch(spark) == 1
+    assert not table_exists(spark, path) and table_exists(spark, other)
