@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from firmnet.functions.text import normalise_words
+from firmnet.functions.urls import with_registrable_domain
 from firmnet.operators.rank import distributed_rank
 
 PAGES_PER_SEGMENT = 1000
@@ -30,6 +31,15 @@ def firm_pages(corpus: DataFrame, year: int, span: int = 4, max_level: int = 3)
     return kept.withColumn("words", normalise_words(F.col("words")))
 
 
+def firm_text(companies: DataFrame, pages: DataFrame) -> DataFrame:
+    """Pages of each listed company. Pages are stored by registrable domain, and companies may be keyed
+    by domain and path, so several of them can share the pages of one domain."""
+    listed = companies.select("company").where(F.col("company") != "").distinct()
+    keyed = with_registrable_domain(listed.withColumnRenamed("company", "_company"), "_company", "company")
+    shared = pages.join(keyed, "company").drop("company")
+    return shared.withColumnRenamed("_company", "company").select(*pages.columns)
+
+
 def bag_of_words(pages: DataFrame, pages_per_segment: int = PAGES_PER_SEGMENT) -> DataFrame:
     """(company, segment, words): each firm's words in order of year, level and page.
 

@@ -9,60 +9,54 @@ from pyspark.sql import functions as F
 
 from firmnet.schemas import METRICS, REPORT_LABELS
 
-_FLAT = 1e-12  # relative size below which a variance or determinant counts as zero
+_FLAT = "1e-12D"  # relative size below which a variance or determinant counts as zero
 
 
-def _moments(y: str, x: str, flag: str) -> dict[str, Column]:
-    cols = {"y": F.col(y).cast("double"), "x": F.col(x).cast("double"), "m": F.col(flag).cast("double")}
-    complete = cols["y"].isNotNull() & cols["x"].isNotNull() & cols["m"].isNotNull()
-    cols = {k: F.when(complete, c) for k, c in cols.items()}
-    pairs = ("yy", "xx", "mm", "xy", "my", "xm")
-    out = {p: F.var_pop(cols[p[0]]) if p[0] == p[1] else F.covar_pop(cols[p[0]], cols[p[1]]) for p in pairs}
-    return out | {"n": F.count(cols["y"]), "ay": F.max(F.abs(cols["y"])), "ax": F.max(F.abs(cols["x"]))}
+def _moments(metric: str, flag: str) -> list[Column]:
+    """Variances and covariances of target y, predictor x and flag m over the rows that have all three."""
+    of = {"y": f"CAST(focal_{metric} AS DOUBLE)", "x": f"CAST(rival_{metric} AS DOUBLE)", "m": f"CAST({flag} AS DOUBLE)"}
+    complete = f"FILTER (WHERE {' AND '.join(f'{c} IS NOT NULL' for c in of.values())})"
+    aggs = {a + a: f"var_pop({of[a]})" for a in "yxm"}
+    aggs |= {a + b: f"covar_pop({of[a]}, {of[b]})" for a, b in ("xy", "my", "xm")}
+    aggs |= {"n": "count(*)", "ay": f"max(abs({of['y']}))", "ax": f"max(abs({of['x']}))"}
+    return [F.expr(f"{sql} {complete}").alias(f"{metric}_{name}") for name, sql in aggs.items()]
 
 
-def _r2(s: dict[str, Column]) -> Column:
+def _r2(metric: str) -> Column:
     """Least squares with intercept, written out for two predictors.
 
     A predictor that does not vary, or that repeats the other one, adds nothing and is left out. A
     target that does not vary is fitted exactly by the intercept: 1.
     """
-    flat_y = s["yy"] <= _FLAT * s["ay"] * s["ay"]
-    flat_x = s["xx"] <= _FLAT * s["ax"] * s["ax"]
-    flat_m = s["mm"] <= _FLAT
-    det = s["xx"] * s["mm"] - s["xm"] * s["xm"]
-    only_x = F.try_divide(s["xy"] * s["xy"], s["xx"] * s["yy"])
-    only_m = F.try_divide(s["my"] * s["my"], s["mm"] * s["yy"])
-    fitted = s["xy"] * s["xy"] * s["mm"] - F.lit(2.0) * s["xy"] * s["my"] * s["xm"] + s["my"] * s["my"] * s["xx"]
-    both = F.try_divide(fitted, det * s["yy"])
-    return (
-        F.when(s["n"] == 0, F.lit(None).cast("double"))
-        .when(flat_y, 1.0)
-        .when(flat_x & flat_m, 0.0)
-        .when(flat_m, only_x)
-        .when(flat_x, only_m)
-        .when(det <= _FLAT * s["xx"] * s["mm"], only_x)
-        .otherwise(both)
-    )
+    yy, xx, mm, xy, my, xm, n, ay, ax = (
+        f"{metric}_{name}" for name in ("yy", "xx", "mm", "xy", "my", "xm", "n", "ay", "ax"))
+    flat_x, flat_m = f"{xx} <= {_FLAT} * {ax} * {ax}", f"{mm} <= {_FLAT}"
+    det = f"({xx} * {mm} - {xm} * {xm})"
+    only_x = f"try_divide({xy} * {xy}, {xx} * {yy})"
+    only_m = f"try_divide({my} * {my}, {mm} * {yy})"
+    fitted = f"({xy} * {xy} * {mm} - 2D * {xy} * {my} * {xm} + {my} * {my} * {xx})"
+    return F.expr(f"""CASE WHEN {n} = 0 THEN CAST(NULL AS DOUBLE)
+                           WHEN {yy} <= {_FLAT} * {ay} * {ay} THEN 1D
+                           WHEN {flat_x} AND {flat_m} THEN 0D
+                           WHEN {flat_m} THEN {only_x}
+                           WHEN {flat_x} THEN {only_m}
+                           WHEN {det} <= {_FLAT} * {xx} * {mm} THEN {only_x}
+                           ELSE try_divide({fitted}, {det} * {yy}) END""")
 
 
 def r_squared(df: DataFrame, by: Sequence[str] = (), flag: str = "monopolist") -> DataFrame:
     """One row per ``by`` group with ``no_of_docs`` and the R² of the four metrics and of profits on average."""
-    aggs = [F.countDistinct("focal_firmid").alias("no_of_docs")]
-    for m in METRICS:
-        aggs += [c.alias(f"_{m}_{k}") for k, c in _moments(f"focal_{m}", f"rival_{m}", flag).items()]
-    stats = df.groupBy(*by).agg(*aggs)
-    keys = ("yy", "xx", "mm", "xy", "my", "xm", "n", "ay", "ax")
-    score = {m: _r2({k: F.col(f"_{m}_{k}") for k in keys}) for m in METRICS}
-    scored = stats.select(*by, "no_of_docs", *(score[m].alias(f"_{m}") for m in METRICS))
+    aggs = [agg for m in METRICS for agg in _moments(m, flag)]
+    stats = df.groupBy(*by).agg(F.countDistinct("focal_firmid").alias("no_of_docs"), *aggs)
+    scored = stats.select(*by, "no_of_docs", *(_r2(m).alias(m) for m in METRICS))
     return scored.select(
         *by,
         "no_of_docs",
-        ((F.col("_profit_sales") + F.col("_profit_assets")) / 2).alias("RSQ_average"),
-        F.col("_stock_return").alias("RSQ_stock_return"),
-        F.col("_profit_sales").alias("RSQ_profit_sales"),
-        F.col("_profit_assets").alias("RSQ_profit_asset"),
-        F.col("_valuation").alias("RSQ_valuation"),
+        ((F.col("profit_sales") + F.col("profit_assets")) / 2).alias("RSQ_average"),
+        F.col("stock_return").alias("RSQ_stock_return"),
+        F.col("profit_sales").alias("RSQ_profit_sales"),
+        F.col("profit_assets").alias("RSQ_profit_asset"),
+        F.col("valuation").alias("RSQ_valuation"),
     )
 
 

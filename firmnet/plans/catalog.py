@@ -486,6 +486,14 @@ def a1(spark, sf_dir):
     return corpus.bag_of_words(pages).select("company", "segment", F.size("words").alias("n_words"), _text())
 
 
+@query("a1_text_of_companies_by_domain")
+def a1b(spark, sf_dir):
+    companies = master.latest_public_rows(st.public_raw(spark, sf_dir))
+    pages = corpus.firm_pages(ingest.pages_of_records(st.records(spark, sf_dir)), YEAR)
+    return corpus.firm_text(companies, pages).groupBy("company").agg(
+        F.count("*").alias("pages"), F.sum(F.size("words")).alias("n_words"))
+
+
 @query("a2_companies")
 def a2(spark, sf_dir):
     return master.companies(st.url_id(spark, sf_dir)).select(

@@ -284,6 +284,12 @@ ORACLE_SQL: dict[str, str] = {
     "j14_all_pairs_cosine": _with(VECTORS, SCORES) + "SELECT * FROM scores",
     "j14_cosine_above_threshold": _with(VECTORS, SCORES, PEERS) + "SELECT * FROM peers",
     "a1_bag_of_words": _BAG,
+    "a1_text_of_companies_by_domain": _with(RECORDS, PAGES, PUBLIC_RAW) + f""", listed AS (
+        SELECT DISTINCT {DOMAIN.format('url')} AS domain, {DOMAIN.format('url')} || replace({PATH.format('url')}, '/', '_') AS company
+        FROM public_raw)
+        SELECT l.company, count(*) AS pages, CAST(sum(len(words)) AS BIGINT) AS n_words
+        FROM page_rows p JOIN listed l ON p.company = l.domain
+        WHERE p.year BETWEEN 2012 AND 2016 AND p.level <= 3 GROUP BY 1""",
     "a2_companies": _with(URL_ID) + """SELECT company, arg_min(master_id, line_no) AS master_id,
         array_to_string(list_sort(list(DISTINCT year)), ',') AS years, count(*) AS n_lines FROM url_id GROUP BY 1""",
     "a3_year_companies": _with(URL_ID) + "SELECT DISTINCT CAST(year AS INTEGER) AS year, company FROM url_id",

@@ -9,7 +9,7 @@ from pyspark.ml.feature import Word2VecModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from firmnet.operators.corpus import corpus_coverage, firm_pages
+from firmnet.operators.corpus import corpus_coverage, firm_pages, firm_text
 from firmnet.operators.encoder import encode, fit_encoder
 from firmnet.operators.master import training_set
 from firmnet.operators.peers import lr_input, public_peers, public_vectors
@@ -46,7 +46,7 @@ def build_public_network(params: Params, corpus: DataFrame, private: DataFrame,
         warnings.warn(f"the private firms are {shortfall} fewer than the sample asked for; all were taken")
     wanted = out.table("pre_training_tags", lambda: training_set(sample, public))
     pages = firm_pages(corpus, params.year, params.look_back, params.max_level)
-    text = out.table("training_text", lambda: pages.join(wanted, "company", "left_semi"))
+    text = out.table("training_text", lambda: firm_text(wanted, pages))
     trained, without_text = corpus_coverage(wanted, text)
     model = out.model("model", lambda: fit_encoder(text, params.dim, params.min_count, params.window, params.epochs,
                                                    partitions, seed))

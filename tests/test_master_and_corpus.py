@@ -113,6 +113,16 @@ def test_vocabulary_and_coverage(spark, pages):
     assert {r[0] for r in covered.collect()} == {"f"} and {r[0] for r in missing.collect()} == {"e", "zz"}
 
 
+def test_companies_of_one_domain_share_its_pages(spark):
+    pages = spark.createDataFrame([("a.com", 2000, 0, "p", ["home"]), ("a.com", 2000, 1, "q", ["deep"]), ("b.com", 2000, 0, "p", ["x"])],
+                                  "company string, year int, level int, page string, words array<string>")
+    listed = spark.createDataFrame([("a.com",), ("a.com_x",), ("a.com_x",), ("c.com",), ("",)], "company string")
+    got = corpus.firm_text(listed, pages)
+    assert got.columns == pages.columns
+    assert sorted((r["company"], r["page"]) for r in got.collect()) == [
+        ("a.com", "p"), ("a.com", "q"), ("a.com_x", "p"), ("a.com_x", "q")]
+
+
 def test_run_metrics(spark):
     df = spark.createDataFrame([("a", "response", "u", ["x", "y"]), ("a", "response", "u", ["x"]), ("a", "request", "u", ["q"]),
                                 ("b", "request", "u", [])], "archive_file string, rec_type string, url string, words array<string>")
