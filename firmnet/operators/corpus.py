@@ -28,7 +28,8 @@ def shallow(df: DataFrame, max_level: int = 3) -> DataFrame:
 def firm_pages(corpus: DataFrame, year: int, span: int = 4, max_level: int = 3) -> DataFrame:
     """Pages that make up the firms' texts of a year, words lower-cased."""
     kept = shallow(look_back(corpus, year, span), max_level).where(F.col("company") != "")
-    return kept.withColumn("words", normalise_words(F.col("words")))
+    none = F.array().cast("array<string>")
+    return kept.withColumn("words", F.coalesce(normalise_words(F.col("words")), none))
 
 
 def firm_text(companies: DataFrame, pages: DataFrame) -> DataFrame:

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from firmnet.functions.text import page_words
 from firmnet.functions.urls import crawl_year, url_level, with_registrable_domain
-from firmnet.sources.archives import read_archives, responses, unseen
+from firmnet.sources.archives import archive_name, list_archives, pending, read_files, responses
 from firmnet.sources.stores import write_corpus
+from firmnet.storage import materialize, table_exists
 
 
 def pages_of_records(records: DataFrame, sep: str = "") -> DataFrame:
@@ -21,12 +22,20 @@ def pages_of_records(records: DataFrame, sep: str = "") -> DataFrame:
     )
 
 
-def ingest_archives(spark: SparkSession, glob: str, corpus: str, ledger: DataFrame | None = None,
+def ingest_archives(spark: SparkSession, glob: str, corpus: str, ledger: str | None = None,
                     dedup_within: bool = False) -> None:
-    """Batch form: read, drop what the ledger lists, append the words of each page."""
-    records = responses(read_archives(spark, glob))
-    if ledger is not None:
-        records = unseen(records, ledger, dedup_within)
-    elif dedup_within:
+    """Batch form: append the words of each page of the archives not yet in the ledger, then note them there.
+
+    The ledger is written after the corpus. Where a run may die between the two, use the stream in
+    ``firmnet.streaming.ingest``, whose checkpoint covers both.
+    """
+    files = list_archives(spark, glob)
+    if ledger is not None and table_exists(spark, ledger):
+        files = pending(files, spark.read.parquet(ledger))
+    files = materialize(files, "archives")  # the ledger has to name the files that were read
+    records = responses(read_files(files))
+    if dedup_within:
         records = records.dropDuplicates(["archive_file", "url"])
     write_corpus(pages_of_records(records), corpus)
+    if ledger is not None:
+        files.select(archive_name().alias("archive_file")).write.parquet(ledger, mode="append")

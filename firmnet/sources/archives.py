@@ -47,11 +47,26 @@ def read_archives(spark: SparkSession, glob: str, split_bytes: int | None = SPLI
     A range finds its first record by the opening bytes of a gzip member and of the record inside. For
     crawls that downloaded web archives themselves, ``split_bytes=None`` reads each file in one task.
     """
-    ranges = _splits(list_archives(spark, glob), split_bytes)
+    return read_files(list_archives(spark, glob), split_bytes)
+
+
+def read_files(files: DataFrame, split_bytes: int | None = SPLIT_BYTES) -> DataFrame:
+    """Records of listed files (path, length)."""
+    ranges = _splits(files, split_bytes)
     tasks = max(1, min(ranges.count(), 100_000))
     return ranges.repartition(tasks).mapInArrow(_read_ranges, WEB_RECORD)
 
 
+def archive_name(path: str = "path"):
+    return F.element_at(F.split(path, "/"), -1)
+
+
+def pending(files: DataFrame, done: DataFrame) -> DataFrame:
+    """Listed files whose archive is not among the ``archive_file`` names done before; none is opened."""
+    named = files.withColumn("archive_file", archive_name())
+    return named.join(done.select("archive_file"), "archive_file", "left_anti").select("path", "length")
+
+
 def stream_archives(spark: SparkSession, directory: str, split_bytes: int | None = SPLIT_BYTES,
                     max_files: int | None = None) -> DataFrame:
     """The same rows as a stream: the query's checkpoint remembers which archives are done."""

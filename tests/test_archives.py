@@ -109,15 +109,17 @@ def test_unseen_keeps_repeats_inside_an_archive_by_default(spark):
     assert archives.unseen(r, ledger, dedup_within=True).count() == 2
 
 
-def test_batch_ingest_appends(spark, folder, tmp_path):
-    out = str(tmp_path / "corpus")
-    ingest_archives(spark, f"{folder}/old.arc.gz", out)
-    ledger = archives.responses(archives.read_archives(spark, f"{folder}/old.arc.gz")).select("archive_file", "url")
-    ingest_archives(spark, f"{folder}/*.arc.gz", out, ledger)
+def test_batch_ingest_skips_archives_done_before(spark, folder, tmp_path):
+    out, ledger = str(tmp_path / "corpus"), str(tmp_path / "ledger")
+    ingest_archives(spark, f"{folder}/old.arc.gz", out, ledger)
     assert stores.read_corpus(spark, out).count() == 2
-    ingest_archives(spark, f"{folder}/single.warc.gz", out)
-    assert stores.read_corpus(spark, out).count() == 5
-    assert stores.read_corpus(spark, out, 2004).count() == 5 and stores.read_corpus(spark, out, 2003, max_level=1).count() == 4
+    for _ in range(2):
+        ingest_archives(spark, f"{folder}/[os]*arc.gz", out, ledger)
+        assert stores.read_corpus(spark, out).count() == 5
+    assert stores.read_corpus(spark, out, 2004).count() == 5
+    assert stores.read_corpus(spark, out, 2003, max_level=1).count() == 4
+    ingest_archives(spark, f"{folder}/old.arc.gz", out)
+    assert stores.read_corpus(spark, out).count() == 7
 
 
 def test_incremental_ingest_of_archives(spark, tmp_path):

@@ -75,7 +75,7 @@ def test_training_set(spark):
 PAGES = [("f", 2004, 1, "p9", ["Late"]), ("f", 2000, 2, "p2", ["Deep", "ONE"]), ("f", 2000, 0, "p1", ["Home"]),
          ("f", 2000, 2, "p1", []), ("f", 1999, 0, "p0", ["old"]), ("f", 2005, 0, "p0", ["new"]),
          ("f", 2000, 4, "p0", ["deeper"]), ("g", 2001, 1, "p", ["x"] * 99), ("h", 2001, 1, "p", ["x"] * 100),
-         ("e", 2001, 1, "p", []), ("", 2001, 1, "p", ["blank"])]
+         ("e", 2001, 1, "p", []), ("e", 2001, 2, "p", None), ("", 2001, 1, "p", ["blank"])]
 
 
 @pytest.fixture(scope="module")
