@@ -49,10 +49,10 @@ def flat_key(url: Column) -> Column:
 @lru_cache(maxsize=1)
 def _suffix_rules() -> tuple[tuple[str, int], ...]:
     """(suffix, kinds) of the public-suffix list inside Spark's own HTTP client jar."""
-    home = os.environ.get("SPARK_HOME") or os.path.dirname(pyspark.__file__)
-    jars = sorted(glob.glob(os.path.join(home, "jars", "httpclient-*.jar")))
+    homes = [h for h in (os.environ.get("SPARK_HOME"), os.path.dirname(pyspark.__file__)) if h]
+    jars = [jar for home in homes for jar in sorted(glob.glob(os.path.join(home, "jars", "httpclient-*.jar")))]
     if not jars:
-        raise FileNotFoundError(f"no httpclient jar with the public-suffix list under {home}/jars")
+        raise FileNotFoundError(f"no httpclient jar with the public-suffix list below {homes}")
     with zipfile.ZipFile(jars[-1]) as jar:
         lines = jar.read(_SUFFIX_RESOURCE).decode("utf-8").splitlines()
     kinds: dict[str, int] = {}

@@ -14,5 +14,4 @@ def sized(dimension: DataFrame, max_rows: int | None = None) -> DataFrame:
     A larger one is left to Spark: a shuffle join, whose hot keys adaptive execution splits.
     """
     limit = BROADCAST_ROWS if max_rows is None else max_rows
-    # Reading one row beyond the limit is enough to know.
-    return F.broadcast(dimension) if dimension.limit(limit + 1).count() <= limit else dimension
+    return F.broadcast(dimension) if dimension.count() <= limit else dimension

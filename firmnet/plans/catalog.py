@@ -410,8 +410,9 @@ def j6(spark, sf_dir):
 
 
 def _listed_public(spark, sf_dir) -> DataFrame:
-    """Public firms whose firm id differs from the vector's key."""
-    return st.public(spark, sf_dir).where(F.col("firm_id") % 3 != 0).withColumn("firm_id", F.col("firm_id") + 10_000_000)
+    """Public firms whose firm id differs from the vector's key, stored."""
+    listed = st.public(spark, sf_dir).where(F.col("firm_id") % 3 != 0)
+    return materialize(listed.withColumn("firm_id", F.col("firm_id") + 10_000_000), "listed")
 
 
 @query("j7_public_pairs")

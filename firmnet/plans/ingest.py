@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from firmnet.functions.text import page_words
 from firmnet.functions.urls import crawl_year, url_level, with_registrable_domain
-from firmnet.sources.archives import archive_name, list_archives, pending, read_files, responses
+from firmnet.sources.archives import (
+    archive_name, list_archives, pending, read_files, read_manifest, resolve_manifest, responses,
+)
 from firmnet.sources.stores import write_corpus
 from firmnet.storage import materialize, table_exists
 
@@ -23,13 +25,18 @@ def pages_of_records(records: DataFrame, sep: str = "") -> DataFrame:
 
 
 def ingest_archives(spark: SparkSession, glob: str, corpus: str, ledger: str | None = None,
-                    dedup_within: bool = False) -> None:
+                    dedup_within: bool = False, manifest: str | None = None) -> DataFrame | None:
     """Batch form: append the words of each page of the archives not yet in the ledger, then note them there.
 
+    With a ``manifest`` only the archives it names are read; its rows without a file are returned.
+
     The ledger is written after the corpus. Where a run may die between the two, use the stream in
     ``firmnet.streaming.ingest``, whose checkpoint covers both.
     """
-    files = list_archives(spark, glob)
+    files, missing = list_archives(spark, glob), None
+    if manifest is not None:
+        found, missing = resolve_manifest(read_manifest(spark, manifest), files)
+        files = found.select("path", "length").distinct()
     if ledger is not None and table_exists(spark, ledger):
         files = pending(files, spark.read.parquet(ledger))
     files = materialize(files, "archives")  # the ledger has to name the files that were read
@@ -39,3 +46,4 @@ def ingest_archives(spark: SparkSession, glob: str, corpus: str, ledger: str | N
     write_corpus(pages_of_records(records), corpus)
     if ledger is not None:
         files.select(archive_name().alias("archive_file")).write.parquet(ledger, mode="append")
+    return missing

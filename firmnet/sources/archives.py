@@ -102,11 +102,11 @@ def read_manifest(spark: SparkSession, path: str) -> DataFrame:
 
 
 def resolve_manifest(manifest: DataFrame, files: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Manifest rows of known containers that exist, and rows whose file is missing."""
-    where = F.regexp_replace(F.concat_ws("/", F.regexp_replace("dir", "/+$", ""), "file_name"), "^[a-z0-9]+:/*", "/")
-    wanted = manifest.withColumn("_path", where)
-    present = files.select(F.regexp_replace("path", "^[a-z0-9]+:/*", "/").alias("_path"))
-    found = wanted.join(present, "_path", "left_semi").where(F.col("container").isNotNull()).drop("_path")
+    """Manifest rows of known containers with their file's path and length, and rows whose file is missing."""
+    plain = lambda c: F.regexp_replace(c, "^[a-z0-9]+:/*", "/")
+    wanted = manifest.withColumn("_path", plain(F.concat_ws("/", F.regexp_replace("dir", "/+$", ""), "file_name")))
+    present = files.select(plain(F.col("path")).alias("_path"), "path", "length")
+    found = wanted.where(F.col("container").isNotNull()).join(present, "_path").drop("_path")
     return found, wanted.join(present, "_path", "left_anti").drop("_path")
 
 

@@ -99,6 +99,10 @@ def test_manifest(spark, folder, tmp_path):
     found, missing = archives.resolve_manifest(manifest, archives.list_archives(spark, str(folder)))
     assert {(r["file_name"], r["container"]) for r in found.collect()} == {("a.warc.gz", "warc"), ("old.arc.gz", "arc")}
     assert {r["file_name"] for r in missing.where("container is not null").collect()} == {"gone.warc.gz"}
+    out = str(tmp_path / "corpus")
+    absent = ingest_archives(spark, f"{folder}/old.arc.gz", out, manifest=str(tmp_path / "md5.txt"))
+    assert stores.read_corpus(spark, out).count() == 2
+    assert {"a.warc.gz", "gone.warc.gz"} <= {r["file_name"] for r in absent.collect()}
 
 
 def test_unseen_keeps_repeats_inside_an_archive_by_default(spark):
