@@ -1,0 +1,144 @@
+import random
+
+import numpy as np
+import pytest
+import xxhash
+
+from firmnet.llm import components, neighbours, simhash
+
+
+def plain_fingerprint(text):
+    words = [w for w in (text or "").encode().lower().replace(b"\r", b" ").split() if w]
+    shingles = [b" ".join(words[i:i + 3]) for i in range(max(1, len(words) - 2))] if words else []
+    bits = 0
+    for b in range(64):
+        if 2 * sum(xxhash.xxh64(s, seed=42).intdigest() >> b & 1 for s in shingles) > len(shingles):
+            bits |= 1 << b
+    return bits
+
+
+def plain_components(pairs, n):
+    up = list(range(n))
+
+    def find(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for a, b in pairs:
+        a, b = find(a), find(b)
+        up[max(a, b)] = min(a, b)
+    return [find(i) for i in range(n)]
+
+
+@pytest.mark.parametrize("text", ["", None, "one", "Two WORDS", "a b c d a b c", "é É x \t y\x0bz", "w " * 500, "x" * 5000])
+def test_fingerprint_is_the_majority_of_shingle_bits(text):
+    assert simhash.fingerprint(text) == plain_fingerprint(text)
+
+
+@pytest.mark.parametrize("run", [4096, 64])
+def test_links_join_all_fingerprints_within_three_bits(spark, run):
+    """Random values, a dense ball, and one long run with the same leading bits; also when runs are cut."""
+    draw = random.Random(5)
+    values = {draw.getrandbits(64) for _ in range(300)}
+    ball = draw.getrandbits(64)
+    values |= {ball ^ (1 << draw.randrange(64)) ^ (1 << draw.randrange(64)) for _ in range(300)}
+    values |= {(0xABCD << 48) | draw.getrandbits(14) for _ in range(300)} | {0, (1 << 64) - 1}
+    values = sorted(values)
+    near = [(i, j) for i in range(len(values)) for j in range(i) if (values[i] ^ values[j]).bit_count() <= 3]
+    want = plain_components(near, len(values))
+    signed = [v - (1 << 64) if v >> 63 else v for v in values]
+    df = spark.createDataFrame([(v,) for v in signed], "fp long")
+    edges = simhash.links(df, run=run)
+    got = edges.collect()
+    roots = {r["id"]: r["root"] for r in components.contract(edges).collect()}
+    number = {v: i for i, v in enumerate(signed)}
+    sets = {}
+    for v in signed:
+        sets.setdefault(roots.get(v, v), []).append(number[v])
+    assert sorted(map(sorted, sets.values())) == sorted(
+        sorted(i for i, w in enumerate(want) if w == k) for k in set(want))
+    assert len(got) < (4 if run == 4096 else 16) * len(values)  # spanning forests of runs and tiles, not all pairs
+
+
+def test_contract_paths_and_stars(spark):
+    path = [(i, i + 1) for i in range(40)]
+    star = [(100, k) for k in range(101, 160)]
+    rows = components.contract(spark.createDataFrame(path + star + [(7, 7)], "a long, b long")).collect()
+    by = {}
+    for r in rows:
+        by.setdefault(r["root"], set()).add(r["id"])
+    assert sorted(map(min, by.values())) == [0, 100] and sorted(map(len, by.values())) == [41, 60]
+    assert components.contract(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_near_duplicates_of_documents(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()
+    prints = [plain_fingerprint(r["text"]) for r in rows]
+    near = [(i, j) for i in range(len(rows)) for j in range(i) if (prints[i] ^ prints[j]).bit_count() <= 3]
+    groups = plain_components(near, len(rows))
+    least = {}
+    for r, g in zip(rows, groups):
+        least[g] = min(least.get(g, r["doc_id"]), r["doc_id"])
+    want = {(r["doc_id"], f"{p:016x}", least[g]) for r, p, g in zip(rows, prints, groups)}
+    got = simhash.near_duplicates(spark.createDataFrame(rows)).withColumn("f", simhash.hex_form("fp")).select("doc_id", "f", "component_id")
+    assert {tuple(r) for r in got.collect()} == want
+    kept = simhash.one_of_each(spark.createDataFrame(rows).withColumn("score", simhash.F.lit(None).cast("int")))
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(least.values())
+    assert kept.columns == ["doc_id", "text", "score"]
+
+
+def test_duplicates_with_nulls_ties_and_empty_tables(spark):
+    rows = [(5, "a b c d"), (3, "a b c d"), (3, "a b c d"), (None, "a b c d"), (None, "lonely words here now"), (9, None), (8, ""), (8, "  ")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(((r["doc_id"], r["component_id"]) for r in simhash.near_duplicates(df).collect()), key=str)
+    assert got == sorted([(5, 3), (3, 3), (3, 3), (None, 3), (None, None), (9, 8), (8, 8), (8, 8)], key=str)
+    kept = [(r["doc_id"], r["text"]) for r in simhash.one_of_each(df).collect()]
+    assert len(kept) == 3 and (3, "a b c d") in kept and (None, "lonely words here now") in kept
+    assert simhash.near_duplicates(df.limit(0)).count() == 0 and simhash.one_of_each(df.limit(0)).count() == 0
+
+
+def brute_neighbours(vectors, queries, k):
+    out = {}
+    for qid, q in queries:
+        q = np.array(q, float)
+        scored = []
+        for vid, v in vectors:
+            if vid != qid:
+                v = np.array(v, float)
+                scored.append((-float(v @ q / np.sqrt((v @ v) * (q @ q))), vid))
+        out[qid] = [(vid, -s) for s, vid in sorted(scored)[:k]]
+    return out
+
+
+def test_recall_and_exact_scores(spark):
+    df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    rows = [(r["vec_id"], r["embedding"]) for r in df.collect()]
+    want = brute_neighbours(rows, [r for r in rows if r[0] % 50 == 0], 5)
+    got = {}
+    for r in neighbours.neighbours(df, df.where("vec_id % 50 = 0")).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append((r["vec_id"], r["score"]))
+    assert got.keys() == want.keys() and all(len(v) == 5 for v in got.values())
+    recall = np.mean([len({a for a, _ in got[q]} & {a for a, _ in want[q]}) / 5 for q in want])
+    assert recall >= 0.9
+    exact = dict(rows)
+    for q, hits in got.items():
+        assert [s for _, s in hits] == sorted((s for _, s in hits), reverse=True)
+        for v, s in hits:
+            a, b = np.array(exact[q], float), np.array(exact[v], float)
+            assert s == pytest.approx(a @ b / np.sqrt((a @ a) * (b @ b)), abs=1e-12)
+
+
+def test_copies_ties_and_vectors_that_take_no_part(spark):
+    draw = np.random.default_rng(3)
+    base = draw.standard_normal((40, 4)).round(3)
+    rows = [(i, base[i % 40].tolist()) for i in range(200)]
+    odd = [(900, None), (901, [0.0] * 4), (902, [1.0, None, 0.0, 0.0]), (903, [1.0, float("nan"), 0.0, 0.0]), (904, [float("inf"), 0.0, 0.0, 0.0]),
+           (None, [1.0, 0.0, 0.0, 0.0]), (950, [1.0, 2.0]), (951, [2.0, 1.0])]
+    df = spark.createDataFrame(rows + odd, "vec_id long, embedding array<double>")
+    got = {}
+    for r in neighbours.neighbours(df, df.where("vec_id % 50 = 0 or vec_id is null"), 3).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append(r["vec_id"])
+    want = {q: [v for v, _ in hits] for q, hits in brute_neighbours(rows, [r for r in rows if r[0] % 50 == 0], 3).items()}
+    assert got == want | {950: [951]}
+    assert neighbours.neighbours(df.limit(0), df.limit(0)).count() == 0
