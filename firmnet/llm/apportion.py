@@ -10,10 +10,11 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from firmnet.llm.common import WORD
 from firmnet.operators.rank import distributed_rank
@@ -60,7 +61,7 @@ def sainte_lague(parties: DataFrame, votes: str, seats: str, cap: str, key: str,
     window are ranked, a few for each row however many seats there are. Rows without votes get none.
     """
     per = W.partitionBy(*(group or [F.lit(0)]))
-    share = F.col(votes) / F.sum(votes).over(per) * F.col(seats)
+    share = F.try_divide(F.col(votes).cast("double"), F.sum(votes).over(per).cast("double")) * F.col(seats)
     slack = (F.ceil(F.count("*").over(per) * F.col("_share") / F.greatest(F.col(seats), F.lit(1))) + 2).cast("long")
     near = (
         parties.withColumn("_share", F.coalesce(share, F.lit(0.0)))
@@ -171,13 +172,22 @@ def chosen_text(text: str, start: int, rest: int, blocks: int, phase: int, block
     return "\n".join(text[spans[a][0]:spans[b - 1][1]] for a, b in out)
 
 
-def _copies(frames: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
-    for cols in frames:
-        out = []
-        for text, full, start, rest, blocks, phase, block in zip(*cols):
-            part = chosen_text(text, start, rest, blocks, phase, block) if rest and text else ""
-            out.append([text] * int(full if text else 0) + ([part] if part else []))
-        yield pd.Series(out)
+def _copies(text: str, n_chars: str | None, columns: list[str]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each row as often as it is taken whole, then once more with the words of its chosen blocks."""
+        for batch in batches:
+            at, texts = [], []
+            own = (batch.column(c).to_pylist() for c in (text, "_full", "_start", "_rest", "_blocks", "_phase", "_block"))
+            for i, (body, full, start, rest, blocks, phase, block) in enumerate(zip(*own)):
+                part = chosen_text(body, start, rest, blocks, phase, block) if rest else ""
+                copies = [body] * full + ([part] if part else [])
+                at += [i] * len(copies)
+                texts += copies
+            rows = batch.take(pa.array(at, pa.int64()))
+            new = {text: pa.array(texts, pa.string()), n_chars: pa.array([len(t) for t in texts], pa.int64())}
+            yield pa.RecordBatch.from_arrays([new[c] if c in new else rows.column(c) for c in columns], names=columns)
+
+    return run
 
 
 def mixed_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source",
@@ -186,8 +196,6 @@ def mixed_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     A document taken not at all has no row. Columns are those of ``docs``; ``n_chars`` is set to the length of the text.
     """
-    copies = F.pandas_udf(_copies, "array<string>")
-    laid = mix(docs, doc_id, text, source, seed).where(F.col("_taken") > 0)
-    laid = laid.withColumn("_copy", F.explode(copies(text, "_full", "_start", "_rest", "_blocks", "_phase", "_block")))
-    new = {text: F.col("_copy")} | ({n_chars: F.length("_copy").cast("long")} if n_chars in docs.columns else {})
-    return laid.select(*(new.get(c, F.col(c)).alias(c) for c in docs.columns))
+    laid = mix(docs, doc_id, text, source, seed).where(F.col("_taken") > 0).drop("_size", "_source_size", "_target", "_taken")
+    form = StructType([StructField(f.name, LongType() if f.name == n_chars else f.dataType) for f in docs.schema])
+    return laid.mapInArrow(_copies(text, n_chars if n_chars in docs.columns else None, docs.columns), form)

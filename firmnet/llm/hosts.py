@@ -154,9 +154,9 @@ def _votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[tuple[str, str], float] = defaultdict(float)
         for host, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             scores = container_scores(blocks(html))
-            whole = sum(scores.values())
+            best = max(scores.values(), default=1.0)
             for path, score in scores.items():
-                sums[host, path] += score / whole  # a page has one vote in all
+                sums[host, path] += (score / best) ** 4  # a page's best container has one vote, others far less
         yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in sums], pa.string()), pa.array([k[1] for k in sums], pa.string()),
                                           pa.array(list(sums.values()), pa.float64())], names=["host", "path", "votes"])
 

@@ -60,7 +60,8 @@ def record(page_id: int | None, url: str | None, payload: bytes, digest: str, re
 class _Files:
     """The open file of a shard, rolled by compressed size."""
 
-    def __init__(self, folder: str):
+    def __init__(self, folder: str, most: int):
+        self.most = most
         self.fs, self.folder = pa.fs.FileSystem.from_uri(folder)
         self.attempt = uuid.uuid4().hex
         self.shard, self.out, self.done = None, None, []
@@ -77,7 +78,7 @@ class _Files:
         self.out.write(data)
         self.sha.update(data)
         self.records, self.size = self.records + 1, self.size + len(data)
-        if self.size >= FILE_BYTES:
+        if self.size >= self.most:
             self.close()
 
     def close(self) -> None:
@@ -87,10 +88,10 @@ class _Files:
             self.out, self.number = None, self.number + 1
 
 
-def _write(folder: str):
+def _write(folder: str, file_bytes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows by shard, page id, digest; a row with ``_mark`` 0 stands before the pages whose payload others share."""
-        files, shared, stored = _Files(folder), None, False
+        files, shared, stored = _Files(folder, file_bytes), None, False
         for batch in batches:
             for shard, page_id, digest, mark, refers, url, html in zip(*(c.to_pylist() for c in batch.columns)):
                 if mark == 0:
@@ -120,7 +121,8 @@ def _commit(folder: str):
     return run
 
 
-def write_archives(pages: DataFrame, folder: str, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
+def write_archives(pages: DataFrame, folder: str, page_id: str = "page_id", url: str = "url", html: str = "html",
+                   shard_bytes: int = SHARD_BYTES, file_bytes: int = FILE_BYTES) -> DataFrame:
     """Write one record for each page to ``folder``; returns the manifest, also stored in ``folder``/manifest.
 
     Of records with equal payloads of at least ``REVISIT_BYTES``, the one with the smallest page id is stored as
@@ -134,7 +136,7 @@ def write_archives(pages: DataFrame, folder: str, page_id: str = "page_id", url:
                         F.col(url).alias("_url"), body.alias("_html"))
     keys = materialize(rows.select("_id", "_digest", F.octet_length("_html").alias("_bytes"), F.col("_id").isNull().alias("_last")), "keys")
     total, n = keys.agg(F.coalesce(F.sum("_bytes"), F.lit(0)), F.count("*")).first()
-    shards = max(1, min(MOST_SHARDS, -(-total // SHARD_BYTES), n))
+    shards = max(1, min(MOST_SHARDS, -(-total // shard_bytes), n))
     each = max(1, -(-n // shards))
     ranked = distributed_rank(keys, [("_last", True), ("_id", True), ("_digest", True)])
     cuts = sorted(r[0] for r in ranked.where(((F.col("rank") - 1) % each == 0) & (F.col("rank") > 1) & ~F.col("_last"))
@@ -156,7 +158,7 @@ def write_archives(pages: DataFrame, folder: str, page_id: str = "page_id", url:
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/_temporary")
     store = hadoop.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
     store.mkdirs(hadoop)
-    manifest = materialize(ordered.mapInArrow(_write(folder), MANIFEST), "attempts")
+    manifest = materialize(ordered.mapInArrow(_write(folder, file_bytes), MANIFEST), "attempts")
     manifest.mapInArrow(_commit(folder), MANIFEST).write.parquet(f"{folder}/manifest")
     store.delete(hadoop, True)  # what failed attempts left
     return spark.read.schema(MANIFEST).parquet(f"{folder}/manifest")

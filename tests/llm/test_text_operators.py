@@ -125,7 +125,7 @@ def test_main_text_of_a_page(spark):
         assert got[i]["text"] == f"Title {i}\nFirst <b>\nSecond é part {i} with enough words to count as text\nitem one\nitem two"
         assert got[i]["n_chars"] == len(got[i]["text"]) and got[i]["url"] == f"http://h.org/{i}"
     assert (got[7]["text"], got[8]["text"], got[9]["text"]) == ("plain & text here", "", "a\nb") and got[10]["text"].startswith("Title 3\n")
-    assert [r["path"] for r in hosts.host_paths(df).where("host = 'h.org'").collect()] == ["#/html/body.x#/div.post-#.wrap"]
+    assert [r["path"] for r in hosts.host_paths(df).where("host = 'h.org'").collect()] == ["/html/body.x#/div.post-#.wrap"]
     assert hosts.extract_text(df.limit(0)).count() == 0
 
 
