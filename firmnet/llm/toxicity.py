@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from firmnet.llm.common import held_out, whole
+from firmnet.storage import materialize
 
 POSITIVES, UNLABELLED = 2000, 4000  # at most so many documents train a classifier; the bound of the sample
 MODELS = 3
@@ -159,15 +160,15 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     if not n_toxic:
         return []
     prior = min(max(n_toxic / n, 1e-4), 0.9)
-    rows = docs.where(F.col(doc_id).isNotNull() & ~held_out(doc_id)).select(
-        F.col(doc_id).cast("long").alias("_id"), whole(text).alias("_text"))
-    drawn = rows.withColumn("_draw", F.xxhash64(F.lit(1), "_id"))
-    pos = drawn.join(said.where("_toxic = 1").select("_id"), "_id", "left_semi").orderBy("_draw", "_id").limit(positives)
-    free = drawn.orderBy(F.xxhash64(F.lit(2), "_id"), "_id").limit(unlabelled * models)
-    every = F.explode(F.sequence(F.lit(0), F.lit(models - 1)))
-    sample = pos.withColumn("_model", every).withColumn("_positive", F.lit(True)).unionByName(
-        free.withColumn("_model", F.pmod(F.xxhash64(F.lit(3), "_id"), F.lit(models)).cast("int"))
-        .withColumn("_positive", F.lit(False)))
+    ids = docs.where(F.col(doc_id).isNotNull() & ~held_out(doc_id)).select(F.col(doc_id).cast("long").alias("_id"))
+    draw = lambda seed: F.xxhash64(F.lit(seed), "_id")
+    pos = said.where("_toxic = 1").select("_id").orderBy(draw(1), "_id").limit(positives).withColumn(
+        "_model", F.explode(F.sequence(F.lit(0), F.lit(models - 1)))).withColumn("_positive", F.lit(True))
+    free = ids.orderBy(draw(2), "_id").limit(unlabelled * models).distinct().withColumn(
+        "_model", F.pmod(draw(3), F.lit(models)).cast("int")).withColumn("_positive", F.lit(False))
+    drawn = materialize(pos.unionByName(free), "sample")  # ids alone; their number is bounded by the parameters
+    sample = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("_id"), whole(text).alias("_text")).join(
+        F.broadcast(drawn), "_id").withColumn("_draw", draw(4))
     fitted = sample.groupBy("_model").applyInPandas(_fit(prior), "weights binary, second binary").collect()  # of fixed size
     return [Model(np.frombuffer(r["weights"], np.float32), np.frombuffer(r["second"], np.float64)) for r in fitted]
 
