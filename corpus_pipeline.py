@@ -31,7 +31,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack(packing.tokenised_pieces(docs, public_tokenizers.path("byte_bpe_50k.json")))
+    return packing.pack(packing.tokenised_pieces(docs, public_tokenizers.path("byte_bpe_50k.json"),
+                                                  public_tokenizers.path("byte_bpe_50k.tiktoken")))
 
 
 STAGES = [

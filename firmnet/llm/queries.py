@@ -46,7 +46,8 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return packing.pack(packing.tokenised_pieces(docs, public_tokenizers.path("byte_bpe_50k.json")))
+    return packing.pack(packing.tokenised_pieces(docs, public_tokenizers.path("byte_bpe_50k.json"),
+                                                  public_tokenizers.path("byte_bpe_50k.tiktoken")))
 
 
 def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
