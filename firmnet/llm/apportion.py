@@ -24,8 +24,8 @@ WEIGHTS = (5, 2, 1)
 REPEATS = 3  # a source, and each of its documents, is taken at most so many times
 BLOCK_WORDS = 1024  # at most
 BLOCKS_PER_SOURCE = 1000  # on average at least, by smaller blocks
-SHARD_WORDS = 4_000_000
-SHARD_ROWS = 100_000
+SHARD_WORDS = 1_000_000
+SHARD_ROWS = 10_000
 
 
 def n_words(text: str) -> Column:
