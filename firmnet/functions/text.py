@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from html.entities import html5
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -13,18 +14,22 @@ HIDDEN_ELEMENTS = ("script", "style", "applet", "button", "select", "textarea",
 WORD = "[a-zA-Z]{3,}"
 PROLOG = r"(?s)^<\?.*?\?>"
 
+# Names that HTML also reads without a semicolon, longest first.
+_BARE_NAMES = sorted((n for n in html5 if not n.endswith(";")), key=lambda n: (-len(n), n))
+NAMED = rf"&(?:[a-zA-Z][a-zA-Z0-9]*;|{'|'.join(_BARE_NAMES)})"
+
 
 def markup_pattern(hidden: Sequence[str] = HIDDEN_ELEMENTS) -> str:
     """One pattern for comments, hidden elements with their content, and plain tags.
 
     The alternatives are tried at each position from left to right as a browser would meet them, so
     a comment inside a script or a tag inside a comment cannot unbalance the rest. Quoted attribute
-    values may hold ">" and a tag may be cut off by the end of the page; the bounded repeat keeps the matcher's stack flat on broken pages.
-    Only syntax common to Java and RE2 is used.
+    values may hold ">" and a tag may be cut off by the end of the page. The possessive repeat keeps the
+    matcher's stack flat however many values a tag has; it never changes what is found.
     """
     parts = [r"!--.*?(?:-->|\z)"]
     parts += [rf"{tag}\b[^>]*>.*?(?:</{tag}\s*>|\z)" for tag in hidden]
-    parts += [r"""[/!?a-z][^>"']*(?:"[^"]*"[^>"']*|'[^']*'[^>"']*){0,64}>""", r"[/!?a-z][^>]*(?:>|\z)"]
+    parts += [r"""[/!?a-z][^>"']*(?:"[^"]*"[^>"']*|'[^']*'[^>"']*)*+>""", r"[/!?a-z][^>]*(?:>|\z)"]
     # The common first character stands in front, so that plain text is passed over quickly.
     return f"(?is)<(?:{'|'.join(parts)})"
 
@@ -38,11 +43,13 @@ def _decode_numeric(text: Column) -> Column:
     pieces = F.split(text, "&#")
 
     def decoded(piece: Column) -> Column:
-        dec = F.regexp_extract(piece, r"^([0-9]{1,7});?", 1)
-        hexa = F.regexp_extract(piece, r"^[xX]([0-9a-fA-F]{1,6});?", 1)
-        code = F.when(dec != "", dec.try_cast("int")).when(hexa != "", F.conv(hexa, 16, 10).try_cast("int"))
+        # Without leading zeros, ASCII has at most three digits; a longer number is some other character.
+        dec = F.regexp_extract(piece, r"^0*([0-9]+)", 1)
+        hexa = F.regexp_extract(piece, r"^[xX]0*([0-9a-fA-F]+)", 1)
+        code = F.when(dec != "", F.when(F.length(dec) > 3, 0).otherwise(dec.try_cast("int"))).when(
+            hexa != "", F.when(F.length(hexa) > 3, 0).otherwise(F.conv(hexa, 16, 10).try_cast("int")))
         char = F.when(code.between(1, 127), F.char(code)).otherwise(F.lit(" "))
-        rest = F.regexp_replace(piece, r"^(?:[0-9]{1,7}|[xX][0-9a-fA-F]{1,6});?", "")
+        rest = F.regexp_replace(piece, r"^(?:[0-9]+|[xX][0-9a-fA-F]+);?", "")
         return F.when(code.isNull(), F.concat(F.lit("&#"), piece)).otherwise(F.concat(char, rest))
 
     tail = F.transform(F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(0))), decoded)
@@ -54,7 +61,7 @@ def html_text(html: Column, sep: str = "", hidden: Sequence[str] = HIDDEN_ELEMEN
     """Visible text. Tags vanish without a blank unless ``sep`` says so, so ``<li>a</li><li>b</li>``
     gives ``ab``. Named references never stand for ASCII letters, so they become blanks."""
     bare = F.regexp_replace(html, markup_pattern(hidden), sep)
-    return _decode_numeric(F.regexp_replace(bare, "&[a-zA-Z][a-zA-Z0-9]*;", " "))
+    return _decode_numeric(F.regexp_replace(bare, NAMED, " "))
 
 
 def words(text: Column) -> Column:

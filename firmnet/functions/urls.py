@@ -14,8 +14,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Hosts may hold "_", for which parse_url(…, 'HOST') gives NULL; hence patterns.
-_AUTHORITY = r"^(?:https?://)?(?:[^/?#@]*@)?([^/?#:]*)"
-_PATH = r"^(?:https?://)?[^/?#]*([^?#]*)"
+_SCHEME = r"^(?:[A-Za-z][A-Za-z0-9+.-]*://)?"
+_AUTHORITY = _SCHEME + r"(?:[^/?#@]*@)?(\[[^\]/?#]*\]|[^/?#:]*)"
+_PATH = _SCHEME + r"[^/?#]*([^?#]*)"
 _IPV4 = r"^[0-9.]+$"
 
 RULE, WILDCARD, EXCEPTION = 1, 2, 4
@@ -23,8 +24,9 @@ _SUFFIX_RESOURCE = "mozilla/public-suffix-list.txt"
 
 
 def url_host(url: Column, underscore_as_slash: bool = False) -> Column:
-    """Host without user, port, path and query. Underscores become slashes first when asked."""
-    return F.regexp_extract(F.translate(url, "_", "/") if underscore_as_slash else url, _AUTHORITY, 1)
+    """Host in lower case, without user, port, path, query and final dots. Underscores become slashes first when asked."""
+    host = F.regexp_extract(F.translate(url, "_", "/") if underscore_as_slash else url, _AUTHORITY, 1)
+    return F.rtrim(F.lower(host), F.lit("."))
 
 
 def url_path(url: Column, underscore_as_slash: bool = False) -> Column:
@@ -104,7 +106,7 @@ def with_registrable_domain(df: DataFrame, url: str, out: str = "company",
     lengths += [f"CASE WHEN {has.format(d, WILDCARD)} AND size(_labels) > {d} THEN {d + 1} END" for d in depths]
     keep = f"coalesce({', '.join(exceptions)}, greatest(1, {', '.join(lengths)})) + 1"
     found = found.select(*kept, "_host", "_labels", F.expr(keep).alias("_keep"))
-    domain = f"""CASE WHEN _host RLIKE '{_IPV4}' OR size(_labels) < _keep THEN _host
+    domain = f"""CASE WHEN _host RLIKE '{_IPV4}' OR _host LIKE '[%' OR size(_labels) < _keep THEN _host
                       ELSE array_join(slice(_labels, -_keep, _keep), '.') END"""
     return found.select(*kept, F.expr(domain).alias(out))
 

@@ -17,13 +17,17 @@ from pyspark.sql import functions as F
 from firmnet.storage import materialize
 
 BINS = 4096
-ONE_TASK_ROWS = 200_000  # counted rows up to which a rank may take place in one task
 SCORE_RANGE = (-1.0, 1.0)  # of a cosine; scores outside fall into the outer bins
 _POSITION_BITS = 33  # layout of monotonically_increasing_id: partition above, row number below
 
 
 def _ordering(order: Sequence[tuple[str, bool]]) -> list[Column]:
-    return [F.col(name).asc() if ascending else F.col(name).desc() for name, ascending in order]
+    return [F.asc_nulls_last(name) if ascending else F.desc_nulls_last(name) for name, ascending in order]
+
+
+def present(score: str) -> Column:
+    """The score, NULL where it is missing (NULL or NaN): missing scores come last in every order."""
+    return F.when(~F.isnan(F.col(score).cast("double")), F.col(score))
 
 
 def distributed_rank(df: DataFrame, order: Sequence[tuple[str, bool]], out: str = "rank",
@@ -54,33 +58,24 @@ def distributed_rank(df: DataFrame, order: Sequence[tuple[str, bool]], out: str
     return joined.select(*df.columns, (F.col("_before") + F.col("_at") - F.col("_first") + 1).alias(out))
 
 
-def rank_known(df: DataFrame, rows: int, order: Sequence[tuple[str, bool]], out: str = "rank",
-               group: Sequence[str] = ()) -> DataFrame:
-    """:func:`distributed_rank` for rows that were counted before; a small number takes one window instead."""
-    if rows > ONE_TASK_ROWS:
-        return distributed_rank(df, order, out, group)
-    window = W.partitionBy(*(group or [F.lit(0)])).orderBy(*_ordering(order))
-    return df.withColumn(out, F.row_number().over(window))
-
-
 class ScoreBins:
-    """Fixed number of equal-width bins, bin 0 holding the best scores."""
+    """Fixed number of equal-width bins, bin 0 holding the best scores; one bin more, behind all, for missing scores."""
 
     def __init__(self, lo: float, hi: float, descending: bool = True, bins: int = BINS):
         self.lo, self.hi, self.descending, self.bins = float(lo), float(hi), descending, bins
 
     def column(self, score: str) -> Column:
-        width = self.hi - self.lo
+        width, missing = self.hi - self.lo, present(score).isNull()
         if not width > 0:
-            return F.lit(0)
+            return F.when(missing, self.bins).otherwise(0)
         gap = (F.lit(self.hi) - F.col(score)) if self.descending else (F.col(score) - F.lit(self.lo))
         place = F.floor(gap * F.lit(self.bins / width)).cast("int")
-        return F.least(F.greatest(place, F.lit(0)), F.lit(self.bins - 1))
+        return F.when(missing, self.bins).otherwise(F.least(F.greatest(place, F.lit(0)), F.lit(self.bins - 1)))
 
 
 def score_bins(df: DataFrame, score: str, descending: bool = True, bins: int = BINS) -> ScoreBins:
     """Bins spanning the scores of the table."""
-    lo, hi = df.agg(F.min(F.col(score).cast("double")), F.max(F.col(score).cast("double"))).first()
+    lo, hi = df.agg(F.min(present(score).cast("double")), F.max(present(score).cast("double"))).first()
     if lo is not None and not (isfinite(lo) and isfinite(hi)):
         raise ValueError(f"{score} must be finite")
     return ScoreBins(lo or 0.0, hi or 0.0, descending, bins)
@@ -101,9 +96,9 @@ def top_rows(df: DataFrame, k: int, score: str, ties: Sequence[str], descending:
     """The k best rows by score, equal scores in ascending order of ``ties``; exact for any k.
 
     One histogram pass finds the bin the cut falls into. Better bins pass by a plain filter; only
-    the boundary bin is ranked, by range partitions when it is large, so even one score shared by a
-    third of all rows spreads out. ``df`` is read several times: give it as a stored table. Scores
-    must be finite and not NULL. Known ``bounds`` of the scores save a pass.
+    the boundary bin is ranked, by range partitions, so even one score shared by a third of all rows
+    spreads out. ``df`` is read several times: give it as a stored table. NULL and NaN scores come
+    last, in order of ``ties``; others must be finite. Known ``bounds`` of the scores save a pass.
     """
     if k <= 0:
         return df.limit(0)
@@ -117,8 +112,9 @@ def top_rows(df: DataFrame, k: int, score: str, ties: Sequence[str], descending:
         return binned.where(F.col("_bin") <= cut).drop("_bin")
     kept = binned.where(F.col("_bin") < cut).drop("_bin")
     edge = binned.where(F.col("_bin") == cut).drop("_bin")
-    order = [(score, not descending), *((t, True) for t in ties)]
-    ranked = rank_known(edge, counts[cut], order, "_rank").where(F.col("_rank") <= k - better).drop("_rank")
+    order = [("_present", not descending), *((t, True) for t in ties)]
+    ranked = distributed_rank(edge.withColumn("_present", present(score)), order, "_rank")
+    ranked = ranked.where(F.col("_rank") <= k - better).drop("_rank", "_present")
     return kept.unionByName(ranked)
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from firmnet.operators.rank import BINS, boundary, fraction_count, rank_known
+from firmnet.operators.rank import BINS, boundary, distributed_rank, fraction_count
 from firmnet.storage import materialize
 
 BLOCK_ROWS = 8192   # vectors per block: two blocks of 200 doubles are 26 MB in a task
@@ -40,11 +40,18 @@ def _tile_worker(consume, strip_rows: int):
             ids = rows.column("id").combine_chunks()
             focal = np.nonzero(rows.column("focal").to_numpy(zero_copy_only=False).astype(bool))[0]
             v = rows.column("v").combine_chunks()
+            dims = np.asarray(v.value_lengths()) if len(ids) else np.zeros(0, dtype=int)
+            if len(ids) and (dims != dims[0]).any():
+                raise ValueError(f"vector of {ids[int((dims != dims[0]).argmax())]} has another length than {dims[0]}")
             m = np.asarray(v.flatten(), dtype=np.float64).reshape(len(ids), -1) if len(ids) else np.zeros((0, 0))
+            if not np.isfinite(m).all():
+                raise ValueError(f"vector of {ids[int((~np.isfinite(m)).any(axis=1).argmax())]} has a missing or infinite component")
             length = np.sqrt((m * m).sum(axis=1, keepdims=True))
             return ids, focal, m / np.where(length > 0, length, 1.0)
 
         one, two = block(0), block(1)
+        if len(one[0]) and len(two[0]) and one[2].shape[1] != two[2].shape[1]:
+            raise ValueError(f"vectors of {one[0][0]} and {two[0][0]} have different lengths")
         sides = ([(one, two), (two, one)] if len(one[0]) else []) if len(two[0]) else [(one, one)]
         for (a_ids, a_focal, a), (b_ids, _, b) in sides:
             for s in range(0, len(a_focal), strip_rows):
@@ -187,15 +194,10 @@ def top_fraction_of_pairs(vectors: DataFrame, firms: int, fraction: float = 0.02
         return found.drop("edge")
     found = materialize(found, "top-pairs")
     order = [("wtnic_score", False), ("focal_firmid", True), ("rival_firmid", True)]
-    edge = rank_known(found.where("edge"), counts[cut], order, "_rank").where(F.col("_rank") <= k - better)
+    edge = distributed_rank(found.where("edge"), order, "_rank").where(F.col("_rank") <= k - better)
     return found.where(~F.col("edge")).drop("edge").unionByName(edge.drop("edge", "_rank"))
 
 
 def percent_count(n: int, percent: float) -> int:
     """``int(n * percent / 100)`` in double arithmetic."""
     return int(n * percent / 100)
-
-
-def top_percent_pairs(vectors: DataFrame, percent: float = 15.0, min_score: float = 0.24, **options) -> DataFrame:
-    """Each focal's best ``percent`` of all vectors, then the threshold."""
-    return cosine_pairs(vectors, min_score=min_score, top_k=percent_count(vectors.count(), percent), **options)

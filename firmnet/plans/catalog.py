@@ -43,8 +43,11 @@ def _peers(spark, sf_dir, min_score=THRESHOLD) -> DataFrame:
 # --- sources and sinks ------------------------------------------------------------------------------
 
 
-def _write_archives(records: DataFrame, folder: str) -> None:
-    """Store page records as gzipped archives, one file per archive name, as input for the archive scan."""
+def _write_archives(records: DataFrame, folder: str, broken: str | None = None) -> None:
+    """Store page records as gzipped archives, one file per archive name, as input for the archive scan.
+
+    Records whose URL holds ``broken`` get no length, or a negative one.
+    """
 
     def write(batches):
         import gzip
@@ -65,6 +68,8 @@ def _write_archives(records: DataFrame, folder: str) -> None:
                     body = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n" + body
                 head = (f"WARC/1.0\r\nWARC-Type: {r['rec_type']}\r\nWARC-Date: {r['record_date']}\r\n"
                         f"WARC-Target-URI: {r['url']}\r\nContent-Length: {len(body)}\r\n\r\n")
+                if broken and broken in r["url"]:
+                    head = head.replace("Content-Length: ", "Content-Length: -" if len(body) % 2 else "X-Length: ")
                 out.write(gzip.compress(head.encode() + body + b"\r\n\r\n", 6))
         if out:
             out.close()
@@ -90,6 +95,15 @@ def s1(spark, sf_dir):
                                                   F.md5("html").alias("page_md5"))
 
 
+@query("s1_read_archives_damaged")
+def s1b(spark, sf_dir):
+    """Records without a usable length stand between good ones; they are reported and the others come through."""
+    folder = scratch_path(spark, "damaged")
+    _write_archives(st.records(spark, sf_dir), folder, broken="/5")
+    found = archives.read_archives(spark, folder, split_bytes=64 << 10)
+    return found.groupBy("rec_type", "url").agg(F.count("*").alias("records"))
+
+
 @query("s2_read_manifest")
 def s2(spark, sf_dir):
     path = scratch_path(spark, "manifest")
@@ -227,6 +241,15 @@ def p1(spark, sf_dir):
     return urls.with_registrable_domain(p, "url").select("page_id", "company")
 
 
+@query("p1_registrable_domain_hard_hosts")
+def p1c(spark, sf_dir):
+    """Upper case, final dots, and suffixes of several labels, by wildcard and by exception, under each page's number."""
+    suffixes = F.lit([".Foo.COM", ".foo.com.", ".shop.co.uk", ".www.state.tx.us", ".q.ck", "x.www.ck"])
+    form = F.get(suffixes, (F.col("page_id") % 6).cast("int"))
+    p = st.table(spark, sf_dir, "pages").select("page_id", F.concat(F.lit("HTTPS://Www.N"), F.col("page_id"), form, F.lit("/A")).alias("url"))
+    return urls.with_registrable_domain(p, "url").select("page_id", "company")
+
+
 @query("p1_registrable_domain_keep_underscore")
 def p1b(spark, sf_dir):
     p = st.table(spark, sf_dir, "pages").select("page_id", F.concat("url", F.lit("_x")).alias("url"))
@@ -270,6 +293,14 @@ def p7(spark, sf_dir):
     return dealt(st.table(spark, sf_dir, "pages")).select("page_id", text.html_text(F.col("html")).alias("text"))
 
 
+@query("p7_html_text_hard_markup")
+def p7b(spark, sf_dir):
+    """The page's number behind markup with many quoted values, numeric references with zeros, names without semicolon."""
+    many = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(90)), lambda i: F.concat(F.lit("a"), i, F.lit('="x>y"'))), " ")
+    html = F.concat(F.lit("<b "), many, F.lit(">&#0000000065;&#x00042; page&nbsp number&copy "), F.col("page_id"), F.lit(" &#99999999999;<br "))
+    return st.table(spark, sf_dir, "pages").select("page_id", text.html_text(html).alias("text"))
+
+
 @query("p8_words")
 def p8(spark, sf_dir):
     return dealt(st.table(spark, sf_dir, "pages")).select("page_id", _text(text.page_words(F.col("html"))))
@@ -322,7 +353,7 @@ def p16(spark, sf_dir):
 
 @query("p17_similarity_cut")
 def p17(spark, sf_dir):
-    return peers.above(_peers(spark, sf_dir, None), THRESHOLD)
+    return peers.above(_peers(spark, sf_dir, THRESHOLD), THRESHOLD)
 
 
 @query("p18_valid_years")
@@ -432,10 +463,11 @@ def j9(spark, sf_dir):
 
 
 def _evaluation(spark, sf_dir, fraction=TOP_FRACTION) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Public firms, all their peers, and the top share of those; each stored."""
+    """Public firms, those with peers, and the top share of all their pairs; no other pair is ever stored."""
     public = materialize(st.public(spark, sf_dir), "public")
-    every = materialize(peers.public_peers(st.vectors(spark, sf_dir), public), "peers")
-    return public, every, materialize(rank.top_fraction(every, public.count(), fraction), "top-peers")
+    paired = materialize(peers.public_vectors(st.vectors(spark, sf_dir), public), "public-vectors")
+    kept = materialize(similarity.top_fraction_of_pairs(paired, public.count(), fraction), "top-peers")
+    return public, paired.select(F.col("firm_id").alias("focal_firmid")), kept
 
 
 @query("j10_monopolists")
@@ -688,6 +720,17 @@ def l1b(spark, sf_dir):
     return rank.top_rows(items, k, "l_quantity", ["l_orderkey", "l_linenumber"])
 
 
+@query("l1_top_fraction_with_missing_scores")
+def l1d(spark, sf_dir):
+    """Discounts stand for scores; some are NULL, some NaN, and more rows are kept than have a score."""
+    items = st.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_discount")
+    key = F.col("l_orderkey") % 7
+    score = F.when(key == 0, None).when(key < 3, F.lit(float("nan"))).otherwise(F.col("l_discount").cast("double"))
+    scored = materialize(items.select("l_orderkey", "l_linenumber", score.alias("score")), "scored")
+    kept = rank.top_rows(scored, int(items.count() * 0.7), "score", ["l_orderkey", "l_linenumber"])
+    return kept.select("l_orderkey", "l_linenumber", rank.present("score").alias("score"))
+
+
 @query("l2_sorted_peers")
 def l2(spark, sf_dir):
     return rank.sorted_peers(_peers(spark, sf_dir))

@@ -193,6 +193,8 @@ _METRIC_EDGES = _with(VECTORS, PUBLIC, SCORES, PEERS)
 ORACLE_SQL: dict[str, str] = {
     "s1_read_archives": _with(RECORDS) + """SELECT archive_file, rec_type, record_date, url,
         CASE WHEN rec_type = 'response' THEN md5(html) END AS page_md5 FROM records""",
+    "s1_read_archives_damaged": _with(RECORDS) + """SELECT CASE WHEN contains(url, '/5') THEN 'unreadable' ELSE rec_type END AS rec_type,
+        CASE WHEN contains(url, '/5') THEN NULL ELSE url END AS url, count(*) AS records FROM records GROUP BY ALL""",
     "s2_read_manifest": _with(RECORDS) + """SELECT DISTINCT md5(archive_file) AS md5, archive_file AS file_name,
         '/crawl/data' AS dir, 'warc' AS container FROM records""",
     "s3_read_public_tsv": _with(PUBLIC_RAW) + """SELECT gvkey, year, url, profit_assets, profit_sales, stock_return,
@@ -222,6 +224,8 @@ ORACLE_SQL: dict[str, str] = {
         lpad(CAST(vec_id AS VARCHAR), 12, '0') IN (SELECT company FROM firm_pages WHERE len(words) > 0) AS covered
         FROM embeddings""",
     "p1_registrable_domain": f"SELECT page_id, {DOMAIN.format('url')} AS company FROM pages",
+    "p1_registrable_domain_hard_hosts": """SELECT page_id, CASE page_id % 6 WHEN 0 THEN 'foo.com' WHEN 1 THEN 'foo.com' WHEN 2 THEN 'shop.co.uk'
+        WHEN 3 THEN 'state.tx.us' WHEN 4 THEN 'n' || page_id || '.q.ck' ELSE 'www.ck' END AS company FROM pages""",
     "p1_registrable_domain_keep_underscore": f"""SELECT page_id, {DOMAIN.format('url')} AS company,
         {PATH.format("url || '_x'")} AS path FROM pages""",
     "p2_domain_path_key": f"SELECT page_id, {DOMAIN.format('url')} || replace({PATH.format('url')}, '/', '_') AS company FROM pages",
@@ -231,6 +235,7 @@ ORACLE_SQL: dict[str, str] = {
     "p5_crawl_year": """SELECT o_orderkey, year(o_orderdate) AS from_text, year(o_orderdate) AS from_time FROM orders""",
     "p6_strip_prolog": "SELECT page_id, md5(html) AS html_md5 FROM pages",
     "p7_html_text": f"SELECT page_id, {_strip('html')} AS text FROM pages",
+    "p7_html_text_hard_markup": "SELECT page_id, 'AB page  number  ' || page_id || '  ' AS text FROM pages",
     "p8_words": f"SELECT page_id, array_to_string({PAGE_WORDS}, ' ') AS text FROM pages",
     "p9_normalise_words": f"SELECT doc_id, lower(array_to_string({WORDS.format('text')}, ' ')) AS text FROM documents",
     "p10_pad_naics": _with(FIRM) + "SELECT firm_id, CASE WHEN length(naics) < 6 THEN repeat('0', 6 - length(naics)) || naics ELSE naics END AS naics FROM firm",
@@ -356,6 +361,10 @@ ORACLE_SQL: dict[str, str] = {
         SELECT l_orderkey, l_linenumber, l_quantity,
                row_number() OVER (ORDER BY l_quantity DESC, l_orderkey, l_linenumber) AS place FROM lineitem)
         WHERE place <= (SELECT floor(count(*) * CAST(0.02 AS DOUBLE)) FROM lineitem)""",
+    "l1_top_fraction_with_missing_scores": """SELECT l_orderkey, l_linenumber, score FROM (
+        SELECT *, row_number() OVER (ORDER BY score DESC NULLS LAST, l_orderkey, l_linenumber) AS place FROM (
+          SELECT l_orderkey, l_linenumber, CASE WHEN l_orderkey % 7 >= 3 THEN CAST(l_discount AS DOUBLE) END AS score FROM lineitem))
+        WHERE place <= (SELECT floor(count(*) * CAST(0.7 AS DOUBLE)) FROM lineitem)""",
     "l2_sorted_peers": _with(VECTORS, SCORES, PEERS) + "SELECT * FROM peers ORDER BY wtnic_score DESC, focal_firmid, rival_firmid",
     "l3_hash_sample": _with(URL_ID) + _SAMPLE,
     "l4_ordered_pages": _with(CORPUS) + """SELECT company, year, level, page,

@@ -42,8 +42,8 @@ def ingest_archives(spark: SparkSession, glob: str, corpus: str, ledger: str | N
     files = materialize(files, "archives")  # the ledger has to name the files that were read
     records = responses(read_files(files))
     if dedup_within:
-        records = records.dropDuplicates(["archive_file", "url"])
+        records = records.dropDuplicates(["archive_path", "url"])
     write_corpus(pages_of_records(records), corpus)
     if ledger is not None:
-        files.select(archive_name().alias("archive_file")).write.parquet(ledger, mode="append")
+        files.select("path", archive_name().alias("archive_file")).write.parquet(ledger, mode="append")
     return missing

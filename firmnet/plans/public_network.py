@@ -33,11 +33,11 @@ class PublicNetwork:
 
 def build_public_network(params: Params, corpus: DataFrame, private: DataFrame, public: DataFrame,
                          seed: int = 0, partitions: int = 16, folder: str | None = None,
-                         if_exists: str = "skip", store_all_peers: bool = True) -> PublicNetwork:
+                         if_exists: str = "skip", store_all_peers: bool = False) -> PublicNetwork:
     """``private`` and ``public`` are the company lists of the year; ``public`` carries ids and metrics.
 
-    With a ``folder``, steps whose output is there are not run again. Without ``store_all_peers`` only
-    the top pairs are ever written, which gives the same report; ``peers`` then holds those.
+    With a ``folder``, steps whose output is there are not run again. Only the top pairs are
+    ever written, unless ``store_all_peers`` asks for the rest, which gives the same report.
     """
     out = Outputs(corpus.sparkSession, folder, if_exists)
     sample = out.table("training_sample", lambda: hash_sample(private, "company", params.sample_size, str(seed)))

@@ -39,7 +39,9 @@ def _splits(files: DataFrame, split_bytes: int | None) -> DataFrame:
 
 
 def read_archives(spark: SparkSession, glob: str, split_bytes: int | None = SPLIT_BYTES) -> DataFrame:
-    """All records of the archives: ``archive_file, rec_type, record_date, url, html``.
+    """All records of the archives: ``archive_file, rec_type, record_date, url, html, archive_path``.
+
+    The path tells apart archives of one name in several folders.
 
     ``html`` is the decoded page of a response, NULL otherwise. A damaged record
     shows up as ``rec_type = 'unreadable'``, with the reason in ``html``; reading goes on behind it.
@@ -62,7 +64,13 @@ def archive_name(path: str = "path"):
 
 
 def pending(files: DataFrame, done: DataFrame) -> DataFrame:
-    """Listed files whose archive is not among the ``archive_file`` names done before; none is opened."""
+    """Listed files that are not done; none is opened.
+
+    ``done`` names them by full ``path`` where it has that column, which tells apart archives of one name in several
+    folders; else by ``archive_file``, which is right only where names are unique.
+    """
+    if "path" in done.columns:
+        return files.join(done.select("path"), "path", "left_anti").select("path", "length")
     named = files.withColumn("archive_file", archive_name())
     return named.join(done.select("archive_file"), "archive_file", "left_anti").select("path", "length")
 
@@ -86,7 +94,7 @@ def responses(records: DataFrame) -> DataFrame:
 
 def unseen(records: DataFrame, ledger: DataFrame, dedup_within: bool = False) -> DataFrame:
     """Records whose URL is not yet in the ledger of its archive. Repeats inside an archive stay by default."""
-    keys = ["archive_file", "url"]
+    keys = ["archive_path" if {"archive_path"} <= {*records.columns} & {*ledger.columns} else "archive_file", "url"]
     fresh = records.join(ledger.select(*keys), keys, "left_anti")
     return fresh.dropDuplicates(keys) if dedup_within else fresh
 
@@ -117,12 +125,12 @@ def _read_ranges(batches):
     """Byte ranges in, record batches out, flushed by size."""
     import pyarrow as pa
 
-    names = ["archive_file", "rec_type", "record_date", "url", "html"]
+    names = ["archive_file", "rec_type", "record_date", "url", "html", "archive_path"]
     for batch in batches:
         for path, start, stop in zip(*(batch.column(i).to_pylist() for i in range(3))):
             rows, size = [], 0
             for row in _records_of_range(path, start, stop):
-                rows.append(row)
+                rows.append((*row, path))
                 size += len(row[4] or "")
                 if size >= _BATCH_CHARS or len(rows) >= 1000:
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*rows)], names=names)
@@ -254,7 +262,10 @@ def _parse_records(member):
             continue
         if line.startswith(b"WARC/"):
             head = _headers(member)
-            body = member.read(int(head["content-length"]))
+            length = head.get("content-length", "")
+            if not (length.isascii() and length.isdigit()):
+                raise ValueError(f"record without a length: {head.get('warc-record-id') or head.get('warc-target-uri')}")
+            body = member.read(int(length))
             kind, date = head.get("warc-type"), head.get("warc-date")
             url = head.get("warc-target-uri", "").strip("<>") or None
         else:

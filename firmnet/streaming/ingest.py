@@ -21,7 +21,7 @@ def use_disk_state(spark: SparkSession) -> None:
 def drop_seen(records: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Drop records whose key came before, within and across runs. The state never expires.
 
-    Keys ``(archive_file, url)`` compare within an archive, ``(url,)`` across all archives. Leave this
+    Keys ``(archive_path, url)`` compare within an archive, ``(url,)`` across all archives. Leave this
     step out to keep repeats inside an archive; the checkpoint alone skips archives already done.
     """
     return records.dropDuplicates(list(keys))
@@ -29,6 +29,8 @@ def drop_seen(records: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 def ingest(records: DataFrame, corpus: str, checkpoint: str, dedup_keys: Sequence[str] = ()) -> StreamingQuery:
     """Append the pages of all new archives to the corpus, then stop."""
+    if dedup_keys:
+        use_disk_state(records.sparkSession)
     fresh = drop_seen(records, dedup_keys) if dedup_keys else records
     pages = pages_of_records(fresh).select(*CORPUS.names)
     return (

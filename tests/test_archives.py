@@ -151,3 +151,25 @@ def test_incremental_ingest_without_repeats(spark, tmp_path, keys, want):
         (drop / f"{name}.warc.gz").write_bytes(members([page, page]))
         streaming.ingest(archives.stream_archives(spark, str(drop)), out, mark, keys).awaitTermination()
     assert stores.read_corpus(spark, out).count() == want
+
+
+def test_archives_of_one_name_in_two_folders_are_both_read(spark, tmp_path):
+    for year in ("2000", "2001"):
+        (tmp_path / year).mkdir()
+        (tmp_path / year / "a.warc.gz").write_bytes(members([warc("response", "http://a.com/", f"<p>text of {year}</p>".encode())]))
+    files = archives.list_archives(spark, str(tmp_path / "*" / "*.gz"))
+    done = files.where("path like '%/2000/%'")
+    left = archives.pending(files, done)
+    assert [r["path"].rsplit("/", 2)[1] for r in left.collect()] == ["2001"]
+    records = archives.read_files(files)
+    assert records.dropDuplicates(["archive_path", "url"]).count() == 2
+    assert archives.unseen(records, archives.read_files(done)).count() == 1
+
+
+@pytest.mark.parametrize("length", ["", "Content-Length: -3\r\n", "Content-Length: x\r\n"])
+def test_a_record_without_a_length_is_reported_and_reading_goes_on(spark, tmp_path, length):
+    good = [warc("response", f"http://a.com/{i}", b"<p>fine</p>") for i in range(2)]
+    bad = f"WARC/1.0\r\nWARC-Type: response\r\nWARC-Target-URI: http://bad/\r\n{length}\r\nbody\r\n\r\n".encode()
+    (tmp_path / "a.warc.gz").write_bytes(members([good[0], bad, good[1]]))
+    rows = archives.read_archives(spark, str(tmp_path / "*.gz")).collect()
+    assert sorted(r["rec_type"] for r in rows) == ["response", "response", "unreadable"]

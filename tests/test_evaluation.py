@@ -141,10 +141,7 @@ def loop(pairs, budgets, mode):
 
 @pytest.mark.parametrize("mode", ["reference", "all_pairs"])
 @pytest.mark.parametrize("seed", range(6))
-def test_budgeted_matches_equal_the_scan(spark, monkeypatch, seed, mode):
-    from firmnet.operators import rank
-
-    monkeypatch.setattr(rank, "ONE_TASK_ROWS", 0 if seed % 2 else 10**6)
+def test_budgeted_matches_equal_the_scan(spark, seed, mode):
     r = random.Random(seed)
     pairs = []
     for i in range(400):
@@ -166,15 +163,3 @@ def test_report_without_same_industry_pairs(spark):
     rows = industry.naics_report(2000, coded, codes).collect()
     assert [(r["digits"], r["total_firms"], r["required"], r["budget"], r["similarity"]) for r in rows] == [
         (d, 3, 0, 0, None) for d in DIGITS]
-
-
-@pytest.mark.parametrize("limit", [0, 10])
-def test_large_dimensions_are_not_broadcast_by_hint(spark, monkeypatch, limit):
-    from firmnet.operators import dimensions
-
-    monkeypatch.setattr(dimensions, "BROADCAST_ROWS", limit)
-    firm = spark.createDataFrame([(1, "111111"), (2, "111222"), (3, "")], "firm_id bigint, naics string")
-    coded = industry.with_pair_codes(edges(spark, [(1, 2, 0.9), (2, 3, 0.8), (1, 9, 0.7)]), firm)
-    assert {tuple(r)[3:] for r in coded.collect()} == {(3, False), (0, True)}
-    logical = coded._jdf.queryExecution().analyzed().toString()
-    assert ("ResolvedHint" in logical) == (limit == 10)

@@ -33,13 +33,13 @@ def test_networks(spark, world):
     corpus, firm, public = world
     params = Params(2000, dim=16, epochs=20, sample_size=20, top_fraction=0.2)
     private = firm.select("company").subtract(public.select("company"))
-    net = build_public_network(params, corpus, private, public)
+    net = build_public_network(params, corpus, private, public, store_all_peers=True)
     assert net.trained.count() == 44 and net.without_text.count() == 0
     assert net.peers.count() == 24 * 23 and net.peers.where("focal_firmid = rival_firmid").count() == 0
     report = net.report.first()
     assert report["no_of_docs"] == "24" and report["RSQ_profit_asset"] > 0.8
 
-    lean = build_public_network(params, corpus, private, public, partitions=1, store_all_peers=False)
+    lean = build_public_network(params, corpus, private, public, partitions=1)
     assert lean.peers.count() == int(24 * 23 * 0.2) and lean.regression.count() == net.regression.count()
 
     other = build_private_network(params, net.model, net.vectors, corpus, private, firm)

@@ -39,9 +39,7 @@ def test_rank_within_hot_groups(spark):
 
 
 @pytest.mark.parametrize("k", [0, 1, 1666, 1667, 1700, 2500, 4999, 5000, 6000])
-@pytest.mark.parametrize("one_task", [0, 10**9])
-def test_top_rows(spark, monkeypatch, k, one_task):
-    monkeypatch.setattr(rank, "ONE_TASK_ROWS", one_task)
+def test_top_rows(spark, k):
     rows = rows_with_hot_score(5000)
     got = rank.top_rows(frame(spark, rows), k, "s", ["a", "b"], bins=16).collect()
     assert sorted(tuple(r) for r in got) == sorted(best(rows, k))
@@ -62,9 +60,9 @@ def test_scores_outside_the_bounds_still_count(spark):
     assert [r["b"] for r in got] == [1]
 
 
-def test_not_finite_scores_are_refused(spark):
+def test_infinite_scores_are_refused(spark):
     with pytest.raises(ValueError):
-        rank.top_rows(frame(spark, [(float("nan"), 1, 1), (0.1, 1, 2)]), 1, "s", ["a", "b"])
+        rank.top_rows(frame(spark, [(float("inf"), 1, 1), (0.1, 1, 2)]), 1, "s", ["a", "b"])
 
 
 @settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
@@ -102,3 +100,13 @@ def test_assign_ids(spark):
     new = spark.createDataFrame([("c", 3), ("c", 1), ("d", 2), ("a", 0)], "company string, master_id bigint")
     got = rank.assign_ids(dim, new, "company", "master_id").orderBy("firm_id").collect()
     assert [tuple(r) for r in got] == [("c", 1, 10), ("d", 2, 11)]
+
+
+@pytest.mark.parametrize("bounds", [None, (-1.0, 1.0)])
+@pytest.mark.parametrize("descending", [True, False])
+def test_missing_scores_come_last(spark, bounds, descending):
+    rows = [(None, 1, 1), (float("nan"), 0, 2), (0.82, 3, 3), (0.74, 4, 4), (-0.5, 5, 5)]
+    for k in range(1, 5):
+        got = {r["b"] for r in rank.top_rows(frame(spark, rows), k, "s", ["a", "b"], descending, bounds).collect()}
+        order = [3, 4, 5, 2, 1] if descending else [5, 4, 3, 2, 1]
+        assert got == set(order[:k])

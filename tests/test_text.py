@@ -24,6 +24,10 @@ def words(spark, html, sep=""):
     ("&#97;bc &#x64;ef &#8212;ghi x&#zz;jkl", ["abc", "def", "ghi", "jkl"]),
     ("<button>press</button><select><option>pick</option></select>kept", ["kept"]),
     ("<title>Top</title><noscript>plain</noscript>", ["Topplain"]),
+    ("<x " + " ".join(f"a{i}='>leaked words'" for i in range(200)) + ">shown", ["shown"]),
+    ("alpha&nbsp beta&amp gamma&copy delta&notit AT&Tall", ["alpha", "beta", "gamma", "delta", "Tall"]),
+    ("x&#0000000065;y x&#x00000000042;y", ["xAy", "xBy"]),
+    ("abc&#99999999999999999999;def &#x1F600;ghi", ["abc", "def", "ghi"]),
     ("", []),
 ])
 def test_words(spark, html, want):

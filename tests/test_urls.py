@@ -18,7 +18,11 @@ def test_registrable_domain(spark):
         "https://www.h.com:8080/x?q": "h.com",
         "http://user:pw@www.h.org/": "h.org",
         "http://a.com?q=b.net": "a.com",
-        "WWW.Example.COM": "Example.COM",
+        "WWW.Example.COM": "example.com",
+        "HTTP://Www.Foo.COM/x": "foo.com",
+        "ftp://www.foo.com./x": "foo.com",
+        "https://[2001:DB8::1]:80/x": "[2001:db8::1]",
+        "www.foo.co.uk..": "foo.co.uk",
         "10.0.0.1": "10.0.0.1",
         "localhost": "localhost",
         "": "",
