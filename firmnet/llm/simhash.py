@@ -286,15 +286,16 @@ def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shi
     """Rows of ``docs`` without near copies: the one with the smallest id of each component, or all columns' first by
     hash where ids repeat; rows without id stay only where no row of their component has one."""
     columns = docs.columns
-    packed = docs.select(F.struct(*(F.col(c) for c in columns)).alias("_row"), F.col(doc_id).alias("_doc"),
-                         fingerprint_column(text, shingle).alias("_fp"), F.xxhash64(*(F.col(c) for c in columns)).alias("_hash"))
-    keys = materialize(packed.select(F.col("_doc").cast("long").alias("doc_id"), F.col("_fp").alias("fp"), F.col("_hash").alias("hash")), "fingerprints")
+    packed = docs.select(F.struct(*(F.col(c) for c in columns)).alias("_row"), F.col(doc_id).cast("long").alias("_doc"),
+                         F.xxhash64(*(F.col(c) for c in columns)).alias("_hash"))
+    keys = materialize(docs.select(F.col(doc_id).cast("long").alias("doc_id"), fingerprint_column(text, shingle).alias("fp"),
+                                   F.xxhash64(*(F.col(c) for c in columns)).alias("hash")), "fingerprints")
     order = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("d"), F.col("hash").alias("h"))
     least = materialize(keys.groupBy("fp").agg(F.min(order).alias("o"), F.count("*").alias("rows")), "distinct")
     roots = materialize(contract(links(least.select("fp"), distance)), "roots")
     named = least.join(roots, least["fp"] == roots["id"], "left").select("o", "fp", F.coalesce("root", "fp").alias("root"))
     kept = named.groupBy("root").agg(F.min(F.struct("o", "fp")).alias("k")).select(
-        F.col("k.fp").alias("_kfp"), F.col("k.o.d").alias("_kdoc"), F.col("k.o.h").alias("_khash"))
+        F.col("k.o.d").alias("_kdoc"), F.col("k.o.h").alias("_khash")).distinct()
     kept = materialize(kept, "kept")
-    found = packed.join(kept, (F.col("_hash") == F.col("_khash")) & F.col("_doc").cast("long").eqNullSafe(F.col("_kdoc")) & (F.col("_fp") == F.col("_kfp")))
+    found = packed.join(kept, (F.col("_hash") == F.col("_khash")) & F.col("_doc").eqNullSafe(F.col("_kdoc")))
     return found.dropDuplicates(["_hash"]).select(*(F.col("_row").getField(c).alias(c) for c in columns))
