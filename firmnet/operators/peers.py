@@ -35,11 +35,21 @@ def public_peers(vectors: DataFrame, public: DataFrame, top_k: int | None = None
     """
     if top_k is None:
         return cosine_pairs(public_vectors(vectors, public), "firm_id", "v", **options)
-    ids = public.select("company", F.col("firm_id").cast("bigint").alias("_firm"))
-    marked = vectors.select("company", "v").join(ids, "company", "left")
-    edges = cosine_pairs(marked, "company", "v", top_k=top_k, self_uses_rank=True,
-                         focal=F.col("_firm").isNotNull(), **options)
-    return to_firm_edges(edges, public)
+    return _known_best(vectors, public, top_k=top_k, self_uses_rank=True, **options)
+
+
+def _known_best(vectors: DataFrame, firm: DataFrame, **cuts) -> DataFrame:
+    """Best pairs of all companies, by firm id, where both ends are known.
+
+    Company and firm id travel through the tiles as one key, so nothing is joined onto the edges; equal
+    scores are ranked by company.
+    """
+    ids = firm.select("company", F.col("firm_id").cast("bigint").alias("firm"))
+    keyed = vectors.where(F.col("company").isNotNull()).select("company", "v").join(ids, "company", "left")
+    edges = cosine_pairs(keyed.select(F.struct("company", "firm").alias("key"), "v"), "key", "v",
+                         focal=F.col("key.firm").isNotNull(), **cuts)
+    return edges.where(F.col("rival_firmid.firm").isNotNull()).select(
+        F.col("focal_firmid.firm").alias("focal_firmid"), F.col("rival_firmid.firm").alias("rival_firmid"), "wtnic_score")
 
 
 def to_firm_edges(edges: DataFrame, firm: DataFrame) -> DataFrame:
@@ -56,14 +66,9 @@ def private_peers(vectors: DataFrame, firm: DataFrame, percent: float = 15.0, th
                   **options) -> DataFrame:
     """Each firm's best ``percent`` of all entities, then known rivals, then the threshold.
 
-    Unknown entities keep their place in the ranks but are no edges' end. Ids are attached to the
-    vectors before pairing, which is cheaper than joining them onto the edges.
+    Unknown entities keep their place in the ranks but are no edges' end.
     """
-    ids = firm.select("company", F.col("firm_id").cast("bigint").alias("_firm"))
-    marked = vectors.select("company", "v").join(ids, "company", "left")
-    edges = cosine_pairs(marked, "company", "v", min_score=threshold, focal=F.col("_firm").isNotNull(),
-                         top_k=percent_count(vectors.count(), percent), **options)
-    return to_firm_edges(edges, firm)
+    return _known_best(vectors, firm, min_score=threshold, top_k=percent_count(vectors.count(), percent), **options)
 
 
 def _renamed(metrics: DataFrame, key: str, prefix: str) -> DataFrame:

@@ -15,6 +15,7 @@ from firmnet.storage import materialize
 
 BLOCK_ROWS = 8192   # vectors per block: two blocks of 200 doubles are 26 MB in a task
 STRIP_ROWS = 256    # focal rows multiplied at a time: one strip of scores is 16 MB
+FOCAL_BINS = 256    # score bins counted for each focal row
 MIN_BLOCK_ROWS = 64
 DECIMALS = 6
 
@@ -22,8 +23,9 @@ DECIMALS = 6
 def _tile_worker(consume, strip_rows: int):
     """Worker of one tile: multiplies its two blocks strip by strip and hands each strip to ``consume``.
 
-    ``consume(focal_ids, rival_ids, scores, own)`` yields record batches; ``own`` marks self pairs. A
-    tile serves both directions; one on the diagonal holds a single block.
+    ``consume(focal_ids, rival_ids, scores, own, cuts)`` yields record batches; ``own`` marks self pairs,
+    ``cuts`` holds the focal rows' own cuts (bin, places left in it) where the tile carries them. A tile
+    serves both directions; one on the diagonal holds a single block.
     """
 
     decimals = DECIMALS
@@ -47,13 +49,16 @@ def _tile_worker(consume, strip_rows: int):
             if not np.isfinite(m).all():
                 raise ValueError(f"vector of {ids[int((~np.isfinite(m)).any(axis=1).argmax())]} has a missing or infinite component")
             length = np.sqrt((m * m).sum(axis=1, keepdims=True))
-            return ids, focal, m / np.where(length > 0, length, 1.0)
+            cuts = None
+            if "cut" in table.column_names:
+                cuts = np.stack([rows.column(c).fill_null(-1).to_numpy() for c in ("cut", "places")], axis=1)
+            return ids, focal, m / np.where(length > 0, length, 1.0), cuts
 
         one, two = block(0), block(1)
         if len(one[0]) and len(two[0]) and one[2].shape[1] != two[2].shape[1]:
             raise ValueError(f"vectors of {one[0][0]} and {two[0][0]} have different lengths")
         sides = ([(one, two), (two, one)] if len(one[0]) else []) if len(two[0]) else [(one, one)]
-        for (a_ids, a_focal, a), (b_ids, _, b) in sides:
+        for (a_ids, a_focal, a, cuts), (b_ids, _, b, _) in sides:
             for s in range(0, len(a_focal), strip_rows):
                 pick = a_focal[s:s + strip_rows]
                 # Rounded to six digits, so that equal scores tie on every machine; no negative zero.
@@ -61,25 +66,21 @@ def _tile_worker(consume, strip_rows: int):
                 own = np.zeros(scores.shape, dtype=bool)
                 if a is b:
                     own[np.arange(len(pick)), pick] = True
-                yield from consume(a_ids.take(pa.array(pick)), b_ids, scores, own)
+                yield from consume(a_ids.take(pa.array(pick)), b_ids, scores, own, None if cuts is None else cuts[pick])
 
     # The annotations select the streaming form of the call, which sends each batch as it is ready.
     run.__annotations__ = {"batches": Iterator[pa.RecordBatch], "return": Iterator[pa.RecordBatch]}
     return run
 
 
-def _emit_best(min_score: float | None, top_k: int | None):
-    def consume(focal_ids, rival_ids, scores, own):
+def _emit_all(min_score: float | None):
+    def consume(focal_ids, rival_ids, scores, own, _cuts):
         import numpy as np
         import pyarrow as pa
 
         keep = ~own
         if min_score is not None:
             keep &= scores >= min_score
-        if top_k is not None and 0 < top_k < scores.shape[1]:
-            # Nothing below the k-th best of this tile can be among the k best overall; ties stay.
-            at = scores.shape[1] - top_k
-            keep &= scores >= np.partition(np.where(own, -np.inf, scores), at, axis=1)[:, at][:, None]
         r, c = np.nonzero(keep)
         if len(r):
             columns = [focal_ids.take(pa.array(r)), rival_ids.take(pa.array(c)), pa.array(scores[r, c])]
@@ -88,8 +89,44 @@ def _emit_best(min_score: float | None, top_k: int | None):
     return consume
 
 
+def _count_focal_bins(bins: int, min_score: float | None):
+    def consume(focal_ids, rival_ids, scores, own, _cuts):
+        import numpy as np
+        import pyarrow as pa
+
+        place = np.clip(np.floor((1.0 - scores) * (bins / 2.0)), 0, bins - 1).astype(np.int64)
+        keep = ~own
+        if min_score is not None:
+            keep &= scores >= min_score
+        counts = np.bincount((place + np.arange(len(place))[:, None] * bins)[keep], minlength=len(place) * bins)
+        (used,) = np.nonzero(counts)
+        if len(used):
+            columns = [focal_ids.take(pa.array(used // bins)), pa.array(used % bins), pa.array(counts[used])]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "bin", "n"])
+
+    return consume
+
+
+def _emit_to_cuts(bins: int, min_score: float | None):
+    def consume(focal_ids, rival_ids, scores, own, cuts):
+        import numpy as np
+        import pyarrow as pa
+
+        place = np.clip(np.floor((1.0 - scores) * (bins / 2.0)), 0, bins - 1).astype(np.int64)
+        keep = ~own & (place <= cuts[:, :1])
+        if min_score is not None:
+            keep &= scores >= min_score
+        r, c = np.nonzero(keep)
+        if len(r):
+            places = np.where(place[r, c] == cuts[r, 0], cuts[r, 1], 0)
+            columns = [focal_ids.take(pa.array(r)), rival_ids.take(pa.array(c)), pa.array(scores[r, c]), pa.array(places)]
+            yield pa.RecordBatch.from_arrays(columns, names=["focal_firmid", "rival_firmid", "wtnic_score", "places"])
+
+    return consume
+
+
 def _count_bins(bins: int):
-    def consume(focal_ids, rival_ids, scores, own):
+    def consume(focal_ids, rival_ids, scores, own, _cuts):
         import numpy as np
         import pyarrow as pa
 
@@ -103,7 +140,7 @@ def _count_bins(bins: int):
 
 
 def _emit_bins(bins: int, cut: int):
-    def consume(focal_ids, rival_ids, scores, own):
+    def consume(focal_ids, rival_ids, scores, own, _cuts):
         import numpy as np
         import pyarrow as pa
 
@@ -124,8 +161,9 @@ def block_count(n: int, block_rows: int, parallelism: int) -> int:
     return max(1, bounded, min(spread, n // MIN_BLOCK_ROWS))
 
 
-def _tiles(vectors: DataFrame, id_col: str, vec_col: str, focal: Column | None, block_rows: int) -> tuple[DataFrame, str]:
-    """Vectors sent to the tiles they take part in, and the type of their ids.
+def _tiles(vectors: DataFrame, id_col: str, vec_col: str, focal: Column | None, block_rows: int,
+           extra: tuple[str, ...] = ()) -> tuple[DataFrame, str]:
+    """Vectors (and ``extra`` columns) sent to the tiles they take part in, and the type of their ids.
 
     Ids are hashed into B blocks and each row goes to the B tiles of its block. B grows with the row
     count, so a task holds two blocks whatever the size of the input.
@@ -138,11 +176,12 @@ def _tiles(vectors: DataFrame, id_col: str, vec_col: str, focal: Column | None,
         F.col(vec_col).alias("v"),
         (F.lit(True) if focal is None else F.coalesce(focal, F.lit(False))).alias("focal"),
         F.pmod(F.xxhash64(id_col), F.lit(b)).cast("int").alias("block"),
+        *extra,
     )
     tiled = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(b - 1)))).select(
         (F.least("block", "other").cast("bigint") * b + F.greatest("block", "other")).alias("tile"),
         F.when(F.col("block") <= F.col("other"), 0).otherwise(1).cast("tinyint").alias("side"),
-        "id", "focal", "v",
+        "id", "focal", "v", *extra,
     )
     # A fixed partition number: adaptive coalescing goes by bytes and would line heavy tiles up in one task.
     parts = min(b * (b + 1) // 2, max(4 * spark.sparkContext.defaultParallelism,
@@ -159,17 +198,41 @@ def cosine_pairs(vectors: DataFrame, id_col: str = "firm_id", vec_col: str = "v"
     then rival id. Both cuts are monotone in the score, so the threshold may be applied first.
     ``self_uses_rank`` lets the firm itself take one of the k places. ``focal`` limits which rows act
     as focal; every row can be a rival. Ids have to be unique. Pairs below the cut never become rows.
+
+    With ``top_k`` the tiles are multiplied twice, however large k is: once to count each focal's scores
+    by bin, which gives the bin its cut falls into, and once to emit the pairs up to that bin. Only pairs
+    in a focal's cut bin are ranked.
     """
+    if top_k is not None:
+        return _best_pairs(vectors, id_col, vec_col, min_score, top_k - 1 if self_uses_rank else top_k, focal, block_rows)
     tiles, id_type = _tiles(vectors, id_col, vec_col, focal, block_rows)
-    rivals = None if top_k is None else max(0, top_k - 1 if self_uses_rank else top_k)
-    edges = tiles.groupBy("tile").applyInArrow(
-        _tile_worker(_emit_best(min_score, rivals), STRIP_ROWS),
+    return tiles.groupBy("tile").applyInArrow(
+        _tile_worker(_emit_all(min_score), STRIP_ROWS),
         f"focal_firmid {id_type}, rival_firmid {id_type}, wtnic_score double",
     )
-    if rivals is None:
-        return edges
+
+
+def _best_pairs(vectors: DataFrame, id_col: str, vec_col: str, min_score: float | None, k: int, focal: Column | None,
+                block_rows: int) -> DataFrame:
+    rows = vectors.select(F.col(id_col).alias("id"), F.col(vec_col).alias("v"),
+                          (F.lit(True) if focal is None else F.coalesce(focal, F.lit(False))).alias("focal"))
+    rows = materialize(rows, "pair-vectors")  # read by both passes
+    tiles, id_type = _tiles(rows, "id", "v", F.col("focal"), block_rows)
+    counted = tiles.groupBy("tile").applyInArrow(_tile_worker(_count_focal_bins(FOCAL_BINS, min_score), STRIP_ROWS),
+                                                 f"id {id_type}, bin bigint, n bigint")
+    better = F.coalesce(F.sum("n").over(W.partitionBy("id").orderBy("bin").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    bins = counted.groupBy("id", "bin").agg(F.sum("n").alias("n")).withColumn("_better", better)  # at most 256 for each id
+    cuts = bins.where(F.col("_better") < k).groupBy("id").agg(F.max(F.struct("bin", "_better")).alias("_cut")).select(
+        "id", F.col("_cut.bin").alias("cut"), (F.lit(k) - F.col("_cut._better")).cast("bigint").alias("places"))
+    cut_rows = materialize(rows.join(cuts, "id", "left"), "cut-vectors")
+    tiles, id_type = _tiles(cut_rows, "id", "v", F.col("focal") & F.col("cut").isNotNull(), block_rows, ("cut", "places"))
+    found = tiles.groupBy("tile").applyInArrow(
+        _tile_worker(_emit_to_cuts(FOCAL_BINS, min_score), STRIP_ROWS),
+        f"focal_firmid {id_type}, rival_firmid {id_type}, wtnic_score double, places bigint")
+    found = materialize(found, "best-pairs")
     best = W.partitionBy("focal_firmid").orderBy(F.desc("wtnic_score"), "rival_firmid")
-    return edges.withColumn("_rank", F.row_number().over(best)).where(F.col("_rank") <= rivals).drop("_rank")
+    edge = found.where("places > 0").withColumn("_rank", F.row_number().over(best)).where(F.col("_rank") <= F.col("places"))
+    return found.where("places = 0").drop("places").unionByName(edge.drop("places", "_rank"))
 
 
 def top_fraction_of_pairs(vectors: DataFrame, firms: int, fraction: float = 0.02, id_col: str = "firm_id",
