@@ -1,8 +1,9 @@
 """Approximate nearest neighbours with a forest of random-projection trees.
 
 The trees are fitted on a bounded sample; every row is routed to its leaf in each tree. A query walks all trees through
-one priority queue, best margin first, until the leaves it has opened hold a given share of the rows. Leaves and the
-queries that open them meet in one task, which multiplies them, and keeps each query's nearest rows by the exact cosine.
+one priority queue, best margin first, until the leaves it has opened hold a given share of the rows. Blocks of rows, with
+their leaves, and blocks of queries, with the leaves they opened, meet in one task: a query's candidates are the rows in its
+leaves, counted once whatever the number of trees, and the nearest of them by the exact cosine stay.
 """
 
 from __future__ import annotations
@@ -22,8 +23,9 @@ from firmnet.storage import materialize
 TREES = 8
 SAMPLE = 8192  # rows the trees are fitted on, at most
 LEAF = 64  # rows of the sample in a leaf
-SHARE = 1.0  # of all rows that a query inspects, counting a row once for each tree
-CELL = 4096  # rows, and queries, of a leaf that meet in one task
+SHARE = 1.5  # of all rows that a query inspects, counting a row once for each tree
+CELL = 4096  # rows, and queries, that meet in one task
+STRIP = 256  # queries compared at a time
 
 
 @dataclass
@@ -98,26 +100,27 @@ def _forest(sample: np.ndarray, trees: int) -> list[Tree]:
 
 def _route(trees: list[Tree]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each row with its leaf in every tree, numbered through all trees."""
         for batch in batches:
-            ids, vectors = batch.column(0), batch.column(1)
-            x = _unit(vectors) if len(vectors) else np.zeros((0, 1))
-            for k, tree in enumerate(trees):
-                leaf = tree.leaf(x) if len(x) else np.zeros(0, np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(leaf), k)), pa.array(leaf), ids, vectors],
-                                                 names=["tree", "leaf", "id", "x"])
+            if batch.num_rows:
+                x = _unit(batch.column(1))
+                leaves = np.stack([(k << len(t.planes)) + t.leaf(x) for k, t in enumerate(trees)], axis=1)
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(list(leaves), pa.list_(pa.int64()))],
+                                                 names=["id", "x", "leaves"])
 
     return run
 
 
 def _probe(trees: list[Tree], sizes: list[np.ndarray], budget: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each query with the leaves it opens, one bit for each leaf of all trees."""
         for batch in batches:
-            x = _unit(batch.column(1)) if batch.num_rows else np.zeros((0, 1))
-            for i, q in enumerate(x):
-                found = np.array(search(q, trees, sizes, budget), np.int64).reshape(-1, 2)
-                take = pa.array(np.full(len(found), i))
-                yield pa.RecordBatch.from_arrays([pa.array(found[:, 0].copy()), pa.array(found[:, 1].copy()), batch.column(0).take(take),
-                                                  batch.column(1).take(take)], names=["tree", "leaf", "id", "x"])
+            if batch.num_rows:
+                opened = np.zeros((batch.num_rows, sum(len(s) for s in sizes)), bool)
+                for i, q in enumerate(_unit(batch.column(1))):
+                    opened[i, [(k << len(trees[k].planes)) + leaf for k, leaf in search(q, trees, sizes, budget)]] = True
+                bits = pa.array([b.tobytes() for b in np.packbits(opened, axis=1)], pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), bits], names=["id", "x", "opened"])
 
     return run
 
@@ -128,31 +131,55 @@ def cosines(q: np.ndarray, rows: np.ndarray) -> np.ndarray:
     return dots / (np.sqrt((rows * rows).sum(1)) * np.sqrt((q * q).sum()))
 
 
-def nearest(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, rows: np.ndarray, k: int) -> pd.DataFrame:
-    """The k nearest rows of each query, ties to smaller ids; a fast product picks those worth the exact measure."""
+_NONE = pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64", "score": float})
+
+
+def nearest(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, rows: np.ndarray, k: int,
+            candidate: np.ndarray | None = None) -> pd.DataFrame:
+    """The k nearest ids of each query, ties to smaller ones; a fast product picks the rows worth the exact measure.
+
+    ``candidate`` (queries x rows) says which rows a query may take; without it, all. An id counts with its best row.
+    """
     # Large or tiny components are scaled away before the product, so it cannot overflow.
     unit = lambda v: (y := v / np.abs(v).max(1, keepdims=True)) / np.sqrt((y * y).sum(1, keepdims=True))
     rough = unit(queries) @ unit(rows).T
     rough[query_ids[:, None] == ids[None, :]] = -np.inf
+    if candidate is not None:
+        rough[~candidate] = -np.inf
     out = []
     for i, (qid, q) in enumerate(zip(query_ids, queries)):
         row, usable = rough[i], int((rough[i] > -np.inf).sum())
-        if not usable:
-            continue
-        least = np.partition(row, len(row) - min(k, usable))[len(row) - min(k, usable)]
-        near = np.flatnonzero((row >= least - 1e-9) & (row > -np.inf))
-        exact = cosines(q, rows[near])
-        exact = np.where(np.isfinite(exact), exact, row[near])  # squares out of the range of doubles
-        order = np.lexsort((ids[near], -exact))[:k]
-        out.append(pd.DataFrame({"query_id": qid, "vec_id": ids[near][order], "score": exact[order]}))
-    return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
+        want, best = k, np.zeros(0, np.int64)
+        while usable:
+            at = len(row) - min(want, usable)
+            near = np.flatnonzero((row >= np.partition(row, at)[at] - 1e-9) & (row > -np.inf))
+            exact = cosines(q, rows[near])
+            exact = np.where(np.isfinite(exact), exact, row[near])  # squares out of the range of doubles
+            order = np.lexsort((ids[near], -exact))
+            best = order[np.sort(np.unique(ids[near][order], return_index=True)[1])][:k]
+            if len(best) == k or want >= usable:
+                break
+            want *= 2  # an id with several vectors took more than one place
+        if len(best):
+            out.append(pd.DataFrame({"query_id": qid, "vec_id": ids[near][best], "score": exact[best]}))
+    return pd.concat(out) if out else _NONE
 
 
 def _rerank(k: int):
     def run(rows: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
+        """Rows in the leaves that a query opened, in any tree, are its candidates."""
         if rows.empty or queries.empty:
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64", "score": float})
-        return nearest(queries.id.to_numpy(), np.stack(queries.x), rows.id.to_numpy(), np.stack(rows.x), k)
+            return _NONE
+        ids, x, leaves = rows.id.to_numpy(), np.stack(rows.x), np.stack(rows.leaves)
+        out = []
+        for s in range(0, len(queries), STRIP):
+            own = queries.iloc[s:s + STRIP]
+            opened = np.unpackbits(np.stack([np.frombuffer(b, np.uint8) for b in own.opened]), axis=1).astype(bool)
+            candidate = np.zeros((len(own), len(x)), bool)
+            for tree in leaves.T:
+                candidate |= opened[:, tree]
+            out.append(nearest(own.id.to_numpy(), np.stack(own.x), ids, x, k, candidate))
+        return pd.concat(out)
 
     return run
 
@@ -163,36 +190,34 @@ def neighbours(vectors: DataFrame, queries: DataFrame, k: int = 5, vec_id: str =
 
     Vectors that are NULL, zero, or hold NULL, NaN or infinite components take no part, and rows with a NULL id neither.
     Vectors of different lengths never meet: each length has a forest of its own. A repeated id counts once, with its
-    largest score. The search inspects at least enough rows to fill k places, and all rows of a small table. Hot leaves
-    are dealt into cells of bounded size on both sides. Collected are the sample and the leaf sizes, both bounded.
+    largest score; repeated rows are merged first. The search inspects at least enough rows to fill k places, and all
+    rows of a small table. Rows and queries are hashed into blocks, so a hot leaf spreads over all tasks and a task holds
+    one block of each. Collected are the sample and the leaf sizes, both bounded.
     """
     x, fine = _valid(vector)
     form = lambda df: df.where(F.col(vec_id).isNotNull() & fine).select(F.col(vec_id).cast("long").alias("id"), x.alias("x"))
-    rows, asked = materialize(form(vectors), "vectors"), materialize(form(queries), "queries")
+    rows, asked = (materialize(form(df).distinct(), name) for df, name in ((vectors, "vectors"), (queries, "queries")))
     parts = []
     for (n_dims,) in rows.select(F.size("x")).distinct().collect():
         own, mine = rows.where(F.size("x") == n_dims), asked.where(F.size("x") == n_dims)
         sample = own.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("x").toArrow().column("x").combine_chunks()
         forest = _forest(_unit(sample), trees)
-        form_ = "tree long, leaf long, id long, x array<double>"
-        index = materialize(own.mapInArrow(_route(forest), form_), "index")
-        counts = index.groupBy("tree", "leaf").count().collect()  # trees x leaves, fixed by the sample
-        sizes = [np.zeros(1 << len(t.planes), np.int64) for t in forest]
+        index = materialize(own.mapInArrow(_route(forest), "id long, x array<double>, leaves array<long>"), "index")
+        counts = index.select(F.explode("leaves").alias("leaf")).groupBy("leaf").count().collect()  # fixed by the sample
+        flat = np.zeros(sum(1 << len(t.planes) for t in forest), np.int64)
         for r in counts:
-            sizes[r["tree"]][r["leaf"]] = r["count"]
-        n = int(sizes[0].sum())
+            flat[r["leaf"]] = r["count"]
+        sizes = np.split(flat, trees)  # trees grown on one sample are equally deep
+        n, n_asked = int(sizes[0].sum()), mine.count()
         budget = max(share * n, trees * max(4 * k, LEAF))
-        probes = materialize(mine.mapInArrow(_probe(forest, sizes, budget), form_), "probes")
-        opened = {(r["tree"], r["leaf"]): r["count"] for r in probes.groupBy("tree", "leaf").count().collect()}
-        cells = [(r["tree"], r["leaf"], -(-r["count"] // CELL), -(-opened.get((r["tree"], r["leaf"]), 0) // CELL)) for r in counts]
-        cells = F.broadcast(own.sparkSession.createDataFrame(cells, "tree long, leaf long, a long, b long"))
-        salt = F.xxhash64("id", "x")
-        left = index.join(cells, ["tree", "leaf"]).where("b > 0").withColumn("i", F.pmod(salt, F.col("a"))).withColumn(
-            "j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("b") - 1)))
-        right = probes.join(cells, ["tree", "leaf"]).withColumn("j", F.pmod(salt, F.col("b"))).withColumn(
-            "i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("a") - 1)))
-        cell = ["tree", "leaf", "i", "j"]
-        parts.append(left.select(*cell, "id", "x").groupBy(*cell).cogroup(right.select(*cell, "id", "x").groupBy(*cell)).applyInPandas(
+        probes = mine.mapInArrow(_probe(forest, sizes, budget), "id long, x array<double>, opened binary")
+        # A row goes to the cells of its block of rows, one for each block of queries, and the other way round.
+        a, b = -(-n // CELL) or 1, -(-n_asked // CELL) or 1
+        block = lambda blocks: F.pmod(F.xxhash64("id", "x"), F.lit(blocks))
+        every = lambda blocks: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))
+        left = index.withColumn("i", block(a)).withColumn("j", every(b))
+        right = probes.withColumn("j", block(b)).withColumn("i", every(a))
+        parts.append(left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInPandas(
             _rerank(k), "query_id long, vec_id long, score double"))
     if not parts:
         return rows.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
