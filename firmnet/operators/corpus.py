@@ -32,12 +32,16 @@ def firm_pages(corpus: DataFrame, year: int, span: int = 4, max_level: int = 3)
     return kept.withColumn("words", F.coalesce(normalise_words(F.col("words")), none))
 
 
+def company_domains(companies: DataFrame) -> DataFrame:
+    """(_company, company): each listed company and the registrable domain its pages are stored by."""
+    listed = companies.select(F.col("company").alias("_company")).where(F.col("_company") != "").distinct()
+    return with_registrable_domain(listed, "_company", "company")
+
+
 def firm_text(companies: DataFrame, pages: DataFrame) -> DataFrame:
     """Pages of each listed company. Pages are stored by registrable domain, and companies may be keyed
     by domain and path, so several of them can share the pages of one domain."""
-    listed = companies.select("company").where(F.col("company") != "").distinct()
-    keyed = with_registrable_domain(listed.withColumnRenamed("company", "_company"), "_company", "company")
-    shared = pages.join(keyed, "company").drop("company")
+    shared = pages.join(company_domains(companies), "company").drop("company")
     return shared.withColumnRenamed("_company", "company").select(*pages.columns)
 
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.ml.functions import vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -484,13 +486,27 @@ def j11(spark, sf_dir):
 
 @query("j12_trained_or_inferred")
 def j12(spark, sf_dir):
-    """Which firms keep their trained vector and which have one computed from enough text."""
+    """Which firms keep their trained vector, unchanged, and which have one computed from enough text."""
     pages = st.doc_corpus(spark, sf_dir)
     even = F.col("page").try_cast("bigint") % 2 == 0
-    trained = pages.where(even).select("company", F.array(F.lit(0.0)).alias("v"))
-    model = encoder.fit_encoder(pages.where(even), dim=1, epochs=1, min_count=5, partitions=8)
+    stored = F.array(*(F.col("company").try_cast("double") + k for k in range(3)))
+    trained = pages.where(even).select("company", stored.alias("v"))
+    model = encoder.fit_encoder(pages.where(even), dim=3, epochs=1, min_count=5, partitions=8)
     both = encoder.infer_vectors(model, trained, pages, pages.select("company"), 100)
-    return both.select("company", F.size("v").alias("dim"))
+    return both.select("company", F.size("v").alias("dim"), (F.col("v") == stored).alias("is_stored"))
+
+
+@query("j12_firms_of_one_domain")
+def j12b(spark, sf_dir):
+    """Firms keyed below the pages' domains: all firms of a domain have one vector."""
+    pages = materialize(corpus.firm_pages(ingest.pages_of_records(st.records(spark, sf_dir)), YEAR), "pages")
+    keyed = urls.with_registrable_domain(st.table(spark, sf_dir, "pages"), "url", "domain")
+    listed = keyed.select("domain", F.concat("domain", F.lit("_"), "page_id").alias("company"))
+    model = encoder.fit_encoder(pages, dim=3, epochs=1, min_count=5, partitions=8)
+    none = spark.createDataFrame([], "company string, v array<double>")
+    found = encoder.infer_vectors(model, none, pages, listed, 100)
+    return found.join(listed, "company").groupBy(F.col("domain").alias("company")).agg(
+        F.count("*").alias("firms"), F.countDistinct("v").alias("vectors"))
 
 
 @query("j13_entity_codes")
@@ -791,13 +807,23 @@ def _encoder(spark, sf_dir):
 @query("m1_word_vectors")
 def m1(spark, sf_dir):
     model, _ = _encoder(spark, sf_dir)
-    return model.getVectors().select("word", F.lit(32).alias("dim"))
+    v = vector_to_array("vector")
+    return model.getVectors().select("word", F.size(v).alias("dim"), (vectors.norm(v) > 0).alias("has_direction"))
 
 
 @query("m2_firm_vectors")
 def m2(spark, sf_dir):
+    """Each vector next to the mean of its words' vectors, weighted by their counts: how far apart they are at most."""
     model, pages = _encoder(spark, sf_dir)
-    return encoder.encode(model, pages).select("company", F.size("v").alias("dim"), "n_words")
+    counts = pages.select("company", F.explode("words").alias("word")).groupBy("company", "word").agg(
+        F.count("*").cast("double").alias("n"))
+    means = counts.join(model.getVectors(), "word").groupBy("company").agg(
+        Summarizer.mean(F.col("vector"), F.col("n")).alias("_mean"), F.sum("n").alias("_known"))
+    both = encoder.encode(model, pages).join(
+        means.select("company", vector_to_array("_mean").alias("_mean"), "_known"), "company", "left")
+    want = F.coalesce(F.transform("_mean", lambda x: x * F.col("_known") / F.col("n_words")), F.transform("v", lambda _: F.lit(0.0)))
+    gap = F.array_max(F.zip_with("v", want, lambda a, b: F.abs(a - b)))
+    return both.select("company", F.size("v").alias("dim"), "n_words", F.round(gap, 6).alias("deviation"))
 
 
 @query("m3_cosine_with_next")

@@ -281,8 +281,12 @@ ORACLE_SQL: dict[str, str] = {
     "j11_unseen_records": _with(RECORDS) + """SELECT archive_file, url FROM records r WHERE rec_type = 'response'
         AND NOT EXISTS (SELECT 1 FROM records l WHERE length(l.url) % 3 = 0 AND l.archive_file = r.archive_file
         AND l.url = r.url)""",
-    "j12_trained_or_inferred": _with(DOC_CORPUS) + """SELECT company, 1 AS dim FROM doc_corpus
-        WHERE CAST(page AS BIGINT) % 2 = 0 OR len(words) >= 100""",
+    "j12_trained_or_inferred": _with(DOC_CORPUS) + """SELECT company, 3 AS dim, CAST(page AS BIGINT) % 2 = 0 AS is_stored
+        FROM doc_corpus WHERE CAST(page AS BIGINT) % 2 = 0 OR len(words) >= 100""",
+    "j12_firms_of_one_domain": _with(RECORDS, PAGES) + f""", texts AS (SELECT company FROM page_rows
+        WHERE year BETWEEN 2012 AND 2016 AND level <= 3 GROUP BY 1 HAVING sum(len(words)) >= 100)
+        SELECT company, count(*) AS firms, CAST(1 AS BIGINT) AS vectors
+        FROM (SELECT {DOMAIN.format('url')} AS company FROM pages) JOIN texts USING (company) GROUP BY 1""",
     "j13_entity_codes": _with(PAGE_MASTER, PAGE_FIRM) + f"""SELECT {DOMAIN.format('m.company')} AS company, naics,
         count(*) AS entities FROM page_master m LEFT JOIN page_firm f ON f.company = {DOMAIN.format('m.company')}
         GROUP BY 1, 2""",
@@ -375,10 +379,11 @@ ORACLE_SQL: dict[str, str] = {
     "u3_regression_input_with_monopolists": NARROW_LR_INPUT + f"SELECT focal_firmid, {ROUNDED}, monopolist FROM lr",
     "u4_all_vectors": _with(VECTORS) + """SELECT company, CASE WHEN firm_id % 3 = 0 THEN 'trained' ELSE 'inferred' END AS origin,
         round(sqrt(list_dot_product(v, v)), 6) AS length FROM vectors""",
-    "m1_word_vectors": _with(DOC_CORPUS, FIRM_PAGES.format("doc_corpus")) + """SELECT word, 32 AS dim
+    "m1_word_vectors": _with(DOC_CORPUS, FIRM_PAGES.format("doc_corpus")) + """SELECT word, 32 AS dim, true AS has_direction
         FROM (SELECT unnest(words) AS word FROM firm_pages) GROUP BY 1 HAVING count(*) >= 5""",
     "m2_firm_vectors": _with(DOC_CORPUS, FIRM_PAGES.format("doc_corpus")) + """SELECT company, 32 AS dim,
-        CAST(sum(len(words)) AS BIGINT) AS n_words FROM firm_pages GROUP BY 1 HAVING sum(len(words)) > 0""",
+        CAST(sum(len(words)) AS BIGINT) AS n_words, CAST(0 AS DOUBLE) AS deviation FROM firm_pages GROUP BY 1
+        HAVING sum(len(words)) > 0""",
     "m3_cosine_with_next": _with(VECTORS) + """SELECT a.firm_id, round(list_cosine_similarity(a.v, b.v), 6) AS score
         FROM vectors a JOIN vectors b ON b.firm_id = a.firm_id + 1""",
     "t1_incremental_ingest": _with(RECORDS, PAGES) + """SELECT company, year, level, page,

@@ -155,3 +155,16 @@ def test_trained_vectors_are_reused(spark, pages):
     wanted = spark.createDataFrame([(c,) for c in ("f", "g", "h", "e", "", "zz")], "company string")
     got = {r["company"]: r["v"] for r in encoder.infer_vectors(model, trained, text, wanted, 100).collect()}
     assert set(got) == {"f", "h"} and got["f"] == [9.0, 9.0]
+
+
+def test_a_domain_is_encoded_once_for_all_its_firms(spark, monkeypatch):
+    pages = spark.createDataFrame([("a.com", 2000, 0, f"{i}", ["x", "y"]) for i in range(60)] + [("b.com", 2000, 0, "p", ["x"] * 200)],
+                                  "company string, year int, level int, page string, words array<string>")
+    model = encoder.fit_encoder(pages, dim=2, min_count=1, epochs=1, partitions=1)
+    none = spark.createDataFrame([], "company string, v array<double>")
+    wanted = spark.createDataFrame([(f"a.com_{i}",) for i in range(50)], "company string")
+    seen, encode = [], encoder.encode
+    monkeypatch.setattr(encoder, "encode", lambda m, p: seen.append(p.count()) or encode(m, p))
+    got = encoder.infer_vectors(model, none, pages, wanted, 100).collect()
+    assert seen == [60]
+    assert {r["company"] for r in got} == {f"a.com_{i}" for i in range(50)} and len({tuple(r["v"]) for r in got}) == 1
