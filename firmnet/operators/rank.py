@@ -58,6 +58,31 @@ def distributed_rank(df: DataFrame, order: Sequence[tuple[str, bool]], out: str
     return joined.select(*df.columns, (F.col("_before") + F.col("_at") - F.col("_first") + 1).alias(out))
 
 
+def running_sum(df: DataFrame, order: Sequence[tuple[str, bool]], value: str, out: str = "before",
+                group: Sequence[str] = ()) -> DataFrame:
+    """Add the sum of a whole-number ``value`` over all rows ahead in the order, or ahead within each ``group``.
+
+    Like :func:`distributed_rank` the rows are cut into ranges and written once; a range sums its own rows, and takes the sums
+    of the ranges ahead from a table of one row for each range and group. ``order`` has to be unique together with ``group``.
+    Give narrow rows: keys and the value. NULL values count as 0.
+    """
+    keys = [(g, True) for g in group] + list(order)
+    ranged = df.repartitionByRange(*_ordering(keys)).sortWithinPartitions(*_ordering(keys))
+    ranged = materialize(ranged.withColumn("_part", F.spark_partition_id()), "ranged")
+    own = W.partitionBy("_part", *group).orderBy(*_ordering(order)).rowsBetween(W.unboundedPreceding, -1)
+    ahead = W.partitionBy(*group).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    runs = ranged.groupBy("_part", *group).agg(F.sum(value).alias("_sum"))
+    runs = runs.select(F.col("_part").alias("_of"), *(F.col(g).alias(f"_of_{g}") for g in group),
+                       F.coalesce(F.sum("_sum").over(ahead), F.lit(0)).alias("_ahead"))
+    if not group:
+        runs = F.broadcast(runs)  # as many rows as there are partitions
+    same = F.col("_part") == F.col("_of")
+    for g in group:
+        same &= F.col(g).eqNullSafe(F.col(f"_of_{g}"))
+    within = ranged.withColumn("_own", F.coalesce(F.sum(value).over(own), F.lit(0)))
+    return within.join(runs, same).select(*df.columns, (F.col("_ahead") + F.col("_own")).alias(out))
+
+
 class ScoreBins:
     """Fixed number of equal-width bins, bin 0 holding the best scores; one bin more, behind all, for missing scores."""
 

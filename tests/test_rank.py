@@ -110,3 +110,16 @@ def test_missing_scores_come_last(spark, bounds, descending):
         got = {r["b"] for r in rank.top_rows(frame(spark, rows), k, "s", ["a", "b"], descending, bounds).collect()}
         order = [3, 4, 5, 2, 1] if descending else [5, 4, 3, 2, 1]
         assert got == set(order[:k])
+
+
+@pytest.mark.parametrize("group", [(), ("g",)])
+def test_running_sum_over_ranges_equals_a_plain_one(spark, group):
+    rows = [(None if i % 5 == 4 else i % 3, i * 7 % 101, None if i % 9 == 0 else i % 13) for i in range(101)]
+    df = spark.createDataFrame(rows, "g int, at int, v int").repartition(7)
+    got = {(r["g"], r["at"]): r["before"] for r in rank.running_sum(df, [("at", False)], "v", "before", list(group)).collect()}
+    want, sums = {}, {}
+    for g, at, v in sorted(rows, key=lambda r: -r[1]):
+        key = g if group else 0
+        want[g, at] = sums.get(key, 0)
+        sums[key] = want[g, at] + (v or 0)
+    assert got == want
