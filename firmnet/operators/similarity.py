@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from math import ceil
+from dataclasses import dataclass
+from math import acos, ceil, pi
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -13,27 +15,46 @@ from pyspark.sql import functions as F
 from firmnet.operators.rank import BINS, boundary, distributed_rank, fraction_count
 from firmnet.storage import materialize
 
-BLOCK_ROWS = 8192   # vectors per block: two blocks of 200 doubles are 26 MB in a task
-STRIP_ROWS = 256    # focal rows multiplied at a time: one strip of scores is 16 MB
-FOCAL_BINS = 256    # score bins counted for each focal row
+BLOCK_ROWS = 8192         # vectors per block, at least
+BLOCK_BYTES = 32 << 20    # vectors per block, in bytes: a task holds two blocks and their copies
+STRIP_BYTES = 16 << 20    # scores multiplied at a time
+TASK_BYTES = 256 << 20    # vectors sent to a task
+PIVOTS = 1024             # clusters that rows are put in for a threshold, at most
+POINTS = 128              # scores of a block that stand for all of them in a focal row's sketch
+SKETCH_K = 1024           # size of the sketches
+SKETCH_SAFETY = 2.0       # times the sketch's error at 99 %; a cut that still misses is found and done in full
+GRID = 512                # quantiles read from a sketch
 MIN_BLOCK_ROWS = 64
 DECIMALS = 6
+SLACK = 1e-6              # of an angle or a score, for rounding
 
 
-def _tile_worker(consume, strip_rows: int):
+def _reader():
+    """Function (ids, vectors) -> rows scaled to length 1, where a zero vector stays zero. Made here so that it travels with its caller."""
+
+    def matrix(ids: pa.Array, v: pa.Array) -> np.ndarray:
+        dims = np.asarray(v.value_lengths()) if len(ids) else np.zeros(0, dtype=int)
+        if len(ids) and (dims != dims[0]).any():
+            raise ValueError(f"vector of {ids[int((dims != dims[0]).argmax())]} has another length than {dims[0]}")
+        m = np.asarray(v.flatten(), dtype=np.float64).reshape(len(ids), -1) if len(ids) else np.zeros((0, 0))
+        if not np.isfinite(m).all():
+            raise ValueError(f"vector of {ids[int((~np.isfinite(m)).any(axis=1).argmax())]} has a missing or infinite component")
+        length = np.sqrt((m * m).sum(axis=1, keepdims=True))
+        return m / np.where(length > 0, length, 1.0)
+
+    return matrix
+
+
+def _tile_worker(consume):
     """Worker of one tile: multiplies its two blocks strip by strip and hands each strip to ``consume``.
 
     ``consume(focal_ids, rival_ids, scores, own, cuts)`` yields record batches; ``own`` marks self pairs,
-    ``cuts`` holds the focal rows' own cuts (bin, places left in it) where the tile carries them. A tile
-    serves both directions; one on the diagonal holds a single block.
+    ``cuts`` holds the focal rows' own intervals (lo, hi) where the tile carries them. A tile serves both
+    directions; one on the diagonal holds a single block.
     """
-
-    decimals = DECIMALS
+    matrix = _reader()
 
     def run(batches):
-        import numpy as np
-        import pyarrow as pa
-
         table = pa.Table.from_batches(list(batches)).combine_chunks()
         side = table.column("side").to_numpy()
 
@@ -41,28 +62,21 @@ def _tile_worker(consume, strip_rows: int):
             rows = table.filter(pa.array(side == which)).combine_chunks()
             ids = rows.column("id").combine_chunks()
             focal = np.nonzero(rows.column("focal").to_numpy(zero_copy_only=False).astype(bool))[0]
-            v = rows.column("v").combine_chunks()
-            dims = np.asarray(v.value_lengths()) if len(ids) else np.zeros(0, dtype=int)
-            if len(ids) and (dims != dims[0]).any():
-                raise ValueError(f"vector of {ids[int((dims != dims[0]).argmax())]} has another length than {dims[0]}")
-            m = np.asarray(v.flatten(), dtype=np.float64).reshape(len(ids), -1) if len(ids) else np.zeros((0, 0))
-            if not np.isfinite(m).all():
-                raise ValueError(f"vector of {ids[int((~np.isfinite(m)).any(axis=1).argmax())]} has a missing or infinite component")
-            length = np.sqrt((m * m).sum(axis=1, keepdims=True))
             cuts = None
-            if "cut" in table.column_names:
-                cuts = np.stack([rows.column(c).fill_null(-1).to_numpy() for c in ("cut", "places")], axis=1)
-            return ids, focal, m / np.where(length > 0, length, 1.0), cuts
+            if "lo" in table.column_names:
+                cuts = np.stack([rows.column(c).to_numpy() for c in ("lo", "hi")], axis=1)
+            return ids, focal, matrix(ids, rows.column("v").combine_chunks()), cuts
 
         one, two = block(0), block(1)
         if len(one[0]) and len(two[0]) and one[2].shape[1] != two[2].shape[1]:
             raise ValueError(f"vectors of {one[0][0]} and {two[0][0]} have different lengths")
         sides = ([(one, two), (two, one)] if len(one[0]) else []) if len(two[0]) else [(one, one)]
         for (a_ids, a_focal, a, cuts), (b_ids, _, b, _) in sides:
-            for s in range(0, len(a_focal), strip_rows):
-                pick = a_focal[s:s + strip_rows]
+            strip = max(1, STRIP_BYTES // (8 * max(len(b), 1)))
+            for s in range(0, len(a_focal), strip):
+                pick = a_focal[s:s + strip]
                 # Rounded to six digits, so that equal scores tie on every machine; no negative zero.
-                scores = np.round(a[pick] @ b.T, decimals) + 0.0
+                scores = np.round(a[pick] @ b.T, DECIMALS) + 0.0
                 own = np.zeros(scores.shape, dtype=bool)
                 if a is b:
                     own[np.arange(len(pick)), pick] = True
@@ -75,9 +89,6 @@ def _tile_worker(consume, strip_rows: int):
 
 def _emit_all(min_score: float | None):
     def consume(focal_ids, rival_ids, scores, own, _cuts):
-        import numpy as np
-        import pyarrow as pa
-
         keep = ~own
         if min_score is not None:
             keep &= scores >= min_score
@@ -89,47 +100,34 @@ def _emit_all(min_score: float | None):
     return consume
 
 
-def _count_focal_bins(bins: int, min_score: float | None):
+def _thin_scores(step: int, min_score: float | None):
+    """Every ``step``-th score of each focal row in order of size: any rank in the strip is off by less than a step."""
     def consume(focal_ids, rival_ids, scores, own, _cuts):
-        import numpy as np
-        import pyarrow as pa
-
-        place = np.clip(np.floor((1.0 - scores) * (bins / 2.0)), 0, bins - 1).astype(np.int64)
-        keep = ~own
-        if min_score is not None:
-            keep &= scores >= min_score
-        counts = np.bincount((place + np.arange(len(place))[:, None] * bins)[keep], minlength=len(place) * bins)
-        (used,) = np.nonzero(counts)
-        if len(used):
-            columns = [focal_ids.take(pa.array(used // bins)), pa.array(used % bins), pa.array(counts[used])]
-            yield pa.RecordBatch.from_arrays(columns, names=["id", "bin", "n"])
+        out = own if min_score is None else own | (scores < min_score)
+        ordered = np.sort(np.where(out, np.nan, scores), axis=1)  # NaN comes last
+        at = np.arange(step // 2, scores.shape[1], step)
+        r, c = np.nonzero(at < (~out).sum(axis=1)[:, None])
+        if len(r):
+            yield pa.RecordBatch.from_arrays([focal_ids.take(pa.array(r)), pa.array(ordered[r, at[c]])], names=["id", "point"])
 
     return consume
 
 
-def _emit_to_cuts(bins: int, min_score: float | None):
+def _emit_intervals(min_score: float | None):
     def consume(focal_ids, rival_ids, scores, own, cuts):
-        import numpy as np
-        import pyarrow as pa
-
-        place = np.clip(np.floor((1.0 - scores) * (bins / 2.0)), 0, bins - 1).astype(np.int64)
-        keep = ~own & (place <= cuts[:, :1])
+        keep = ~own & (scores >= cuts[:, :1])
         if min_score is not None:
             keep &= scores >= min_score
         r, c = np.nonzero(keep)
         if len(r):
-            places = np.where(place[r, c] == cuts[r, 0], cuts[r, 1], 0)
-            columns = [focal_ids.take(pa.array(r)), rival_ids.take(pa.array(c)), pa.array(scores[r, c]), pa.array(places)]
-            yield pa.RecordBatch.from_arrays(columns, names=["focal_firmid", "rival_firmid", "wtnic_score", "places"])
+            columns = [focal_ids.take(pa.array(r)), rival_ids.take(pa.array(c)), pa.array(scores[r, c]), pa.array(scores[r, c] <= cuts[r, 1])]
+            yield pa.RecordBatch.from_arrays(columns, names=["focal_firmid", "rival_firmid", "wtnic_score", "edge"])
 
     return consume
 
 
 def _count_bins(bins: int):
     def consume(focal_ids, rival_ids, scores, own, _cuts):
-        import numpy as np
-        import pyarrow as pa
-
         place = np.clip(np.floor((1.0 - scores) * (bins / 2.0)), 0, bins - 1).astype(np.int64)
         counts = np.bincount(place[~own], minlength=bins)
         (used,) = np.nonzero(counts)
@@ -141,9 +139,6 @@ def _count_bins(bins: int):
 
 def _emit_bins(bins: int, cut: int):
     def consume(focal_ids, rival_ids, scores, own, _cuts):
-        import numpy as np
-        import pyarrow as pa
-
         place = np.clip(np.floor((1.0 - scores) * (bins / 2.0)), 0, bins - 1).astype(np.int64)
         r, c = np.nonzero((place <= cut) & ~own)
         if len(r):
@@ -161,98 +156,223 @@ def block_count(n: int, block_rows: int, parallelism: int) -> int:
     return max(1, bounded, min(spread, n // MIN_BLOCK_ROWS))
 
 
-def _tiles(vectors: DataFrame, id_col: str, vec_col: str, focal: Column | None, block_rows: int,
-           extra: tuple[str, ...] = ()) -> tuple[DataFrame, str]:
-    """Vectors (and ``extra`` columns) sent to the tiles they take part in, and the type of their ids.
+def _nearest_pivot(pivots: np.ndarray):
+    matrix = _reader()
 
-    Ids are hashed into B blocks and each row goes to the B tiles of its block. B grows with the row
-    count, so a task holds two blocks whatever the size of the input.
+    def run(batches):
+        for batch in batches:
+            m = matrix(batch.column("id"), batch.column("v"))
+            near, angle = np.full(len(m), len(pivots)), np.zeros(len(m))
+            if len(m) and m.shape[1] != pivots.shape[1]:
+                raise ValueError(f"vector of {batch.column('id')[0]} has another length than {pivots.shape[1]}")
+            some = m.any(axis=1) if len(m) else np.zeros(0, bool)
+            if some.any():
+                cosine = m[some] @ pivots.T
+                near[some] = cosine.argmax(axis=1)
+                angle[some] = np.arccos(np.clip(cosine.max(axis=1), -1.0, 1.0))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(near, pa.int32()), pa.array(angle)],
+                                             names=[*batch.schema.names, "cluster", "angle"])
+
+    return run
+
+
+@dataclass(frozen=True)
+class Tiles:
+    """Rows sent to the tiles they take part in; how many blocks there are, how many tiles, and how many were pruned."""
+
+    rows: DataFrame
+    id_type: str
+    blocks: int
+    tiles: int
+    pruned: int
+
+
+def _apart(pivots: np.ndarray, radius: np.ndarray, min_score: float) -> np.ndarray:
+    """Which clusters hold no pair as near as ``min_score``: their centres are further apart than both radii and its angle.
+
+    The last cluster takes zero vectors, whose cosine to everything is 0.
+    """
+    between = np.full((len(radius), len(radius)), pi / 2)
+    between[:-1, :-1] = np.arccos(np.clip(pivots @ pivots.T, -1.0, 1.0))
+    limit = acos(min(1.0, max(-1.0, min_score - SLACK)))
+    return between - radius[:, None] - radius[None, :] > limit + SLACK
+
+
+def _tiles(vectors: DataFrame, id_col: str, vec_col: str, focal: Column | None, block_rows: int | None,
+           extra: tuple[str, ...] = (), min_score: float | None = None) -> Tiles:
+    """Vectors (and ``extra`` columns) sent to the tiles they take part in.
+
+    Rows are cut into B blocks of bounded bytes and each row goes to the tiles of its block. With ``min_score`` and
+    more than one block, rows are first put into the cluster of the nearest of some sampled rows; a block lies in one
+    cluster, and tiles of clusters that cannot hold a pair near enough are left out. Otherwise rows are hashed into
+    blocks. B grows with the row count, so a task holds two blocks whatever the size of the input.
     """
     spark = vectors.sparkSession
-    vectors = vectors.where(F.col(id_col).isNotNull() & F.col(vec_col).isNotNull())
-    b = block_count(vectors.count(), block_rows, spark.sparkContext.defaultParallelism)
-    rows = vectors.select(
-        F.col(id_col).alias("id"),
-        F.col(vec_col).alias("v"),
-        (F.lit(True) if focal is None else F.coalesce(focal, F.lit(False))).alias("focal"),
-        F.pmod(F.xxhash64(id_col), F.lit(b)).cast("int").alias("block"),
-        *extra,
-    )
-    tiled = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(b - 1)))).select(
-        (F.least("block", "other").cast("bigint") * b + F.greatest("block", "other")).alias("tile"),
+    cores = spark.sparkContext.defaultParallelism
+    rows = vectors.where(F.col(id_col).isNotNull() & F.col(vec_col).isNotNull()).select(
+        F.col(id_col).alias("id"), F.col(vec_col).alias("v"),
+        (F.lit(True) if focal is None else F.coalesce(focal, F.lit(False))).alias("focal"), *extra)
+    n, dim = rows.agg(F.count("*"), F.coalesce(F.max(F.size("v")), F.lit(0))).first()
+    most = block_rows or max(BLOCK_ROWS, BLOCK_BYTES // (8 * max(dim, 1)))
+    id_type, h = dict(rows.dtypes)["id"], F.xxhash64("id")
+    if min_score is None or n <= most:
+        b = block_count(n, most, cores)
+        kept = total = b * (b + 1) // 2
+        block, other = F.pmod(h, F.lit(b)).cast("int"), F.explode(F.sequence(F.lit(0), F.lit(b - 1)))
+        sent = rows.withColumn("block", block).withColumn("other", other)
+    else:
+        rows = materialize(rows, "pair-vectors")
+        sample = rows.where(F.exists("v", lambda x: x != 0)).orderBy(h, "id").limit(min(PIVOTS, 2 * ceil(n / most)))
+        sample = sample.select("id", "v").toArrow().combine_chunks()  # at most PIVOTS
+        ids, v = (sample.column(c).combine_chunks() if len(sample) else pa.array([], pa.list_(pa.float64())) for c in ("id", "v"))
+        pivots = _reader()(ids, v.cast(pa.list_(pa.float64()))).reshape(len(sample), -1)
+        form = ", ".join(f"{name} {kind}" for name, kind in rows.dtypes)
+        placed = materialize(rows.mapInArrow(_nearest_pivot(pivots), f"{form}, cluster int, angle double"), "clusters")
+        seen = {r["cluster"]: (r["n"], r["radius"]) for r in placed.groupBy("cluster").agg(
+            F.count("*").alias("n"), F.max("angle").alias("radius")).collect()}  # at most PIVOTS + 1
+        size, radius = (np.array([seen.get(c, (0, 0.0))[k] for c in range(len(pivots) + 1)]) for k in (0, 1))
+        parts = -(-size // most)
+        first, b = np.cumsum(parts) - parts, int(parts.sum())
+        near = ~_apart(pivots, radius, min_score)
+        i, j = np.nonzero(near & (parts > 0)[:, None] & (parts > 0)[None, :])
+        pairs = [tuple(map(int, x)) for x in zip(i, first[i], parts[i], j, first[j], parts[j])]
+        total = b * (b + 1) // 2
+        # A tile of two different blocks is counted from both sides.
+        kept = int((parts[i] * parts[j]).sum() + parts[near.diagonal()].sum()) // 2
+        plan = spark.createDataFrame(pairs, "of int, first int, parts int, other_cluster int, other_first int, other_parts int")
+        block = (F.col("first") + F.pmod(h, F.col("parts"))).cast("int")
+        other = F.explode(F.sequence(F.col("other_first"), F.col("other_first") + F.col("other_parts") - 1))
+        sent = placed.join(plan, placed["cluster"] == plan["of"]).withColumn("block", block).withColumn("other", other)
+    tiled = sent.select(
+        (F.least("block", "other").cast("bigint") * max(b, 1) + F.greatest("block", "other")).alias("tile"),
         F.when(F.col("block") <= F.col("other"), 0).otherwise(1).cast("tinyint").alias("side"),
         "id", "focal", "v", *extra,
     )
-    # A fixed partition number: adaptive coalescing goes by bytes and would line heavy tiles up in one task.
-    parts = min(b * (b + 1) // 2, max(4 * spark.sparkContext.defaultParallelism,
-                                      int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    return tiled.repartition(parts, "tile"), dict(rows.dtypes)["id"]
+    # A fixed partition number: adaptive coalescing goes by bytes and would line heavy tiles up in one task. It follows
+    # the tiles and the bytes that are sent: a row goes to 2 kept / b tiles on average.
+    heavy = ceil(n * (2 * kept / max(b, 1)) * 8 * dim / TASK_BYTES)
+    tasks = max(1, min(kept, max(4 * cores, int(spark.conf.get("spark.sql.shuffle.partitions")), heavy)))
+    return Tiles(tiled.repartition(tasks, "tile"), id_type, b, kept, total - kept)
+
+
+def _multiplied(tiles: Tiles, consume, schema: str) -> DataFrame:
+    return tiles.rows.groupBy("tile").applyInArrow(_tile_worker(consume), schema)
+
+
+def tile_counts(vectors: DataFrame, min_score: float | None, id_col: str = "firm_id", vec_col: str = "v",
+                block_rows: int | None = None) -> tuple[int, int]:
+    """Tiles that :func:`cosine_pairs` multiplies, and tiles it leaves out because they hold no pair near enough."""
+    plan = _tiles(vectors, id_col, vec_col, None, block_rows, (), min_score)
+    return plan.tiles, plan.pruned
 
 
 def cosine_pairs(vectors: DataFrame, id_col: str = "firm_id", vec_col: str = "v", min_score: float | None = None,
                  top_k: int | None = None, self_uses_rank: bool = False, focal: Column | None = None,
-                 block_rows: int = BLOCK_ROWS) -> DataFrame:
+                 block_rows: int | None = None) -> DataFrame:
     """Directed edges (focal_firmid, rival_firmid, wtnic_score) between all different vectors.
 
     ``min_score`` keeps rounded scores at or above it; ``top_k`` keeps each focal's best k by score,
     then rival id. Both cuts are monotone in the score, so the threshold may be applied first.
     ``self_uses_rank`` lets the firm itself take one of the k places. ``focal`` limits which rows act
-    as focal; every row can be a rival. Ids have to be unique. Pairs below the cut never become rows.
+    as focal; every row can be a rival. Ids have to be unique. Pairs below the cut never become rows,
+    and blocks that are too far apart for the threshold are never multiplied.
 
-    With ``top_k`` the tiles are multiplied twice, however large k is: once to count each focal's scores
-    by bin, which gives the bin its cut falls into, and once to emit the pairs up to that bin. Only pairs
-    in a focal's cut bin are ranked.
+    With ``top_k`` the tiles are multiplied twice, however large k is: once for a sketch of each focal's
+    scores, which bounds its cut from both sides, and once to emit the pairs above. Only pairs between
+    the bounds are ranked.
     """
     if top_k is not None:
         return _best_pairs(vectors, id_col, vec_col, min_score, top_k - 1 if self_uses_rank else top_k, focal, block_rows)
-    tiles, id_type = _tiles(vectors, id_col, vec_col, focal, block_rows)
-    return tiles.groupBy("tile").applyInArrow(
-        _tile_worker(_emit_all(min_score), STRIP_ROWS),
-        f"focal_firmid {id_type}, rival_firmid {id_type}, wtnic_score double",
-    )
+    tiles = _tiles(vectors, id_col, vec_col, focal, block_rows, (), min_score)
+    id_type = tiles.id_type
+    return _multiplied(tiles, _emit_all(min_score), f"focal_firmid {id_type}, rival_firmid {id_type}, wtnic_score double")
+
+
+def rank_error(points: Column, blocks: int) -> Column:
+    """By how many points a rank taken from a focal's sketch may be off: one for each block, and the sketch's own error."""
+    return F.lit(blocks) + 1 + points * F.lit(SKETCH_SAFETY * 2.296 / SKETCH_K**0.9021)
+
+
+def focal_intervals(rows: DataFrame, k: int, min_score: float | None, block_rows: int | None) -> DataFrame:
+    """(id, lo, hi): scores above ``hi`` are among a focal's best k, scores below ``lo`` are not.
+
+    Each tile hands on every ``step``-th score of a focal row in order of size. A focal's points are merged into one KLL
+    sketch, whose size does not grow with the number of rivals, and the bounds are its quantiles around the k-th place.
+    A focal without points has open bounds.
+    """
+    tiles = _tiles(rows, "id", "v", F.col("focal"), block_rows, (), min_score)
+    n = rows.count()
+    step = max(1, n // (tiles.blocks * POINTS))
+    points = _multiplied(tiles, _thin_scores(step, min_score), f"id {tiles.id_type}, point double")
+    sketched = points.groupBy("id").agg(F.kll_sketch_agg_double("point", F.lit(SKETCH_K)).alias("sketch"))
+    sketched = sketched.withColumn("n", F.kll_sketch_get_n_double("sketch"))
+    wanted, off = F.lit(k / step), rank_error(F.col("n"), tiles.blocks)
+    grid = F.kll_sketch_get_quantile_double("sketch", F.lit([i / GRID for i in range(GRID + 1)]))  # takes constant ranks only
+    below = lambda place: (1 - place / F.col("n")) * GRID
+    inf = F.lit(float("inf"))
+    return sketched.withColumn("grid", grid).select(
+        "id", F.when(wanted + off < F.col("n"), F.get("grid", F.floor(below(wanted + off)).cast("int"))).otherwise(-inf).alias("lo"),
+        F.when((wanted - off > 0) & (wanted - off < F.col("n")), F.get("grid", F.ceil(below(wanted - off)).cast("int")))
+        .when(wanted - off > 0, -inf).otherwise(inf).alias("hi"))
+
+
+def _within(rows: DataFrame, cuts: DataFrame, min_score: float | None, block_rows: int | None) -> DataFrame:
+    """Pairs from each focal's ``lo`` on; ``edge`` marks those up to ``hi``, which have to be ranked."""
+    inf = F.lit(float("inf"))
+    cut_rows = rows.join(cuts, "id", "left").withColumn("lo", F.coalesce("lo", -inf)).withColumn("hi", F.coalesce("hi", inf))
+    tiles = _tiles(materialize(cut_rows, "cut-vectors"), "id", "v", F.col("focal"), block_rows, ("lo", "hi"), min_score)
+    id_type = tiles.id_type
+    return materialize(_multiplied(tiles, _emit_intervals(min_score),
+                                   f"focal_firmid {id_type}, rival_firmid {id_type}, wtnic_score double, edge boolean"), "best-pairs")
 
 
 def _best_pairs(vectors: DataFrame, id_col: str, vec_col: str, min_score: float | None, k: int, focal: Column | None,
-                block_rows: int) -> DataFrame:
+                block_rows: int | None) -> DataFrame:
     rows = vectors.select(F.col(id_col).alias("id"), F.col(vec_col).alias("v"),
                           (F.lit(True) if focal is None else F.coalesce(focal, F.lit(False))).alias("focal"))
     rows = materialize(rows, "pair-vectors")  # read by both passes
-    tiles, id_type = _tiles(rows, "id", "v", F.col("focal"), block_rows)
-    counted = tiles.groupBy("tile").applyInArrow(_tile_worker(_count_focal_bins(FOCAL_BINS, min_score), STRIP_ROWS),
-                                                 f"id {id_type}, bin bigint, n bigint")
-    better = F.coalesce(F.sum("n").over(W.partitionBy("id").orderBy("bin").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    bins = counted.groupBy("id", "bin").agg(F.sum("n").alias("n")).withColumn("_better", better)  # at most 256 for each id
-    cuts = bins.where(F.col("_better") < k).groupBy("id").agg(F.max(F.struct("bin", "_better")).alias("_cut")).select(
-        "id", F.col("_cut.bin").alias("cut"), (F.lit(k) - F.col("_cut._better")).cast("bigint").alias("places"))
-    cut_rows = materialize(rows.join(cuts, "id", "left"), "cut-vectors")
-    tiles, id_type = _tiles(cut_rows, "id", "v", F.col("focal") & F.col("cut").isNotNull(), block_rows, ("cut", "places"))
-    found = tiles.groupBy("tile").applyInArrow(
-        _tile_worker(_emit_to_cuts(FOCAL_BINS, min_score), STRIP_ROWS),
-        f"focal_firmid {id_type}, rival_firmid {id_type}, wtnic_score double, places bigint")
-    found = materialize(found, "best-pairs")
+    if k <= 0:
+        id_type = dict(rows.dtypes)["id"]
+        return vectors.sparkSession.createDataFrame([], f"focal_firmid {id_type}, rival_firmid {id_type}, wtnic_score double")
+    cuts = materialize(focal_intervals(rows, k, min_score, block_rows), "intervals")
+    found = _within(rows, cuts, min_score, block_rows)
+    sure = lambda df: df.groupBy("focal_firmid").agg(F.count_if(~F.col("edge")).alias("sure"), F.count("*").alias("all"))
+    ahead = materialize(sure(found), "places")
+    # The sketch's bounds hold nearly always; where they don't, the focal's pairs are taken without bounds.
+    short = (F.col("lo") > -float("inf")) & (F.coalesce("all", F.lit(0)) < k)
+    missed = cuts.join(ahead.withColumnRenamed("focal_firmid", "id"), "id", "left").where((F.col("sure") > k) | short).select("id")
+    missed = materialize(missed, "missed")
+    if not missed.isEmpty():
+        again = rows.drop("focal").join(missed.withColumn("focal", F.lit(True)), "id", "left")
+        again = _within(again.select("id", "v", F.coalesce("focal", F.lit(False)).alias("focal")),
+                        cuts.limit(0), min_score, block_rows)
+        found = found.join(missed.withColumnRenamed("id", "focal_firmid"), "focal_firmid", "left_anti").unionByName(again)
+        ahead = sure(found)
     best = W.partitionBy("focal_firmid").orderBy(F.desc("wtnic_score"), "rival_firmid")
-    edge = found.where("places > 0").withColumn("_rank", F.row_number().over(best)).where(F.col("_rank") <= F.col("places"))
-    return found.where("places = 0").drop("places").unionByName(edge.drop("places", "_rank"))
+    edge = found.where("edge").withColumn("_rank", F.row_number().over(best)).join(ahead, "focal_firmid")
+    edge = edge.where(F.col("_rank") <= k - F.col("sure"))
+    return found.where(~F.col("edge")).drop("edge").unionByName(edge.drop("edge", "_rank", "sure", "all"))
 
 
 def top_fraction_of_pairs(vectors: DataFrame, firms: int, fraction: float = 0.02, id_col: str = "firm_id",
-                          vec_col: str = "v", block_rows: int = BLOCK_ROWS) -> DataFrame:
+                          vec_col: str = "v", block_rows: int | None = None) -> DataFrame:
     """The edges ``rank.top_fraction`` keeps of all pairs, without writing the other pairs first.
 
     A first pass over the tiles only counts scores by bin; the second emits the pairs of the bins up
-    to the cut. Multiplying twice is far cheaper than storing n² rows. ``vectors`` is read three
-    times: give a stored table.
+    to the cut, and leaves out tiles that cannot reach it. Multiplying twice is far cheaper than storing
+    n² rows. ``vectors`` is read three times: give a stored table.
     """
-    tiles, id_type = _tiles(vectors, id_col, vec_col, None, block_rows)
+    tiles = _tiles(vectors, id_col, vec_col, None, block_rows)
     k = fraction_count(firms, fraction)
-    edge_schema = f"focal_firmid {id_type}, rival_firmid {id_type}, wtnic_score double"
-    counted = tiles.groupBy("tile").applyInArrow(_tile_worker(_count_bins(BINS), STRIP_ROWS), "bin bigint, n bigint")
+    edge_schema = f"focal_firmid {tiles.id_type}, rival_firmid {tiles.id_type}, wtnic_score double"
+    counted = _multiplied(tiles, _count_bins(BINS), "bin bigint, n bigint")
     counts = {r["bin"]: r["n"] for r in counted.groupBy("bin").agg(F.sum("n").alias("n")).collect()}  # fixed number
     if k <= 0 or not counts:
         return vectors.sparkSession.createDataFrame([], edge_schema)
     cut, better = boundary(counts, k) if sum(counts.values()) > k else (BINS, 0)
-    found = tiles.groupBy("tile").applyInArrow(_tile_worker(_emit_bins(BINS, cut), STRIP_ROWS),
-                                               f"{edge_schema}, edge boolean")
+    lowest = max(-1.0, 1.0 - 2.0 * (cut + 1) / BINS - SLACK)
+    tiles = _tiles(vectors, id_col, vec_col, None, block_rows, (), lowest) if cut < BINS else tiles
+    found = _multiplied(tiles, _emit_bins(BINS, cut), f"{edge_schema}, edge boolean")
     if cut == BINS:
         return found.drop("edge")
     found = materialize(found, "top-pairs")
