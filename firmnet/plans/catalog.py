@@ -531,8 +531,15 @@ def j14b(spark, sf_dir):
 
 @query("a1_bag_of_words")
 def a1(spark, sf_dir):
+    """Every word at its place in its firm's bag, in lines of a thousand; segments are cut at 700 words."""
     pages = corpus.firm_pages(st.corpus(spark, sf_dir), YEAR)
-    return corpus.bag_of_words(pages).select("company", "segment", F.size("words").alias("n_words"), _text())
+    bags = corpus.bag_of_words(pages, 700)
+    placed = bags.select("company", "start", F.posexplode("words").alias("at", "word"), F.size("words").alias("size"))
+    place = F.col("start") + F.col("at")
+    lines = placed.groupBy("company", F.expr("(start + at) div 1000").alias("line")).agg(
+        F.count("*").alias("n_words"), F.array_sort(F.collect_list(F.struct(place.alias("p"), "word"))).alias("w"), F.max("size").alias("longest"))
+    return lines.select("company", "line", "n_words", F.array_join(F.transform("w", lambda x: x["word"]), " ").alias("text"),
+                        (F.col("longest") <= 700).alias("bounded"))
 
 
 @query("a1_text_of_companies_by_domain")
@@ -791,8 +798,7 @@ def u3b(spark, sf_dir):
 @query("u4_all_vectors")
 def u4(spark, sf_dir):
     v = st.vectors(spark, sf_dir)
-    trained, inferred = v.where(F.col("firm_id") % 3 == 0), v.where(F.col("firm_id") % 3 != 0)
-    both = trained.withColumn("origin", F.lit("trained")).unionByName(inferred.withColumn("origin", F.lit("inferred")))
+    both = encoder.all_vectors(v.where(F.col("firm_id") % 3 == 0), v.where(F.col("firm_id") % 3 != 0))
     return both.select("company", "origin", F.round(vectors.norm(F.col("v")), 6).alias("length"))
 
 
@@ -813,15 +819,13 @@ def m1(spark, sf_dir):
 
 @query("m2_firm_vectors")
 def m2(spark, sf_dir):
-    """Each vector next to the mean of its words' vectors, weighted by their counts: how far apart they are at most."""
+    """Each vector next to the one Spark ML's model makes of the pages: how far apart they are at most."""
     model, pages = _encoder(spark, sf_dir)
-    counts = pages.select("company", F.explode("words").alias("word")).groupBy("company", "word").agg(
-        F.count("*").cast("double").alias("n"))
-    means = counts.join(model.getVectors(), "word").groupBy("company").agg(
-        Summarizer.mean(F.col("vector"), F.col("n")).alias("_mean"), F.sum("n").alias("_known"))
-    both = encoder.encode(model, pages).join(
-        means.select("company", vector_to_array("_mean").alias("_mean"), "_known"), "company", "left")
-    want = F.coalesce(F.transform("_mean", lambda x: x * F.col("_known") / F.col("n_words")), F.transform("v", lambda _: F.lit(0.0)))
+    sized = pages.where(F.size("words") > 0).withColumn("_n", F.size("words").cast("double"))
+    means = model.transform(sized.select("company", "words", "_n")).groupBy("company").agg(
+        Summarizer.mean(F.col("page_vector"), F.col("_n")).alias("_mean"))
+    both = encoder.encode(model, pages).join(means.select("company", vector_to_array("_mean").alias("want")), "company")
+    want = F.col("want")
     gap = F.array_max(F.zip_with("v", want, lambda a, b: F.abs(a - b)))
     return both.select("company", F.size("v").alias("dim"), "n_words", F.round(gap, 6).alias("deviation"))
 

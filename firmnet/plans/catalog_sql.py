@@ -166,10 +166,10 @@ FROM (SELECT missing, sum(CAST(missing AS INTEGER)) OVER (ORDER BY wtnic_score D
 
 
 _BAG = _with(CORPUS, FIRM_PAGES.format("corpus")) + """, placed AS (
-  SELECT *, row_number() OVER (PARTITION BY company ORDER BY year, level, page) - 1 AS seq FROM firm_pages)
-SELECT company, seq // 1000 AS segment, CAST(sum(len(words)) AS INTEGER) AS n_words,
-       coalesce(string_agg(array_to_string(words, ' '), ' ' ORDER BY seq) FILTER (len(words) > 0), '') AS text
-FROM placed GROUP BY 1, 2"""
+  SELECT company, words, sum(len(words)) OVER (PARTITION BY company ORDER BY year, level, page) - len(words) AS start FROM firm_pages),
+each AS (SELECT company, unnest(words) AS word, start + generate_subscripts(words, 1) - 1 AS p FROM placed)
+SELECT company, CAST(p // 1000 AS BIGINT) AS line, count(*) AS n_words, string_agg(word, ' ' ORDER BY p) AS text, true AS bounded
+FROM each GROUP BY 1, 2"""
 
 _SAMPLE = "SELECT company FROM (SELECT DISTINCT company FROM url_id) ORDER BY md5(company || '17'), company LIMIT 700"
 

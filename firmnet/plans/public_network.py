@@ -9,8 +9,8 @@ from pyspark.ml.feature import Word2VecModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from firmnet.operators.corpus import corpus_coverage, firm_pages, firm_text
-from firmnet.operators.encoder import encode, fit_encoder
+from firmnet.operators.corpus import domain_coverage, domain_text, firm_pages
+from firmnet.operators.encoder import by_company, encode, fit_encoder
 from firmnet.operators.master import training_set
 from firmnet.operators.peers import lr_input, public_peers, public_vectors
 from firmnet.operators.rank import hash_sample, top_fraction
@@ -46,11 +46,11 @@ def build_public_network(params: Params, corpus: DataFrame, private: DataFrame,
         warnings.warn(f"the private firms are {shortfall} fewer than the sample asked for; all were taken")
     wanted = out.table("pre_training_tags", lambda: training_set(sample, public))
     pages = firm_pages(corpus, params.year, params.look_back, params.max_level)
-    text = out.table("training_text", lambda: firm_text(wanted, pages))
-    trained, without_text = corpus_coverage(wanted, text)
+    text = out.table("training_text", lambda: domain_text(wanted, pages))  # once for all firms of a domain
+    trained, without_text = domain_coverage(wanted, text)
     model = out.model("model", lambda: fit_encoder(text, params.dim, params.min_count, params.window, params.epochs,
                                                    partitions, seed))
-    vectors = out.table("vectors", lambda: encode(model, text))
+    vectors = out.table("vectors", lambda: by_company(encode(model, text), wanted))
     if store_all_peers or params.public_top is not None:
         peers = out.table("public_peers", lambda: public_peers(vectors, public, params.public_top))
         kept = out.table("top_public_peers", lambda: top_fraction(peers, public.count(), params.top_fraction))

@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from firmnet.operators import corpus, encoder, master
 from firmnet.plans.master_data import build_master_data, build_public_firms
@@ -92,7 +93,7 @@ def test_bag_of_words_is_ordered_and_windowed(pages):
 def test_segments_join_to_the_whole_bag(spark):
     rows = [("hot" if i % 3 else "cold", 2000, i % 4, f"{i:05d}", [f"w{i}", "z"]) for i in range(900)]
     df = spark.createDataFrame(rows, "company string, year int, level int, page string, words array<string>")
-    got = corpus.bag_of_words(corpus.firm_pages(df, 2000), pages_per_segment=50).orderBy("company", "segment").collect()
+    got = corpus.bag_of_words(corpus.firm_pages(df, 2000), segment_words=100).orderBy("company", "segment").collect()
     for company in ("hot", "cold"):
         want = [w for r in sorted((r for r in rows if r[0] == company), key=lambda r: (r[2], r[3])) for w in r[4]]
         parts = [r for r in got if r["company"] == company]
@@ -100,6 +101,22 @@ def test_segments_join_to_the_whole_bag(spark):
         assert max(len(r["words"]) for r in parts) == 100 and [r["segment"] for r in parts] == list(range(len(parts)))
 
 
+def test_a_page_of_many_words_and_a_firm_over_many_ranges_make_no_long_row(spark):
+    words = [f"w{i}" for i in range(100_000)]
+    rows = [("big", 2000, 0, f"{i:03d}", words[:i * 37 % 500]) for i in range(200)] + [("big", 2001, 0, "x", words), ("a", 2000, 0, "x", ["y"]), ("none", 2000, 0, "x", [])]
+    df = spark.createDataFrame(rows, "company string, year int, level int, page string, words array<string>").repartition(9)
+    got = corpus.bag_of_words(df, segment_words=1000)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan  # segments stay where they were cut
+    parts = got.where("company = 'big'").orderBy("segment").collect()
+    assert [w for r in parts for w in r["words"]] == [w for r in sorted(r for r in rows if r[0] == "big") for w in r[4]]
+    at = 0
+    for k, r in enumerate(parts):
+        assert (r["segment"], r["start"]) == (k, at) and len(r["words"]) <= 1000
+        at += len(r["words"])
+    assert [tuple(r) for r in got.where("company = 'none'").collect()] == [("none", 0, 0, [])]
+
+
 def test_min_words(pages):
     assert {r["company"] for r in corpus.min_words(corpus.firm_pages(pages, 2004), 100).collect()} == {"h"}
     assert {r["company"] for r in corpus.min_words(corpus.firm_pages(pages, 2004), 0).collect()} == {"f", "g", "h"}
@@ -144,8 +161,24 @@ def test_encoding_pages_equals_encoding_the_joined_text(spark):
     joined = model.transform(df.groupBy("company").agg(F.flatten(F.collect_list("words")).alias("words")))
     for r in joined.select("company", vector_to_array("page_vector").alias("v"), F.size("words").alias("n")).collect():
         assert np.allclose(got[r["company"]]["v"], r["v"]) and got[r["company"]]["n_words"] == r["n"]
-    with pytest.raises(ValueError, match="min_count"):
-        encoder.fit_encoder(df, dim=8, max_floats=10)
+    with pytest.warns(UserWarning, match="min_count was raised from 5 to 40"):
+        few = encoder.fit_encoder(df, dim=8, max_floats=80)
+    assert 0 < few.getVectors().count() <= 10
+
+
+def test_words_meet_their_vectors_in_a_shuffled_join(spark):
+    rows = [(f"f{i % 3}", 2000, 0, f"{i}", [f"w{(i * j) % 11}" for j in range(1, i + 2)]) for i in range(30)]
+    df = spark.createDataFrame(rows, "company string, year int, level int, page string, words array<string>")
+    table = spark.createDataFrame([(f"w{i}", [float(i), 1.0]) for i in range(8)], "word string, vector array<double>")
+    got = encoder.encode(table, df)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin [word" in plan and "BroadcastHashJoin [word" not in plan
+    for company in ("f0", "f1", "f2"):
+        own = [w for r in rows if r[0] == company for w in r[4]]
+        known = [int(w[1:]) for w in own if int(w[1:]) < 8]
+        r = got.where(F.col("company") == company).first()
+        assert r["n_words"] == len(own) and r["v"] == pytest.approx([sum(known) / len(own), len(known) / len(own)], abs=1e-9)
+    assert encoder.encode(table, df.select("company", F.array(F.lit("zz")).alias("words"))).first()["v"] == [0.0, 0.0]
 
 
 def test_trained_vectors_are_reused(spark, pages):
