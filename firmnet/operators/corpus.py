@@ -149,9 +149,13 @@ def domain_coverage(companies: DataFrame, pages: DataFrame) -> tuple[DataFrame,
 
 
 def run_metrics(records: DataFrame) -> DataFrame:
-    """Records, responses, pages and words per archive: what the reference logged by hand."""
+    """Records, responses, pages and words per archive, which is known by its path where records have one.
+
+    For archives that are ingested, ``plans.ingest.ingest_account`` has the same without reading them again.
+    """
     response = F.col("rec_type") == "response"
-    return records.groupBy("archive_file").agg(
+    key = "archive_path" if "archive_path" in records.columns else "archive_file"
+    return records.groupBy(key).agg(
         F.count("*").alias("records"),
         F.count_if(response).alias("responses"),
         F.countDistinct(F.when(response, F.col("url"))).alias("urls"),

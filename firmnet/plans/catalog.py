@@ -705,6 +705,18 @@ def a19(spark, sf_dir):
     return corpus.run_metrics(st.records(spark, sf_dir).withColumn("words", text.page_words(F.col("html"))))
 
 
+@query("a19_ingest_account")
+def a19b(spark, sf_dir):
+    """What the ingest itself says of each archive it was told to read: damaged records, one file that is not there."""
+    folder, out, manifest = (scratch_path(spark, name) for name in ("archives", "account-corpus", "manifest"))
+    _write_archives(st.records(spark, sf_dir), folder, broken="/5")
+    named = st.records(spark, sf_dir).select("archive_file").distinct().where("archive_file <> 'crawl-2.warc.gz'")
+    named = named.unionByName(spark.createDataFrame([("gone.warc.gz",)], "archive_file string"))
+    named.select(F.concat_ws("  ", F.md5("archive_file"), "archive_file", F.lit(folder))).write.text(manifest)
+    ingest.ingest_archives(spark, folder, out, manifest=manifest)
+    return ingest.ingest_account(spark, out).withColumn("archive_file", F.element_at(F.split("archive_path", "/"), -1)).drop("archive_path")
+
+
 # --- ranks, sorts, samples --------------------------------------------------------------------------
 
 
@@ -841,20 +853,20 @@ def m3(spark, sf_dir):
 
 
 def _stream_drops(spark, sf_dir, dedup_keys) -> DataFrame:
-    """Offer the page records in two drops; the second one repeats a part of the first."""
+    """Offer page archives in two drops, read from real files by their paths; the second drop, in another folder, repeats
+    archives of the first."""
     drop, out, mark = (scratch_path(spark, name) for name in ("drop", "stream-corpus", "stream-checkpoint"))
     r = st.records(spark, sf_dir)
-    r.where("archive_file <= 'crawl-4'").write.parquet(drop)
-    for more in (None, r.where("archive_file >= 'crawl-3'")):
-        if more is not None:
-            more.write.mode("append").parquet(drop)
-        streaming.ingest(spark.readStream.schema(r.schema).parquet(drop), out, mark, dedup_keys).awaitTermination()
+    for folder, offered in (("one", "archive_file <= 'crawl-4'"), ("two", "archive_file >= 'crawl-3'")):
+        _write_archives(r.where(offered), f"{drop}/{folder}")
+        streaming.ingest(archives.stream_archives(spark, f"{drop}/*", accounts=True), out, mark, dedup_keys,
+                         buckets=8).awaitTermination()
     return stores.read_corpus(spark, out)
 
 
 @query("t1_incremental_ingest")
 def t1(spark, sf_dir):
-    pages = _stream_drops(spark, sf_dir, ("archive_file", "url"))
+    pages = _stream_drops(spark, sf_dir, ("url",))
     return pages.select("company", "year", "level", "page", _text())
 
 

@@ -345,6 +345,12 @@ ORACLE_SQL: dict[str, str] = {
         count(DISTINCT url) FILTER (rec_type = 'response') AS urls,
         CAST(coalesce(sum(len({PAGE_WORDS})) FILTER (rec_type = 'response'), 0) AS BIGINT) AS n_words
         FROM records GROUP BY 1""",
+    "a19_ingest_account": _with(RECORDS) + f""", read_ AS (
+        SELECT *, contains(url, '/5') AS broken, len({PAGE_WORDS}) AS words FROM records WHERE archive_file <> 'crawl-2.warc.gz')
+        SELECT archive_file, count(*) AS records, count(*) FILTER (NOT broken AND rec_type = 'response') AS responses,
+        count(*) FILTER (broken) AS unreadable, count(*) FILTER (NOT broken AND rec_type = 'response') AS pages,
+        CAST(coalesce(sum(words) FILTER (NOT broken AND rec_type = 'response'), 0) AS BIGINT) AS n_words, false AS missing
+        FROM read_ GROUP BY 1 UNION ALL SELECT 'gone.warc.gz', 0, 0, 0, 0, 0, true""",
     "w1_new_firm_ids": _UNKNOWN + """SELECT company, master_id, row_number() OVER (ORDER BY master_id, company)
         + (SELECT max(firm_id) FROM page_firm) AS firm_id FROM fresh""",
     "w2_top_k_rivals": _with(VECTORS, PUBLIC, LISTED, SCORES) + """, ranked AS (

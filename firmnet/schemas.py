@@ -22,6 +22,8 @@ def _struct(columns: str) -> T.StructType:
 MANIFEST = _struct("md5 string, file_name string, dir string")
 WEB_RECORD = _struct("archive_file string, rec_type string, record_date string, url string, html string, archive_path string")
 CORPUS = _struct("company string, year int, level int, page string, words array<string>")
+CORPUS_ROW = _struct("company string, year int, level int, page string, words array<string>, kind string, archive_path string, "
+                     "rec_type string, n bigint")
 URL_ID = _struct("line_no bigint, master_id bigint, company string, year int")
 FIRM = _struct("company string, firm_id bigint, naics string, obtained_from string")
 FIRM_VECTOR = _struct("company string, firm_id bigint, v array<double>")

@@ -52,11 +52,14 @@ def read_archives(spark: SparkSession, glob: str, split_bytes: int | None = SPLI
     return read_files(list_archives(spark, glob), split_bytes)
 
 
-def read_files(files: DataFrame, split_bytes: int | None = SPLIT_BYTES) -> DataFrame:
-    """Records of listed files (path, length)."""
+def read_files(files: DataFrame, split_bytes: int | None = SPLIT_BYTES, accounts: bool = False) -> DataFrame:
+    """Records of listed files (path, length), a range of bytes to a task.
+
+    With ``accounts``, each range ends with a row ``rec_type = 'account'`` for each type of record in it: the type stands in
+    ``url``, the number of records in ``html``.
+    """
     ranges = _splits(files, split_bytes)
-    tasks = max(1, min(ranges.count(), 100_000))
-    return ranges.repartition(tasks).mapInArrow(_read_ranges, WEB_RECORD)
+    return ranges.repartition(max(1, ranges.count())).mapInArrow(_range_reader(accounts), WEB_RECORD)
 
 
 def archive_name(path: str = "path"):
@@ -76,8 +79,8 @@ def pending(files: DataFrame, done: DataFrame) -> DataFrame:
 
 
 def stream_archives(spark: SparkSession, directory: str, split_bytes: int | None = SPLIT_BYTES,
-                    max_files: int | None = None) -> DataFrame:
-    """The same rows as a stream: the query's checkpoint remembers which archives are done."""
+                    max_files: int | None = None, accounts: bool = False) -> DataFrame:
+    """The same rows as a stream: the query's checkpoint remembers which archives are done, by their paths."""
     reader = spark.readStream.format("binaryFile").schema(
         "path string, modificationTime timestamp, length bigint, content binary"
     ).option("pathGlobFilter", "*arc.gz")
@@ -85,7 +88,7 @@ def stream_archives(spark: SparkSession, directory: str, split_bytes: int | None
         reader = reader.option("maxFilesPerTrigger", max_files)
     files = reader.load(directory).select("path", "length")
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return _splits(files, split_bytes).repartition(tasks).mapInArrow(_read_ranges, WEB_RECORD)
+    return _splits(files, split_bytes).repartition(tasks).mapInArrow(_range_reader(accounts), WEB_RECORD)
 
 
 def responses(records: DataFrame) -> DataFrame:
@@ -121,22 +124,31 @@ def resolve_manifest(manifest: DataFrame, files: DataFrame) -> tuple[DataFrame,
 # --- inside tasks -----------------------------------------------------------------------------------
 
 
-def _read_ranges(batches):
-    """Byte ranges in, record batches out, flushed by size."""
-    import pyarrow as pa
-
-    names = ["archive_file", "rec_type", "record_date", "url", "html", "archive_path"]
-    for batch in batches:
-        for path, start, stop in zip(*(batch.column(i).to_pylist() for i in range(3))):
-            rows, size = [], 0
-            for row in _records_of_range(path, start, stop):
-                rows.append((*row, path))
-                size += len(row[4] or "")
-                if size >= _BATCH_CHARS or len(rows) >= 1000:
+def _range_reader(accounts):
+    def read(batches):
+        """Byte ranges in, record batches out, flushed by size."""
+        from collections import Counter
+
+        import pyarrow as pa
+
+        names = ["archive_file", "rec_type", "record_date", "url", "html", "archive_path"]
+        for batch in batches:
+            for path, start, stop in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                rows, size, seen = [], 0, Counter()
+                for row in _records_of_range(path, start, stop):
+                    rows.append((*row, path))
+                    seen[row[1]] += 1
+                    size += len(row[4] or "")
+                    if size >= _BATCH_CHARS or len(rows) >= 1000:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*rows)], names=names)
+                        rows, size = [], 0
+                if accounts:
+                    name = path.rsplit("/", 1)[-1]
+                    rows += [(name, "account", None, kind, str(n), path) for kind, n in sorted(seen.items(), key=str)]
+                if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*rows)], names=names)
-                    rows, size = [], 0
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*rows)], names=names)
+
+    return read
 
 
 def _records_of_range(path, start, stop):

@@ -76,3 +76,42 @@ def reuse_or_write(spark: SparkSession, path: str, build: Callable[[], DataFrame
         mode = "error" if if_exists == "error" else "overwrite"
         build().write.mode(mode).partitionBy(*partition_by).parquet(path)
     return spark.read.parquet(path)
+
+
+def _files(spark: SparkSession, path: str):
+    """The path and its file system."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+
+
+def write_run(df: DataFrame, path: str, run: str, partition_by: tuple[str, ...] = (), replace: bool = False) -> bool:
+    """Add one run's rows to a Parquet table as ``run=…``; False if a finished run of that name is there already.
+
+    The rows are written aside and moved into place when they are complete, so a reader sees all of a run or nothing, and a
+    run that is done again after a failure leaves one set of rows. ``replace`` puts the new rows in place of the old ones.
+    Moving is one step on a file system that renames folders; elsewhere, ``_SUCCESS`` is moved last.
+    """
+    spark = df.sparkSession
+    target = f"{path}/run={run}"
+    if table_exists(spark, target) and not replace:
+        return False
+    staged = f"{path}/_staged/{run}-{uuid.uuid4().hex}"
+    df.write.partitionBy(*partition_by).parquet(staged)
+    at, files = _files(spark, target)
+    if files.exists(at):
+        files.delete(at, True)
+    if not files.rename(_files(spark, staged)[0], at):
+        raise OSError(f"{staged} cannot be moved to {target}")
+    return True
+
+
+def runs(spark: SparkSession, path: str) -> list[str]:
+    """Names of the finished runs of a table."""
+    at, files = _files(spark, path)
+    names = [s.getPath().getName() for s in files.listStatus(at)] if files.exists(at) else []
+    return sorted(n.removeprefix("run=") for n in names if n.startswith("run=") and table_exists(spark, f"{path}/{n}"))
+
+
+def drop_run(spark: SparkSession, path: str, run: str) -> None:
+    at, files = _files(spark, f"{path}/run={run}")
+    files.delete(at, True)

@@ -4,36 +4,26 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
-from firmnet.plans.ingest import pages_of_records
-from firmnet.schemas import CORPUS
+from firmnet.plans.ingest import ingest_records
+from firmnet.sources.ledger import BUCKETS
 
-STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
+def ingest(records: DataFrame, corpus: str, checkpoint: str, dedup_keys: Sequence[str] = (),
+           buckets: int = BUCKETS) -> StreamingQuery:
+    """Append the pages of all new archives to the corpus, then stop.
 
-def use_disk_state(spark: SparkSession) -> None:
-    """Keep the seen keys on local disk instead of the heap; they are backed up in the checkpoint."""
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
-
+    The checkpoint remembers which archives are done. A micro-batch is a run of the corpus named after it, so a batch that is
+    done again after a failure replaces its rows. With ``dedup_keys``, a page whose key came before is left out: keys
+    ``(archive_path, url)`` compare within an archive, ``(url,)`` across all archives. Keys seen are kept in a bucketed ledger
+    beside the checkpoint, not in streaming state, so nothing is held in memory from run to run. Without keys, repeats inside
+    an archive stay; the checkpoint alone skips archives already done.
+    """
+    ledger = f"{checkpoint.rstrip('/')}-ledger" if dedup_keys else None
 
-def drop_seen(records: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Drop records whose key came before, within and across runs. The state never expires.
+    def store(batch: DataFrame, number: int) -> None:
+        ingest_records(batch, corpus, f"batch-{number:09d}", dedup_keys, ledger, buckets=buckets)
 
-    Keys ``(archive_path, url)`` compare within an archive, ``(url,)`` across all archives. Leave this
-    step out to keep repeats inside an archive; the checkpoint alone skips archives already done.
-    """
-    return records.dropDuplicates(list(keys))
-
-
-def ingest(records: DataFrame, corpus: str, checkpoint: str, dedup_keys: Sequence[str] = ()) -> StreamingQuery:
-    """Append the pages of all new archives to the corpus, then stop."""
-    if dedup_keys:
-        use_disk_state(records.sparkSession)
-    fresh = drop_seen(records, dedup_keys) if dedup_keys else records
-    pages = pages_of_records(fresh).select(*CORPUS.names)
-    return (
-        pages.writeStream.format("parquet").partitionBy("year").option("path", corpus)
-        .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    )
+    return records.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

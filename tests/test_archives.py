@@ -2,9 +2,11 @@ import gzip
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
-from firmnet.plans.ingest import ingest_archives, pages_of_records
-from firmnet.sources import archives, stores
+from firmnet import storage
+from firmnet.plans.ingest import ingest_account, ingest_archives, pages_of_records
+from firmnet.sources import archives, ledger, stores
 from firmnet.streaming import ingest as streaming
 
 
@@ -173,3 +175,71 @@ def test_a_record_without_a_length_is_reported_and_reading_goes_on(spark, tmp_pa
     (tmp_path / "a.warc.gz").write_bytes(members([good[0], bad, good[1]]))
     rows = archives.read_archives(spark, str(tmp_path / "*.gz")).collect()
     assert sorted(r["rec_type"] for r in rows) == ["response", "response", "unreadable"]
+
+
+def test_account_tells_what_became_of_each_archive_by_its_path(spark, tmp_path):
+    from pyspark.sql import Observation
+
+    page = lambda url, n: warc("response", url, b"<p>" + b"some words " * n + b"</p>")
+    for folder in ("x", "y"):  # archives of one name in two folders
+        (tmp_path / folder).mkdir()
+        (tmp_path / folder / "a.warc.gz").write_bytes(members([page(f"http://{folder}.com/{i}", i) for i in range(3)] + [
+            warc("request", "http://x.com/", b"GET /")]))
+    bad = b"WARC/1.0\r\nWARC-Type: response\r\n\r\nbody\r\n\r\n"
+    (tmp_path / "y" / "a.warc.gz").write_bytes(members([page("http://y.com/0", 4)]) + gzip.compress(bad) + members([page("http://y.com/1", 1)]))
+    (tmp_path / "list.txt").write_text("\n".join(f"0 {name} {tmp_path}/{folder}" for folder, name in (
+        ("x", "a.warc.gz"), ("y", "a.warc.gz"), ("y", "gone.warc.gz"))))
+    out, seen = str(tmp_path / "corpus"), Observation("ingest")
+    ingest_archives(spark, str(tmp_path / "*"), out, manifest=str(tmp_path / "list.txt"), observation=seen)
+    found = {r["archive_path"].split(str(tmp_path))[1]: tuple(r)[1:] for r in ingest_account(spark, out).collect()}
+    assert found == {"/x/a.warc.gz": (4, 3, 0, 3, 6, False), "/y/a.warc.gz": (3, 2, 1, 2, 10, False), "/y/gone.warc.gz": (0, 0, 0, 0, 0, True)}
+    assert seen.get == {"pages": 5, "words": 16, "records": 7, "unreadable": 1}
+    assert stores.read_corpus(spark, out).count() == 5
+
+
+def test_archives_are_read_once_for_pages_and_accounts(spark, folder):
+    from firmnet.plans.ingest import rows_of_records
+
+    rows = rows_of_records(archives.read_files(archives.list_archives(spark, str(folder)), accounts=True))
+    rows = ledger.drop_seen(rows, ("page",), "r", None, F.col("kind") == "page")
+    assert rows._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+
+
+def test_a_run_done_again_replaces_its_rows(spark, folder, tmp_path):
+    out = str(tmp_path / "corpus")
+    for _ in range(2):
+        ingest_archives(spark, f"{folder}/old.arc.gz", out, run="2000")
+    assert stores.read_corpus(spark, out).count() == 2 and storage.runs(spark, out) == ["2000"]
+    ingest_archives(spark, f"{folder}/old.arc.gz", out, run="2001")
+    assert stores.read_corpus(spark, out).count() == 4
+
+
+def test_ledger_rows_are_not_shuffled(spark, tmp_path):
+    path, keys = str(tmp_path / "ledger"), ("archive_path", "page")
+    rows = spark.createDataFrame([(f"a{i % 3}", f"u{i}", "page") for i in range(100)] + [("a", None, "page"), ("a", "u1", "account"), ("a", "u1", "account")],
+                                 "archive_path string, page string, kind string")
+    ledger.note(spark, path, keys, "r0", rows.where("page < 'u5' and kind = 'page'"), buckets=8)
+    fresh = ledger.drop_seen(rows.unionByName(rows.where("kind = 'page'")), keys, "r1", path, F.col("kind") == "page")
+    want = {(f"a{i % 3}", f"u{i}") for i in range(100) if f"u{i}" >= "u5"}
+    got = sorted(map(tuple, fresh.collect()), key=str)
+    assert {r[:2] for r in got if r[1] and r[2] == "page"} == want and len(got) == len(want) + 2 + 2  # two without a key, two accounts
+    assert ledger.drop_seen(rows, keys, "r0", path).count() > len(want)  # a run's own notes do not count
+    with_merge = fresh.sparkSession.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        fresh = ledger.drop_seen(rows, keys, "r1", path, F.col("kind") == "page")
+        plan = fresh._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", with_merge)
+    assert plan.count("Exchange") == 1 and "SelectedBucketsCount: 8 out of 8" in plan  # the new rows alone
+
+
+def test_many_runs_keep_no_state(spark, tmp_path):
+    drop, out, mark = tmp_path / "drop", str(tmp_path / "corpus"), str(tmp_path / "mark")
+    drop.mkdir()
+    for i in range(4):
+        (drop / f"{i}.warc.gz").write_bytes(members([warc("response", f"http://a.com/{k}", b"some words") for k in range(i + 1)]))
+        streaming.ingest(archives.stream_archives(spark, str(drop)), out, mark, ("url",)).awaitTermination()
+        assert stores.read_corpus(spark, out).count() == i + 1
+    assert not (tmp_path / "mark" / "state").exists()
+    assert len(list((tmp_path / "mark-ledger").glob("*/*.parquet"))) <= 4 * 4  # a file for each bucket with new keys

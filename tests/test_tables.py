@@ -87,7 +87,41 @@ def test_corpus_scan_is_pruned(spark, tmp_path):
     got = stores.read_corpus(spark, str(tmp_path / "c"), 2005)
     assert {(r["year"], r["level"]) for r in got.collect()} == {(y, lv) for y in range(2001, 2006) for lv in range(4)}
     plan = got._jdf.queryExecution().executedPlan().toString()
-    assert "PartitionFilters: [isnotnull(year" in plan and "LessThanOrEqual(level,3)" in plan
+    assert "isnotnull(year" in plan.split("PartitionFilters: [")[1].split("]")[0] and "LessThanOrEqual(level,3)" in plan
+
+
+@pytest.mark.parametrize("tasks", [3, 60])
+def test_files_of_a_corpus_follow_bytes_not_tasks(spark, tmp_path, tasks):
+    rows = [(f"c{i % 40:02d}" if i % 3 else "hot", 2000 + i % 2, i % 4, f"{i:05d}", [f"w{i}"] * 20) for i in range(6000)]
+    df = spark.createDataFrame(rows, "company string, year int, level int, page string, words array<string>")
+    stores.write_corpus(df.repartition(tasks), str(tmp_path / "c"))
+    assert len(list((tmp_path / "c").glob("run=*/kind=page/year=*/*.parquet"))) <= 4
+    assert sorted(map(str, stores.read_corpus(spark, str(tmp_path / "c")).collect())) == sorted(map(str, df.collect()))
+
+
+def test_compacted_corpus_is_cut_into_ranges_of_companies(spark, tmp_path):
+    import pyarrow.parquet as pq
+
+    path = tmp_path / "c"
+    for run in range(5):
+        rows = [(f"c{i % 40:02d}", 2000, i % 4, f"{run}-{i}", ["w"] * 20) for i in range(800)]
+        stores.write_corpus(spark.createDataFrame(rows, "company string, year int, level int, page string, words array<string>"), str(path), str(run))
+    before = stores.read_corpus(spark, str(path)).count()
+    kept = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # small data would end in one file
+    try:
+        run = stores.compact_corpus(spark, str(path))
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", kept)
+    assert storage.runs(spark, str(path)) == [run] and stores.read_corpus(spark, str(path)).count() == before == 4000
+    spans = []
+    for f in path.glob("run=*/kind=page/year=*/*.parquet"):
+        meta = pq.ParquetFile(f).metadata
+        at = [c for c in range(meta.num_columns) if meta.schema.column(c).path == "company"][0]
+        stats = [meta.row_group(g).column(at).statistics for g in range(meta.num_row_groups)]
+        spans.append((min(s.min for s in stats), max(s.max for s in stats)))
+    spans.sort()
+    assert len(spans) > 3 and all(a[1] <= b[0] for a, b in zip(spans, spans[1:]))  # files overlap at their ends at most
 
 
 def test_vectors(spark, tmp_path):
