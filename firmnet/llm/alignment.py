@@ -3,29 +3,28 @@
 A text is tokenised whole by both sides, and the bytes of the tokens are compared with the text. Offsets at which both sides
 begin a token that is marked by a space are anchors: ends that both sides share there are verified on bytes, so the windows
 between anchors can be aligned on their own. A window is known by its two tuples of ids, and as most windows are words that
-come again and again, their alignments are remembered.
+come again and again, each different one of a batch of texts is aligned once, and its alignment is used for all of them.
 """
 
 from __future__ import annotations
 
 import hashlib
-import os
 from collections.abc import Iterator
 from functools import cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import sentencepiece
+import tiktoken
+from public_tokenizers import PATTERN
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from firmnet.llm.common import partitions
 from firmnet.storage import materialize
 
-MEMO = 200_000  # windows remembered by a worker; a full memory is emptied
-BATCH_CHARS = 1 << 20  # text tokenised in one call
-DOCS_PER_TASK = 10_000
+BATCH_CHARS = 4 << 20  # text that is tokenised and aligned at one go
 _CODE_BITS = 32  # code of a pair: id of A above, id of B below
 
 
@@ -40,21 +39,24 @@ def byte_level_alphabet() -> dict[str, int]:
 
 
 class ByteLevel:
-    """Byte-level BPE from a ``tokenizers`` file. Strings of special tokens are plain text."""
+    """Byte-level BPE of a ``tokenizers`` file. Strings of special tokens are plain text.
 
-    def __init__(self, path: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        alphabet = byte_level_alphabet()
-        self.bytes = [b""] * self.tokenizer.get_vocab_size()
-        special = {t.content for t in self.tokenizer.get_added_tokens_decoder().values()}
-        for entry, i in self.tokenizer.get_vocab().items():
-            self.bytes[i] = entry.encode() if entry in special else bytes(alphabet[c] for c in entry)
+    The file's merges are in order of their ids, so the bytes of its entries, ranked by id, say all there is to its BPE;
+    they are handed to an encoder that is several times faster. Tests compare its ids with those of the file's own library.
+    """
+
+    def __init__(self, path: str, pattern: str = PATTERN):
+        own = Tokenizer.from_file(path)
+        alphabet, special = byte_level_alphabet(), {t.content for t in own.get_added_tokens_decoder().values()}
+        ranks = {bytes(alphabet[c] for c in entry): i for entry, i in own.get_vocab().items() if entry not in special}
+        self.encoding = tiktoken.Encoding(path, pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        self.bytes = [b""] * own.get_vocab_size()
+        for entry, i in ranks.items():
+            self.bytes[i] = entry
 
     def encode(self, texts: list[str]) -> list[list[int]]:
         """Ids of each text behind a space."""
-        return [e.ids for e in self.tokenizer.encode_batch([" " + t for t in texts], add_special_tokens=False)]
+        return [self.encoding.encode_ordinary(" " + t) for t in texts]
 
 
 class Pieces:
@@ -69,68 +71,114 @@ class Pieces:
         return self.model.encode(texts, out_type=int, num_threads=1)
 
 
-def align(a: list[int], b: list[int]) -> list[tuple[int, int]]:
-    """Places behind the last token of each group, given the sizes of the tokens: offsets at which tokens of both end."""
-    out, i, j, x, y = [], 0, 0, 0, 0
-    while i < len(a) or j < len(b):  # both sides cover the same bytes
-        if x <= y:
-            x += a[i]
-            i += 1
-        if y < x:
-            y += b[j]
-            j += 1
-        if x == y:
-            out.append((i, j))
-    return out
+def _ragged(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of all runs ``start`` to ``end``, one behind the other, and where each run ends there."""
+    size = end - start
+    stop = np.cumsum(size)
+    return np.arange(int(size.sum())) + np.repeat(start - stop + size, size), stop
 
 
 class Aligner:
-    def __init__(self, a: ByteLevel, b: Pieces, memo: int = MEMO):
-        self.a, self.b, self.most = a, b, memo
-        self.a_sizes, self.b_sizes = ([len(x) for x in side.bytes] for side in (a, b))
-        self.a_size, self.b_size = np.array(self.a_sizes, np.int64), np.array(self.b_sizes, np.int64)
+    """Aligns batches of texts. ``aligned`` counts the windows that were aligned, ``met`` all windows."""
+
+    def __init__(self, a: ByteLevel, b: Pieces):
+        self.a, self.b = a, b
+        self.a_size, self.b_size = (np.array([len(x) for x in side.bytes], np.int64) for side in (a, b))
+        form = lambda side, end: np.array([f"{i}{end}" for i in range(len(side.bytes))], object)
+        self.a_texts, self.a_closing, self.b_texts, self.b_closing = form(a, ","), form(a, "|"), form(b, ","), form(b, ";")
         self.a_marked, self.b_marked = (np.array([x[:1] == b" " for x in side.bytes]) for side in (a, b))
-        self.known: dict[tuple, tuple[str, list[int]]] = {}
-        self.missed = 0
-
-    def window(self, a: tuple[int, ...], b: tuple[int, ...]) -> tuple[str, list[int]]:
-        """Written groups of a window, and the codes of its linked pairs: the last tokens of each group."""
-        out, links, i, j = [], [], 0, 0
-        for x, y in align([self.a_sizes[t] for t in a], [self.b_sizes[t] for t in b]):
-            out.append(f"{','.join(map(str, a[i:x]))}|{','.join(map(str, b[j:y]))}")
-            links.append(a[x - 1] << _CODE_BITS | b[y - 1])
-            i, j = x, y
-        self.missed += 1
-        return ";".join(out), links
-
-    def windows(self, a: list[int], b: list[int]) -> Iterator[tuple[tuple[int, ...], tuple[int, ...]]]:
-        """Id tuples between anchors: offsets where both sides begin a space-marked token."""
-        x, y = np.array(a, np.int64), np.array(b, np.int64)
-        a_from, b_from = np.cumsum(self.a_size[x]) - self.a_size[x], np.cumsum(self.b_size[y]) - self.b_size[y]
-        i, j = np.flatnonzero(self.a_marked[x]), np.flatnonzero(self.b_marked[y])
-        _, p, q = np.intersect1d(a_from[i], b_from[j], assume_unique=True, return_indices=True)
-        i, j = i[p].tolist(), j[q].tolist()
-        if not i or i[0] or j[0]:
-            i, j = [0, *i], [0, *j]
-        a, b = tuple(a), tuple(b)
-        for k, (s, t) in enumerate(zip(i, j)):
-            yield (a[s:i[k + 1]], b[t:j[k + 1]]) if k + 1 < len(i) else (a[s:], b[t:])
-
-    def align_text(self, text: str, a: list[int], b: list[int]) -> tuple[str, list[int]] | None:
-        """Groups and link codes of a text; None where the tokens' bytes are not those of the text behind a space."""
+        self.aligned = self.met = 0
+
+    def align_windows(self, x: np.ndarray, x_stop: np.ndarray, y: np.ndarray, y_stop: np.ndarray) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """Written groups of windows whose ids stand behind one another; codes of the linked pairs, the last tokens of each
+        group; and where each window's codes end.
+
+        All are aligned at one go, as both sides cover the same bytes window by window. A group ends where tokens of both
+        end; the pieces of its writing are put at their places, and cut at the windows' ends.
+        """
+        x_end, y_end = np.cumsum(self.a_size[x]), np.cumsum(self.b_size[y])
+        at = np.minimum(np.searchsorted(y_end, x_end), len(y) - 1)
+        x_last = y_end[at] == x_end  # a group's last token
+        y_last = np.zeros(len(y), bool)
+        y_last[at[x_last]] = True
+        i, j = np.flatnonzero(x_last), np.flatnonzero(y_last)
+        # A token stands behind the other side's tokens of the groups before, one of B also behind its group's own of A.
+        x_place = np.arange(len(x)) + np.concatenate([[0], j + 1])[np.cumsum(x_last) - x_last]
+        y_place = np.arange(len(y)) + (i + 1)[np.cumsum(y_last) - y_last]
+        written = np.empty(len(x) + len(y), object)
+        written[x_place] = np.where(x_last, self.a_closing[x], self.a_texts[x])
+        written[y_place] = np.where(y_last, self.b_closing[y], self.b_texts[y])
+        pieces, stop = written.tolist(), (x_stop + y_stop).tolist()
+        groups = ["".join(pieces[s:e])[:-1] for s, e in zip([0, *stop[:-1]], stop)]
+        return groups, x[i] << _CODE_BITS | y[j], np.searchsorted(i, x_stop)
+
+    def windows(self, x: np.ndarray, y: np.ndarray, x_new: np.ndarray, y_new: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places in ``x`` and ``y`` at which windows begin: offsets where both sides begin a space-marked token, or a text
+        (``x_new``, ``y_new``). Both sides cover the same bytes text by text."""
+        x_size, y_size = self.a_size[x], self.b_size[y]
+        x_mark, y_mark = self.a_marked[x], self.b_marked[y]
+        x_mark[x_new], y_mark[y_new] = True, True
+        i, j = np.flatnonzero(x_mark), np.flatnonzero(y_mark)
+        one, two = (np.cumsum(x_size) - x_size)[i], (np.cumsum(y_size) - y_size)[j]
+        at = np.minimum(np.searchsorted(two, one), len(two) - 1)
+        shared = two[at] == one
+        return i[shared], j[at[shared]]
+
+    def align_texts(self, texts: list[str], a: list[list[int]], b: list[list[int]]) -> list[tuple[str, np.ndarray] | None]:
+        """Groups and link codes of each text; None where the tokens' bytes are not those of the text behind a space.
+
+        Windows with the same tuples of ids are aligned once.
+        """
+        sure = [k for k, (t, x, y) in enumerate(zip(texts, a, b)) if t and self._covers(t, x, y)]
+        out: list[tuple[str, np.ndarray] | None] = [None] * len(texts)
+        if not sure:
+            return out
+        x, y = (np.fromiter(chain.from_iterable(side[k] for k in sure), np.int64) for side in (a, b))
+        x_new, y_new = (np.cumsum([0] + [len(side[k]) for k in sure]) for side in (a, b))
+        i, j = self.windows(x, y, x_new[:-1], y_new[:-1])
+        i_end, j_end = np.append(i[1:], len(x)), np.append(j[1:], len(y))
+        kind, some = same_windows(x, i, i_end, y, j, j_end, len(self.a_size), len(self.b_size))
+        (x_at, x_stop), (y_at, y_stop) = _ragged(i[some], i_end[some]), _ragged(j[some], j_end[some])
+        groups, codes, stop = self.align_windows(x[x_at], x_stop, y[y_at], y_stop)
+        self.aligned, self.met = self.aligned + len(some), self.met + len(i)
+        written, start = np.array(groups, object)[kind], np.concatenate([[0], stop[:-1]])
+        at, links = _ragged(start[kind], stop[kind])
+        at, links = codes[at], np.concatenate([[0], links]).tolist()
+        bounds = np.searchsorted(i, x_new).tolist()
+        for k, s, e in zip(sure, bounds, bounds[1:]):
+            out[k] = ";".join(written[s:e].tolist()), at[links[s]:links[e]]
+        return out
+
+    def _covers(self, text: str, a: list[int], b: list[int]) -> bool:
         raw = b" " + text.encode()
-        if b"".join(map(self.a.bytes.__getitem__, a)) != raw or b"".join(map(self.b.bytes.__getitem__, b)) != raw:
-            return None
-        groups, links = [], []
-        for key in self.windows(a, b):
-            hit = self.known.get(key)
-            if hit is None:
-                if len(self.known) >= self.most:
-                    self.known.clear()
-                hit = self.known[key] = self.window(*key)
-            groups.append(hit[0])
-            links += hit[1]
-        return ";".join(groups), links
+        return b"".join(map(self.a.bytes.__getitem__, a)) == raw and b"".join(map(self.b.bytes.__getitem__, b)) == raw
+
+
+LONG = 12  # windows with more tokens on a side are not compared with others of the batch
+
+
+def _refined(kind: np.ndarray, ids: np.ndarray, start: np.ndarray, end: np.ndarray, n_ids: int) -> np.ndarray:
+    """Windows of one ``kind`` split by their ids, token by token: equal numbers for equal kinds and equal ids."""
+    for place in range(LONG):
+        (more,) = np.nonzero(end - start > place)
+        if not len(more):
+            break
+        # Windows that have ended keep their number; the others get new ones behind all.
+        _, new = np.unique(kind[more] * n_ids + ids[start[more] + place], return_inverse=True)
+        kind[more] = kind.max() + 1 + new
+    return kind
+
+
+def same_windows(x: np.ndarray, i: np.ndarray, i_end: np.ndarray, y: np.ndarray, j: np.ndarray, j_end: np.ndarray, n_a: int,
+                 n_b: int) -> tuple[np.ndarray, np.ndarray]:
+    """Number of each window among the different ones, and a place of each different one."""
+    kind = _refined(np.zeros(len(i), np.int64), x, i, i_end, n_a)
+    _, kind = np.unique(kind, return_inverse=True)
+    kind = _refined(kind, y, j, j_end, n_b)
+    long = (i_end - i > LONG) | (j_end - j > LONG)
+    kind[long] = kind.max() + 1 + np.arange(long.sum())
+    _, some, kind = np.unique(kind, return_index=True, return_inverse=True)
+    return kind, some
 
 
 @cache  # a worker keeps its tokenizers and its memory from task to task
@@ -148,13 +196,18 @@ def _slices(texts: list[str | None]) -> Iterator[tuple[int, int]]:
             start, held = k + 1, 0
 
 
-def _texts(aligner: Aligner, texts: list[str | None]) -> Iterator[tuple[list[int], list[int], str, list[int]]]:
-    """Ids of both sides, written groups and link codes of each text; empty ones for a text without tokens."""
+Aligned = tuple[list[int], list[int], str, np.ndarray]
+_NONE = np.zeros(0, np.int64)
+
+
+def _texts(aligner: Aligner, texts: list[str | None]) -> Iterator[tuple[int, int, list[Aligned]]]:
+    """Runs of texts (from, to) with ids of both sides, written groups and link codes of each; empty ones for a text without
+    tokens."""
     for s, e in _slices(texts):
         part = [t or "" for t in texts[s:e]]
-        for text, a, b in zip(part, aligner.a.encode(part), aligner.b.encode(part)):
-            found = aligner.align_text(text, a, b) if text else None
-            yield (a, b, *found) if found else ([], [], "", [])
+        a, b = aligner.a.encode(part), aligner.b.encode(part)
+        found = aligner.align_texts(part, a, b)
+        yield s, e, [(x, y, *f) if f else ([], [], "", _NONE) for x, y, f in zip(a, b, found)]
 
 
 _ALIGNED = pa.schema([("a", pa.list_(pa.int32())), ("b", pa.list_(pa.int32())), ("groups", pa.string())])
@@ -166,23 +219,27 @@ LINKED = "n_a long, n_b long, n_groups long, groups_sha256 string, pairs array<l
 def _aligned(a: str, b: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(x, y, groups) for x, y, groups, _ in _texts(_aligner(a, b), batch.column(1).to_pylist())]
-            columns = [pa.array([r[k] for r in rows], f.type) for k, f in enumerate(_ALIGNED)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["_id", *_ALIGNED.names])
+            for s, e, found in _texts(_aligner(a, b), batch.column(1).to_pylist()):
+                columns = [pa.array([r[k] for r in found], f.type) for k, f in enumerate(_ALIGNED)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(s, e - s), *columns], names=["_id", *_ALIGNED.names])
 
     return run
 
 
+def _lists(arrays: list[np.ndarray]) -> pa.Array:
+    ends = np.cumsum([0] + [len(x) for x in arrays]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([_NONE, *arrays])))
+
+
 def _linked(a: str, b: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for x, y, groups, links in _texts(_aligner(a, b), batch.column(1).to_pylist()):
-                pairs, counts = np.unique(np.array(links, np.int64), return_counts=True)
-                digest = hashlib.sha256(groups.encode()).hexdigest() if groups else ""
-                rows.append((len(x), len(y), len(links), digest, pairs, counts))
-            columns = [pa.array([r[k] for r in rows], f.type) for k, f in enumerate(_LINKED)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["_id", *_LINKED.names])
+            for s, e, found in _texts(_aligner(a, b), batch.column(1).to_pylist()):
+                links = [np.unique(codes, return_counts=True) for *_, codes in found]
+                rows = [(len(x), len(y), len(codes), hashlib.sha256(groups.encode()).hexdigest() if groups else "") for x, y, groups, codes in found]
+                columns = [pa.array([r[k] for r in rows], _LINKED[k].type) for k in range(4)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(s, e - s), *columns, *(_lists([x[k] for x in links]) for k in (0, 1))],
+                                                 names=["_id", *_LINKED.names])
 
     return run
 

@@ -7,7 +7,10 @@ import duckdb
 import numpy as np
 import public_tokenizers
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from firmnet.llm import alignment, phrases, sharding
 from firmnet.llm.queries import ORACLE_SQL, QUERIES
@@ -149,13 +152,36 @@ def test_query_of_alignment(spark, sides):
     assert [got[r["doc_id"]] for r in docs] == plain([r["text"] for r in docs], sides)
 
 
-def test_windows_are_aligned_once_and_a_full_memory_is_emptied(sides):
+def test_windows_of_a_batch_are_aligned_once(sides):
     texts = ["the cat and the dog and the cat"] * 50
-    kept, small = alignment.Aligner(*sides), alignment.Aligner(*sides, memo=2)
-    for x in (kept, small):
-        out = [x.align_text(t, *(s.encode([t])[0] for s in sides)) for t in texts]
-        assert len(set(map(str, out))) == 1
-    assert kept.missed == 4 and small.missed > 50 and len(small.known) <= 2  # the, cat, and, dog
+    own = alignment.Aligner(*sides)
+    out = own.align_texts(texts, *(side.encode(texts) for side in sides))
+    assert len({(groups, tuple(codes)) for groups, codes in out}) == 1
+    assert own.aligned == 4 and own.met == 50 * 8  # the, cat, and, dog
+
+
+@given(st.lists(st.tuples(st.lists(st.integers(0, 3), min_size=1, max_size=20), st.lists(st.integers(0, 3), min_size=1, max_size=20)), min_size=1, max_size=12))
+@settings(max_examples=60, deadline=None)
+def test_equal_windows_are_found_token_by_token(pairs):
+    x, y = (np.array([t for p in pairs for t in p[side]], np.int64) for side in (0, 1))
+    bounds = [np.cumsum([0] + [len(p[side]) for p in pairs]) for side in (0, 1)]
+    kind, some = alignment.same_windows(x, bounds[0][:-1], bounds[0][1:], y, bounds[1][:-1], bounds[1][1:], 4, 4)
+    keys = [(tuple(a), tuple(b)) for a, b in pairs]
+    for i, key in enumerate(keys):
+        assert keys[some[kind[i]]] == key
+        for j in range(i):
+            same, long = key == keys[j], max(map(len, key)) > alignment.LONG
+            assert (kind[i] == kind[j]) == (same and not long)
+
+
+def test_ids_are_those_of_the_file_s_own_tokenizer(spark, sides):
+    own = Tokenizer.from_file(A)
+    own.encode_special_tokens = True
+    texts = [r["text"] for r in spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("text").collect()]
+    texts += [t for t in ODD if t] + [" ".join(random.Random(i).choices(["a", "the", "", "\n", "x1", "don't", "é,", "<|endoftext|>", "　z"], k=40)) for i in range(200)]
+    for s in range(0, len(texts), 500):
+        want = own.encode_batch([" " + t for t in texts[s:s + 500]], add_special_tokens=False)
+        assert sides[0].encode(texts[s:s + 500]) == [e.ids for e in want]
 
 
 def test_special_strings_are_plain_text(sides):
