@@ -53,12 +53,18 @@ class _Numbers(dict):
 
 
 def _chunk_row(chunk: int, lang: str, numbers: _Numbers, ids: list[int]) -> tuple:
+    """A chunk: its words by falling counts, and its text as places in that order, packed (see :func:`_opened`)."""
     at = np.array(ids, np.int32)
     if len(numbers) >> _PLACE_BITS:
         raise ValueError(f"a chunk holds {len(numbers)} distinct words")
     counts = np.bincount(at[at >= 0], minlength=len(numbers))
-    ids = pa.compress(at.tobytes(), "zstd", asbytes=True)
-    return chunk, lang, int(counts.sum()), [w.decode() for w in numbers], counts, len(at), len(numbers), ids
+    order = np.argsort(-counts, kind="stable")
+    place = np.empty(len(order) + 1, "<u4")
+    place[order], place[-1] = np.arange(1, len(order) + 1), 0  # -1, the end of a piece, becomes 0
+    # Bytes of equal weight lie together: frequent words have small numbers, so most of them are alike.
+    packed = pa.compress(place[at].view(np.uint8).reshape(-1, 4).T.tobytes(), "zstd", asbytes=True)
+    words = [w.decode() for w in numbers]
+    return chunk, lang, int(counts.sum()), [words[k] for k in order], counts[order], len(at), len(numbers), packed
 
 
 def _chunks(most: int):
@@ -94,41 +100,47 @@ def _chunks(most: int):
 
 
 def _opened(chunk: pa.Table) -> tuple[int, np.ndarray, int]:
-    """Chunk, word numbers (-1 ends a piece) and size of the vocabulary of a table of one chunk."""
+    """Tag, word numbers (-1 ends a piece) and size of the vocabulary of a table of one chunk."""
     row = chunk.to_pylist()[0]
-    ids = pa.decompress(row["ids"], decompressed_size=4 * row["size"], codec="zstd", asbytes=True)
-    return row["chunk"], np.frombuffer(ids, np.int32).astype(np.int64), row["distinct"]
+    planes = np.frombuffer(pa.decompress(row["ids"], decompressed_size=4 * row["size"], codec="zstd", asbytes=True), np.uint8)
+    ids = np.ascontiguousarray(planes.reshape(4, -1).T).view("<u4").reshape(-1).astype(np.int64) - 1
+    return row["tag"], ids, row["distinct"]
 
 
-_PAIRS = pa.schema([("chunk", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("code", pa.int64()), ("n", pa.int64())])
-_TRIPLES = pa.schema([("chunk", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("c", pa.int64()), ("n", pa.int64())])
+_PAIRS = pa.schema([("tag", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("n", pa.int64())])
+_TRIPLES = pa.schema([("tag", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("c", pa.int64()), ("n", pa.int64())])
 
 
 def _known(rows: pa.Table, words: int) -> tuple[np.ndarray, np.ndarray]:
-    """Number of each frequent word by its place in the chunk's vocabulary, -1 for others; codes of frequent pairs, sorted."""
+    """Number of each frequent word by its place in the chunk's vocabulary, -1 for others; and codes of frequent pairs, sorted.
+
+    A pair's code holds the places of its two words.
+    """
     kind, x, y = (rows.column(c).to_numpy() for c in ("kind", "x", "y"))
-    number = np.full(words, -1, np.int64)
-    number[x[kind == 1]] = y[kind == 1]
-    return number, np.sort(x[kind == 2])
+    number, place = np.full(words, -1, np.int64), np.flatnonzero(kind == 1)
+    number[x[place]] = y[place]
+    order = place[np.argsort(y[place])]
+    at = lambda of: x[order][np.searchsorted(y[order], of[kind == 2])]
+    return number, np.sort(at(x) << 32 | at(y)) if (kind == 2).any() else np.zeros(0, np.int64)
 
 
 def _count_pairs(chunk: pa.Table, sent: pa.Table) -> pa.Table:
-    """A chunk's pairs of frequent words, with the pair's code in this chunk."""
+    """A chunk's pairs of frequent words."""
     if not chunk.num_rows or not sent.num_rows:
         return _PAIRS.empty_table()
-    name, ids, distinct = _opened(chunk)
+    tag, ids, distinct = _opened(chunk)
     number, _ = _known(sent, distinct)
     ok = (ids >= 0) & (number[ids] >= 0)
     both = ok[:-1] & ok[1:]
     code, n = np.unique(ids[:-1][both] << 32 | ids[1:][both], return_counts=True)
-    return pa.table([np.full(len(code), name), number[code >> 32], number[code & 0xFFFFFFFF], code, n], schema=_PAIRS)
+    return pa.table([np.full(len(code), tag), number[code >> 32], number[code & 0xFFFFFFFF], n], schema=_PAIRS)
 
 
 def _count_triples(chunk: pa.Table, sent: pa.Table) -> pa.Table:
     """A chunk's triples whose first and last two words are frequent pairs."""
     if not chunk.num_rows or not sent.num_rows:
         return _TRIPLES.empty_table()
-    name, ids, distinct = _opened(chunk)
+    tag, ids, distinct = _opened(chunk)
     number, pairs = _known(sent, distinct)
     if not len(pairs) or len(ids) < 3:
         return _TRIPLES.empty_table()
@@ -139,19 +151,34 @@ def _count_triples(chunk: pa.Table, sent: pa.Table) -> pa.Table:
     both = ok[:-1] & ok[1:]
     key, n = np.unique(at[:-1][both] << 32 | ids[2:][both], return_counts=True)
     first = pairs[key >> 32]
-    return pa.table([np.full(len(key), name), number[first >> 32], number[first & 0xFFFFFFFF], number[key & 0xFFFFFFFF], n], schema=_TRIPLES)
+    return pa.table([np.full(len(key), tag), number[first >> 32], number[first & 0xFFFFFFFF], number[key & 0xFFFFFFFF], n], schema=_TRIPLES)
 
 
-def _frequent(counted: DataFrame, keys: list[str], needs: DataFrame, support: int, parts: int) -> DataFrame:
-    """Rows of ``counted`` (keys, chunk, n) whose phrase is frequent, with its exact count ``f``.
+def _frequent(counted: DataFrame, keys: list[str], support: int, parts: int) -> DataFrame:
+    """Rows of ``counted`` (keys, tag, n) whose phrase is frequent, with its exact count ``f``.
 
-    The phrase must reach the local support (``need``) in one shard at least, which every frequent phrase does; its count is
-    the sum over all shards. One shuffle by ``keys`` serves the sums by shard and the sums over shards.
+    The phrase must reach the local support in one shard at least, which every frequent phrase does; its count is the sum
+    over all shards. One shuffle by ``keys`` serves the sums by shard and the sums over shards. The tag of a row holds its
+    chunk, shard and local support in one number, which keeps the shuffled rows short.
     """
     by_shard, over_all = W.partitionBy(*keys, "shard"), W.partitionBy(*keys)
-    rows = counted.join(needs, "chunk").repartition(parts, *keys).withColumn("local", F.sum("n").over(by_shard))
-    rows = rows.withColumn("candidate", F.max(F.col("local") >= F.col("need")).over(over_all)).withColumn("f", F.sum("n").over(over_all))
-    return rows.where(F.col("candidate") & (F.col("f") >= support)).drop("local", "candidate", "shard", "need")
+    rows = counted.repartition(parts, *keys).withColumn("shard", _untag("shard")).withColumn("local", F.sum("n").over(by_shard))
+    rows = rows.withColumn("candidate", F.max(F.col("local") >= _untag("need")).over(over_all)).withColumn("f", F.sum("n").over(over_all))
+    return rows.where(F.col("candidate") & (F.col("f") >= support)).withColumn("chunk", _untag("chunk")).drop(
+        "local", "candidate", "shard", "tag")
+
+
+_NEED_BITS, _SHARD_BITS = 12, 8
+
+
+def _tag() -> Column:
+    return F.shiftleft("chunk", _NEED_BITS + _SHARD_BITS).bitwiseOR(F.shiftleft("shard", _NEED_BITS)).bitwiseOR(F.col("need"))
+
+
+def _untag(part: str) -> Column:
+    need, shard = (1 << _NEED_BITS) - 1, (1 << _SHARD_BITS) - 1
+    return {"chunk": F.shiftright("tag", _NEED_BITS + _SHARD_BITS), "need": F.col("tag").bitwiseAND(need),
+            "shard": F.shiftright("tag", _NEED_BITS).bitwiseAND(shard)}[part]
 
 
 @dataclass(frozen=True)
@@ -173,6 +200,8 @@ def frequent_phrases(docs: DataFrame, lang: str = "lang", text: str = "text", su
 
     NULL texts have no words, NULL languages count as ``und``; repeated rows count each time; an empty table gives empty ones.
     """
+    if not 0 < shards <= 1 << _SHARD_BITS or not 0 < support < 1 << _NEED_BITS:
+        raise ValueError(f"{shards} shards or a support of {support} are out of range")
     spark = docs.sparkSession
     rows = docs.select(F.spark_partition_id().cast("long").alias("part"), F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"),
                        whole(text).alias("text"))
@@ -181,24 +210,24 @@ def frequent_phrases(docs: DataFrame, lang: str = "lang", text: str = "text", su
     totals = materialize(sized.groupBy("lang").agg(F.sum("n").alias("n")), "totals")
     parts = partitions(spark, totals.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0], ROWS_PER_TASK)
     share = sized.groupBy("lang", "shard").agg(F.sum("n").alias("own")).join(totals, "lang")
-    need = F.ceil(F.lit(support) * F.col("own").cast("decimal(20,0)") / F.col("n")).cast("long")  # of a share of 0, none
-    needs = sized.select("chunk", "lang", "shard").join(share.select("lang", "shard", need.alias("need")), ["lang", "shard"])
-    needs = materialize(needs.select("chunk", "shard", "need"), "needs")
+    need = F.ceil(F.lit(support) * F.col("own").cast("decimal(20,0)") / F.col("n")).cast("long")
+    tags = sized.select("chunk", "lang", "shard").join(share.select("lang", "shard", need.alias("need")), ["lang", "shard"])
+    tags = materialize(tags.where("need > 0").select("chunk", _tag().alias("tag")), "tags")  # chunks without words have none
 
-    word = chunks.select("chunk", "lang", F.posexplode(F.arrays_zip("words", "counts")).alias("at", "w"))
-    word = word.select("chunk", "lang", F.col("w.words").alias("word"), F.col("at").cast("long").alias("at"), F.col("w.counts").alias("n"))
-    words = _frequent(word, ["lang", "word"], needs, support, parts)
+    word = chunks.join(tags, "chunk").select("tag", "lang", F.posexplode(F.arrays_zip("words", "counts")).alias("at", "w"))
+    word = word.select("tag", "lang", F.col("w.words").alias("word"), F.col("at").cast("long").alias("at"), F.col("w.counts").alias("n"))
+    words = _frequent(word, ["lang", "word"], support, parts)
     place = F.shiftleft("chunk", _PLACE_BITS).bitwiseOR(F.col("at"))
     words = materialize(words.withColumn("a", F.min(place).over(W.partitionBy("lang", "word"))).drop("n"), "frequent-words")
 
     known = words.select("chunk", F.lit(1).alias("kind"), F.col("at").alias("x"), F.col("a").alias("y"))
-    body = chunks.select("chunk", "size", "distinct", "ids").groupBy("chunk")
-    counted = body.cogroup(known.groupBy("chunk")).applyInArrow(_count_pairs, "chunk long, a long, b long, code long, n long")
-    pairs = materialize(_frequent(counted, ["a", "b"], needs, support, parts).drop("n"), "frequent-pairs")
+    body = chunks.select("chunk", "size", "distinct", "ids").join(tags, "chunk").groupBy("chunk")
+    counted = body.cogroup(known.groupBy("chunk")).applyInArrow(_count_pairs, "tag long, a long, b long, n long")
+    pairs = materialize(_frequent(counted, ["a", "b"], support, parts).drop("n"), "frequent-pairs")
 
-    known = known.unionByName(pairs.select("chunk", F.lit(2).alias("kind"), F.col("code").alias("x"), F.lit(0).cast("long").alias("y")))
-    counted = body.cogroup(known.groupBy("chunk")).applyInArrow(_count_triples, "chunk long, a long, b long, c long, n long")
-    triples = _frequent(counted, ["a", "b", "c"], needs, support, parts)
+    known = known.unionByName(pairs.select("chunk", F.lit(2).alias("kind"), F.col("a").alias("x"), F.col("b").alias("y")))
+    counted = body.cogroup(known.groupBy("chunk")).applyInArrow(_count_triples, "tag long, a long, b long, c long, n long")
+    triples = _frequent(counted, ["a", "b", "c"], support, parts)
     return Phrases(*(materialize(df.distinct(), name) for df, name in (
         (words.select("lang", "word", "a", "f"), "words"), (pairs.select("a", "b", "f"), "pairs"),
         (triples.select("a", "b", "c", "f"), "triples"))), totals)
