@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 import xxhash
 
 from firmnet.llm import components, neighbours, simhash
@@ -142,3 +143,69 @@ def test_copies_ties_and_vectors_that_take_no_part(spark):
     want = {q: [v for v, _ in hits] for q, hits in brute_neighbours(rows, [r for r in rows if r[0] % 50 == 0], 3).items()}
     assert got == want | {950: [951]}
     assert neighbours.neighbours(df.limit(0), df.limit(0)).count() == 0
+
+
+def inspected(spark, x, queries, k):
+    """Share of all rows that the queries' opened leaves hold, over both walks, and the recall of the search."""
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    unit = neighbours._unit(x)
+    found = neighbours.neighbours(df, df.where(F.col("vec_id").isin(queries)), k).collect()
+    got, kth = {}, {}
+    for r in found:
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    fitted = unit[np.random.default_rng(1).choice(len(x), min(len(x), neighbours.SAMPLE), replace=False)]
+    depth = neighbours.depth_for(len(x), len(fitted))
+    forest = [neighbours.grow(fitted, seed, depth) for seed in range(neighbours.TREES)]
+    leaves = [t.leaf(unit) for t in forest]
+    sizes = [np.bincount(own, minlength=1 << depth) for own in leaves]
+    shares, recall = [], []
+    for q in queries:
+        score = unit @ unit[q]
+        score[q] = -2
+        best = np.argsort(-score, kind="stable")[:k]
+        far = np.sqrt(2 - 2 * score[best[-1]])
+        opened = set(neighbours.search(unit[q], forest, sizes, neighbours.FIRST_ROWS)) | set(
+            neighbours.search(unit[q], forest, sizes, margin=neighbours.REACH * far / np.sqrt(x.shape[1])))
+        members = np.zeros(len(x), bool)
+        for tree, leaf in opened:
+            members |= leaves[tree] == leaf
+        shares.append(members.mean())
+        recall.append(len(got[q] & set(best.tolist())) / k)
+    return float(np.mean(shares)), float(np.mean(recall))
+
+
+@pytest.mark.parametrize("clusters", [100, 2000])
+def test_few_rows_are_inspected_where_vectors_lie_in_clusters(spark, clusters):
+    draw = np.random.default_rng(clusters)
+    x = draw.standard_normal((clusters, 64))[draw.integers(0, clusters, 20_000)] + 0.3 * draw.standard_normal((20_000, 64))
+    share, recall = inspected(spark, x, list(range(0, 20_000, 500)), 5)
+    print(f"inspected {share:.3f}, recall {recall:.3f}")
+    assert share < 0.2 and recall >= 0.9
+
+
+def test_rows_and_queries_travel_to_cells_not_to_each_other(spark):
+    """Rows are sent once for each tree; a cell holds a bounded number of rows although one vector is on a third of them."""
+    draw = np.random.default_rng(5)
+    x = draw.standard_normal((6000, 16))
+    x[::3] = x[0]
+    unit = neighbours._unit(x)
+    depth = neighbours.depth_for(len(x), len(x))
+    forest = [neighbours.grow(unit, seed, depth) for seed in range(2)]
+    sizes = [np.bincount(t.leaf(unit), minlength=1 << depth) for t in forest]
+    layout = neighbours.Layout(forest, sizes, 500)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, x array<double>")
+    routed = df.mapInArrow(neighbours._route(forest), "id long, x array<double>, leaves array<long>").withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(1 << 30)))
+    placed = routed.mapInArrow(neighbours._place(layout, depth), "cell long, bit int, id long, x array<double>")
+    sizes = [r["count"] for r in placed.groupBy("cell").count().collect()]
+    assert sum(sizes) == 2 * 6000 and max(sizes) < 700  # a hashed share of at most 500 on average
+    found = neighbours.neighbours(df.withColumnsRenamed({"id": "vec_id", "x": "embedding"}), df.where("id in (0, 3, 4)").withColumnsRenamed({"id": "vec_id", "x": "embedding"}), 4)
+    got = {}
+    for r in found.orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append(r["vec_id"])
+    assert got[0] == [3, 6, 9, 12] and got[3] == [0, 6, 9, 12]
+
+
+def test_no_product_of_all_rows_and_queries_in_the_plan(spark):
+    df = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
+    plan = neighbours.neighbours(df, df.where("vec_id % 50 = 0"))._jdf.queryExecution().executedPlan().toString()
+    assert "Cartesian" not in plan and "NestedLoop" not in plan and "Generate explode(sequence" not in plan
