@@ -1,10 +1,11 @@
 """Best-fit packing of tokenised documents into sequences, improved by a grouping genetic algorithm on islands.
 
 Pieces are hashed into shards of bounded size. A shard is solved by several islands; an island keeps a few packings,
-begun by best fit over differently shuffled lengths, and breeds them: crossover injects whole well-filled bins of one
-parent into the other, bins that now hold a document twice are dissolved, and their other documents are placed again by
-best fit. Between epochs the best packing of an island moves to the next one. An island stops once its packing has as
-few bins as the sum of lengths allows.
+begun by best fit over falling, blurred and shuffled lengths, and breeds them: crossover injects whole well-filled bins of one
+parent into the other; bins that now hold a document twice are dissolved, and the worst-filled ones with them. A displaced
+document may take the place of shorter ones in a bin that it fills better; what is displaced in the end is placed by best
+fit. Between epochs the best packing of an island moves to the next one. An island stops when no child was better for a while,
+or, after its first crossovers, when its packing has as few bins as the sum of lengths allows.
 """
 
 from __future__ import annotations
@@ -30,8 +31,12 @@ from firmnet.storage import materialize
 CAPACITY = 2048
 END = 0  # id that closes each document
 SHARD_PIECES = 8192
-ISLANDS, EPOCHS, POPULATION, GENERATIONS = 2, 2, 3, 4
+ISLANDS, EPOCHS, POPULATION = 2, 2, 6
+FIRST = 8  # crossovers of an island in each epoch, at least
+STALL = 12  # crossovers without a better child that end an epoch
 WELL_FILLED = 0.98
+DISSOLVED = 0.1  # of the other parent's bins, the worst-filled
+TRIED = 4  # bins looked at for each displaced document
 
 _PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()),
                      ("ids_crc32", pa.int64())])
@@ -137,24 +142,56 @@ class Packing:
         return -len(self.bins), sum((self.capacity - r) ** 2 for r in self.room)
 
 
+def _exchanged(bins: list[list[int]], loose: list[int], lengths: list[int], capacity: int, draw: random.Random) -> list[int]:
+    """Let loose items take the place of one or two shorter ones in bins that they fill better; returns what is loose then."""
+    by_length: dict[int, list[int]] = {}
+    for i in loose:
+        by_length.setdefault(lengths[i], []).append(i)
+    mask = sum(1 << n for n in by_length)
+    for b in draw.sample(range(len(bins)), min(len(bins), TRIED * len(loose))):
+        x = bins[b]
+        room = capacity - sum(lengths[i] for i in x)
+        if not room:
+            continue
+        best = (0, 0, 0, 0)
+        for p in range(len(x)):
+            for q in range(p, len(x)):
+                out = lengths[x[p]] + (lengths[x[q]] if q > p else 0)
+                fits = mask & ((1 << (out + room + 1)) - 1)
+                best = max(best, (fits.bit_length() - 1 - out, p, q, fits.bit_length() - 1))
+        gain, p, q, n = best
+        if gain > 0:
+            own = by_length[n]
+            new = own.pop()
+            if not own:
+                del by_length[n]
+                mask &= ~(1 << n)
+            for k in {p, q}:
+                by_length.setdefault(lengths[x[k]], []).append(x[k])
+                mask |= 1 << lengths[x[k]]
+            bins[b] = [i for k, i in enumerate(x) if k not in (p, q)] + [new]
+    return [i for own in by_length.values() for i in own]
+
+
 def cross(a: Packing, b: Packing, draw: random.Random) -> Packing:
-    """Child of ``a`` with some of the well-filled bins of ``b``."""
-    good = [x for x, r in zip(b.bins, b.room) if r <= b.capacity * (1 - WELL_FILLED)]
-    taken = draw.sample(good, len(good) // 2)
+    """Child of ``a`` with some of the well-filled bins of ``b``, the fullest or any."""
+    good = sorted((r, k) for k, r in enumerate(b.room) if r <= b.capacity * (1 - WELL_FILLED))
+    half = (len(good) + 1) // 2
+    taken = [b.bins[k] for _, k in (good[:half] if draw.random() < 0.5 else draw.sample(good, half))]
     inside = {i for x in taken for i in x}
-    child, loose = Packing(a.lengths, a.capacity), []
-    for x in taken:
-        child.add_bin(list(x))
-    for x in a.bins:
-        if inside.isdisjoint(x):
-            child.add_bin(list(x))
-        else:
-            loose += [i for i in x if i not in inside]
+    kept = sorted((r, k) for k, r in enumerate(a.room) if inside.isdisjoint(a.bins[k]))
+    kept = [a.bins[k] for _, k in kept[:len(kept) - int(len(kept) * DISSOLVED)]]
+    bins = [list(x) for x in taken + kept]
+    placed = inside.union(*kept)
+    loose = _exchanged(bins, [i for x in a.bins for i in x if i not in placed], a.lengths, a.capacity, draw)
+    child = Packing(a.lengths, a.capacity)
+    for x in bins:
+        child.add_bin(x)
     return child.fill(sorted(loose, key=lambda i: -a.lengths[i]))
 
 
-def evolve(lengths: list[int], capacity: int, seed: int, given: list[list[list[int]]] = ()) -> list[list[int]]:
-    """Best packing of an island, from the ``given`` ones and best fit over shuffled lengths."""
+def evolve(lengths: list[int], capacity: int, seed: int, given: list[list[list[int]]] = ()) -> tuple[list[list[int]], int]:
+    """Best packing of an island and the crossovers it took, from the ``given`` packings and best fit over several orders."""
     draw = random.Random(seed)
     least = -(-sum(lengths) // capacity)
     down = sorted(range(len(lengths)), key=lambda i: -lengths[i])
@@ -164,19 +201,25 @@ def evolve(lengths: list[int], capacity: int, seed: int, given: list[list[list[i
         for x in bins:
             p.add_bin(x)
         people.append(p)
-    while len(people) < POPULATION:
-        blur = 0 if not people else 0.05 * len(people)
-        order = sorted(down, key=lambda i: -lengths[i] * (1 + blur * draw.random())) if blur else down
+    for k in range(POPULATION - len(people)):
+        if k == 0:
+            order = down
+        elif k % 2:
+            order = sorted(down, key=lambda i: -lengths[i] * (1 + 0.1 * k * draw.random()))
+        else:
+            order = draw.sample(down, len(down))
         people.append(Packing(lengths, capacity).fill(order))
-        if len(people[-1].bins) <= least:
-            return people[-1].bins
-    for _ in range(GENERATIONS):
+    crossed = stalled = 0
+    while stalled < STALL:
         people.sort(key=Packing.fitness, reverse=True)
-        if len(people[0].bins) <= least:
+        if crossed >= FIRST and len(people[0].bins) <= least:
             break
         mother, father = people[0], draw.choice(people[1:])
-        people[-1] = max(cross(mother, father, draw), cross(father, mother, draw), key=Packing.fitness)
-    return max(people, key=Packing.fitness).bins
+        child = max(cross(mother, father, draw), cross(father, mother, draw), key=Packing.fitness)
+        crossed += 2
+        stalled = 0 if child.fitness() > mother.fitness() else stalled + 1
+        people[-1] = child
+    return max(people, key=Packing.fitness).bins, crossed
 
 
 def _epoch(capacity: int, epoch: int):
@@ -192,7 +235,7 @@ def _epoch(capacity: int, epoch: int):
             for i, b in enumerate(g.bin):
                 bins.setdefault(b, []).append(i)
             given.append(list(bins.values()))
-        best = evolve(lengths, capacity, hash((shard, island, epoch)), given)
+        best, crossed = evolve(lengths, capacity, hash((shard, island, epoch)), given)
         out = np.empty((len(keys), 2), np.int64)
         for b, items in enumerate(best):
             at = 0
@@ -200,11 +243,28 @@ def _epoch(capacity: int, epoch: int):
                 out[i] = b, at
                 at += lengths[i]
         return pd.DataFrame({"shard": shard, "island": island, "key": keys, "length": lengths, "bin": out[:, 0], "at": out[:, 1],
-                             "bins": len(best)})
+                             "bins": len(best), "crossed": crossed})
 
     return run
 
 
+def islands(items: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+    """(shard, island, key, length, bin, at, bins, crossed): the last epoch's best packing of each island of each shard, for
+    a stored table of (key, length); ``crossed`` counts the island's crossovers in that epoch."""
+    shards = -(-items.count() // SHARD_PIECES) or 1
+    state = items.select(F.pmod(F.xxhash64("key"), F.lit(shards)).alias("shard"), "key", "length",
+                         F.explode(F.sequence(F.lit(0), F.lit(ISLANDS - 1))).alias("island"),
+                         F.lit(-1).alias("from_island"), F.lit(-1).cast("long").alias("bin"))
+    form = "shard long, island long, key long, length long, bin long, at long, bins long, crossed long"
+    for epoch in range(EPOCHS):
+        done = materialize(state.groupBy("shard", "island").applyInPandas(_epoch(capacity, epoch), form), "islands")
+        own = done.select("shard", "key", "length", "island", F.col("island").alias("from_island"), "bin")
+        sent = done.select("shard", "key", "length", ((F.col("island") + 1) % ISLANDS).alias("island"),
+                           F.col("island").alias("from_island"), "bin")
+        state = own.unionByName(sent)
+    return done
+
+
 def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """Add ``sequence_id`` and ``offset`` to pieces of a stored table with a ``length`` of 1 to ``capacity``.
 
@@ -212,24 +272,11 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     at most about one ill-filled bin, so splitting costs little. Repeated pieces are packed each; an empty table gives
     an empty one. Numbering reads the stored table twice and is the same each time.
     """
-    spark = pieces.sparkSession
     keyed = materialize(pieces.withColumn("_key", F.monotonically_increasing_id()), "pieces")
-    part = keyed.where(F.col("length") < capacity)
-    shards = -(-part.count() // SHARD_PIECES) or 1
-    state = part.select(F.pmod(F.xxhash64("_key"), F.lit(shards)).alias("shard"), F.col("_key").alias("key"), "length",
-                        F.explode(F.sequence(F.lit(0), F.lit(ISLANDS - 1))).alias("island"),
-                        F.lit(-1).alias("from_island"), F.lit(-1).cast("long").alias("bin"))
-    form = "shard long, island long, key long, length long, bin long, at long, bins long"
-    for epoch in range(EPOCHS):
-        done = state.groupBy("shard", "island").applyInPandas(_epoch(capacity, epoch), form)
-        done = materialize(done, "islands")
-        own = done.select("shard", "key", "length", "island", F.col("island").alias("from_island"), "bin")
-        sent = done.select("shard", "key", "length", ((F.col("island") + 1) % ISLANDS).alias("island"),
-                           F.col("island").alias("from_island"), "bin")
-        state = own.unionByName(sent)
+    done = islands(keyed.where(F.col("length") < capacity).select(F.col("_key").alias("key"), "length"), capacity)
     best = done.groupBy("shard").agg(F.min(F.struct("bins", "island")).alias("_best")).select(
         "shard", F.col("_best.island").alias("island"))
-    placed = done.join(F.broadcast(best) if shards < 10_000 else best, ["shard", "island"]).select(
+    placed = done.join(best, ["shard", "island"]).select(
         F.col("key").alias("_key"), (F.col("shard") * capacity * SHARD_PIECES + F.col("bin")).alias("sequence_id"),
         F.col("at").alias("offset"))
     packed = keyed.where(F.col("length") < capacity).join(placed, "_key")
