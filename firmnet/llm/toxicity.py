@@ -149,10 +149,11 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
         positives: int = POSITIVES, unlabelled: int = UNLABELLED) -> list[Model]:
     """Train ``models`` classifiers, each in its own task, from rows that are not held out.
 
-    A classifier sees at most ``positives`` confirmed toxic documents and ``unlabelled`` other draws of all training
-    text, whatever their label, in order of a hash of the id. The class prior is the share of toxic ones among all
-    labelled training rows. NULL labels are unlabelled; a document labelled twice is toxic if one label says so. Without
-    any positive the list is empty, and every score is 0.
+    A classifier sees at most ``positives`` confirmed toxic documents and about ``unlabelled`` other draws of all training
+    text, whatever their label, in order of a hash of id and text. Rows equal in both count once, so the bounds hold however
+    often an id or a row is repeated; rows of one id with several texts are documents of their own. The class prior is the
+    share of toxic ones among all labelled training ids. NULL labels are unlabelled; a document labelled twice is toxic if
+    one label says so. Without any positive the list is empty, and every score is 0.
     """
     said = labels.where(F.col(toxic).isNotNull() & F.col(doc_id).isNotNull() & ~held_out(doc_id)).groupBy(
         F.col(doc_id).cast("long").alias("_id")).agg(F.max(F.col(toxic).cast("int")).alias("_toxic"))
@@ -160,15 +161,17 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     if not n_toxic:
         return []
     prior = min(max(n_toxic / n, 1e-4), 0.9)
-    ids = docs.where(F.col(doc_id).isNotNull() & ~held_out(doc_id)).select(F.col(doc_id).cast("long").alias("_id"))
-    draw = lambda seed: F.xxhash64(F.lit(seed), "_id")
-    pos = said.where("_toxic = 1").select("_id").orderBy(draw(1), "_id").limit(positives).withColumn(
+    texts = docs.where(F.col(doc_id).isNotNull() & ~held_out(doc_id)).select(
+        F.col(doc_id).cast("long").alias("_id"), whole(text).alias("_text"), F.xxhash64(whole(text)).alias("_hash"))
+    rows = texts.select("_id", "_hash").distinct()  # summed before the shuffle
+    draw = lambda seed: F.xxhash64(F.lit(seed), "_id", "_hash")
+    pos = rows.join(said.where("_toxic = 1").select("_id"), "_id").orderBy(draw(1), "_id", "_hash").limit(positives).withColumn(
         "_model", F.explode(F.sequence(F.lit(0), F.lit(models - 1)))).withColumn("_positive", F.lit(True))
-    free = ids.orderBy(draw(2), "_id").limit(unlabelled * models).distinct().withColumn(
+    free = rows.orderBy(draw(2), "_id", "_hash").limit(unlabelled * models).withColumn(
         "_model", F.pmod(draw(3), F.lit(models)).cast("int")).withColumn("_positive", F.lit(False))
-    drawn = materialize(pos.unionByName(free), "sample")  # ids alone; their number is bounded by the parameters
-    sample = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("_id"), whole(text).alias("_text")).join(
-        F.broadcast(drawn), "_id").withColumn("_draw", draw(4))
+    drawn = materialize(pos.unionByName(free), "sample")  # ids and hashes; their number is bounded by the parameters
+    sample = texts.join(F.broadcast(drawn), ["_id", "_hash"]).groupBy("_id", "_hash", "_model", "_positive").agg(
+        F.first("_text").alias("_text")).withColumn("_draw", draw(4))
     fitted = sample.groupBy("_model").applyInPandas(_fit(prior), "weights binary, second binary").collect()  # of fixed size
     return [Model(np.frombuffer(r["weights"], np.float32), np.frombuffer(r["second"], np.float64)) for r in fitted]
 
