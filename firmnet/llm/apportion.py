@@ -92,21 +92,37 @@ def _chosen_before(k: Column) -> Column:
     return F.floor((k + F.col("_phase")) * F.col("_rest") / F.col("_blocks"))
 
 
+_PLACE = ("_start", "_full", "_rest", "_blocks", "_phase", "_block")
+
+
 def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", seed: int = 7) -> DataFrame:
-    """All rows and columns of ``docs`` with ``_size``, ``_source_size``, ``_target``, ``_taken``, and the word range's
+    """All rows and columns of a stored table with ``_size``, ``_source_size``, ``_target``, ``_taken``, and the word range's
     place (``_start``, ``_full``, ``_rest``, ``_blocks``, ``_phase``, ``_block``).
 
     Sources in code-point order, NULL last, weigh 5, 2, 1, repeating. Reruns agree: documents of a source are laid out
-    by seeded hashes of id and text, and equal rows are interchangeable. NULL text has size 0, takes nothing, and stays
-    in the result; NULL ids are hashed like any other value; a source whose documents are all empty has target 0.
-    Names of columns of ``docs`` may not begin with an underscore.
+    by seeded hashes of id and text; rows equal in both are numbered, which spreads them over shards like others, and are
+    interchangeable. NULL text has size 0, takes nothing, and stays in the result; NULL ids are
+    hashed like any other value; a source whose documents are all empty has target 0. Columns of ``docs`` named like a
+    result give way to it here; :func:`mixed_documents` keeps them all.
     """
-    spark = docs.sparkSession
+    results = ("_size", "_source_size", "_target", "_taken", *_PLACE)
+    kept = [c for c in docs.columns if c.lower() not in results]
+    laid = _laid(docs, doc_id, text, source, seed)
+    return laid.select(*(F.col("_row").getField(c).alias(c) for c in kept), *results)
+
+
+def _laid(docs: DataFrame, doc_id: str, text: str, source: str, seed: int) -> DataFrame:
+    """The rows of ``docs`` as structs ``_row`` with the results of :func:`mix`."""
     placed = docs.select(
-        "*", F.col(source).alias("_source"),
-        n_words(text).alias("_size"), F.xxhash64(F.lit(seed), F.col(doc_id).cast("string")).alias("_at"),
-        F.xxhash64(F.lit(seed), F.col(text)).alias("_tie"))
-    sizes = materialize(placed.select("_source", "_size", "_at"), "sizes")  # the texts are read once for this
+        F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), F.col(source).alias("_source"),
+        n_words(text).alias("_size"), F.xxhash64(F.lit(seed), F.col(doc_id).cast("string"), F.col(text), F.col(source)).alias("_at"),
+        F.monotonically_increasing_id().alias("_row_no"))
+    sizes = materialize(placed.select("_source", "_size", "_at", "_row_no"), "sizes")  # the texts are read once for this
+    several = sizes.groupBy("_at").agg(F.count("*").alias("_n")).where("_n > 1")
+    numbered = distributed_rank(sizes.join(several, "_at", "left_semi").select("_at", "_row_no"), [("_row_no", True)], "_copy", ("_at",))
+    numbered = materialize(numbered.select("_row_no", "_copy"), "copies")
+    deal = F.xxhash64(F.lit(seed), F.col("_at"), F.coalesce("_copy", F.lit(1)))
+    placed, sizes = (df.join(numbered, "_row_no", "left").withColumn("_deal", deal) for df in (placed, sizes))
     totals = sizes.groupBy("_source").agg(F.sum("_size").alias("_source_size"), F.count("*").alias("_rows"))
     totals = totals.withColumn("_last", F.col("_source").isNull()).withColumn("_name", F.coalesce("_source", F.lit("")))
     ranked = distributed_rank(totals, [("_last", True), ("_name", True)], "_no")
@@ -119,7 +135,7 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
         "_source", "_no", "_source_size",
         F.least((F.col("_source_size") * REPEATS).cast("double"), F.col("_weight") * F.lit(level)).alias("_target"),
         F.greatest(F.ceil(F.col("_source_size") / SHARD_WORDS), F.ceil(F.col("_rows") / SHARD_ROWS), F.lit(1)).alias("_shards"))
-    shard = F.pmod(F.xxhash64(F.col("_at")), F.col("_shards"))
+    shard = F.pmod(F.xxhash64(F.col("_deal")), F.col("_shards"))
     same = sizes["_source"].eqNullSafe(ranked["_source"])
     shards = (
         sizes.join(ranked, same).withColumn("_shard", shard)
@@ -138,7 +154,7 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
         (F.col("_share_of") % blocks).alias("_rest"),
         F.pmod(F.xxhash64(F.lit(seed), "_no", "_shard"), blocks).alias("_phase")), "quotas")
 
-    ahead = W.partitionBy("_no", "_shard").orderBy("_at", "_tie", "_size").rowsBetween(W.unboundedPreceding, -1)
+    ahead = W.partitionBy("_no", "_shard").orderBy("_at", "_size").rowsBetween(W.unboundedPreceding, -1)
     laid = placed.join(ranked, placed["_source"].eqNullSafe(ranked["_source"])).drop("_source").withColumn("_shard", shard)
     laid = laid.join(shards, ["_no", "_shard"]).withColumn("_start", F.coalesce(F.sum("_size").over(ahead), F.lit(0)))
     first, end = F.floor(F.col("_start") / block), F.col("_start") + F.col("_size")
@@ -149,7 +165,7 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
         + block * (_chosen_before(last) - _chosen_before(first + 1)))
     taken = F.when(F.col("_size") > 0, F.col("_full") * F.col("_size") + some).otherwise(0).cast("long")
     return laid.select(
-        *docs.columns, "_size", "_source_size", "_target",
+        "_row", "_size", "_source_size", "_target",
         taken.alias("_taken"), "_start", "_full", "_rest", "_blocks", "_phase", F.lit(block).alias("_block"))
 
 
@@ -177,15 +193,17 @@ def _copies(text: str, n_chars: str | None, columns: list[str]):
         """Each row as often as it is taken whole, then once more with the words of its chosen blocks."""
         for batch in batches:
             at, texts = [], []
-            own = (batch.column(c).to_pylist() for c in (text, "_full", "_start", "_rest", "_blocks", "_phase", "_block"))
-            for i, (body, full, start, rest, blocks, phase, block) in enumerate(zip(*own)):
+            rows = batch.column("_row")
+            own = (batch.column(c).to_pylist() for c in ("_full", "_start", "_rest", "_blocks", "_phase", "_block"))
+            bodies = rows.field(columns.index(text)).to_pylist()
+            for i, (body, full, start, rest, blocks, phase, block) in enumerate(zip(bodies, *own)):
                 part = chosen_text(body, start, rest, blocks, phase, block) if rest else ""
                 copies = [body] * full + ([part] if part else [])
                 at += [i] * len(copies)
                 texts += copies
-            rows = batch.take(pa.array(at, pa.int64()))
+            taken = rows.take(pa.array(at, pa.int64()))
             new = {text: pa.array(texts, pa.string()), n_chars: pa.array([len(t) for t in texts], pa.int64())}
-            yield pa.RecordBatch.from_arrays([new[c] if c in new else rows.column(c) for c in columns], names=columns)
+            yield pa.RecordBatch.from_arrays([new[c] if c in new else taken.field(k) for k, c in enumerate(columns)], names=columns)
 
     return run
 
@@ -196,6 +214,6 @@ def mixed_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     A document taken not at all has no row. Columns are those of ``docs``; ``n_chars`` is set to the length of the text.
     """
-    laid = mix(docs, doc_id, text, source, seed).where(F.col("_taken") > 0).drop("_size", "_source_size", "_target", "_taken")
+    laid = _laid(docs, doc_id, text, source, seed).where(F.col("_taken") > 0).select("_row", *_PLACE)
     form = StructType([StructField(f.name, LongType() if f.name == n_chars else f.dataType) for f in docs.schema])
     return laid.mapInArrow(_copies(text, n_chars if n_chars in docs.columns else None, docs.columns), form)

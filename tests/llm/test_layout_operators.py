@@ -10,7 +10,7 @@ from tokenizers import Tokenizer
 
 from firmnet.llm import apportion, chat, packing, warc
 from firmnet.llm.queries import ORACLE_SQL
-from firmnet.storage import scratch_path
+from firmnet.storage import materialize, scratch_path
 
 TOKENIZER, RANKS = (public_tokenizers.path(f"byte_bpe_50k.{kind}") for kind in ("json", "tiktoken"))
 FOLDER = "/root/testdata/sf0.01"
@@ -72,21 +72,71 @@ def test_packing_edges(spark):
     assert packing.pack(packing.tokenised_pieces(df.limit(0), TOKENIZER)).count() == 0
 
 
-def test_genetic_islands_beat_or_match_best_fit():
-    draw = random.Random(1)
-    # Triplets that fill a bin exactly: best fit decreasing misses many of them.
-    lengths = []
-    for _ in range(60):
-        a = draw.randint(500, 900)
-        b = draw.randint(500, 900)
+def triplets(n, seed=1):
+    """Lengths of which three and three fill a bin exactly: best fit decreasing misses many of them."""
+    draw, lengths = random.Random(seed), []
+    for _ in range(n):
+        a = draw.randint(780, 1000)
+        b = draw.randint(530, (2048 - a) // 2 + 20)
         lengths += [a, b, 2048 - a - b]
     draw.shuffle(lengths)
-    first = packing.Packing(lengths, 2048).fill(sorted(range(180), key=lambda i: -lengths[i]))
-    one = packing.evolve(lengths, 2048, 1)
-    two = packing.evolve(lengths, 2048, 2, [one])
+    return lengths
+
+
+def best_fit(lengths):
+    return packing.Packing(lengths, 2048).fill(sorted(range(len(lengths)), key=lambda i: -lengths[i])).bins
+
+
+def check_bins(bins, lengths):
+    assert sorted(i for b in bins for i in b) == list(range(len(lengths))) and all(sum(lengths[i] for i in b) <= 2048 for b in bins)
+
+
+@pytest.mark.parametrize("lengths, saved", [(triplets(60), 5), (triplets(300, 2), 20),
+                                            ([random.Random(i).randint(500, 1100) for i in range(500)], 5)])
+def test_genetic_search_saves_bins_of_best_fit(lengths, saved):
+    one, crossed = packing.evolve(lengths, 2048, 1)
+    two, more = packing.evolve(lengths, 2048, 2, [one])
     for bins in (one, two):
-        assert sorted(i for b in bins for i in b) == list(range(180)) and all(sum(lengths[i] for i in b) <= 2048 for b in bins)
-    assert len(two) <= len(one) <= len(first.bins)
+        check_bins(bins, lengths)
+    assert crossed >= packing.FIRST and more >= packing.FIRST
+    assert len(two) <= len(one) <= len(best_fit(lengths)) - saved
+
+
+def fewest_bins(lengths):
+    best = len(lengths)
+
+    def place(k, room):
+        nonlocal best
+        if len(room) >= best:
+            return
+        if k == len(lengths):
+            best = len(room)
+            return
+        for b in {r: b for b, r in enumerate(room) if r >= lengths[k]}.values():
+            place(k + 1, [r - lengths[k] if i == b else r for i, r in enumerate(room)])
+        place(k + 1, [*room, 2048 - lengths[k]])
+
+    place(0, [])
+    return best
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_small_instances_are_packed_as_well_as_can_be(seed):
+    draw = random.Random(seed)
+    lengths = [draw.choice((draw.randint(1, 2047), draw.randint(500, 1100))) for _ in range(draw.randint(1, 12))]
+    bins, _ = packing.evolve(lengths, 2048, seed)
+    check_bins(bins, lengths)
+    assert len(bins) == fewest_bins(sorted(lengths, reverse=True))
+
+
+def test_every_island_crosses_and_sends_its_best_on(spark, docs):
+    items = spark.createDataFrame(list(enumerate(triplets(100, 3))), "key long, length long")
+    done = packing.islands(items)
+    assert done.where(f"crossed < {packing.FIRST}").count() == 0 and done.select("island").distinct().count() == packing.ISLANDS
+    assert done.agg(F.min("bins")).first()[0] <= len(best_fit(triplets(100, 3))) - 8
+    pieces = packing.tokenised_pieces(docs, TOKENIZER, RANKS).where("length < 2048")
+    done = packing.islands(pieces.withColumn("key", F.monotonically_increasing_id()))
+    assert done.where(f"crossed < {packing.FIRST}").count() == 0  # on documents, too
 
 
 def plain_targets(sizes, weights):
@@ -254,3 +304,21 @@ def test_chat_edges(spark):
     assert [(r["action"], r["text"]) for r in rows if r["conv_id"] == 1] == [("keep", "a"), ("merge", "a"), ("keep", "b")]
     assert sum(r["conv_id"] is None for r in rows) == 4
     assert chat.format_chats(df.limit(0)).count() == 0
+
+
+def test_one_id_or_row_on_most_places_is_spread_over_shards(spark):
+    rows = [(7, "same words here " * 4, "a") if i % 5 else (i, f"w{i} " * 9, "a") for i in range(20_000)]
+    rows = [(7, f"other {i} text " * 3, s) if i % 7 == 0 else (d, t, s) for i, (d, t, s) in enumerate(rows)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    laid = apportion._laid(df, "doc_id", "text", "source", 7)
+    sizes = materialize(laid.groupBy("_blocks", "_phase").count(), "shards").collect()  # a shard has its own phase
+    mean = len(rows) / len(sizes)
+    assert len(sizes) > 1 and max(r["count"] for r in sizes) < 2 * mean
+
+
+def test_mixing_keeps_columns_of_any_name(spark, docs):
+    odd = docs.limit(40).withColumns({c: F.lit(c) for c in ("_size", "_source", "_row", "_at", "_deal", "_no", "_shard", "_target", "key")})
+    plain = {r["doc_id"]: r["_taken"] for r in apportion.mix(docs.limit(40)).collect()}
+    assert {r["doc_id"]: r["_taken"] for r in apportion.mix(odd).collect()} == plain
+    mixed = apportion.mixed_documents(odd)
+    assert mixed.columns == odd.columns and {tuple(r)[-9:] for r in mixed.collect()} == {("_size", "_source", "_row", "_at", "_deal", "_no", "_shard", "_target", "key")}

@@ -140,6 +140,55 @@ def test_articles_of_the_pages_table(spark):
         assert r["text"] == "\n".join(b for b in blocks if b)
 
 
+PROSE = "A sentence with enough words to be taken for text. " * 6
+
+
+def page_text(html):
+    page = hosts.Page(html)
+    return page.text(page.best())
+
+
+def test_names_inside_an_article_do_not_decide_alone():
+    html = f'<body><article><p>{PROSE}</p><p class="login-help">How to log in.</p><div class="notice-of-death story">He died in May.</div></article></body>'
+    assert page_text(html).split("\n")[1:] == ["How to log in.", "He died in May."]
+    assert page_text(f'<body><article><p>{PROSE}</p><div class="ad">Buy this</div><div class="comments"><p>{PROSE}</p></div></article></body>') == PROSE.strip()
+
+
+def test_elements_that_repeat_over_a_host_go_and_those_that_vary_stay(spark):
+    page = lambda i, box: f'<body><article><p>{i} {PROSE}</p><div class="login-box">{box}</div></article></body>'
+    rows = [(i, "http://same.org/", page(i, "Please enter your name")) for i in range(8)] + [
+        (100 + i, "http://vary.org/", page(i, f"Story number {i} goes on here")) for i in range(8)]
+    got = {r["page_id"]: r["text"].split("\n") for r in hosts.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[3] == [f"3 {PROSE.strip()}"] and got[103] == [f"3 {PROSE.strip()}", "Story number 3 goes on here"]
+
+
+def test_sibling_sections_are_all_kept(spark):
+    page = lambda i: (f'<body><nav><a href="/">x</a></nav><div class="w"><section class="one"><p>{i} {PROSE * 4}</p></section>'
+                      f'<section class="two"><p>second {i} {PROSE}</p></section></div><footer>f</footer></body>')
+    df = spark.createDataFrame([(i, "http://h.org/", page(i)) for i in range(4)], "page_id long, url string, html string")
+    for r in hosts.extract_text(df).collect():
+        assert r["text"].split("\n") == [f"{r['page_id']} {(PROSE * 4).strip()}", f"second {r['page_id']} {PROSE.strip()}"]
+
+
+def test_deep_nesting_takes_linear_time_and_memory(spark):
+    import time
+    import tracemalloc
+
+    html = "<div>" * 40_000 + PROSE
+    start = time.time()
+    assert page_text(html) == PROSE.strip() and time.time() - start < 2  # 200 kB; under a second on an idle machine
+    tracemalloc.start()
+    page_text(html)
+    assert tracemalloc.get_traced_memory()[1] < 50e6
+    tracemalloc.stop()
+    start = time.time()
+    page_text("<div><p>a</b></i>" * 12_000 + PROSE)
+    page_text("<b>" * 50_000 + "</div>" * 50_000 + PROSE)
+    assert time.time() - start < 5
+    df = spark.createDataFrame([(1, "http://h.org/", html)], "page_id long, url string, html string")
+    assert hosts.extract_text(df).first()["text"] == PROSE.strip()
+
+
 def test_risk_of_the_negative_class_is_not_below_zero():
     positive = np.array([True] * 3 + [False] * 5)
     margin = np.array([2.0, 3.0, -1.0, -2.0, 0.5, -3.0, -1.0, 0.1])
@@ -174,6 +223,30 @@ def test_held_out_toxic_documents_are_found(spark):
     assert (p[y == 1] == 1).mean() >= 0.8 and (p[y == 0] == 0).mean() >= 0.95, (p[y == 1].mean(), p[y == 0].mean())
 
 
+def test_the_sample_is_bounded_by_rows(spark, monkeypatch):
+    """Many rows on few ids, and one row many times: a task gets what the parameters say."""
+    rows = [(i % 50, f"text number {i} " * 5) for i in range(30_000)] + [(7, "the same row")] * 30_000
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(50)], "doc_id long, toxic int")
+    seen = spark.sparkContext.accumulator(0)
+    most = []
+    real = toxicity._fit
+
+    def counted(prior):
+        inner = real(prior)
+
+        def run(rows):
+            seen.add(len(rows))
+            assert len(rows) <= 40 + 3 * 60 and not rows.duplicated(["_text"]).any() or rows.duplicated(["_text"]).sum() <= 40
+            return inner(rows)
+
+        return run
+
+    monkeypatch.setattr(toxicity, "_fit", counted)
+    models = toxicity.fit(docs, labels, models=2, positives=40, unlabelled=60)
+    assert len(models) == 2 and 100 <= seen.value <= 2 * 40 + 2 * 60 and not most
+
+
 def test_toxicity_edges(spark):
     docs = spark.createDataFrame([(i, "fine words here") for i in range(40)] + [(None, "x"), (50, None), (50, None), (51, "")], "doc_id long, text string")
     docs = docs.withColumn("score", F.lit("s"))
