@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from firmnet.llm.common import partitions
 from firmnet.operators.rank import distributed_rank
 from firmnet.storage import materialize
 
@@ -30,6 +31,7 @@ RELABEL = {("system", "user"): 1.5, ("system", "assistant"): 4.0, ("user", "assi
            ("assistant", "user"): 2.5, ("assistant", "system"): 4.0}
 RELABEL_UNKNOWN = 2.0
 SEGMENT = 512  # turns
+ROWS_PER_TASK = 20_000
 SEPARATOR = "\n\n"
 
 # What opens and closes a rendered turn.
@@ -205,11 +207,13 @@ def format_chats(turns: DataFrame, conv_id: str = "conv_id", turn: str = "turn",
     ranked = distributed_rank(rows, order, "_no", ("_conv",))
     ranked = materialize(ranked.withColumn("_seg", F.floor((F.col("_no") - 1) / SEGMENT)), "turns")
     keys = ["_conv", "_seg"]
-    ordered = ranked.select(*keys, "_no", "_role").repartition(*keys).sortWithinPartitions(*keys, "_no")
+    # A number of its own: left to itself, Spark would join small partitions into one slow task.
+    parts = partitions(turns.sparkSession, ranked.count(), ROWS_PER_TASK)
+    ordered = ranked.select(*keys, "_no", "_role").repartition(parts, *keys).sortWithinPartitions(*keys, "_no")
     matrices = ordered.mapInArrow(_sum_up, "_conv string, _seg long, costs array<double>")
-    ends = matrices.repartition("_conv").sortWithinPartitions(*keys).mapInArrow(
+    ends = matrices.repartition(parts, "_conv").sortWithinPartitions(*keys).mapInArrow(
         _join_up, "_conv string, _seg long, start int, end int, last boolean, cost double")
     ends = materialize(ends, "segment-ends")
-    full = ranked.join(ends, keys).repartition(*keys).sortWithinPartitions(*keys, "_no")
+    full = ranked.join(ends, keys).repartition(parts, *keys).sortWithinPartitions(*keys, "_no")
     return full.select(*keys, "_no", "start", "end", "last", "cost", "_id", "_turn", "_role", "_text").mapInArrow(
         _repair, "conv_id long, turn long, place long, part int, action string, role string, text string, rendered string, cost double")
