@@ -37,20 +37,54 @@ _SPAN = "array<struct<start:int,end:int,value:string>>"
 _KINDED = "array<struct<kind:int,start:int,end:int>>"
 
 
+BLOCK = 2048  # code points of a block of text that pieces are cut from
+_RUN = 256  # numbers summed up at a time
+
+
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often the body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _ahead(values: Column, add) -> Column:
+    """For each of an array of numbers (0 and more), all before it put together by ``add``, 0 for the first.
+
+    Arrays that grow number by number would be copied each time; runs of bounded length make that cheap: a run at a time, then
+    over the runs, then within each run from there on.
+    """
+    none = F.array().cast("array<int>")
+    step = lambda acc, v: F.struct(F.concat(acc["out"], F.array(acc["at"])).alias("out"), add(acc["at"], v).alias("at"))
+    walk = lambda own, first: F.aggregate(own, F.struct(none.alias("out"), first.cast("int").alias("at")), step, lambda acc: acc["out"])
+
+    def within(v: Column) -> Column:
+        runs = F.transform(F.sequence(F.lit(0), F.floor((F.size(v) - 1) / _RUN).cast("int")), lambda r: F.slice(v, r * _RUN + 1, _RUN))
+        return _let(runs, lambda all_: F.flatten(F.zip_with(
+            all_, walk(F.transform(all_, lambda own: F.aggregate(own, F.lit(0), add)), F.lit(0)), walk)))
+
+    return F.when(F.size(values) > 0, _let(values, within)).otherwise(none)
+
+
 def _placed(text: Column, pattern: Column, matches: Column) -> Column:
     """Matches with their place in code points: what stands between them comes from splitting at the same pattern."""
-    between = F.split(text, pattern, -1)
-    start = F.struct(F.lit(0).alias("pos"), F.array().cast(_SPAN).alias("out"), between.alias("between"), matches.alias("found"))
+    sizes = lambda a: F.transform(a, lambda x: F.length(x))
+    between = F.slice(sizes(F.split(text, pattern, -1)), 1, F.size(matches))
+    both = F.struct(between.alias("gap"), sizes(matches).alias("own"))
+    starts = _let(both, lambda b: F.zip_with(_ahead(F.zip_with(b["gap"], b["own"], lambda g, o: g + o), lambda x, y: x + y), b["gap"],
+                                             lambda p, g: p + g))
+    spans = F.zip_with(starts, matches, lambda at, m: F.struct(at.alias("start"), (at + F.length(m)).alias("end"), m.alias("value")))
+    return F.when(F.size(matches) > 0, spans).otherwise(F.array().cast(_SPAN))
+
+
+def _blocks(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0))
 
-    def step(acc: Column, i: Column) -> Column:
-        value = F.get(acc["found"], i)
-        at = acc["pos"] + F.length(F.get(acc["between"], i))
-        span = F.struct(at.alias("start"), (at + F.length(value)).alias("end"), value.alias("value"))
-        return F.struct((at + F.length(value)).alias("pos"), F.concat(acc["out"], F.array(span)).alias("out"),
-                        acc["between"].alias("between"), acc["found"].alias("found"))
 
-    walk = F.aggregate(F.sequence(F.lit(0), F.size(matches) - 1), start, step, lambda acc: acc["out"])
-    return F.when(F.size(matches) > 0, walk).otherwise(F.array().cast(_SPAN))
+def _piece(blocks: Column, start: Column, end: Column) -> Column:
+    """Code points ``start`` to ``end`` of a text in blocks; only blocks that hold them are looked at."""
+    first, last = F.floor(start / BLOCK).cast("int"), F.floor((end - 1) / BLOCK).cast("int")
+    at = start - first * BLOCK
+    joined = F.array_join(F.slice(blocks, first + 1, F.greatest(last - first + 1, F.lit(0))), "")
+    return F.when(end > start, F.substr(joined, at + 1, end - start)).otherwise(F.lit(""))
 
 
 def luhn(value: Column) -> Column:
@@ -84,19 +118,19 @@ def base_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
         for k, p in PATTERNS.items()))
     placed = found.select("doc_id", "_text", *(
         F.filter(_placed(F.col("_text"), F.lit(p), F.col(f"_{k}")), _holder(k)).alias(k) for k, p in PATTERNS.items()))
-    entity = lambda k: lambda s: F.struct(F.concat(F.lit(f"{k}:"), s["value"]).alias("entity"), _near(F.col("_text"), s).alias("terms"))
-    entities = F.concat(*(F.transform(k, entity(k)) for k in KINDS))
-    return placed.select("doc_id", F.md5(F.col("_text").cast("binary")).alias("key"),
-                         *(F.transform(k, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))).alias(k) for k in KINDS),
-                         entities.alias("near"))
+    entity = lambda k, parts: lambda s: F.struct(F.concat(F.lit(f"{k}:"), s["value"]).alias("entity"), _near(parts, s).alias("terms"))
+    entities = F.when(F.size(F.concat(*KINDS)) > 0, _let(_blocks(F.col("_text")), lambda parts: F.concat(*(
+        F.transform(k, entity(k, parts)) for k in KINDS)))).otherwise(F.array().cast("array<struct<entity:string,terms:array<string>>>"))
+    told = placed.select("doc_id", F.md5(F.col("_text").cast("binary")).alias("key"), *KINDS, entities.alias("near"))
+    return told.select("doc_id", "key", *(F.transform(k, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))).alias(k) for k in KINDS), "near")
 
 
-def _near(text: Column, span: Column) -> Column:
-    """Distinct words, lower-cased, that lie wholly within ``NEAR`` code points of a span."""
+def _near(blocks: Column, span: Column) -> Column:
+    """Distinct words, lower-cased, that lie wholly within ``NEAR`` code points of a span of a text in blocks."""
     first = F.greatest(span["start"] - NEAR, F.lit(0))
-    left = F.substr(text, first + 1, span["start"] - first)
+    left = _piece(blocks, first, span["start"])
     left = F.when(first > 0, F.regexp_replace(left, r"^\p{L}+", "")).otherwise(left)
-    right = F.substr(text, span["end"] + 1, F.lit(NEAR))
+    right = _piece(blocks, span["end"], span["end"] + NEAR)
     right = F.when(F.length(right) == NEAR, F.regexp_replace(right, r"\p{L}+$", "")).otherwise(right)
     return F.array_distinct(F.filter(F.split(F.lower(F.concat_ws(" ", left, right)), r"[^\p{L}]+"), lambda w: F.length(w) >= TERM_LETTERS))
 
@@ -115,7 +149,7 @@ def revealing_terms(docs: DataFrame, scanned: DataFrame, text: str = "text") ->
     words = docs.select(F.explode(F.array_distinct(F.split(F.lower(whole(text)), r"[^\p{L}]+"))).alias("w"))
     counted = words.select(F.xxhash64("w").alias("h")).groupBy("h").agg(F.count("*").alias("n_term"))
     terms = pairs.select("term").distinct().withColumn("h", F.xxhash64("term"))
-    known = materialize(counted.join(F.broadcast(terms) if terms.count() < 100_000 else terms, "h").select("term", "n_term"), "terms")
+    known = materialize(counted.join(terms, "h").select("term", "n_term"), "terms")
     n = docs.count()
     share = F.log2(F.lit(float(n)) * F.col("n_both") / (F.col("n_term") * F.col("n_entity"))) / F.log2(F.lit(float(n)) / F.col("n_entity"))
     scored = pairs.join(known, "term").where(F.col("n_entity") < n).withColumn("share", share)
@@ -172,14 +206,14 @@ def sanitised(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n_cha
     both = packed.join(spans, "_key", "left")
     body = F.col("_row").getField(text)
 
-    def step(acc: Column, s: Column) -> Column:
-        end = -s["back"]
-        fresh = s["start"] >= acc["at"]
-        piece = F.when(fresh, F.concat(F.substr(body, acc["at"] + 1, s["start"] - acc["at"]), s["word"])).otherwise(F.lit(""))
-        return F.struct(F.greatest(acc["at"], end).alias("at"), F.concat(acc["out"], piece).alias("out"))
+    def replaced(parts: Column, of: Column) -> Column:
+        """Text up to each span that begins behind all before it, and the span's word; then the text behind all spans."""
+        until = _let(of, lambda all_: _ahead(F.transform(all_, lambda x: -x["back"]), lambda x, y: F.greatest(x, y)))
+        end = F.array_max(F.transform(of, lambda x: -x["back"]))
+        pieces = F.zip_with(until, of, lambda at, x: F.when(x["start"] >= at, F.concat(_piece(parts, at, x["start"]), x["word"])).otherwise(F.lit("")))
+        return F.concat(F.array_join(pieces, ""), _piece(parts, end, F.size(parts) * BLOCK))
 
-    done = F.aggregate("_spans", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step,
-                       lambda acc: F.concat(acc["out"], F.substr(body, acc["at"] + 1, F.length(body))))
+    done = _let(_blocks(body), lambda parts: replaced(parts, F.col("_spans")))
     both = both.withColumn("_new", F.when(F.col("_spans").isNull() | body.isNull(), body).otherwise(done))
     new = {text: F.col("_new")} | ({n_chars: F.length("_new").cast("long")} if n_chars in docs.columns else {})
     return both.select(*(new.get(c, F.col("_row").getField(c)).alias(c) for c in docs.columns))

@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 
 import numpy as np
@@ -140,6 +141,50 @@ def test_articles_of_the_pages_table(spark):
         assert r["text"] == "\n".join(b for b in blocks if b)
 
 
+def test_many_spans_in_one_text_take_linear_time(spark):
+    import time
+
+    text = "".join(f"a{i}@b.com word{i} 𝒳 " for i in range(100_000))
+    df = spark.createDataFrame([(1, text, len(text))], "doc_id long, text string, n_chars long")
+    start = time.time()
+    spans = disclosure.base_spans(df).select("email").first()["email"]
+    assert time.time() - start < 20  # two seconds on an idle machine
+    assert [(s["start"], s["end"]) for s in spans[-3:]] == [m.span() for m in EMAIL.finditer(text)][-3:] and len(spans) == 100_000
+    start = time.time()
+    assert disclosure.sanitised(df).first()["text"] == "".join(f"[EMAIL] word{i} 𝒳 " for i in range(100_000))
+    assert time.time() - start < 60
+
+
+@pytest.mark.parametrize("n", [0, 1, 2, 255, 256, 257, 700])
+def test_numbers_ahead_over_runs(spark, n):
+    values = [random.Random(n + i).randrange(9) for i in range(n)]
+    df = spark.createDataFrame([(values,)], "v array<int>")
+    r = df.select(disclosure._ahead(F.col("v"), lambda x, y: x + y).alias("sum"), disclosure._ahead(F.col("v"), lambda x, y: F.greatest(x, y)).alias("most")).first()
+    assert r["sum"] == [sum(values[:i]) for i in range(n)] and r["most"] == [max(values[:i], default=0) for i in range(n)]
+
+
+def test_share_of_a_term_is_that_of_a_plain_count(spark):
+    from math import log2
+
+    rows = [(i, f"write to ann{i % 4}@x.org about the Falcon{i % 4 if i % 5 else 9} project{i % 2} now") for i in range(60)] + [
+        (100 + i, f"the project{i % 2} of others and Falcon{i % 3 + 7}") for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    scanned = disclosure.base_spans(df)
+    got = {(r["entity"], r["term"]): r["share"] for r in disclosure.revealing_terms(df, scanned).collect()}
+    words = [set(re.split(r"[^a-z]+", t.lower())) for _, t in rows]
+    owner = [m.group() if (m := EMAIL.search(t)) else None for _, t in rows]
+    near = [set(w for w in re.split(r"[^a-z]+", (t[:m.start()] + " " + t[m.end():]).lower()) if len(w) >= 3) if (m := EMAIL.search(t)) else set() for _, t in rows]
+    want = {}
+    for e in {o for o in owner if o}:
+        n_e = sum(o == e for o in owner)
+        for term in set().union(*(w for w, o in zip(near, owner) if o == e)):
+            both = sum(o == e and term in w for o, w in zip(owner, near))
+            share = log2(len(rows) * both / (sum(term in w for w in words) * n_e)) / log2(len(rows) / n_e)
+            if both >= disclosure.SUPPORT and n_e >= disclosure.SUPPORT and share >= disclosure.GENERALISE:
+                want[f"email:{e}", term] = share
+    assert got == pytest.approx(want)
+
+
 PROSE = "A sentence with enough words to be taken for text. " * 6
 
 
