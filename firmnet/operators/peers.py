@@ -52,16 +52,6 @@ def _known_best(vectors: DataFrame, firm: DataFrame, **cuts) -> DataFrame:
         F.col("focal_firmid.firm").alias("focal_firmid"), F.col("rival_firmid.firm").alias("rival_firmid"), "wtnic_score")
 
 
-def to_firm_edges(edges: DataFrame, firm: DataFrame) -> DataFrame:
-    """Translate company edges to firm ids; both ends must be known and differ."""
-    ids = firm.select("company", F.col("firm_id").cast("bigint").alias("firm_id"))
-    focal = ids.toDF("focal_firmid", "_focal")
-    rival = ids.toDF("rival_firmid", "_rival")
-    both = edges.where(F.col("focal_firmid") != F.col("rival_firmid"))
-    both = both.join(focal, "focal_firmid").join(rival, "rival_firmid")
-    return both.select(F.col("_focal").alias("focal_firmid"), F.col("_rival").alias("rival_firmid"), "wtnic_score")
-
-
 def private_peers(vectors: DataFrame, firm: DataFrame, percent: float = 15.0, threshold: float = 0.24,
                   **options) -> DataFrame:
     """Each firm's best ``percent`` of all entities, then known rivals, then the threshold.
@@ -81,6 +71,7 @@ def with_rival_metrics(edges: DataFrame, metrics: DataFrame) -> DataFrame:
 
 
 def unknown_rivals(edges: DataFrame, metrics: DataFrame) -> DataFrame:
+    """Edges that ``with_rival_metrics`` drops."""
     return edges.join(metrics.select(F.col("firm_id").alias("rival_firmid")), "rival_firmid", "left_anti")
 
 

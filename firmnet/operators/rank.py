@@ -175,12 +175,17 @@ def hash_sample(df: DataFrame, key: str, n: int, seed: str = "0") -> DataFrame:
     return top_rows(keyed, n, "_draw", ["_digest", key], False, (0.0, float(1 << 52))).select(key)
 
 
+def next_id(dimension: DataFrame, id_col: str = "firm_id") -> int:
+    """The first id behind the largest one; 1 for an empty dimension."""
+    return dimension.agg(F.coalesce(F.max(id_col), F.lit(0))).first()[0] + 1
+
+
 def assign_ids(dimension: DataFrame, new_keys: DataFrame, key: str, order: str, id_col: str = "firm_id") -> DataFrame:
     """(key, order, id) for keys not yet in the dimension: consecutive ids after the largest one.
 
     ``new_keys`` may repeat a key; its lowest ``order`` counts, and ids follow that order.
     """
     fresh = new_keys.groupBy(key).agg(F.min(order).alias(order)).join(dimension.select(key), key, "left_anti")
-    start = dimension.agg(F.coalesce(F.max(id_col), F.lit(0))).first()[0]
+    start = next_id(dimension, id_col)
     ranked = distributed_rank(fresh, [(order, True), (key, True)], "_rank")
-    return ranked.select(key, order, (F.col("_rank") + F.lit(start).cast("bigint")).alias(id_col))
+    return ranked.select(key, order, (F.col("_rank") - 1 + F.lit(start).cast("bigint")).alias(id_col))

@@ -65,14 +65,24 @@ def similarity_label(input_name: Column) -> Column:
     return F.upper(F.replace(F.split_part(input_name, F.lit("_"), F.lit(1)), F.lit("."), F.lit("")))
 
 
-def r2_report(df: DataFrame, input_name: str) -> DataFrame:
-    """The R² row with its labels, in the published order of keys."""
-    name = F.lit(input_name)
-    return r_squared(df).select(
+def _labelled(scores: DataFrame) -> DataFrame:
+    """R² rows with their labels, in the published order of keys."""
+    name = F.col("input_file_name")
+    return scores.select(
         F.col("no_of_docs").cast("string").alias("no_of_docs"),
-        name.alias("input_file_name"),
+        name,
         F.date_format(F.current_timestamp(), "EEE MMM d HH:mm:ss yyyy").alias("date_run"),
         similarity_label(name).alias("similarity"),
         *(F.lit(value).alias(key) for key, value in REPORT_LABELS.items()),
         "RSQ_average", "RSQ_stock_return", "RSQ_profit_sales", "RSQ_profit_asset", "RSQ_valuation",
     )
+
+
+def r2_report(df: DataFrame, input_name: str) -> DataFrame:
+    """The row of one input."""
+    return _labelled(r_squared(df).withColumn("input_file_name", F.lit(input_name)))
+
+
+def r2_reports(df: DataFrame) -> DataFrame:
+    """A row for each input, told apart by ``input_file_name``."""
+    return _labelled(r_squared(df, ("input_file_name",)))

@@ -114,6 +114,19 @@ def s2(spark, sf_dir):
     return archives.read_manifest(spark, path)
 
 
+@query("s2_resolve_manifest")
+def s2b(spark, sf_dir):
+    """Manifest lines next to the archives that are there: two are named that are not, one is there that is not named."""
+    folder, path = scratch_path(spark, "archives"), scratch_path(spark, "manifest")
+    _write_archives(st.records(spark, sf_dir), folder)
+    named = st.records(spark, sf_dir).select("archive_file").distinct().where("archive_file <> 'crawl-3.warc.gz'")
+    named = named.unionByName(spark.createDataFrame([("gone.arc.gz",), ("notes.txt",)], "archive_file string"))
+    named.select(F.concat_ws("  ", F.md5("archive_file"), "archive_file", F.lit(f"{folder}/"))).write.text(path)
+    found, missing = archives.resolve_manifest(archives.read_manifest(spark, path), archives.list_archives(spark, folder))
+    sides = [side.select("md5", "file_name", "container", F.lit(there).alias("found")) for side, there in ((found, True), (missing, False))]
+    return sides[0].unionByName(sides[1])
+
+
 @query("s3_read_public_tsv")
 def s3(spark, sf_dir):
     path = scratch_path(spark, "public-raw")
@@ -186,8 +199,12 @@ def s10(spark, sf_dir):
 
 @query("s11_r2_report_json")
 def s11(spark, sf_dir):
-    path = scratch_path(spark, "r2")
-    tables.write_r2_report(regression.r2_report(_lr_input(spark, sf_dir), "public_peers.csv"), path)
+    """One report over several regression inputs, which are read from their files."""
+    folder, path = scratch_path(spark, "lr"), scratch_path(spark, "r2")
+    rows = materialize(_lr_input(spark, sf_dir), "lr-rows")
+    tables.write_lr_input(rows, f"{folder}/public_peers.csv")
+    tables.write_lr_input(rows.where("focal_firmid % 2 = 0"), f"{folder}/even.v2_peers.csv")
+    tables.write_r2_report(regression.r2_reports(tables.read_lr_inputs(spark, f"{folder}/*.csv")), path)
     schema = ("scores array<struct<no_of_docs string, input_file_name string, similarity string, type string, "
               "RSQ_average double>>")
     return spark.read.schema(schema).json(path).select(F.inline("scores")).withColumn(
@@ -196,10 +213,11 @@ def s11(spark, sf_dir):
 
 @query("s12_overlap_report")
 def s12(spark, sf_dir):
+    """Two runs add to one report; one of them is done twice."""
     path = scratch_path(spark, "naics-report")
-    tables.write_naics_report(_overlap(spark, sf_dir, "reference"), path)
-    tables.write_naics_report(_overlap(spark, sf_dir, "all_pairs"), path)
-    return spark.read.parquet(path)
+    for mode in ("reference", "all_pairs", "reference"):
+        tables.write_naics_report(_overlap(spark, sf_dir, mode, True), path, f"{YEAR}-{mode}")
+    return tables.read_naics_report(spark, path)
 
 
 @query("s13_vector_store")
@@ -217,8 +235,9 @@ def s13(spark, sf_dir):
 def s14(spark, sf_dir):
     path = scratch_path(spark, "year-lists")
     lists = master.known_companies(master.year_companies(st.url_id(spark, sf_dir)), st.customer_firm(spark, sf_dir))
-    tables.write_year_lists(lists, path)
-    return spark.read.schema("company string, year int").parquet(path)
+    for _ in range(2):  # a run that is done again leaves one set of lists
+        tables.write_year_lists(lists, path, run="1")
+    return spark.read.schema("company string, year int").parquet(path).select("company", "year")
 
 
 @query("s14_compiled_public_list")
@@ -435,6 +454,12 @@ def j5(spark, sf_dir):
     return edges.select("focal_firmid", "rival_firmid", "wtnic_score", *_r6(*RIVAL))
 
 
+@query("j5_unknown_rivals")
+def j5b(spark, sf_dir):
+    edges = _peers(spark, sf_dir)
+    return peers.unknown_rivals(edges, st.metrics(spark, sf_dir).where("firm_id % 3 <> 0")).groupBy("rival_firmid").agg(F.count("*").alias("dropped"))
+
+
 @query("j6_focal_metrics")
 def j6(spark, sf_dir):
     metrics = st.public(spark, sf_dir)
@@ -455,8 +480,7 @@ def j7(spark, sf_dir):
 
 @query("j8_known_firm_pairs")
 def j8(spark, sf_dir):
-    edges = similarity.cosine_pairs(st.vectors(spark, sf_dir), "company", min_score=THRESHOLD)
-    return peers.to_firm_edges(edges, _listed_public(spark, sf_dir))
+    return peers.private_peers(st.vectors(spark, sf_dir), _listed_public(spark, sf_dir), percent=100, threshold=THRESHOLD)
 
 
 @query("j9_pair_codes")
@@ -516,6 +540,11 @@ def j13(spark, sf_dir):
         F.count("*").alias("entities"))
 
 
+@query("j13_entities_not_found")
+def j13b(spark, sf_dir):
+    return industry.entities_not_found(_page_master(spark, sf_dir).select("company"), _page_firm(spark, sf_dir))
+
+
 @query("j14_all_pairs_cosine")
 def j14(spark, sf_dir):
     return _peers(spark, sf_dir, None)
@@ -529,6 +558,12 @@ def j14b(spark, sf_dir):
 # --- aggregations -----------------------------------------------------------------------------------
 
 
+@query("j14_threshold_over_clusters")
+def j14c(spark, sf_dir):
+    """The same edges from blocks of near vectors, where tiles too far apart for the threshold are left out."""
+    return similarity.cosine_pairs(st.vectors(spark, sf_dir), min_score=0.6, block_rows=64)
+
+
 @query("a1_bag_of_words")
 def a1(spark, sf_dir):
     """Every word at its place in its firm's bag, in lines of a thousand; segments are cut at 700 words."""
@@ -579,7 +614,7 @@ def a5b(spark, sf_dir):
 
 @query("a6_next_firm_id")
 def a6(spark, sf_dir):
-    return st.customer_firm(spark, sf_dir).agg((F.max("firm_id") + 1).alias("next_firm_id"))
+    return spark.createDataFrame([(rank.next_id(st.customer_firm(spark, sf_dir)),)], "next_firm_id bigint")
 
 
 @query("a7_prefix_frequency")
@@ -620,11 +655,12 @@ def a12(spark, sf_dir):
     return peers.focal_counts(every, kept, peers.lr_input(every, kept, public))
 
 
-def _overlap(spark, sf_dir, mode) -> DataFrame:
+def _overlap(spark, sf_dir, mode, both_codes=False) -> DataFrame:
     coded = materialize(industry.with_pair_codes(_peers(spark, sf_dir), st.firm(spark, sf_dir)), "coded")
-    report = industry.naics_report(YEAR, coded, _codes(spark, sf_dir), TOP_FRACTION, mode)
+    report = industry.naics_report(YEAR, coded, _codes(spark, sf_dir), TOP_FRACTION, mode, both_codes)
+    more = ["both_codes"] if both_codes else []
     return report.select(F.lit(mode).alias("mode"), "digits", "total_firms", "required", "budget", "matches",
-                         F.round("similarity", 6).alias("similarity"))
+                         F.round("similarity", 6).alias("similarity"), *more)
 
 
 @query("a13_naics_overlap_reference")
@@ -684,6 +720,21 @@ def a17(spark, sf_dir):
     return master.latest_public_rows(st.public_raw(spark, sf_dir))
 
 
+@query("a17_last_line_wins_over_files")
+def a17b(spark, sf_dir):
+    """Lines dealt to three files: a later file's line replaces an earlier file's, and within a file a later line an earlier one."""
+    path = scratch_path(spark, "three-files")
+    raw = st.public_raw(spark, sf_dir)
+    part = F.concat(F.lit("part"), F.col("line_no") % 3).alias("file")
+    line = F.concat_ws("\t", "gvkey", F.col("year").cast("string"), "url", F.col("profit_assets").cast("string"))
+    raw.select(part, "line_no", line.alias("value")).repartition("file").sortWithinPartitions("file", "line_no").drop("line_no").write.partitionBy(
+        "file").text(path)
+    p = F.split("value", "\t")
+    read = spark.read.text(path).select(tables.line_order().alias("line_no"), p[0].alias("gvkey"), p[1].cast("int").alias("year"), p[2].alias("url"),
+                                        p[3].cast("double").alias("profit_assets"))
+    return master.latest_public_rows(read)
+
+
 def _page_dimension(spark, sf_dir) -> DataFrame:
     """Firm rows keyed by raw URL, of which many share domain and path."""
     raw = st.public_raw(spark, sf_dir)

@@ -197,6 +197,9 @@ ORACLE_SQL: dict[str, str] = {
         CASE WHEN contains(url, '/5') THEN NULL ELSE url END AS url, count(*) AS records FROM records GROUP BY ALL""",
     "s2_read_manifest": _with(RECORDS) + """SELECT DISTINCT md5(archive_file) AS md5, archive_file AS file_name,
         '/crawl/data' AS dir, 'warc' AS container FROM records""",
+    "s2_resolve_manifest": _with(RECORDS) + """SELECT DISTINCT md5(archive_file) AS md5, archive_file AS file_name,
+        'warc' AS container, true AS found FROM records WHERE archive_file <> 'crawl-3.warc.gz'
+        UNION ALL SELECT md5('gone.arc.gz'), 'gone.arc.gz', 'arc', false UNION ALL SELECT md5('notes.txt'), 'notes.txt', NULL, false""",
     "s3_read_public_tsv": _with(PUBLIC_RAW) + """SELECT gvkey, year, url, profit_assets, profit_sales, stock_return,
         valuation FROM public_raw""",
     "s4_read_url_id": _with(URL_ID) + """SELECT master_id, company, CAST(year AS INTEGER) AS year FROM url_id
@@ -210,10 +213,12 @@ ORACLE_SQL: dict[str, str] = {
         CAST(sum(len(words)) AS BIGINT) AS n_words FROM page_rows GROUP BY 1, 2, 3""",
     "s9_peer_table": _with(VECTORS, SCORES, PEERS) + "SELECT * FROM peers",
     "s10_regression_input_table": LR_INPUT + f"SELECT focal_firmid, {ROUNDED}, monopolist FROM lr",
-    "s11_r2_report_json": LR_INPUT + f"""SELECT CAST(count(DISTINCT focal_firmid) AS VARCHAR) AS no_of_docs,
-        'public_peers.csv' AS input_file_name, 'PUBLIC' AS similarity, 'WTNIC' AS type,
-        round(({_r2('profit_sales')} + {_r2('profit_assets')}) / 2, 6) AS "RSQ_average" FROM lr""",
-    "s12_overlap_report": f"SELECT * FROM ({_overlap('reference')}) UNION ALL SELECT * FROM ({_overlap('all_pairs')})",
+    "s11_r2_report_json": " UNION ALL ".join(f"""SELECT * FROM ({LR_INPUT}SELECT CAST(count(DISTINCT focal_firmid) AS VARCHAR) AS no_of_docs,
+        '{name}' AS input_file_name, '{label}' AS similarity, 'WTNIC' AS type,
+        round(({_r2('profit_sales')} + {_r2('profit_assets')}) / 2, 6) AS "RSQ_average" FROM (SELECT * FROM lr WHERE {rows}))"""
+        for name, label, rows in (("public_peers.csv", "PUBLIC", "true"), ("even.v2_peers.csv", "EVENV2", "focal_firmid % 2 = 0"))),
+    "s12_overlap_report": " UNION ALL ".join(f"""SELECT o.*, b.pairs AS both_codes FROM ({_overlap(mode)}) o, (
+        {_with(VECTORS, FIRM, SCORES, PEERS, CODED, FREQUENCY, REQUIRED)}{_both_codes('0.02')}) b""" for mode in ("reference", "all_pairs")),
     "s13_vector_store": _with(VECTORS) + """SELECT company, firm_id, len(v) AS dim,
         round(sqrt(list_dot_product(v, v)), 6) AS length FROM vectors""",
     "s14_year_lists": _with(URL_ID, CUSTOMER_FIRM) + """SELECT DISTINCT company, year FROM url_id
@@ -290,6 +295,11 @@ ORACLE_SQL: dict[str, str] = {
     "j13_entity_codes": _with(PAGE_MASTER, PAGE_FIRM) + f"""SELECT {DOMAIN.format('m.company')} AS company, naics,
         count(*) AS entities FROM page_master m LEFT JOIN page_firm f ON f.company = {DOMAIN.format('m.company')}
         GROUP BY 1, 2""",
+    "j13_entities_not_found": _with(PAGE_MASTER, PAGE_FIRM) + f"""SELECT DISTINCT {DOMAIN.format('company')} AS company FROM page_master
+        WHERE {DOMAIN.format('company')} NOT IN (SELECT company FROM page_firm)""",
+    "j14_threshold_over_clusters": _with(VECTORS, SCORES) + "SELECT * FROM scores WHERE wtnic_score >= 0.6",
+    "j5_unknown_rivals": _with(VECTORS, SCORES, PEERS) + """SELECT rival_firmid, count(*) AS dropped FROM peers
+        WHERE rival_firmid NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 3 <> 0) GROUP BY 1""",
     "j14_all_pairs_cosine": _with(VECTORS, SCORES) + "SELECT * FROM scores",
     "j14_cosine_above_threshold": _with(VECTORS, SCORES, PEERS) + "SELECT * FROM peers",
     "a1_bag_of_words": _BAG,
@@ -338,6 +348,10 @@ ORACLE_SQL: dict[str, str] = {
         || replace({PATH.format('url')}, '/', '_') AS company FROM public_raw)
         SELECT year, company, gvkey, profit_assets, profit_sales, stock_return, valuation FROM keyed
         QUALIFY row_number() OVER (PARTITION BY year, company ORDER BY line_no DESC) = 1""",
+    "a17_last_line_wins_over_files": _with(PUBLIC_RAW) + f""", keyed AS (SELECT *, {DOMAIN.format('url')}
+        || replace({PATH.format('url')}, '/', '_') AS company FROM public_raw)
+        SELECT year, company, gvkey, profit_assets FROM keyed
+        QUALIFY row_number() OVER (PARTITION BY year, company ORDER BY line_no % 3 DESC, line_no DESC) = 1""",
     "a18_rekeyed_dimension": _DIMENSION + "SELECT new_key AS company, firm_id FROM ranked WHERE place = 1",
     "a18_rekeyed_repeats": _DIMENSION + "SELECT company, new_key FROM ranked WHERE place > 1",
     "a19_run_metrics": _with(RECORDS) + f"""SELECT archive_file, count(*) AS records,

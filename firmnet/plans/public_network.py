@@ -12,12 +12,13 @@ from pyspark.sql import functions as F
 from firmnet.operators.corpus import domain_coverage, domain_text, firm_pages
 from firmnet.operators.encoder import by_company, encode, fit_encoder
 from firmnet.operators.master import training_set
-from firmnet.operators.peers import lr_input, public_peers, public_vectors
+from firmnet.operators.peers import lr_input, public_peers, public_vectors, unknown_rivals
 from firmnet.operators.rank import hash_sample, top_fraction
 from firmnet.operators.similarity import top_fraction_of_pairs
-from firmnet.operators.regression import r2_report
+from firmnet.operators.regression import r2_report, r2_reports
 from firmnet.params import Params
-from firmnet.plans.outputs import Outputs
+from firmnet.plans.outputs import Outputs, fingerprint
+from firmnet.sources import tables
 
 
 @dataclass(frozen=True)
@@ -29,6 +30,7 @@ class PublicNetwork:
     peers: DataFrame
     regression: DataFrame
     report: DataFrame
+    unknown_rivals: DataFrame  # edges whose rival has no financials
 
 
 def build_public_network(params: Params, corpus: DataFrame, private: DataFrame, public: DataFrame,
@@ -36,10 +38,12 @@ def build_public_network(params: Params, corpus: DataFrame, private: DataFrame,
                          if_exists: str = "skip", store_all_peers: bool = False) -> PublicNetwork:
     """``private`` and ``public`` are the company lists of the year; ``public`` carries ids and metrics.
 
-    With a ``folder``, steps whose output is there are not run again. Only the top pairs are
-    ever written, unless ``store_all_peers`` asks for the rest, which gives the same report.
+    With a ``folder``, steps whose output is there are not run again, unless parameters or inputs are others than then; the
+    regression input and the report over all published inputs are written there as text. Only the top pairs are ever
+    written, unless ``store_all_peers`` asks for the rest, which gives the same report.
     """
-    out = Outputs(corpus.sparkSession, folder, if_exists)
+    content = fingerprint((params, seed, partitions, store_all_peers), corpus, private, public) if folder else ""
+    out = Outputs(corpus.sparkSession, folder, if_exists, content)
     sample = out.table("training_sample", lambda: hash_sample(private, "company", params.sample_size, str(seed)))
     shortfall = params.sample_size - sample.count()
     if shortfall > 0:
@@ -62,4 +66,8 @@ def build_public_network(params: Params, corpus: DataFrame, private: DataFrame,
         focal = paired.select(F.col("firm_id").alias("focal_firmid"))  # every one of them has a pair
     regression = out.table("regression_input", lambda: lr_input(focal, kept, public))
     report = r2_report(regression, f"public_peers_file_{params.year}_LR.csv")
-    return PublicNetwork(model, trained, without_text, vectors, peers, regression, report)
+    if folder is not None:
+        tables.write_lr_input(regression, f"{folder}/published/public_peers_file_{params.year}_LR.csv", "overwrite")
+        tables.write_r2_report(r2_reports(tables.read_lr_inputs(corpus.sparkSession, f"{folder}/published/*_LR.csv")),
+                               f"{folder}/published/r2", "overwrite")
+    return PublicNetwork(model, trained, without_text, vectors, peers, regression, report, unknown_rivals(kept, public))

@@ -115,3 +115,25 @@ def runs(spark: SparkSession, path: str) -> list[str]:
 def drop_run(spark: SparkSession, path: str, run: str) -> None:
     at, files = _files(spark, f"{path}/run={run}")
     files.delete(at, True)
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small note beside a table, complete or not there."""
+    at, files = _files(spark, path)
+    staged = spark._jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}")
+    out = files.create(staged, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+    files.delete(at, False)
+    files.rename(staged, at)
+
+
+def read_text(spark: SparkSession, path: str) -> str | None:
+    at, files = _files(spark, path)
+    if not files.exists(at):
+        return None
+    stream = files.open(at)
+    try:
+        return bytes(stream.readAllBytes()).decode()
+    finally:
+        stream.close()

@@ -5,8 +5,10 @@ import random
 import pytest
 
 from firmnet.params import Params
+from firmnet.plans.outputs import fingerprint
 from firmnet.plans.private_network import build_private_network
 from firmnet.plans.public_network import build_public_network
+from firmnet.sources import tables
 
 TOPICS = {"11": "crop seed farm grain harvest", "52": "bank loan credit fund asset", "62": "nurse clinic patient care ward"}
 
@@ -62,3 +64,54 @@ def test_finished_steps_are_reused(spark, world, tmp_path):
         again = build_public_network(params, corpus, few, public, folder=str(tmp_path))
     assert len(stamps) == 7 and stamps == {p: p.stat().st_mtime_ns for p in tmp_path.glob("*/_SUCCESS")}
     assert sorted(first.peers.collect()) == sorted(again.peers.collect())
+
+
+def test_other_parameters_or_inputs_never_get_old_steps(spark, world, tmp_path):
+    corpus, firm, public = world
+    private = firm.select("company").subtract(public.select("company"))
+    build = lambda params, seed=0: build_public_network(params, corpus, private, public, seed=seed, folder=str(tmp_path))
+    sample = lambda net: {r[0] for r in spark.read.parquet(f"{tmp_path}/training_sample").collect()}
+    params = Params(2000, dim=4, epochs=1, sample_size=5)
+    first = sample(build(params))
+    assert sample(build(params)) == first
+    other = sample(build(params, seed=1))
+    assert other != first and len(other) == 5
+    assert len(sample(build(Params(2000, dim=4, epochs=1, sample_size=7), seed=1))) == 7
+    assert sample(build(params)) == first
+
+
+def test_fingerprints_tell_inputs_apart(spark, tmp_path):
+    for name in ("a", "b"):
+        spark.range(3).write.parquet(f"{tmp_path}/{name}")
+    a, b = (spark.read.parquet(f"{tmp_path}/{name}") for name in ("a", "b"))
+    assert fingerprint((1,), a) == fingerprint((1,), spark.read.parquet(f"{tmp_path}/a"))
+    assert len({fingerprint((1,), a), fingerprint((2,), a), fingerprint((1,), b), fingerprint((1,), a, b), fingerprint((1,), a.withColumn("x", a.id))}) == 5
+
+
+def test_published_outputs_and_what_was_left_out(spark, world, tmp_path):
+    corpus, firm, public = world
+    params = Params(2000, dim=8, epochs=2, sample_size=20, top_fraction=0.2)
+    private = firm.select("company").subtract(public.select("company"))
+    net = build_public_network(params, corpus, private, public, folder=str(tmp_path))
+    assert net.unknown_rivals.count() == 0
+    scores = spark.read.json(f"{tmp_path}/published/r2").selectExpr("inline(scores)").collect()
+    assert [r["input_file_name"] for r in scores] == ["public_peers_file_2000_LR.csv"]
+    known = firm.where("firm_id < 150")
+    for _ in range(2):
+        other = build_private_network(params, net.model, net.vectors, corpus, private, known, folder=str(tmp_path))
+    assert {r[0] for r in other.not_found.collect()} == {r[0] for r in other.vectors.select("company").subtract(known.select("company")).collect()}
+    report = tables.read_naics_report(spark, f"{tmp_path}/published/naics")
+    assert report.count() == 5 and {"both_codes", "digits"} <= set(report.columns)  # done twice, one set of rows
+    assert tables.read_peers(spark, f"{tmp_path}/published/private_peers_file_2000.csv").count() == other.peers.count()
+
+
+def test_text_of_a_domain_is_stored_once(spark, world, tmp_path):
+    corpus, firm, public = world
+    keyed = public.unionByName(public.limit(3).selectExpr("concat(company, '_shop') AS company", "firm_id + 1000 AS firm_id", "profit_assets", "profit_sales",
+                                                          "stock_return", "valuation"))
+    net = build_public_network(Params(2000, dim=4, epochs=1, sample_size=2), corpus, firm.select("company").limit(2), keyed, folder=str(tmp_path))
+    text = spark.read.parquet(f"{tmp_path}/training_text")
+    assert text.count() == text.dropDuplicates(["company", "year", "level", "page"]).count()
+    got = {r["company"]: r["v"] for r in net.vectors.collect()}
+    for r in public.limit(3).collect():
+        assert got[r["company"]] == got[f"{r['company']}_shop"]

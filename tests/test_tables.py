@@ -1,9 +1,10 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from firmnet.params import Params
-from firmnet.schemas import PEER
+from firmnet.schemas import LR_INPUT, PEER
 from firmnet.sources import stores, tables
 from firmnet import storage
 from firmnet.storage import reuse_or_write, scratch_root, table_exists
@@ -64,6 +65,65 @@ def test_overlap_report_appends(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "n")).count() == 2
 
 
+def test_a_report_run_done_again_leaves_one_set_of_rows(spark, tmp_path):
+    path = str(tmp_path / "n")
+    for year, rows in ((2000, 1), (2001, 2), (2000, 3)):
+        tables.write_naics_report(spark.range(rows).select(F.lit(year).alias("year"), "id"), path, str(year))
+    got = tables.read_naics_report(spark, path)
+    assert sorted(map(tuple, got.collect())) == [(2000, 0), (2000, 1), (2000, 2), (2001, 0), (2001, 1)]
+    assert storage.runs(spark, path) == ["2000", "2001"]
+
+
+def test_a_run_is_seen_whole_or_not_at_all(spark, tmp_path):
+    path = str(tmp_path / "t")
+    assert storage.write_run(spark.range(2), path, "a") and not storage.write_run(spark.range(5), path, "a")
+    failing = spark.range(3).select(F.raise_error(F.lit("no")).cast("bigint").alias("id"))
+    with pytest.raises(Exception, match="no"):
+        storage.write_run(failing, path, "b")
+    with pytest.raises(Exception, match="no"):
+        storage.write_run(failing, path, "a", replace=True)  # the old rows stay
+    assert storage.runs(spark, path) == ["a"] and spark.read.parquet(path).count() == 2
+    storage.write_run(spark.range(4), path, "a", replace=True)
+    assert spark.read.parquet(path).count() == 4
+
+
+def test_one_report_over_several_inputs(spark, tmp_path):
+    from firmnet.operators import regression
+
+    rows = [(i, float(i % 5), float(i % 3), 1.0, 2.0, float(i % 5) + (i % 2), float(i % 7), float(i % 4), float(i), i % 2) for i in range(40)]
+    df = spark.createDataFrame(rows, LR_INPUT)
+    tables.write_lr_input(df, str(tmp_path / "in" / "public_peers.csv"))
+    df.where("focal_firmid < 20").select(*LR_INPUT.names).toPandas().to_csv(tmp_path / "in" / "even.v2_peers.tsv", sep="\t", index=False)
+    got = regression.r2_reports(tables.read_lr_inputs(spark, str(tmp_path / "in" / "*")))
+    tables.write_r2_report(got, str(tmp_path / "r2"))
+    (file,) = (tmp_path / "r2").glob("part-*.json")
+    scores = json.loads(file.read_text())["scores"]
+    assert [(r["input_file_name"], r["similarity"], r["no_of_docs"]) for r in scores] == [("even.v2_peers.tsv", "EVENV2", "20"), ("public_peers.csv", "PUBLIC", "40")]
+    alone = regression.r2_report(df, "public_peers.csv").first()
+    assert all(scores[1][k] == pytest.approx(alone[k]) for k in ("RSQ_average", "RSQ_valuation", "RSQ_stock_return"))
+
+
+def test_lines_are_ordered_over_files_and_blocks(spark, tmp_path):
+    """Three files, of which the second is cut into many blocks."""
+    lines = {"a": 50, "b": 4000, "c": 7}
+    for name, n in lines.items():
+        (tmp_path / name).write_text("".join(f"{i}\tfirm{i % 3}.com\t{2000 + i % 2}\t{name}\n" for i in range(n)))
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    spark.conf.set("spark.sql.files.openCostInBytes", "16")
+    try:
+        read = spark.read.text(str(tmp_path)).select(tables.line_order().alias("line_no"), "value")
+        assert read.rdd.getNumPartitions() > 5
+        got = [r["value"].split("\t") for r in read.orderBy("line_no").collect()]
+        assert got == [[str(i), f"firm{i % 3}.com", str(2000 + i % 2), name] for name, n in lines.items() for i in range(n)]
+        assert read.select("line_no").distinct().count() == sum(lines.values())
+        first = tables.read_url_id(spark, str(tmp_path)).groupBy("company").agg(F.max_by("master_id", "line_no").alias("last"))
+        assert {tuple(r) for r in first.collect()} == {("firm0.com", 6), ("firm1.com", 4), ("firm2.com", 5)}  # of the third file
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+
+
 def test_firm_dimension(spark):
     raw = spark.createDataFrame([("a", "1", "", ""), ("b", "x", "1", "s"), ("", "3", "1", "s"), ("c", "4", " 22 ", "s")],
                                 "company string, firm_id string, naics string, obtained_from string")
