@@ -561,7 +561,7 @@ def j14b(spark, sf_dir):
 @query("j14_threshold_over_clusters")
 def j14c(spark, sf_dir):
     """The same edges from blocks of near vectors, where tiles too far apart for the threshold are left out."""
-    return similarity.cosine_pairs(st.vectors(spark, sf_dir), min_score=0.6, block_rows=64)
+    return similarity.cosine_pairs(st.vectors(spark, sf_dir), min_score=0.35, block_rows=64)
 
 
 @query("a1_bag_of_words")

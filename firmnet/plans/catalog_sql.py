@@ -297,7 +297,7 @@ ORACLE_SQL: dict[str, str] = {
         GROUP BY 1, 2""",
     "j13_entities_not_found": _with(PAGE_MASTER, PAGE_FIRM) + f"""SELECT DISTINCT {DOMAIN.format('company')} AS company FROM page_master
         WHERE {DOMAIN.format('company')} NOT IN (SELECT company FROM page_firm)""",
-    "j14_threshold_over_clusters": _with(VECTORS, SCORES) + "SELECT * FROM scores WHERE wtnic_score >= 0.6",
+    "j14_threshold_over_clusters": _with(VECTORS, SCORES) + "SELECT * FROM scores WHERE wtnic_score >= 0.35",
     "j5_unknown_rivals": _with(VECTORS, SCORES, PEERS) + """SELECT rival_firmid, count(*) AS dropped FROM peers
         WHERE rival_firmid NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 3 <> 0) GROUP BY 1""",
     "j14_all_pairs_cosine": _with(VECTORS, SCORES) + "SELECT * FROM scores",
