@@ -18,6 +18,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from firmnet.llm.common import partitions, whole
+from firmnet.operators.rank import distributed_rank
+from firmnet.storage import materialize
 
 BUCKETS = 256
 BOUND = 512  # differences from here on count as no likeness at all
@@ -62,64 +64,68 @@ RESULT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, e
          "near_edited double, near_next double"
 _ARROW = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()),
                     ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64())])
+_EDGE = pa.schema([*_ARROW, ("edge", pa.string()), ("text", pa.string())])
+
+
+def _compared(doc_id: int | None, text: str, code: np.ndarray, after: str, after_code: np.ndarray) -> tuple:
+    """The result row of a document and the one after it."""
+    kept = len(text) - len(text) // 3
+    edited = (text[:kept] + after[:len(text) // 3]).encode()
+    edit_code = codes(edited)
+    return (doc_id, len(text), hashlib.sha256(edited).hexdigest(), text_form(code), text_form(edit_code),
+            likeness(code, edit_code), likeness(code, after_code))
+
+
+def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [[]] * len(schema), schema)], schema=schema)
 
 
 def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by bucket; a bucket ends with a copy of the row that follows it (``_tail`` = 1)."""
-    waiting = None  # the row that has not seen its successor yet
+    """Rows come in order. The first and the last one of the task are handed on with their texts (``edge``), as their
+    neighbours lie elsewhere; the others are compared with the row that follows."""
+    waiting, none = None, (None,) * 6
     for batch in batches:
         out = []
-        for doc_id, text, tail in zip(*(batch.column(c).to_pylist() for c in ("_id", "_text", "_tail"))):
-            if tail and waiting is None:
-                continue  # further copies of rows that are equal in all columns
+        for doc_id, text in zip(*(batch.column(c).to_pylist() for c in ("_id", "_text"))):
             code = codes(text.encode())
-            if waiting is not None:
-                was_id, was, was_code = waiting
-                kept = len(was) - len(was) // 3
-                edited = (was[:kept] + text[:len(was) // 3]).encode()
-                edit_code = codes(edited)
-                out.append((was_id, len(was), hashlib.sha256(edited).hexdigest(), text_form(was_code), text_form(edit_code),
-                            likeness(was_code, edit_code), likeness(was_code, code)))
-            waiting = None if tail else (doc_id, text, code)
-        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out) if out else [[]] * 7, _ARROW)], schema=_ARROW)
+            if waiting is None:
+                out.append((doc_id, *none, "first", text))
+            else:
+                out.append((*_compared(*waiting, text, code), None, None))
+            waiting = doc_id, text, code
+        yield _batch(out, _EDGE)
+    if waiting is not None:
+        yield _batch([(waiting[0], *none, "last", waiting[1])], _EDGE)
+
+
+def _close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows = zip(*(batch.column(c).to_pylist() for c in ("_id", "_text", "_after")))
+        yield _batch([_compared(i, t, codes(t.encode()), after, codes(after.encode())) for i, t, after in rows], _ARROW)
 
 
 def edited_likeness(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Fingerprint of each document, of an edited form, and their likeness; and the likeness to the next document.
 
     The next document is the next one by descending id (equal ids by a hash of the text, NULL ids last), after the last
-    the first. The edited form replaces the last third of the code points by the first ones of the next document. Ids
-    are cut into ranges at approximate quantiles, which only decide where a row is handled, not the result: each range
-    also gets a copy of the first row of the range behind it, so texts are shuffled once and no window spans the table.
-    NULL text counts as empty; a single document is its own next one; repeated rows stay repeated; an empty table gives
-    no rows.
+    the first. The edited form replaces the last third of the code points by the first ones of the next document. Rows are
+    dealt to ranges of this order, in which rows equal in id and text are told apart by their place, so that neither one id
+    nor one row on most places fills a task. Texts are shuffled once; only the first and the last of each range meet their
+    neighbours in a small join. NULL text counts as empty; a single document is its own next one; repeated rows stay
+    repeated; an empty table gives no rows. ``docs`` is read more than once: give a stored table.
     """
     spark = docs.sparkSession
-    order = F.xxhash64(whole(text))
-    rows = docs.select(F.col(doc_id).cast("long").alias("_id"), whole(text).alias("_text"), order.alias("_tie"))
-    n = rows.count()
-    ranges = partitions(spark, n, ROWS_PER_TASK)
-    cuts = rows.agg(F.percentile_approx("_id", [i / ranges for i in range(1, ranges)] or [0.5], 10_000)).first()[0] or []
-    cuts = sorted(set(cuts))
-    below = F.size(F.filter(F.lit(cuts), lambda c: c <= F.col("_id"))) if cuts else F.lit(0)
-    rows = rows.withColumn("_bucket", F.when(F.col("_id").isNull(), len(cuts) + 1).otherwise(F.lit(len(cuts)) - below))
-    # One row for each range: few and of fixed size.
-    heads = sorted((r["_bucket"], *r["_head"]) for r in
-                   rows.groupBy("_bucket").agg(F.max(F.struct("_id", F.bitwise_not("_tie").alias("t"))).alias("_head"))
-                   .select("_bucket", F.struct(F.col("_head._id"), F.col("_head.t"))
-                           .alias("_head")).collect()) if n else []
-    before = [(b, i, t, heads[k - 1][0]) for k, (b, i, t) in enumerate(heads)]
-    first = spark.createDataFrame(before, "_bucket int, _head_id long, _head_tie long, _before int")
-    is_head = F.col("_id").eqNullSafe(F.col("_head_id")) & (F.bitwise_not("_tie") == F.col("_head_tie"))
-    place = F.struct(F.col("_bucket").alias("b"), F.lit(0).alias("t"))
-    copy = F.struct(F.col("_before").alias("b"), F.lit(1).alias("t"))
-    dealt = (
-        rows.join(F.broadcast(first), "_bucket")
-        .withColumn("_at", F.explode(F.when(is_head, F.array(place, copy)).otherwise(F.array(place))))
-        .select("_id", "_text", "_tie", F.col("_at.b").alias("_bucket"), F.col("_at.t").alias("_tail"))
-    )
-    return (
-        dealt.repartition(ranges, "_bucket")
-        .sortWithinPartitions("_bucket", "_tail", F.desc_nulls_last("_id"), "_tie")
-        .select("_id", "_text", "_tail").mapInArrow(_neighbours, RESULT)
-    )
+    rows = docs.select(F.col(doc_id).cast("long").alias("_id"), whole(text).alias("_text"), F.xxhash64(whole(text)).alias("_tie"),
+                       F.monotonically_increasing_id().alias("_at"))
+    ranges = partitions(spark, docs.count(), ROWS_PER_TASK)
+    order = [F.desc_nulls_last("_id"), F.asc("_tie"), F.asc("_at")]
+    ranged = rows.repartitionByRange(ranges, *order).sortWithinPartitions(*order).select("_id", "_text")
+    done = ranged.mapInArrow(_neighbours, f"{RESULT}, edge string, text string").withColumn("part", F.spark_partition_id())
+    done = materialize(done, "likeness")  # of a text only what is at an edge
+    first = done.where("edge = 'first'").select("part", F.col("text").alias("_after"))
+    n = first.count()
+    places = materialize(distributed_rank(first.select("part"), [("part", True)], "no"), "places")
+    after = places.join(first, "part").select((F.col("no") - 1).alias("_of"), "_after")
+    last = done.where("edge = 'last'").select("part", F.col("doc_id").alias("_id"), F.col("text").alias("_text"))
+    closed = last.join(places, "part").withColumn("_of", F.col("no") % F.lit(max(n, 1))).join(after, "_of")
+    return done.where("edge IS NULL").select(*_ARROW.names).unionByName(closed.select("_id", "_text", "_after").mapInArrow(_close, RESULT))
