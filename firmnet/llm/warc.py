@@ -1,6 +1,6 @@
 """Deterministic sharded WARC writer, and a reader that derives everything from the archives.
 
-Records are ordered by page id and cut into shards at exact ranks, so reruns make the same files. A task sorts a shard
+Records are ordered by page id and cut into shards at exact sums of payload bytes, so reruns make the same files. A task sorts a shard
 and rolls to the next file once the compressed size reaches the limit. Files are written under temporary names; the
 manifest of the attempts that succeeded is stored by Spark, and only files it names are renamed to their final names.
 """
@@ -18,7 +18,7 @@ import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from firmnet.operators.rank import distributed_rank
+from firmnet.operators.rank import running_sum
 from firmnet.storage import materialize
 
 SHARD_BYTES = 32 << 20  # payload bytes of a shard
@@ -137,10 +137,10 @@ def write_archives(pages: DataFrame, folder: str, page_id: str = "page_id", url:
     keys = materialize(rows.select("_id", "_digest", F.octet_length("_html").alias("_bytes"), F.col("_id").isNull().alias("_last")), "keys")
     total, n = keys.agg(F.coalesce(F.sum("_bytes"), F.lit(0)), F.count("*")).first()
     shards = max(1, min(MOST_SHARDS, -(-total // shard_bytes), n))
-    each = max(1, -(-n // shards))
-    ranked = distributed_rank(keys, [("_last", True), ("_id", True), ("_digest", True)])
-    cuts = sorted(r[0] for r in ranked.where(((F.col("rank") - 1) % each == 0) & (F.col("rank") > 1) & ~F.col("_last"))
-                  .select("_id").distinct().collect())  # at most MOST_SHARDS
+    each = max(1, -(-(total + n) // shards))  # an empty payload counts, too
+    summed = running_sum(keys.withColumn("_weight", F.col("_bytes") + 1), [("_last", True), ("_id", True), ("_digest", True)], "_weight")
+    cuts = summed.where(~F.col("_last")).groupBy(F.expr(f"before div {each}").alias("s")).agg(F.min("_id").alias("c")).collect()
+    cuts = sorted({r["c"] for r in cuts if r["s"] > 0})  # at most MOST_SHARDS
     shard = F.size(F.filter(F.lit(cuts), lambda c: c <= F.col("_id"))) if cuts else F.lit(0)
     shard = F.when(F.col("_id").isNull(), len(cuts)).otherwise(shard)
 
@@ -151,7 +151,7 @@ def write_archives(pages: DataFrame, folder: str, page_id: str = "page_id", url:
                         F.lit("").alias("_html")).unionByName(
         rows.select("_id", "_digest", F.lit(1).alias("_mark"), F.lit(None).cast("long").alias("_first"), "_url", "_html"))
     ordered = (
-        both.withColumn("_shard", shard).repartition(shards, "_shard")
+        both.withColumn("_shard", shard.cast("int")).repartitionById(len(cuts) + 1, F.col("_shard"))  # shard k is task k's
         .sortWithinPartitions("_shard", F.asc_nulls_last("_id"), "_digest", "_mark", "_url")
         .select("_shard", "_id", "_digest", "_mark", "_first", "_url", "_html")
     )

@@ -322,3 +322,16 @@ def test_mixing_keeps_columns_of_any_name(spark, docs):
     assert {r["doc_id"]: r["_taken"] for r in apportion.mix(odd).collect()} == plain
     mixed = apportion.mixed_documents(odd)
     assert mixed.columns == odd.columns and {tuple(r)[-9:] for r in mixed.collect()} == {("_size", "_source", "_row", "_at", "_deal", "_no", "_shard", "_target", "key")}
+
+
+def test_shards_are_cut_by_bytes_and_written_by_one_task_each(spark):
+    rows = [(i, f"http://h.org/{i}", "x" * (20_000 if i < 40 else 200) + str(i)) for i in range(1000)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    manifest = warc.write_archives(df, scratch_path(spark, "warc"), shard_bytes=100_000, file_bytes=1 << 20)
+    shards = {}
+    for r in manifest.collect():
+        shards.setdefault(r["final"].split("-")[1], []).append(r["records"])
+    assert len(shards) >= 9 and all(len(files) == 1 for files in shards.values())
+    assert sorted(n for files in shards.values() for n in files)[0] <= 6  # a few large pages fill a shard
+    attempts = {r["temporary"].split("/")[1].split("-")[0] for r in manifest.collect()}
+    assert len(attempts) == len(shards)  # a task of its own each

@@ -141,6 +141,25 @@ def test_articles_of_the_pages_table(spark):
         assert r["text"] == "\n".join(b for b in blocks if b)
 
 
+def test_one_id_on_most_rows_is_dealt_to_many_ranges(spark, monkeypatch):
+    monkeypatch.setattr(digest, "ROWS_PER_TASK", 50)
+    rows = [(7, f"text {i} " * 3) if i % 5 else (i, f"other {i}") for i in range(600)] + [(7, "the same row")] * 600 + [(None, f"none {i}") for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("_at", F.lit("x")).withColumn("part", F.lit(1)).repartition(5)
+    seen = []
+    real = digest.materialize
+    monkeypatch.setattr(digest, "materialize", lambda d, name: seen.append(real(d, name)) or seen[-1])
+    got = sorted((str(r["doc_id"]), r["edited_sha256"]) for r in digest.edited_likeness(df).collect())
+    sizes = [r["count"] for r in seen[0].groupBy("part").count().collect()]
+    assert len(sizes) > 15 and max(sizes) < 4 * sum(sizes) / len(sizes)
+    tie = {r["text"]: r["h"] for r in df.select("text", F.xxhash64("text").alias("h")).distinct().collect()}
+    order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), tie[r[1]]))
+    want = []
+    for k, (i, t) in enumerate(order):
+        after = order[(k + 1) % len(order)][1]
+        want.append((str(i), hashlib.sha256((t[:len(t) - len(t) // 3] + after[:len(t) // 3]).encode()).hexdigest()))
+    assert got == sorted(want)
+
+
 def test_many_spans_in_one_text_take_linear_time(spark):
     import time
 
