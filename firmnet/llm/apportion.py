@@ -108,13 +108,18 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
     results = ("_size", "_source_size", "_target", "_taken", *_PLACE)
     kept = [c for c in docs.columns if c.lower() not in results]
     laid = _laid(docs, doc_id, text, source, seed)
-    return laid.select(*(F.col("_row").getField(c).alias(c) for c in kept), *results)
+    return laid.select(*(F.col(_own(docs, c)).alias(c) for c in kept), *results)
+
+
+def _own(docs: DataFrame, column: str) -> str:
+    """Name a column of ``docs`` has on its way: by place, so that no name clashes and columns nobody asks for are pruned."""
+    return f"_in{docs.columns.index(column)}"
 
 
 def _laid(docs: DataFrame, doc_id: str, text: str, source: str, seed: int) -> DataFrame:
-    """The rows of ``docs`` as structs ``_row`` with the results of :func:`mix`."""
+    """The rows of ``docs``, columns named by :func:`_own`, with the results of :func:`mix`."""
     placed = docs.select(
-        F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), F.col(source).alias("_source"),
+        *(F.col(f"`{c}`").alias(_own(docs, c)) for c in docs.columns), F.col(source).alias("_source"),
         n_words(text).alias("_size"), F.xxhash64(F.lit(seed), F.col(doc_id).cast("string"), F.col(text), F.col(source)).alias("_at"),
         F.monotonically_increasing_id().alias("_row_no"))
     sizes = materialize(placed.select("_source", "_size", "_at", "_row_no"), "sizes")  # the texts are read once for this
@@ -165,7 +170,7 @@ def _laid(docs: DataFrame, doc_id: str, text: str, source: str, seed: int) -> Da
         + block * (_chosen_before(last) - _chosen_before(first + 1)))
     taken = F.when(F.col("_size") > 0, F.col("_full") * F.col("_size") + some).otherwise(0).cast("long")
     return laid.select(
-        "_row", "_size", "_source_size", "_target",
+        *(_own(docs, c) for c in docs.columns), "_size", "_source_size", "_target",
         taken.alias("_taken"), "_start", "_full", "_rest", "_blocks", "_phase", F.lit(block).alias("_block"))
 
 
@@ -193,17 +198,16 @@ def _copies(text: str, n_chars: str | None, columns: list[str]):
         """Each row as often as it is taken whole, then once more with the words of its chosen blocks."""
         for batch in batches:
             at, texts = [], []
-            rows = batch.column("_row")
             own = (batch.column(c).to_pylist() for c in ("_full", "_start", "_rest", "_blocks", "_phase", "_block"))
-            bodies = rows.field(columns.index(text)).to_pylist()
+            bodies = batch.column(f"_in{columns.index(text)}").to_pylist()
             for i, (body, full, start, rest, blocks, phase, block) in enumerate(zip(bodies, *own)):
                 part = chosen_text(body, start, rest, blocks, phase, block) if rest else ""
                 copies = [body] * full + ([part] if part else [])
                 at += [i] * len(copies)
                 texts += copies
-            taken = rows.take(pa.array(at, pa.int64()))
+            taken = batch.take(pa.array(at, pa.int64()))
             new = {text: pa.array(texts, pa.string()), n_chars: pa.array([len(t) for t in texts], pa.int64())}
-            yield pa.RecordBatch.from_arrays([new[c] if c in new else taken.field(k) for k, c in enumerate(columns)], names=columns)
+            yield pa.RecordBatch.from_arrays([new[c] if c in new else taken.column(f"_in{k}") for k, c in enumerate(columns)], names=columns)
 
     return run
 
@@ -214,6 +218,7 @@ def mixed_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     A document taken not at all has no row. Columns are those of ``docs``; ``n_chars`` is set to the length of the text.
     """
-    laid = _laid(docs, doc_id, text, source, seed).where(F.col("_taken") > 0).select("_row", *_PLACE)
+    laid = _laid(docs, doc_id, text, source, seed).where(F.col("_taken") > 0).select(
+        *(_own(docs, c) for c in docs.columns), *_PLACE)
     form = StructType([StructField(f.name, LongType() if f.name == n_chars else f.dataType) for f in docs.schema])
     return laid.mapInArrow(_copies(text, n_chars if n_chars in docs.columns else None, docs.columns), form)
