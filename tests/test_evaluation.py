@@ -163,3 +163,35 @@ def test_report_without_same_industry_pairs(spark):
     rows = industry.naics_report(2000, coded, codes).collect()
     assert [(r["digits"], r["total_firms"], r["required"], r["budget"], r["similarity"]) for r in rows] == [
         (d, 3, 0, 0, None) for d in DIGITS]
+
+
+def test_reports_from_tiles_equal_reports_from_pairs(spark, monkeypatch):
+    """Counting pairs where they are multiplied gives what stored pairs give, also where most scores are equal, and stores no pair."""
+    import numpy as np
+
+    from firmnet.operators import rank, similarity
+
+    draw = np.random.default_rng(4)
+    m = np.concatenate([np.ones((40, 3)), draw.integers(-1, 2, (70, 3))]).astype(float)
+    vectors = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(m)], "firm_id bigint, v array<double>")
+    pool = ["111111", "111122", "1111", "222222", "22", "", None]
+    codes = spark.createDataFrame([(i, pool[draw.integers(len(pool))]) for i in range(100)], "firm_id bigint, naics string")
+    stored, real = [], similarity.materialize
+
+    def counted(df, label):
+        stored.append(real(df, label))
+        return stored[-1]
+
+    pairs = industry.with_pair_codes(similarity.cosine_pairs(vectors, min_score=0.2), codes).cache()
+    want = {}
+    for k in (1, 7, 300, 1500, 3000, 10**6):
+        budgets = {d: k * d // 2 for d in DIGITS}
+        want[k] = [industry.budgeted_matches(pairs, budgets, mode) for mode in ("reference", "all_pairs")], industry.pairs_with_both_codes(pairs, budgets)
+    monkeypatch.setattr(similarity, "materialize", counted)
+    monkeypatch.setattr(rank, "materialize", counted)
+    tiles = industry.pairs_by_codes(vectors, codes, 0.2, block_rows=30)
+    for k, (matches, both) in want.items():
+        budgets = {d: k * d // 2 for d in DIGITS}
+        assert [industry.budgeted_matches(tiles, budgets, mode) for mode in ("reference", "all_pairs")] == matches
+        assert industry.pairs_with_both_codes(tiles, budgets) == both
+    assert pairs.count() > 2500 > max(t.count() for t in stored)
