@@ -26,6 +26,7 @@ BOUND = 512  # differences from here on count as no likeness at all
 LENGTH_STEPS = 8  # steps of the length code for each doubling
 LENGTH_BOUND = 64
 ROWS_PER_TASK = 20_000
+SLICE = 64  # rows of an Arrow batch whose texts are Python strings at a time
 
 _MIX = np.array(sorted(range(BUCKETS), key=lambda i: zlib.crc32(bytes([i]))), np.uint8)
 _GAPS = np.array([0, 1, 2, 6])  # opposite quartiles weigh double
@@ -80,11 +81,18 @@ def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [[]] * len(schema), schema)], schema=schema)
 
 
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Few rows at a time, so that a batch of long texts is not held a second time as Python strings."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, SLICE):
+            yield batch.slice(start, SLICE)
+
+
 def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows come in order. The first and the last one of the task are handed on with their texts (``edge``), as their
     neighbours lie elsewhere; the others are compared with the row that follows."""
     waiting, none = None, (None,) * 6
-    for batch in batches:
+    for batch in _slices(batches):
         out = []
         for doc_id, text in zip(*(batch.column(c).to_pylist() for c in ("_id", "_text"))):
             code = codes(text.encode())
@@ -99,7 +107,7 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in _slices(batches):
         rows = zip(*(batch.column(c).to_pylist() for c in ("_id", "_text", "_after")))
         yield _batch([_compared(i, t, codes(t.encode()), after, codes(after.encode())) for i, t, after in rows], _ARROW)
 
