@@ -12,12 +12,14 @@ word scores of a document, so that long texts are not drowned in the noise of th
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 from zlib import crc32
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,7 +34,8 @@ LEAST_DOCS = 3  # of the sample that hold a feature
 TOP = 4
 ROUNDS, SECOND_ROUNDS = 80, 400
 _WORD = re.compile(r"[^\W\d_]+")
-CACHE = 500_000
+CACHE = 500_000  # words whose scores a task remembers, as rows of one array
+SLICE = 64  # texts that are Python strings at a time
 
 
 def words_of(text: str) -> set[str]:
@@ -94,38 +97,46 @@ def pooled(scores: list[float] | np.ndarray) -> np.ndarray:
 
 def train(texts: list[str], positive: np.ndarray, prior: float) -> Model:
     """Fit both steps on a bounded sample."""
-    docs = [words_of(t) for t in texts]
-    seen: dict[str, int] = {}
-    for d in docs:
-        for w in d:
-            seen[w] = seen.get(w, 0) + 1
+    # Words are held once, documents as their numbers, and features in one array: lists of them take many times the memory.
+    index: dict[str, int] = {}
+    every, sizes = array("i"), []
+    for t in texts:
+        found = words_of(t)
+        every.extend(index.setdefault(w, len(index)) for w in found)
+        sizes.append(len(found))
+    word, of_doc = np.array(every, np.int64), np.repeat(np.arange(len(texts)), sizes)
+    seen = np.bincount(word, minlength=len(index))
     # Words of one document only are left to their n-grams, which other words teach.
-    number = {w: k for k, w in enumerate(w for w in seen if seen[w] > 1)}
-    docs = [[w for w in d if w in number] for d in docs]
-    lists = [features(w) for w in number]
-    held = np.zeros(1 << BITS)
-    for w, f in zip(number, lists):
-        held[f] += seen[w]
-    usable = held >= LEAST_DOCS
-    kept = [[x for x in f if usable[x]] for f in lists]
-    feats = np.array([x for f in kept for x in f], np.int64)
-    of_word = np.repeat(np.arange(len(kept)), [len(f) for f in kept])
-    word = np.array([number[w] for d in docs for w in d], np.int64)
-    of_doc = np.repeat(np.arange(len(docs)), [len(d) for d in docs])
-    scale = 1 / np.sqrt(np.maximum([len(d) for d in docs], 1))
+    often = seen > 1
+    held, flat, lengths = np.zeros(1 << BITS), array("i"), []
+    for w, k in index.items():
+        if often[k]:
+            f = features(w)
+            held[f] += seen[k]
+            flat.extend(f)
+            lengths.append(len(f))
+    del index, every
+    n_words, number = len(lengths), np.cumsum(often) - 1
+    word, of_doc = number[word[often[word]]], of_doc[often[word]]
+    counts = np.bincount(of_doc, minlength=len(texts))
+    feats = np.array(flat, np.int64)
+    usable = held[feats] >= LEAST_DOCS
+    feats, of_word = feats[usable], np.repeat(np.arange(n_words), lengths)[usable]
+    del flat
+    scale = 1 / np.sqrt(np.maximum(counts, 1))
     weights, bias = np.zeros(1 << BITS), 0.0
     adam, adam_bias = Adam(1 << BITS, 0.05), Adam(1, 0.05)
     for _ in range(ROUNDS):
-        score = np.bincount(of_word, weights[feats], len(kept))
-        margin = np.bincount(of_doc, score[word], len(docs)) * scale + bias
+        score = np.bincount(of_word, weights[feats], n_words)
+        margin = np.bincount(of_doc, score[word], len(texts)) * scale + bias
         g, _risk = nn_gradient(margin, positive, prior)
-        by_word = np.bincount(word, (g * scale)[of_doc], len(kept))
+        by_word = np.bincount(word, (g * scale)[of_doc], n_words)
         grad = np.bincount(feats, by_word[of_word], 1 << BITS)
         weights -= adam.step(grad + 1e-5 * weights)
         bias -= adam_bias.step(np.array([g.sum()]))[0]
-    score = np.bincount(of_word, weights[feats], len(kept))
-    starts = np.concatenate([[0], np.cumsum([len(d) for d in docs])])
-    x = np.array([pooled(score[word[a:b]]) for a, b in zip(starts, starts[1:])]).reshape(len(docs), TOP + 2)
+    score = np.bincount(of_word, weights[feats], n_words)
+    starts = np.concatenate([[0], np.cumsum(counts)])
+    x = np.array([pooled(score[word[a:b]]) for a, b in zip(starts, starts[1:])]).reshape(len(texts), TOP + 2)
     spread = max(np.abs(x[:, :TOP]).max(), 1e-9)
     x[:, :TOP] /= spread
     second, adam = np.zeros(TOP + 2), Adam(TOP + 2, 0.1)
@@ -181,12 +192,13 @@ def score_column(models: list[Model], text: str):
     if not models:
         return F.lit(0.0)
 
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        known: dict[str, tuple[float, ...]] = {}
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        known: dict[str, int] = {}
         table = np.stack([m.weights for m in models])
+        values = np.zeros((1 << 12, len(models)))
         for texts in batches:
             out = []
-            for t in texts:
+            for t in (t for start in range(0, len(texts), SLICE) for t in texts.slice(start, SLICE).to_pylist()):
                 found = words_of(t or "")
                 new = [w for w in found if w not in known]
                 if new:
@@ -196,13 +208,17 @@ def score_column(models: list[Model], text: str):
                     lists = [features(w) for w in new]
                     starts = np.cumsum([0] + [len(f) for f in lists[:-1]])
                     sums = np.add.reduceat(table[:, [x for f in lists for x in f]], starts, axis=1)
-                    known.update(zip(new, map(tuple, sums.T.tolist())))
-                cols = zip(*map(known.__getitem__, found)) if found else [()] * len(models)
+                    first = len(known)
+                    known.update(zip(new, range(first, first + len(new))))
+                    while len(known) > len(values):
+                        values = np.concatenate([values, np.zeros_like(values)])
+                    values[first:len(known)] = sums.T
+                cols = values[[known[w] for w in found]].T if found else [()] * len(models)
                 margins = np.array([m.margin(c) for m, c in zip(models, cols)])
                 out.append(float(np.mean(1 / (1 + np.exp(-np.clip(margins, -40, 40))))))
-            yield pd.Series(out, dtype="float64")
+            yield pa.array(out, pa.float64())
 
-    return F.pandas_udf(run, "double")(F.col(text))
+    return F.arrow_udf(run, "double")(F.col(text))
 
 
 def score(docs: DataFrame, models: list[Model], doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -322,3 +322,27 @@ def test_toxicity_edges(spark):
     import zlib
     assert all(r["held_out"] == (r["doc_id"] is not None and zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0)
                for r in docs.select("doc_id", held_out("doc_id").alias("held_out")).collect())
+
+
+def test_neighbours_hold_few_texts_as_strings_at_a_time():
+    import pyarrow as pa
+
+    rows = pa.RecordBatch.from_arrays([pa.array(range(1000)), pa.array([f"text {i}" for i in range(1000)])], names=["_id", "_text"])
+    made = list(digest._neighbours(iter([rows])))
+    assert max(b.num_rows for b in made) <= digest.SLICE and sum(b.num_rows for b in made) == 1001
+
+
+def test_training_holds_words_once_and_features_in_one_array(monkeypatch):
+    import random
+    import tracemalloc
+
+    monkeypatch.setattr(toxicity, "ROUNDS", 1)
+    monkeypatch.setattr(toxicity, "SECOND_ROUNDS", 1)
+    draw = random.Random(1)
+    words = ["".join(draw.choices("abcdefghij", k=12)) for _ in range(40_000)]
+    texts = [" ".join(words[i * 200 % 40_000:][:200]) for i in range(400)]
+    tracemalloc.start()
+    toxicity.train(texts, np.arange(400) % 2 == 0, 0.1)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 90e6  # 127 MB with lists of words and features, 54 with arrays
