@@ -181,6 +181,36 @@ def test_words_meet_their_vectors_in_a_shuffled_join(spark):
     assert encoder.encode(table, df.select("company", F.array(F.lit("zz")).alias("words"))).first()["v"] == [0.0, 0.0]
 
 
+def test_a_block_of_companies_is_sent_each_word_once(spark, monkeypatch):
+    """Forty companies share thirty words: vectors travel by block and word, not by company and word."""
+    rows = [(f"f{i}", [f"w{(i + j) % 30}" for j in range(30)] + ["w1"] * i + ["zz"]) for i in range(40)]
+    df = spark.createDataFrame(rows, "company string, words array<string>")
+    table = spark.createDataFrame([(f"w{i}", [float(i), 1.0]) for i in range(30)], "word string, vector array<double>")
+    monkeypatch.setattr(encoder, "company_blocks", lambda *_: 3)
+    monkeypatch.setattr(encoder, "SLICE_BYTES", 16 * 7)
+    sums, sent = encoder._adder(), spark.sparkContext.accumulator(0)
+
+    def counted(counts, vectors):
+        sent.add(len(vectors))
+        return sums(counts, vectors)
+
+    monkeypatch.setattr(encoder, "_adder", lambda: counted)
+    got = {r["company"]: r for r in encoder.encode(table, df).collect()}
+    assert 0 < sent.value <= 3 * 30  # 40 * 30 before
+    for i in range(40):
+        assert got[f"f{i}"]["n_words"] == 31 + i
+        assert got[f"f{i}"]["v"] == pytest.approx([(sum(range(30)) + i) / (31 + i), (30 + i) / (31 + i)], abs=1e-12)
+
+
+def test_no_core_waits_while_words_are_trained(spark, monkeypatch):
+    asked, real = [], encoder.Word2Vec
+    monkeypatch.setattr(encoder, "Word2Vec", lambda **options: asked.append(options["numPartitions"]) or real(**options))
+    df = spark.createDataFrame([(["a", "b", "c"] * 5,)] * 4, "words array<string>")
+    for partitions in (1, 2, 16):
+        encoder.fit_encoder(df, dim=2, min_count=1, epochs=1, partitions=partitions)
+    assert asked == [1, max(2, spark.sparkContext.defaultParallelism), 16]
+
+
 def test_trained_vectors_are_reused(spark, pages):
     text = corpus.firm_pages(pages, 2004)
     model = encoder.fit_encoder(text, dim=2, min_count=1, epochs=1, partitions=1)
