@@ -1,3 +1,4 @@
+import gzip
 import json
 
 import pytest
@@ -50,6 +51,18 @@ def test_peer_round_trip(spark, tmp_path):
     assert sorted(tables.read_peers(spark, str(tmp_path / "peers")).collect()) == sorted(peers.collect())
 
 
+def test_peers_are_written_gzipped(spark, tmp_path):
+    """Text of 100,000 pairs as the tiles give them, with its header, in less than half its size."""
+    peers = spark.range(100_000).selectExpr("id div 300 AS focal_firmid", "xxhash64(id) & 65535 AS rival_firmid",
+                                            "(240000 + (xxhash64(id, 1) & 131071)) / 1e6D AS wtnic_score")
+    tables.write_peers(peers.coalesce(1), str(tmp_path / "peers"))
+    (part,) = (tmp_path / "peers").glob("part-*.csv.gz")
+    text = gzip.decompress(part.read_bytes())
+    assert text.startswith(b"focal_firmid\trival_firmid\twtnic_score\n") and 2 * part.stat().st_size < len(text)
+    assert tables.read_peers(spark, str(tmp_path / "peers")).exceptAll(peers).isEmpty()
+    assert tables.read_peers(spark, str(tmp_path / "peers")).count() == 100_000
+
+
 def test_r2_json(spark, tmp_path):
     report = spark.createDataFrame([("3", "a.csv", 0.5)], "no_of_docs string, input_file_name string, RSQ_average double")
     tables.write_r2_report(report, str(tmp_path / "r2"))
