@@ -202,6 +202,22 @@ def test_a_block_of_companies_is_sent_each_word_once(spark, monkeypatch):
         assert got[f"f{i}"]["v"] == pytest.approx([(sum(range(30)) + i) / (31 + i), (30 + i) / (31 + i)], abs=1e-12)
 
 
+def test_a_block_of_companies_is_bounded_by_its_counts_too(spark, monkeypatch):
+    """With short vectors the names and words of the counts are most of what a task holds."""
+    df = spark.createDataFrame([(f"firm{i:06d}", [f"word{(i + j) % 50:06d}" for j in range(20)]) for i in range(200)], "company string, words array<string>")
+    table = spark.createDataFrame([(f"word{i:06d}", [float(i)]) for i in range(50)], "word string, vector array<double>")
+    most, sums = 20_000, encoder._adder()
+    monkeypatch.setattr(encoder, "BLOCK_BYTES", most)
+
+    def bounded(counts, vectors):
+        assert 3 * len(counts) * (24 + 20) <= 2 * most, len(counts)
+        return sums(counts, vectors)
+
+    monkeypatch.setattr(encoder, "_adder", lambda: bounded)
+    got = {r["company"]: r["v"][0] for r in encoder.encode(table, df).collect()}
+    assert got == {f"firm{i:06d}": pytest.approx(sum((i + j) % 50 for j in range(20)) / 20) for i in range(200)}
+
+
 def test_no_core_waits_while_words_are_trained(spark, monkeypatch):
     asked, real = [], encoder.Word2Vec
     monkeypatch.setattr(encoder, "Word2Vec", lambda **options: asked.append(options["numPartitions"]) or real(**options))
