@@ -195,3 +195,24 @@ def test_reports_from_tiles_equal_reports_from_pairs(spark, monkeypatch):
         assert [industry.budgeted_matches(tiles, budgets, mode) for mode in ("reference", "all_pairs")] == matches
         assert industry.pairs_with_both_codes(tiles, budgets) == both
     assert pairs.count() > 2500 > max(t.count() for t in stored)
+
+
+def test_a_report_with_both_codes_multiplies_the_pairs_twice(spark, monkeypatch):
+    """Once to count scores, once for the ties at all cuts; the firms that the cuts fall into are not sent to tiles again."""
+    from firmnet.operators import similarity
+
+    draw = np.random.default_rng(12)
+    m = np.concatenate([np.ones((40, 3)), draw.integers(-1, 2, (70, 3))]).astype(float)
+    vectors = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(m)], "firm_id bigint, v array<double>")
+    pool = ["111111", "111122", "1111", "222222", "22", "", None]
+    codes = spark.createDataFrame([(i, pool[draw.integers(len(pool))]) for i in range(110)], "firm_id bigint, naics string")
+    listed = codes.select(F.col("firm_id").cast("string").alias("company"), F.nullif("naics", F.lit("")).alias("naics"))
+    pairs = industry.with_pair_codes(similarity.cosine_pairs(vectors, min_score=0.2), codes).cache()
+    passes, real = [], similarity._multiplied
+    for mode in ("reference", "all_pairs"):
+        want = industry.naics_report(2000, pairs, listed, 0.1, mode, True).collect()
+        monkeypatch.setattr(similarity, "_multiplied", lambda *x, **y: passes.append(1) or real(*x, **y))
+        passes.clear()
+        assert industry.naics_report(2000, industry.pairs_by_codes(vectors, codes, 0.2, block_rows=30), listed, 0.1, mode, True).collect() == want
+        assert len(passes) == 2, mode
+        monkeypatch.setattr(similarity, "_multiplied", real)
